@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def fold(doc_id: Column, parts: int) -> Column:
     """Remainder of crc32(doc_id as text) modulo ``parts``; null ids fall in no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
+
+
+def bounded_sample(df: DataFrame, label: str, cap: int) -> DataFrame:
+    """At most ``cap`` rows for each value of ``label``, in the order of a hash of doc_id.
+
+    A first cut by the hash, from the counts of the labels, keeps about twice the cap, so that
+    the ranking never meets all rows of a label. Rows with a null label or id don't count.
+    """
+    known = df.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    counts = known.groupBy(label).agg(F.count("*").alias("_n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    near = known.join(F.broadcast(counts), label).where(place <= (2.0 * cap + 100) / F.col("_n"))  # counts: a row for each label
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return near.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_n", "_r")

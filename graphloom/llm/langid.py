@@ -19,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .textvec import WORD_BYTES, chunks, lowered, utf8
 
 UNDETERMINED = "und"
@@ -100,8 +101,7 @@ def fit(labelled: DataFrame, label: str = "lang") -> Model:
     The sample is SAMPLE_PER_LABEL rows for each label and, of each, the whole text and its first
     100 bytes. Executors send presence bits, not texts, to the driver.
     """
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label")).withColumn("r", rank).where(F.col("r") <= SAMPLE_PER_LABEL).select("doc_id", "label")
+    chosen = bounded_sample(labelled.select("doc_id", F.col(label).alias("label")), "label", SAMPLE_PER_LABEL)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid
+from . import fingerprint, langid, packing, simhash
 from .common import fold, read
 
 
@@ -23,8 +24,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
 
 
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op7_simhash_components, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
