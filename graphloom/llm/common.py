@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +48,20 @@ def bounded_sample(df: DataFrame, label: str, cap: int) -> DataFrame:
     near = known.join(F.broadcast(counts), label).where(place <= (2.0 * cap + 100) / F.col("_n"))  # counts: a row for each label
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id"))
     return near.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_n", "_r")
+
+
+def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``keep`` columns of docs and, from their column text, the columns of ``fields`` that ``compute`` returns.
+
+    One Arrow pass without a shuffle; the text itself is passed on only if ``keep`` has it.
+    """
+    frame = docs.select(*keep, F.col("text").cast("string").alias("_text_"))
+    names = [c for c in frame.columns if c != "_text_"]
+    added = [f.split()[0] for f in fields.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *compute(batch["_text_"])], [*names, *added])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "_text_")
+    return frame.mapInArrow(run, f"{schema}, {fields}")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, map_text
 from .textvec import WORD_BYTES, chunks, lowered, utf8
 
 UNDETERMINED = "und"
@@ -128,32 +128,28 @@ def classify(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFra
 
     ``text`` is passed on only if ``keep`` has it.
     """
-    frame = docs.select(*keep, F.col("text").alias("_text"))
-    names = [c for c in frame.columns if c != "_text"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(text: pa.Array) -> list[pa.Array]:
         model = sent.value
-        names_of = [*model.labels, UNDETERMINED]
-        for batch in batches:
-            column = lowered(batch["_text"])
-            data, offsets = utf8(column)
-            best, score = np.full(len(column), len(model.labels)), np.zeros(len(column))
-            for i, j in ((a, b) for c, d in chunks(offsets) for a in range(c, d, _ROWS) for b in [min(a + _ROWS, d)]):
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                doc = np.repeat(np.arange(j - i), np.diff(at))
-                letters = np.bincount(doc[_LETTERS[part]], minlength=j - i) > 0
-                for k in np.flatnonzero(~letters):
-                    letters[k] = any(c.isalpha() for c in column[i + int(k)].as_py() or "")
-                if not model.labels or not letters.any():
-                    continue
-                x = presence(part, at).astype(np.float32)
-                f = (x @ model.weights) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)) + model.bias
-                p = np.exp(SHARPNESS * (f - f.max(axis=1, keepdims=True)))
-                p /= p.sum(axis=1, keepdims=True)
-                best[i:j] = np.where(letters, f.argmax(axis=1), len(model.labels))
-                score[i:j] = np.where(letters, p.max(axis=1), 0)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array([names_of[k] for k in best], pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "_text")
-    return frame.mapInArrow(score, f"{fields}, lang_pred string, score double")
+        names = [*model.labels, UNDETERMINED]
+        column = lowered(text)
+        data, offsets = utf8(column)
+        best, sure = np.full(len(column), len(model.labels)), np.zeros(len(column))
+        for i, j in ((a, b) for c, d in chunks(offsets) for a in range(c, d, _ROWS) for b in [min(a + _ROWS, d)]):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            doc = np.repeat(np.arange(j - i), np.diff(at))
+            letters = np.bincount(doc[_LETTERS[part]], minlength=j - i) > 0
+            for k in np.flatnonzero(~letters):
+                letters[k] = any(c.isalpha() for c in column[i + int(k)].as_py() or "")
+            if not model.labels or not letters.any():
+                continue
+            x = presence(part, at).astype(np.float32)
+            f = (x @ model.weights) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)) + model.bias
+            p = np.exp(SHARPNESS * (f - f.max(axis=1, keepdims=True)))
+            p /= p.sum(axis=1, keepdims=True)
+            best[i:j] = np.where(letters, f.argmax(axis=1), len(model.labels))
+            sure[i:j] = np.where(letters, p.max(axis=1), 0)
+        return [pa.array([names[k] for k in best], pa.string()), pa.array(sure, pa.float64())]
+
+    return map_text(docs, keep, "lang_pred string, score double", score)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, packing, simhash
+from . import fingerprint, langid, packing, quality, simhash, toxicity
 from .common import fold, read
 
 
@@ -24,17 +24,33 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = quality.fit(docs, labels.where(~F.coalesce(held_out, F.lit(True))))
+    found = quality.score(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, labels.where(~F.coalesce(held_out, F.lit(True))))
+    found = toxicity.score(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op7_simhash_components, op9_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op6_quality, op7_simhash_components, op8_toxicity, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -81,9 +81,10 @@ def _visitors(residents: DataFrame) -> DataFrame:
     return residents.select("fp", "seg", "word", "syndrome", F.col("anchor").alias("home"), flips.alias("i")).select("fp", "seg", F.expr("if(i = 0, home, word ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ syndrome) - 1))").alias("anchor"))
 
 
-def _cell_links(key: tuple, homes: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the links between residents and visitors of one cell."""
-    h, g = homes["fp"].to_numpy().view(np.uint64), guests["fp"].to_numpy().view(np.uint64)
+    fp, guest = cell["fp"].to_numpy().view(np.uint64), cell["guest"].to_numpy()
+    h, g = fp[~guest], fp[guest]
     near = np.bitwise_count(h[:, None] ^ g[None, :]) <= THRESHOLD
     hl, gl = np.arange(len(h)), np.full(len(g), len(h))
     while True:  # the least resident reachable, spread over the links
@@ -117,10 +118,9 @@ def links(fps: DataFrame) -> DataFrame:
     else:
         split = crowds.select(*at, F.expr(f"cast(ceil(n_home / {CELL}) as int)").alias("rows"), F.expr(f"cast(ceil(n_guest / {CELL}) as int)").alias("cols"))
         calm = homes.join(crowds.select(*at), at, "left_anti")
-        a = homes.join(split, at).select(*at, "fp", F.expr("pmod(xxhash64(fp), rows)").alias("r"), F.explode(F.expr("sequence(0, cols - 1)")).alias("c"))
-        b = guests.join(split, at).select(*at, "fp", F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), F.expr("pmod(xxhash64(fp, 1), cols)").alias("c"))
-        keys = [*at, "r", "c"]
-        cells = a.withColumns({"r": F.col("r").cast("int"), "c": F.col("c").cast("int")}).groupBy(*keys).cogroup(b.withColumns({"r": F.col("r").cast("int"), "c": F.col("c").cast("int")}).groupBy(*keys)).applyInPandas(_cell_links, "a long, b long")
+        a = homes.join(split, at).select(*at, "fp", F.expr("cast(pmod(xxhash64(fp), rows) as int)").alias("r"), F.explode(F.expr("sequence(0, cols - 1)")).alias("c"), F.lit(False).alias("guest"))
+        b = guests.join(split, at).select(*at, "fp", F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), F.expr("cast(pmod(xxhash64(fp, 1), cols) as int)").alias("c"), F.lit(True).alias("guest"))
+        cells = a.unionByName(b).groupBy(*at, "r", "c").applyInPandas(_cell_links, "a long, b long")
     h, g = calm.alias("h"), guests.alias("g")
     near = (F.col("h.seg") == F.col("g.seg")) & (F.col("h.anchor") == F.col("g.anchor")) & (F.col("h.fp") != F.col("g.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("g.fp"))) <= THRESHOLD)
     found = h.join(g, near).select(F.col("h.fp").alias("a"), F.col("g.fp").alias("b"))
