@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, packing, quality, simhash, toxicity
+from . import fingerprint, langid, line_dedup, packing, quality, simhash, toxicity, url_filter
 from .common import fold, read
 
 
@@ -24,6 +24,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_boilerplate(read(spark, sf_dir, "documents"), "source")
+    return found.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = fold(F.col("doc_id"), 3) == 1
@@ -49,9 +54,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op6_quality, op7_simhash_components, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op5_line_dedup, op6_quality, op7_simhash_components, op8_toxicity, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.oracle_sql("source"), "op10_url_filter": url_filter.oracle_sql()}

@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lowered words, words that come at least twice, and the first bytes of words; each
-counts once for a document. The terms that go best with either label in a bounded sample get a
+counts once for a document, as 32 bits of its hash. The terms that go best with either label in a bounded sample get a
 linear weight and a latent vector, so that pairs of terms add to the score beside single ones.
 
 Results for odd inputs: a null text is an empty one; a text without a known term gets the
@@ -23,9 +23,9 @@ from .common import bounded_sample, map_text
 from .textvec import Tokens, chunks, lowered, mix, span_hash, utf8
 
 #: Labelled rows for each label that are learned from.
-SAMPLE_PER_LABEL = 5000
-#: Hashed terms that are kept, documents that one needs, bytes of a word's beginning.
-TERMS, LEAST, STEM = 4096, 4, 4
+SAMPLE_PER_LABEL = 4000
+#: Hashed terms that are kept, documents that one needs, bytes of words' beginnings.
+TERMS, LEAST, STEMS = 4096, 4, (4, 5, 6, 8)
 LATENT, EPOCHS, BATCH, RATE, DECAY = 8, 12, 256, 0.02, 1e-5
 
 
@@ -42,9 +42,10 @@ class Model:
 def terms_of(data: np.ndarray, offsets: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, term hash), each once; of terms in ``only`` (sorted) if given."""
     words = Tokens(data, offsets)
-    stem = span_hash(words.sums, words.start, np.minimum(words.end, words.start + STEM)) ^ np.uint64(1)
-    doc, term = np.concatenate([words.doc, words.doc]), np.concatenate([words.hash, stem])
-    twice = mix(term + np.uint64(2))
+    stems = [span_hash(words.sums, words.start[m], words.start[m] + n) ^ np.uint64(n) for n in STEMS for m in [words.end - words.start >= n]]
+    doc = np.concatenate([words.doc, *(words.doc[words.end - words.start >= n] for n in STEMS)])
+    whole = np.concatenate([words.hash, *stems])
+    term, twice = (whole >> np.uint64(32)).astype(np.uint32), (mix(whole + np.uint64(2)) >> np.uint64(32)).astype(np.uint32)
     if only is not None:
         hit = _within(term, only) | _within(twice, only)
         doc, term, twice = doc[hit], term[hit], twice[hit]
@@ -130,12 +131,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     table = map_text(texts, ["doc_id", "_label"], "terms binary", hashed).toPandas().sort_values(["doc_id", "_label", "terms"])
     if table.empty:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, LATENT)), -30.0)
+        return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, LATENT)), -30.0)
     counts = {r["_label"]: r["count"] for r in known.where("doc_id is not null").groupBy("_label").count().collect()}
     y = table["_label"].to_numpy().astype(float)
     weight = np.array([counts[k] / (y == k).sum() for k in y])
     weight *= len(y) / weight.sum()
-    rows = [np.frombuffer(t, np.uint64) for t in table["terms"]]
+    rows = [np.frombuffer(t, np.uint32) for t in table["terms"]]
     return _learn(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows), y, weight)
 
 
