@@ -57,7 +57,7 @@ def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Ca
     """
     frame = docs.select(*keep, F.col("text").cast("string").alias("_text_"))
     names = [c for c in frame.columns if c != "_text_"]
-    added = [f.split()[0] for f in fields.split(",")]
+    added = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

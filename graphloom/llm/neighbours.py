@@ -33,13 +33,14 @@ def _bucket(key: Column, bounds: list, as_column) -> Column:
     return (skip + F.size(F.filter(F.slice(all_bounds, skip + 1, F.lit(step)), lambda b: b <= key))).cast("int")
 
 
-def ordered_with_edges(df: DataFrame, key: list[str], ties: list[str], wrap: bool = False) -> DataFrame:
+def ordered_with_edges(df: DataFrame, key: list[str], ties: list[str], wrap: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` with a column ``role``, range-partitioned and sorted by ``key`` then ``ties``.
 
     ``key``: non-null columns of types long or string; they decide the partition. Rows with equal
     keys stay together, in the order of ``ties``. With ``wrap``, the first row also follows the last.
     Rows with role BEFORE or AFTER are copies for looking at; only OWN rows are the partition's own.
-    An empty table gives no rows.
+    ``keys``: the key columns of all rows from a cheaper plan, if df costs much. An empty table
+    gives no rows.
     """
     spark = df.sparkSession
     n = max(2, partitions(spark))
@@ -48,7 +49,7 @@ def ordered_with_edges(df: DataFrame, key: list[str], ties: list[str], wrap: boo
     def as_column(values) -> Column:
         return F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(key, values, strict=True)])
 
-    keys = df.select(*key)
+    keys = (df if keys is None else keys).select(*key)
     total = keys.count()
     sample = keys.sample(min(1.0, KEYS_PER_PARTITION * n / max(total, 1)), seed=7) if total > KEYS_PER_PARTITION * n else keys
     seen = sorted({tuple(r) for r in sample.collect()})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, line_dedup, packing, quality, simhash, toxicity, url_filter
+from . import decontam, fingerprint, html_extract, langid, line_dedup, packing, quality, simhash, toxicity, url_filter
 from .common import fold, read
 
 
@@ -17,6 +17,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it contains."""
+    docs = read(spark, sf_dir, "documents")
+    index = decontam.build(docs, read(spark, sf_dir, "benchmark"))
+    return decontam.matches(docs, index, ["doc_id"]).select("doc_id", F.inline("found"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -24,6 +31,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.without_boilerplate(read(spark, sf_dir, "documents"), "source")
     return found.select("doc_id", "source", "text", "n_lines", "n_dropped")
@@ -59,7 +71,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op5_line_dedup, op6_quality, op7_simhash_components, op8_toxicity, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_language_id, op4_html_text, op5_line_dedup, op6_quality, op7_simhash_components, op8_toxicity, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
