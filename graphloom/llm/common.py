@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,3 +66,9 @@ def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Ca
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "_text_")
     return frame.mapInArrow(run, f"{schema}, {fields}")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate tables in the shared checkpoint folder, or a temporary one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{shared}/graphloom-{uuid.uuid4().hex}"

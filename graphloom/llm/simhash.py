@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 SEED = 42
-THRESHOLD = 3
+#: Differing bits of a link. Up to 3, a resident meets all visitors. For 4 and 5, a segment has at
+#: most 2 of them; the word halfway between is within 1 of both, so its anchor is within 2 of both
+#: and the visitors of an anchor meet one another.
+THRESHOLD, MOST = 3, 5
 #: An anchor with more pairs of residents and visitors than this is compared in cells.
 PAIRS_AT_ANCHOR = 1 << 14
 #: Residents, and visitors, of a cell.
@@ -81,11 +84,11 @@ def _visitors(residents: DataFrame) -> DataFrame:
     return residents.select("fp", "seg", "word", "syndrome", F.col("anchor").alias("home"), flips.alias("i")).select("fp", "seg", F.expr("if(i = 0, home, word ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ syndrome) - 1))").alias("anchor"))
 
 
-def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
+def _cell_links(cell: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """A spanning forest of the links between residents and visitors of one cell."""
     fp, guest = cell["fp"].to_numpy().view(np.uint64), cell["guest"].to_numpy()
     h, g = fp[~guest], fp[guest]
-    near = np.bitwise_count(h[:, None] ^ g[None, :]) <= THRESHOLD
+    near = np.bitwise_count(h[:, None] ^ g[None, :]) <= threshold
     hl, gl = np.arange(len(h)), np.full(len(g), len(h))
     while True:  # the least resident reachable, spread over the links
         new_g = np.where(near, hl[:, None], len(h)).min(axis=0, initial=len(h))
@@ -100,15 +103,17 @@ def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": mine[real].view(np.int64), "b": other[real].view(np.int64)})
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links a < b between distinct fingerprints of the column fp that hold all of them together.
 
-    Every pair of at most THRESHOLD differing bits is joined by a path of links.
+    Every pair of at most ``threshold`` differing bits is joined by a path of links.
     """
+    if not 0 <= threshold <= MOST:
+        raise ValueError(f"threshold must be 0 to {MOST}")
     residents = _residents(fps)
     visitors = _visitors(residents)
     at = ["seg", "anchor"]
-    homes = residents.select("fp", *at)
+    homes = residents.select("fp", *at) if threshold <= 3 else visitors
     sizes = homes.groupBy(*at).agg(F.count("*").alias("n_home"))
     crowds = sizes.where(f"n_home > {int(PAIRS_AT_ANCHOR ** 0.5) // 16}").join(visitors.groupBy(*at).agg(F.count("*").alias("n_guest")), at).where(f"n_home * n_guest > {PAIRS_AT_ANCHOR}")
     crowds = checkpointed(crowds)
@@ -120,9 +125,9 @@ def links(fps: DataFrame) -> DataFrame:
         calm = homes.join(crowds.select(*at), at, "left_anti")
         a = homes.join(split, at).select(*at, "fp", F.expr("cast(pmod(xxhash64(fp), rows) as int)").alias("r"), F.explode(F.expr("sequence(0, cols - 1)")).alias("c"), F.lit(False).alias("guest"))
         b = guests.join(split, at).select(*at, "fp", F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), F.expr("cast(pmod(xxhash64(fp, 1), cols) as int)").alias("c"), F.lit(True).alias("guest"))
-        cells = a.unionByName(b).groupBy(*at, "r", "c").applyInPandas(_cell_links, "a long, b long")
+        cells = a.unionByName(b).groupBy(*at, "r", "c").applyInPandas(lambda cell: _cell_links(cell, threshold), "a long, b long")
     h, g = calm.alias("h"), guests.alias("g")
-    near = (F.col("h.seg") == F.col("g.seg")) & (F.col("h.anchor") == F.col("g.anchor")) & (F.col("h.fp") != F.col("g.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("g.fp"))) <= THRESHOLD)
+    near = (F.col("h.seg") == F.col("g.seg")) & (F.col("h.anchor") == F.col("g.anchor")) & (F.col("h.fp") != F.col("g.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("g.fp"))) <= threshold)
     found = h.join(g, near).select(F.col("h.fp").alias("a"), F.col("g.fp").alias("b"))
     if cells is not None:
         found = found.unionByName(cells)
@@ -151,12 +156,29 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of each document."""
     fps = checkpointed(fingerprints(docs, shingle))
     firsts = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(firsts.select("fp")))
+    roots = connected(links(firsts.select("fp"), threshold))
     rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(heads, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, threshold: int = MOST) -> DataFrame:
+    """The columns of docs, one row for each component: that of its least id.
+
+    With five-word shingles, five bits are the distance expected at a Jaccard similarity of about
+    0.95; below 0.8 a pair seldom links. Rows of equal id and text count as one. A row without an
+    id cannot be named and stays.
+    """
+    found = checkpointed(near_duplicates(docs, shingle, threshold).where(F.col("doc_id").isNotNull()))
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    again = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")))
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"] == F.col("_id"), "left_anti").unionByName(repeated)

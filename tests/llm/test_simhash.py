@@ -14,7 +14,7 @@ def brute_fingerprint(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fps):
+def brute_components(fps, threshold=3):
     parent = {f: f for f in fps}
 
     def root(f):
@@ -23,7 +23,7 @@ def brute_components(fps):
         return f
 
     for a, b in itertools.combinations(fps, 2):
-        if (a ^ b).bit_count() <= 3:
+        if (a ^ b).bit_count() <= threshold:
             parent[max(root(a), root(b))] = min(root(a), root(b))
     return {f: root(f) for f in fps}
 
@@ -41,22 +41,22 @@ def test_query_against_brute_force(spark, sf_dir):
     assert max(Counter(r.component_id for r in got.values()).values()) > 1
 
 
-@pytest.mark.parametrize("cells", [False, True])
-def test_links_hold_all_near_pairs_together(spark, monkeypatch, cells):
+@pytest.mark.parametrize(("cells", "threshold"), [(False, 3), (True, 3), (False, 5), (True, 5)])
+def test_links_hold_all_near_pairs_together(spark, monkeypatch, cells, threshold):
     rng = random.Random(5)
     fps = {0, (1 << 64) - 1, 1 << 31, 1 << 63, 1 << 31 | 1 << 63}
     for _ in range(12):
         base = rng.getrandbits(64)
         for _ in range(40):
-            base ^= sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 4))})
+            base ^= sum({1 << rng.randrange(64) for _ in range(rng.randint(1, threshold + 1))})
             fps.add(base)
     if cells:
         monkeypatch.setattr(simhash, "PAIRS_AT_ANCHOR", 1)
         monkeypatch.setattr(simhash, "CELL", 3)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = simhash.connected(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()
+    found = simhash.connected(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), threshold)).collect()
     got = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in found}
-    want = brute_components(fps)
+    want = brute_components(fps, threshold)
 
     def classes(of):
         groups = {}
@@ -75,3 +75,13 @@ def test_odd_rows(odd, empty):
     assert {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
     assert {r.component_id for r in got if r.doc_id == 3} == {3}
     assert simhash.near_duplicates(empty, 3).count() == 0
+
+
+def test_deduplicated_keeps_one_of_each(spark, odd, empty):
+    kept = simhash.deduplicated(odd).orderBy("doc_id").collect()
+    assert [r.doc_id for r in kept] == [None, 1, 3, 4, 6, 7, 8, 9]
+    assert kept[0].asDict().keys() == set(odd.columns)
+    assert simhash.deduplicated(empty).count() == 0
+    base = " ".join(f"w{k}" for k in range(400))
+    near = spark.createDataFrame([(1, base), (2, base.replace("w7 ", "x ")), (3, base + " more"), (4, base[::-1])], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicated(near).orderBy("doc_id").collect()] == [1, 4]
