@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import constraints, decisions, ledger, mapping, matching, relational, versions  # noqa: F401  they register their queries
+from . import constraints, decisions, ledger, mapping, matching, relational, streams, versions  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 
