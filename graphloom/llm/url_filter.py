@@ -89,8 +89,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     parts = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     judged = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "html", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"))
     scores = checkpointed(host_scores(judged))
-    hosts = scores.count()
-    scores = scores.withColumn("own", F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") * hosts >= THRESHOLD), "block").otherwise("allow"))
+    mean = scores.agg(F.avg("distrust")).first()[0] or 0.0
+    scores = scores.withColumn("own", F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= THRESHOLD * mean * (1 - 1e-9)), "block").otherwise("allow"))
     joined = judged.drop("html").join(scores, "host", "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", "own", F.lit("allow")).alias("verdict"), "trust", "distrust")
 
@@ -125,5 +125,5 @@ node AS MATERIALIZED (SELECT host, good / coalesce(nullif((SELECT sum(good) FROM
 share AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM edge),
 s0 AS (SELECT host, good, bad, good AS trust, bad AS distrust FROM node),{",".join(steps)}
 SELECT j.page_id, j.host, j.path, j.rule,
-       coalesce(j.verdict, CASE WHEN s.distrust > s.trust AND s.distrust * (SELECT count(*) FROM node) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(j.verdict, CASE WHEN s.distrust > s.trust AND s.distrust >= {THRESHOLD} * (1 - 1e-9) * (SELECT avg(distrust) FROM s{ITERATIONS}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN s{ITERATIONS} s ON j.host = s.host"""
