@@ -40,6 +40,10 @@ CANDIDATE = 0.3
 #: Shares of the words of an item, and of its answer, that the text must have in their order.
 ITEM_SHARE, ANSWER_SHARE = 0.6, 0.5
 LEAST_WORDS = 8
+#: Words of more than this share of the documents, and of more than FEW of them, get no weight.
+COMMON, FEW = 1 / 3, 10
+#: Words whose latent vectors are added at once.
+_AT_ONCE = 4096
 #: Terms whose sums one row of a partial result holds.
 _GROUP = 256
 
@@ -52,8 +56,8 @@ class Index:
     words: list[np.ndarray] = field(default_factory=list)
     answers: list[int] = field(default_factory=list)  # words of the last sentence
     idf: np.ndarray = field(default_factory=lambda: np.zeros(TERMS))
-    row: np.ndarray = field(default_factory=lambda: np.full(TERMS, -1))  # of a term in basis
-    basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    row: np.ndarray = field(default_factory=lambda: np.full(TERMS, -1))  # of a term in basis, -1 for others
+    basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # times the term's idf
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # unit length in the full space
 
 
@@ -96,18 +100,19 @@ def _rows_of(text: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield terms, weight / max(1e-12, float(np.sqrt((weight**2).sum())))
 
 
-def _summed(passages: DataFrame, idf: np.ndarray, test: np.ndarray) -> np.ndarray:
-    """A'A x test for the TF-IDF rows A of the passages, added up in Spark by groups of terms."""
-    sent = passages.sparkSession.sparkContext.broadcast((idf, test.astype(np.float32)))
-    width = test.shape[1]
+def _summed(passages: DataFrame, idf: np.ndarray, used: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """A'A x test for the TF-IDF rows A of the passages over the used terms, added up in Spark by groups of terms."""
+    sent = passages.sparkSession.sparkContext.broadcast((idf, used, test.astype(np.float32)))
+    n, width = test.shape
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, test = sent.value
-        out = np.zeros((TERMS, width), np.float32)
+        idf, used, test = sent.value
+        out = np.zeros((-(-n // _GROUP) * _GROUP, width), np.float32)
         for batch in batches:
             for terms, weight in _rows_of(batch["text"], idf):
-                out[terms] += weight[:, None].astype(np.float32) * (weight.astype(np.float32) @ test[terms])
-        groups = np.flatnonzero(np.abs(out).reshape(TERMS // _GROUP, -1).max(axis=1))
+                at, w = np.searchsorted(used, terms), weight.astype(np.float32)
+                out[at] += w[:, None] * (w @ test[at])
+        groups = np.flatnonzero(np.abs(out).reshape(-1, _GROUP * width).max(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([out[g * _GROUP : (g + 1) * _GROUP].tobytes() for g in groups], pa.binary())], ["group", "sums"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -118,23 +123,19 @@ def _summed(passages: DataFrame, idf: np.ndarray, test: np.ndarray) -> np.ndarra
 
     # A task gives TERMS / _GROUP rows of bounded size at most; a group holds one row of each task.
     got = passages.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "group int, sums binary").groupBy("group").applyInPandas(add, "group int, sums binary").toPandas()
-    out = np.zeros((TERMS, width))
+    out = np.zeros((-(-n // _GROUP) * _GROUP, width))
     for g, sums in zip(got["group"], got["sums"], strict=True):
         out[g * _GROUP : (g + 1) * _GROUP] = np.frombuffer(sums, np.float64).reshape(_GROUP, width)
-    return out
+    return out[:n]
 
 
-def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
-    """Orthonormal right singular vectors (TERMS x rank at most) of the passages' TF-IDF rows."""
+def latent_basis(passages: DataFrame, idf: np.ndarray, used: np.ndarray, rank: int) -> np.ndarray:
+    """Orthonormal right singular vectors (used terms x rank at most) of the passages' TF-IDF rows."""
     rng = np.random.default_rng(23)
-    basis = rng.normal(size=(TERMS, rank + OVERSAMPLE))
+    basis = rng.normal(size=(len(used), rank + OVERSAMPLE))
     for _ in range(2):
-        sums = _summed(passages, idf, basis)
-        used = np.abs(sums).max(axis=1) > 0
-        q, r = np.linalg.qr(sums[used])
-        basis = np.zeros((TERMS, q.shape[1]))
-        basis[used] = q
-    core = basis.T @ _summed(passages, idf, basis)
+        basis, _r = np.linalg.qr(_summed(passages, idf, used, basis))
+    core = basis.T @ _summed(passages, idf, used, basis)
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     kept = np.argsort(values)[::-1][:rank]
     kept = kept[values[kept] > 1e-7 * max(values.max(), 1e-12)]
@@ -144,8 +145,10 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
 def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
     """The index of a benchmark (item_id, text) against a corpus. The benchmark is held by the driver."""
     found, total = document_frequencies(docs)
-    idf = np.log((total + 1) / (found + 1)) + 0.01
-    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text").distinct().toPandas().sort_values(["item_id", "text"])
+    idf = np.log((total + 1) / (found + 1)) + 0.1
+    idf[found > max(FEW, COMMON * total)] = 0
+    benchmark = benchmark.where("text is not null and item_id is not null").select("item_id", "text").distinct()
+    items = benchmark.toPandas().sort_values(["item_id", "text"])
     index = Index(idf=idf)
     if items.empty:
         return index
@@ -155,10 +158,11 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
     chosen = np.flatnonzero(words.counts >= LEAST_WORDS)
     if not len(chosen):
         return index
-    basis = latent_basis(benchmark.where(F.col("text").isNotNull()), idf, min(rank, len(items)))
-    used = np.flatnonzero(np.abs(basis).max(axis=1) > 0)
-    index.row[used] = np.arange(len(used))
-    index.basis = basis[used].astype(np.float32)
+    used = np.unique(np.concatenate([r[0] for r in rows]))
+    basis = latent_basis(benchmark, idf, used, min(rank, len(items)))
+    weighted = used[idf[used] > 0]
+    index.row[weighted] = np.arange(len(weighted))
+    index.basis = (basis * idf[used, None])[idf[used] > 0].astype(np.float32)
     starts = np.concatenate([[0], np.cumsum(words.counts)])
     for k in chosen:
         text = items["text"].iloc[k]
@@ -168,7 +172,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         stops = [p for p in (text.rstrip(" .!?\n").rfind(c) for c in ".!?\n") if p >= 0]
         cut = offsets[k] + len(text[: max(stops)].lower().encode()) if stops else offsets[k]
         index.answers.append(int((words.start[own] >= cut).sum()))
-    index.latent = np.stack([rows[k][1] @ basis[rows[k][0]] for k in chosen]).astype(np.float32)
+    index.latent = np.stack([rows[k][1] @ basis[np.searchsorted(used, rows[k][0])] for k in chosen]).astype(np.float32)
     return index
 
 
@@ -197,11 +201,16 @@ def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.
     if not len(first) or not index.items:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     terms = _terms(words)
+    block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
+    norms = np.bincount(block, index.idf[terms] ** 2, len(first))
     row = index.row[terms]
-    shares = np.concatenate([index.basis, np.zeros((1, index.basis.shape[1]), np.float32)])[row]
-    shares *= index.idf[terms, None].astype(np.float32)
-    sums = np.add.reduceat(shares, first, axis=0)
-    norms = np.add.reduceat(index.idf[terms] ** 2, first)
+    known = np.flatnonzero(row >= 0)
+    row, block = row[known], block[known]
+    sums = np.zeros((len(first), index.basis.shape[1]), np.float32)
+    for a in range(0, len(row), _AT_ONCE):
+        part, of = row[a : a + _AT_ONCE], block[a : a + _AT_ONCE]
+        head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        sums[of[head]] += np.add.reduceat(index.basis[part], head, axis=0)
     for step in range(1, WINDOW):
         same = np.flatnonzero(block_doc[:-step] == block_doc[step:])
         if step == 1:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from graphloom.llm import decontam, queries
 
 
@@ -61,12 +62,12 @@ def test_paraphrases_and_recall(spark):
 def test_latent_space_is_the_row_space(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     idf = np.full(decontam.TERMS, 1.0)
-    basis = decontam.latent_basis(items, idf, decontam.RANK)
+    rows = list(decontam._rows_of(pa.array([r.text for r in items.collect()]), idf))
+    used = np.unique(np.concatenate([t for t, _ in rows]))
+    basis = decontam.latent_basis(items, idf, used, decontam.RANK)
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-6)
-    import pyarrow as pa
-
-    for terms, weight in decontam._rows_of(pa.array([r.text for r in items.collect()]), idf):
-        assert abs(np.linalg.norm(weight @ basis[terms]) - 1) < 1e-3
+    for terms, weight in rows:
+        assert abs(np.linalg.norm(weight @ basis[np.searchsorted(used, terms)]) - 1) < 1e-3
 
 
 def test_odd_rows(spark, odd, empty):
