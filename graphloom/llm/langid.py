@@ -74,16 +74,18 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def _fit(rows: np.ndarray, labels: list[str], y: np.ndarray) -> Model:
-    """Kernel ridge regression on a Nystroem map of presence rows."""
-    x = rows.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    marks = np.concatenate([np.flatnonzero(y == k)[:LANDMARKS_PER_LABEL] for k in range(len(labels))])
-    z = x[marks]
+def _fit(bits: np.ndarray, labels: list[str], y: np.ndarray) -> Model:
+    """Kernel ridge regression on a Nystroem map of packed presence rows, a few rows unpacked at a time."""
+
+    def unit(part: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(part, axis=1)[:, :FEATURES].astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    z = unit(bits[np.concatenate([np.flatnonzero(y == k)[:LANDMARKS_PER_LABEL] for k in range(len(labels))])])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     kept = values > 1e-6 * max(values[-1], 1e-12)
     root = vectors[:, kept] / np.sqrt(values[kept])
-    mapped = (x @ z.T).astype(np.float64) @ root
+    mapped = np.concatenate([unit(bits[k : k + 256]) @ z.T for k in range(0, len(bits), 256)]).astype(np.float64) @ root
     target = np.where(y[:, None] == np.arange(len(labels)), 1.0, -1.0)
     weight = 1 / np.bincount(y, minlength=len(labels))[y]
     weight *= len(y) / weight.sum()
@@ -119,8 +121,8 @@ def fit(labelled: DataFrame, label: str = "lang") -> Model:
     labels = sorted(set(got["label"]))
     if not labels:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
-    rows = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)[:, :FEATURES]
-    return _fit(rows, labels, np.searchsorted(np.array(labels, object), got["label"].to_numpy()))
+    bits = np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1)
+    return _fit(bits, labels, np.searchsorted(np.array(labels, object), got["label"].to_numpy()))
 
 
 def classify(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
