@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each key, with their rank. The order should be total."""
@@ -52,3 +54,20 @@ def divides(pairs: DataFrame, owner: str, item: str, needed: DataFrame) -> DataF
 def signed_difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows with op: ``del`` for those only in old, ``add`` for those only in new."""
     return old.subtract(new).withColumn("op", F.lit("del")).unionByName(new.subtract(old).withColumn("op", F.lit("add")))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place (from 1) in the global order, without a window over all rows in one task.
+
+    Rows are range-partitioned and sorted; a place is the rows of the partitions before, counted
+    once, plus the place in the own partition.
+    """
+    sorted_ = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_m", 33)
+    counts = sorted((r["p"], r["n"]) for r in sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    offsets, total = [], 0
+    for p, n in counts:
+        offsets += [F.lit(p), F.lit(total)]
+        total += n
+    base = F.create_map(*offsets)[part] if offsets else F.lit(0)
+    return sorted_.withColumn(name, (base + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_m")

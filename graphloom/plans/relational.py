@@ -389,14 +389,12 @@ def ledger_rollup(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS place FROM supplier")
 def sort_multi(t: Tables) -> DataFrame:
-    # The place comes from a window over one partition, which a table of suppliers allows; sorting alone would be orderBy.
-    w = Window.partitionBy(F.lit(1)).orderBy("s_nationkey", F.col("s_acctbal").desc(), "s_suppkey")
-    return t.supplier.select("s_suppkey", F.row_number().over(w).alias("place"))
+    return relational.numbered(t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), [F.col("s_nationkey"), F.col("s_acctbal").desc(), F.col("s_suppkey")], "place").select("s_suppkey", "place")
 
 
 @query("SELECT p_name, row_number() OVER (ORDER BY p_name) AS place FROM (SELECT DISTINCT p_name FROM part)")
 def sort_iri(t: Tables) -> DataFrame:
-    return t.part.select("p_name").distinct().select("p_name", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("p_name")).alias("place"))
+    return relational.numbered(t.part.select("p_name").distinct(), [F.col("p_name")], "place")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")

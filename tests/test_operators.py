@@ -90,6 +90,13 @@ def test_as_of_takes_the_last_at_or_before(spark):
     assert {r.id: r.v for r in relational.as_of(left, right, ["k"], "t", "u", ["v"]).collect()} == {1: "y", 2: None, 3: None}
 
 
+def test_numbered_is_the_global_order(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    got = relational.numbered(rows.repartition(5), [F.col("k").desc()], "place").collect()
+    assert sorted((r.place, r.k) for r in got) == [(n + 1, 999 - n) for n in range(1000)]
+    assert relational.numbered(rows.limit(0), [F.col("k")], "place").count() == 0
+
+
 def test_compare_and_set_has_one_winner(spark):
     heads = spark.createDataFrame([("r", 3)], "root string, seq long")
     writes = spark.createDataFrame([(1, "r", 3), (2, "r", 3), (3, "r", 2), (4, "new", 0)], "txn int, root string, expected long")
