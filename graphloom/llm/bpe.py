@@ -8,6 +8,7 @@ ids of its pre-tokens in turn; those come from the ``tokenizers`` library and ar
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -16,8 +17,10 @@ import regex
 
 from .textvec import mix, prefix_hash
 
-#: Pre-tokens remembered by a Python worker before it forgets them all.
-REMEMBERED = 600_000
+#: Pre-tokens remembered by a Python worker before it forgets them all: about 50 bytes each.
+REMEMBERED = 1_200_000
+#: Sorted runs of remembered hashes before they are merged into one.
+_RUNS = 6
 
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 
@@ -86,17 +89,28 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes and their numbers
+        self.known = 0
+        self.at = np.zeros(1024, np.int32)
+        self.count = np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of sorted hashes, -1 for those not remembered."""
+        place = np.full(len(hashes), -1, np.int64)
+        for keys, numbers in self.runs:
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = keys[at] == hashes
+            place[hit] = numbers[at[hit]]
+        return place
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode and remember pre-tokens, given with their sorted hashes."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(counts.sum()))
-        k = len(self.known)
+        counts = np.fromiter(map(len, got), np.int32, len(got))
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(counts.sum()))
+        k = self.known
         while len(self.at) < k + len(words):
             self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count))
         while len(self.ids) < self.used + len(flat):
@@ -105,7 +119,12 @@ class Encoder:
         self.count[k : k + len(words)] = counts
         self.at[k : k + len(words)] = self.used + np.cumsum(counts) - counts
         self.used += len(flat)
-        self.known.update(zip(hashes, range(k, k + len(words)), strict=True))
+        self.known += len(words)
+        self.runs.append((hashes, np.arange(k, self.known, dtype=np.int32)))
+        if len(self.runs) > _RUNS:
+            keys, numbers = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.runs = [(keys[order], numbers[order])]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each), as the library gives them by default.
@@ -119,7 +138,7 @@ class Encoder:
             for k in odd:
                 parts[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
             return np.concatenate(parts), np.array([len(p) for p in parts])
-        if len(self.known) > REMEMBERED:
+        if self.known > REMEMBERED:
             self._forget()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -134,18 +153,20 @@ class Encoder:
 
         hashes = mix((sums[stops] - sums[starts]) * _power_tables(len(sums))[1][starts])
         codes_of, unique = pd.factorize(hashes)
-        known = self.known
-        place = np.fromiter((known.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
-        new = np.flatnonzero(place < 0)
+        order = np.argsort(unique)
+        found = self._find(unique[order])
+        new = np.flatnonzero(found < 0)
         if len(new):
             where = np.zeros(len(unique), np.int64)
             where[codes_of[::-1]] = np.arange(len(codes_of) - 1, -1, -1)
             whole = "".join(texts)
-            spots = where[new]
-            place[new] = len(known) + np.arange(len(new))
-            self._learn(unique[new].tolist(), [whole[a:b] for a, b in zip(starts[spots].tolist(), stops[spots].tolist(), strict=True)])
+            spots = where[order[new]]
+            found[new] = self.known + np.arange(len(new))
+            self._learn(unique[order[new]], [whole[a:b] for a, b in zip(starts[spots].tolist(), stops[spots].tolist(), strict=True)])
+        place = np.empty(len(unique), np.int64)
+        place[order] = found
         piece = place[codes_of]
-        counts = self.count[piece]
+        counts = self.count[piece].astype(np.int64)
         total = np.cumsum(counts)
         ids = self.ids[np.repeat(self.at[piece] - (total - counts), counts) + np.arange(total[-1])]
         upto = np.concatenate([[0], total])[np.searchsorted(starts, np.concatenate([[0], ends]))]

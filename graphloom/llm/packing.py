@@ -44,7 +44,7 @@ EPOCHS = 2
 SLACK = 8
 ROUNDS = 3
 
-_TEXTS_AT_ONCE = 2_000_000  # characters
+_TEXTS_AT_ONCE = 500_000  # characters
 _encoders: dict[str, Encoder] = {}
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
