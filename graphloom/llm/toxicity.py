@@ -26,7 +26,7 @@ from .textvec import Tokens, chunks, lowered, mix, span_hash, utf8
 SAMPLE_PER_LABEL = 4000
 #: Hashed terms that are kept, documents that one needs, bytes of words' beginnings.
 TERMS, LEAST, STEMS = 4096, 4, (4, 5, 6, 8)
-LATENT, EPOCHS, BATCH, RATE, DECAY = 8, 12, 256, 0.02, 1e-5
+LATENT, STEPS, BATCH, RATE, DECAY = 8, 600, 256, 0.02, 1e-5
 
 
 @dataclass
@@ -88,8 +88,8 @@ def _learn(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, weight: np.ndarra
     share = float(np.clip((weight * y).sum() / weight.sum(), 1e-4, 1 - 1e-4))
     params = [np.array([np.log(share / (1 - share))]), np.zeros(len(good)), rng.normal(0, 0.01, (len(good), LATENT))]
     m1, m2 = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
-    step = 0
-    for epoch in range(EPOCHS):
+    step, epochs = 0, -(-STEPS * BATCH // len(y))
+    for epoch in range(epochs):
         turn = rng.permutation(len(y))
         for b in range(0, len(y), BATCH):
             rows = turn[b : b + BATCH]
@@ -102,7 +102,7 @@ def _learn(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, weight: np.ndarra
             gx = g @ x
             grads = [np.array([g.sum()]), gx + DECAY * params[1], x.T @ (g[:, None] * s) - gx[:, None] * params[2] + DECAY * params[2]]
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for q, d, a, v in zip(params, grads, m1, m2, strict=True):
                 a += 0.1 * (d - a)
                 v += 0.001 * (d * d - v)
