@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textvec import release
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder that the session names in spark.checkpoint.dir.
@@ -63,6 +65,7 @@ def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *compute(batch["_text_"])], [*names, *added])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "_text_")
     return frame.mapInArrow(run, f"{schema}, {fields}")

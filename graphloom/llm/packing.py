@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder
 from .common import checkpointed, partitions
+from .textvec import release
 
 CAPACITY = 1024
 END = 2
@@ -68,6 +69,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     j += 1
                 yield _cut(ids[i:j], *encoder.encode(texts[i:j]), capacity)
                 i = j
+            del texts, ids
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _PIECES_SQL)
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .textvec import release
 
 SEED = 42
 #: Differing bits of a link. Up to 3, a resident meets all visitors. For 4 and 5, a segment has at
@@ -66,6 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             found = np.array([fingerprint_of(t.as_py(), shingle) for t in batch["text"]], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64())], ["doc_id", "fp"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp long")
 

@@ -7,6 +7,7 @@ Memory is proportional to one chunk (``CHUNK`` bytes, or one longer document).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,3 +111,11 @@ def lowered(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return pc.utf8_lower(column)
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: Python workers are kept and reused."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
