@@ -3,7 +3,9 @@
 Document frequencies of hashed words are counted over all documents. The benchmark's passages
 become TF-IDF rows with them, and a randomised SVD, whose sums over rows run in Spark, gives their
 latent space; an item's inner products with any text depend on that space only. Every window of
-every document is projected into it, and items whose cosine passes a low bound are candidates. A
+every document is projected into it, and items whose cosine passes a low bound are candidates, as
+are items of whose own weight the window holds a share, whatever stands beside it. Every word has a
+positive weight, so that an item counts as well where a large part of all documents hold it. A
 candidate is confirmed by the longest common subsequence of words of the item and of the text
 around the window, for the whole item and for its answer, its last sentence. So reworded items,
 with words left out or put in, count as well as exact ones, and shared phrases do not.
@@ -37,13 +39,15 @@ TERMS, RANK, OVERSAMPLE = 1 << 15, 256, 16
 BLOCK, WINDOW = 16, 3
 #: Cosine from which an item is a candidate.
 CANDIDATE = 0.3
+#: Share of an item's squared TF-IDF length in a window from which it is one too: of an item of up to
+#: four blocks that a text holds whole, some window has half at least.
+CONTAINED = 0.4
 #: Shares of the words of an item, and of its answer, that the text must have in their order.
 ITEM_SHARE, ANSWER_SHARE = 0.6, 0.5
 LEAST_WORDS = 8
-#: Words of more than this share of the documents, and of more than FEW of them, get no weight.
-COMMON, FEW = 1 / 3, 10
-#: Words whose latent vectors are added at once.
-_AT_ONCE = 4096
+#: Most frequent terms, whose latent vectors are added by a product with their counts; words whose
+#: vectors are added at once, and blocks whose counts are held at once.
+_FREQUENT, _AT_ONCE, _BLOCKS = 128, 4096, 4096
 #: Terms whose sums one row of a partial result holds.
 _GROUP = 256
 
@@ -56,9 +60,10 @@ class Index:
     words: list[np.ndarray] = field(default_factory=list)
     answers: list[int] = field(default_factory=list)  # words of the last sentence
     idf: np.ndarray = field(default_factory=lambda: np.zeros(TERMS))
-    row: np.ndarray = field(default_factory=lambda: np.full(TERMS, -1))  # of a term in basis, -1 for others
+    row: np.ndarray = field(default_factory=lambda: np.full(TERMS, -1))  # of a term in basis, frequent ones first, -1 for others
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # times the term's idf
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # unit length in the full space
+    length: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # of the TF-IDF row
 
 
 def _terms(words: Tokens) -> np.ndarray:
@@ -90,14 +95,20 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:TERMS], int(out[TERMS])
 
 
-def _rows_of(text: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(terms, TF-IDF weights of unit length) of each passage."""
+def _weights_of(text: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(terms, TF-IDF weights of unit length, length before) of each passage."""
     data, offsets = utf8(lowered(text))
     words = Tokens(data, offsets)
     for part in np.split(_terms(words), np.cumsum(words.counts)[:-1]):
         terms, n = np.unique(part, return_counts=True)
         weight = n * idf[terms]
-        yield terms, weight / max(1e-12, float(np.sqrt((weight**2).sum())))
+        length = max(1e-12, float(np.sqrt((weight**2).sum())))
+        yield terms, weight / length, length
+
+
+def _rows_of(text: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms, TF-IDF weights of unit length) of each passage."""
+    return ((terms, weight) for terms, weight, _ in _weights_of(text, idf))
 
 
 def _summed(passages: DataFrame, idf: np.ndarray, used: np.ndarray, test: np.ndarray) -> np.ndarray:
@@ -146,7 +157,6 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
     """The index of a benchmark (item_id, text) against a corpus. The benchmark is held by the driver."""
     found, total = document_frequencies(docs)
     idf = np.log((total + 1) / (found + 1)) + 0.1
-    idf[found > max(FEW, COMMON * total)] = 0
     benchmark = benchmark.where("text is not null and item_id is not null").select("item_id", "text").distinct()
     items = benchmark.toPandas().sort_values(["item_id", "text"])
     index = Index(idf=idf)
@@ -154,15 +164,15 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         return index
     data, offsets = utf8(lowered(pa.array(items["text"].tolist(), pa.string())))
     words = Tokens(data, offsets)
-    rows = list(_rows_of(pa.array(items["text"].tolist(), pa.string()), idf))
+    rows = list(_weights_of(pa.array(items["text"].tolist(), pa.string()), idf))
     chosen = np.flatnonzero(words.counts >= LEAST_WORDS)
     if not len(chosen):
         return index
     used = np.unique(np.concatenate([r[0] for r in rows]))
     basis = latent_basis(benchmark, idf, used, min(rank, len(items)))
-    weighted = used[idf[used] > 0]
-    index.row[weighted] = np.arange(len(weighted))
-    index.basis = (basis * idf[used, None])[idf[used] > 0].astype(np.float32)
+    order = np.argsort(-found[used], kind="stable")
+    index.row[used[order]] = np.arange(len(used))
+    index.basis = (basis * idf[used, None])[order].astype(np.float32)
     starts = np.concatenate([[0], np.cumsum(words.counts)])
     for k in chosen:
         text = items["text"].iloc[k]
@@ -173,6 +183,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         cut = offsets[k] + len(text[: max(stops)].lower().encode()) if stops else offsets[k]
         index.answers.append(int((words.start[own] >= cut).sum()))
     index.latent = np.stack([rows[k][1] @ basis[np.searchsorted(used, rows[k][0])] for k in chosen]).astype(np.float32)
+    index.length = np.array([rows[k][2] for k in chosen], np.float32)
     return index
 
 
@@ -192,7 +203,7 @@ def common_words(item: np.ndarray, text: np.ndarray) -> int:
 
 
 def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, item, cosine) of the windows of a chunk whose cosine passes the bound."""
+    """(first word, item, cosine) of the windows of a chunk that pass a bound."""
     n_blocks = -(-words.counts // BLOCK)
     doc_first = np.cumsum(words.counts) - words.counts
     block_doc = np.repeat(np.arange(len(n_blocks)), n_blocks)
@@ -207,6 +218,14 @@ def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.
     known = np.flatnonzero(row >= 0)
     row, block = row[known], block[known]
     sums = np.zeros((len(first), index.basis.shape[1]), np.float32)
+    n = min(_FREQUENT, len(index.basis))
+    for a in range(0, len(first), _BLOCKS):
+        part = slice(*np.searchsorted(block, [a, a + _BLOCKS]))
+        often = row[part] < n
+        size = min(_BLOCKS, len(first) - a)
+        counts = np.bincount((block[part][often] - a) * n + row[part][often], minlength=size * n)
+        sums[a : a + size] = counts.reshape(size, n).astype(np.float32) @ index.basis[:n]
+    row, block = row[row >= n], block[row >= n]
     for a in range(0, len(row), _AT_ONCE):
         part, of = row[a : a + _AT_ONCE], block[a : a + _AT_ONCE]
         head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -217,8 +236,9 @@ def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.
             whole, square = sums.copy(), norms.copy()
         whole[same] += sums[same + step]
         square[same] += norms[same + step]
-    cosine = (whole @ index.latent.T) / np.sqrt(np.maximum(square, 1e-12))[:, None]
-    at, item = np.nonzero(cosine >= CANDIDATE)
+    inner = whole @ index.latent.T
+    cosine = inner / np.sqrt(np.maximum(square, 1e-12))[:, None]
+    at, item = np.nonzero((cosine >= CANDIDATE) | (inner >= CONTAINED * index.length))
     return first[at], item, cosine[at, item]
 
 

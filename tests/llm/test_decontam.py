@@ -78,3 +78,26 @@ def test_odd_rows(spark, odd, empty):
     assert decontam.matches(odd, decontam.build(odd, b.limit(0)), ["doc_id"]).count() == 11
     same = spark.createDataFrame([(7, "line one, line two! line one and some more words here."), (8, None)], "doc_id long, text string")
     assert [(r.doc_id, len(r.found)) for r in decontam.matches(same, decontam.build(same, b), ["doc_id"]).orderBy("doc_id").collect()] == [(7, 1), (8, 0)]
+
+
+def test_items_that_a_large_part_of_all_rows_contain(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(2000)]
+    items = [rng.sample(vocabulary, n) for n in (14, 25, 40, 59)]
+    docs, want = [], set()
+    for k in range(400):
+        text = [rng.choice(vocabulary) for _ in range(90)]
+        if k % 5 < 2:  # a hot group: all of its rows hold all items
+            text = [w for item in items for w in [*item, *rng.sample(vocabulary, 5)]]
+            want |= {(k, i) for i in range(4)}
+        elif k % 5 == 2:
+            item = rng.randrange(4)
+            at = rng.randrange(90)
+            text[at:at] = items[item]
+            want.add((k, item))
+        docs.append((k, " ".join(text)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    index = decontam.build(d, b)
+    assert (index.idf > 0).all()
+    assert {(r.doc_id, f.item_id) for r in decontam.matches(d, index, ["doc_id"]).collect() for f in r.found} == want
