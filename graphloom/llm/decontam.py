@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Document frequencies of hashed words are counted over all documents. The benchmark's passages
-become TF-IDF rows with them, and a randomised SVD, whose sums over rows run in Spark, gives their
-latent space; an item's inner products with any text depend on that space only. Every window of
+become TF-IDF rows with them, and a randomised SVD, whose sums over rows run in Spark, gives the
+latent space of each block of RANK passages; an item's inner products with any text depend on that space only. Every window of
 every document is projected into it, and items whose cosine passes a low bound are candidates, as
 are items of whose own weight the window holds a share, whatever stands beside it. Every word has a
 positive weight, so that an item counts as well where a large part of all documents hold it. A
@@ -10,8 +10,8 @@ candidate is confirmed by the longest common subsequence of words of the item an
 around the window, for the whole item and for its answer, its last sentence. So reworded items,
 with words left out or put in, count as well as exact ones, and shared phrases do not.
 
-Up to RANK passages the latent space holds the benchmark's row space whole. Beyond that the
-recall of the candidates falls with the energy left out and should be measured again.
+A block's latent space holds its row space whole, so that recall does not depend on the number of
+passages; time and the index grow in proportion to it.
 
 Results for odd inputs: null and empty texts, and texts without words, match nothing; items of
 fewer than LEAST_WORDS words are left out, as chance would match them; without items nothing
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_text
 from .textvec import Tokens, chunks, lowered, utf8
 
-#: Hashed words of the TF-IDF rows, and the most dimensions of the latent space.
+#: Hashed words of the TF-IDF rows, and the passages of a block: the most dimensions of its latent space.
 TERMS, RANK, OVERSAMPLE = 1 << 15, 256, 16
 #: Words of a block; a window is WINDOW blocks, and the next one begins a block later.
 BLOCK, WINDOW = 16, 3
@@ -52,18 +52,26 @@ _FREQUENT, _AT_ONCE, _BLOCKS = 128, 4096, 4096
 _GROUP = 256
 
 
+@dataclass
+class Space:
+    """The latent space of a block of items, with the weights that give a word's share in the cosine with each."""
+
+    items: np.ndarray  # places in the index
+    row: np.ndarray  # of a term in basis, frequent ones first, -1 for others
+    basis: np.ndarray  # times the term's idf
+    latent: np.ndarray  # unit length in the full space
+    length: np.ndarray  # of the TF-IDF row
+
+
 @dataclass
 class Index:
-    """The benchmark's items and the weights that give a word's share in the cosine with each."""
+    """The benchmark's items and the latent spaces of their blocks."""
 
     items: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     answers: list[int] = field(default_factory=list)  # words of the last sentence
     idf: np.ndarray = field(default_factory=lambda: np.zeros(TERMS))
-    row: np.ndarray = field(default_factory=lambda: np.full(TERMS, -1))  # of a term in basis, frequent ones first, -1 for others
-    basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # times the term's idf
-    latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # unit length in the full space
-    length: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # of the TF-IDF row
+    spaces: list[Space] = field(default_factory=list)
 
 
 def _terms(words: Tokens) -> np.ndarray:
@@ -168,11 +176,6 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
     chosen = np.flatnonzero(words.counts >= LEAST_WORDS)
     if not len(chosen):
         return index
-    used = np.unique(np.concatenate([r[0] for r in rows]))
-    basis = latent_basis(benchmark, idf, used, min(rank, len(items)))
-    order = np.argsort(-found[used], kind="stable")
-    index.row[used[order]] = np.arange(len(used))
-    index.basis = (basis * idf[used, None])[order].astype(np.float32)
     starts = np.concatenate([[0], np.cumsum(words.counts)])
     for k in chosen:
         text = items["text"].iloc[k]
@@ -182,8 +185,18 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         stops = [p for p in (text.rstrip(" .!?\n").rfind(c) for c in ".!?\n") if p >= 0]
         cut = offsets[k] + len(text[: max(stops)].lower().encode()) if stops else offsets[k]
         index.answers.append(int((words.start[own] >= cut).sum()))
-    index.latent = np.stack([rows[k][1] @ basis[np.searchsorted(used, rows[k][0])] for k in chosen]).astype(np.float32)
-    index.length = np.array([rows[k][2] for k in chosen], np.float32)
+    spark = benchmark.sparkSession
+    for a in range(0, len(chosen), rank):
+        block = chosen[a : a + rank]
+        used = np.unique(np.concatenate([rows[k][0] for k in block]))
+        passages = spark.createDataFrame([(items["text"].iloc[k],) for k in block], "text string")
+        basis = latent_basis(passages, idf, used, len(block))
+        order = np.argsort(-found[used], kind="stable")
+        row = np.full(TERMS, -1)
+        row[used[order]] = np.arange(len(used))
+        latent = np.stack([rows[k][1] @ basis[np.searchsorted(used, rows[k][0])] for k in block])
+        length = np.array([rows[k][2] for k in block], np.float32)
+        index.spaces.append(Space(np.arange(a, a + len(block)), row, (basis * idf[used, None])[order].astype(np.float32), latent.astype(np.float32), length))
     return index
 
 
@@ -214,32 +227,45 @@ def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.
     terms = _terms(words)
     block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
     norms = np.bincount(block, index.idf[terms] ** 2, len(first))
-    row = index.row[terms]
+    square = _windows(norms, block_doc)
+    parts = []
+    for space in index.spaces:
+        inner = _windows(_latent(terms, block, len(first), space), block_doc) @ space.latent.T
+        cosine = inner / np.sqrt(np.maximum(square, 1e-12))[:, None]
+        at, item = np.nonzero((cosine >= CANDIDATE) | (inner >= CONTAINED * space.length))
+        parts.append((first[at], space.items[item], cosine[at, item]))
+    at, item, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return at, item, cosine
+
+
+def _windows(blocks: np.ndarray, block_doc: np.ndarray) -> np.ndarray:
+    """Sums over the blocks of the window that begins at each block."""
+    whole = blocks.copy()
+    for step in range(1, WINDOW):
+        same = np.flatnonzero(block_doc[:-step] == block_doc[step:])
+        whole[same] += blocks[same + step]
+    return whole
+
+
+def _latent(terms: np.ndarray, block: np.ndarray, n_blocks: int, space: Space) -> np.ndarray:
+    """Sums of the latent vectors of each block's words."""
+    row = space.row[terms]
     known = np.flatnonzero(row >= 0)
     row, block = row[known], block[known]
-    sums = np.zeros((len(first), index.basis.shape[1]), np.float32)
-    n = min(_FREQUENT, len(index.basis))
-    for a in range(0, len(first), _BLOCKS):
+    sums = np.zeros((n_blocks, space.basis.shape[1]), np.float32)
+    n = min(_FREQUENT, len(space.basis))
+    for a in range(0, n_blocks, _BLOCKS):
         part = slice(*np.searchsorted(block, [a, a + _BLOCKS]))
         often = row[part] < n
-        size = min(_BLOCKS, len(first) - a)
+        size = min(_BLOCKS, n_blocks - a)
         counts = np.bincount((block[part][often] - a) * n + row[part][often], minlength=size * n)
-        sums[a : a + size] = counts.reshape(size, n).astype(np.float32) @ index.basis[:n]
+        sums[a : a + size] = counts.reshape(size, n).astype(np.float32) @ space.basis[:n]
     row, block = row[row >= n], block[row >= n]
     for a in range(0, len(row), _AT_ONCE):
         part, of = row[a : a + _AT_ONCE], block[a : a + _AT_ONCE]
         head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        sums[of[head]] += np.add.reduceat(index.basis[part], head, axis=0)
-    for step in range(1, WINDOW):
-        same = np.flatnonzero(block_doc[:-step] == block_doc[step:])
-        if step == 1:
-            whole, square = sums.copy(), norms.copy()
-        whole[same] += sums[same + step]
-        square[same] += norms[same + step]
-    inner = whole @ index.latent.T
-    cosine = inner / np.sqrt(np.maximum(square, 1e-12))[:, None]
-    at, item = np.nonzero((cosine >= CANDIDATE) | (inner >= CONTAINED * index.length))
-    return first[at], item, cosine[at, item]
+        sums[of[head]] += np.add.reduceat(space.basis[part], head, axis=0)
+    return sums
 
 
 def matches(docs: DataFrame, index: Index, keep: list[str | Column]) -> DataFrame:

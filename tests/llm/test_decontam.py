@@ -101,3 +101,21 @@ def test_items_that_a_large_part_of_all_rows_contain(spark):
     index = decontam.build(d, b)
     assert (index.idf > 0).all()
     assert {(r.doc_id, f.item_id) for r in decontam.matches(d, index, ["doc_id"]).collect() for f in r.found} == want
+
+
+def test_recall_does_not_fall_with_the_number_of_items(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(14, 59))] for _ in range(1200)]
+    docs = []
+    for item in items:
+        text = [rng.choice(vocabulary) for _ in range(120)]
+        at = rng.randrange(120)
+        text[at:at] = item
+        docs.append((len(docs), " ".join(text)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    index = decontam.build(d, b)
+    assert all(len(x.items) <= decontam.RANK for x in index.spaces) and sum(len(x.items) for x in index.spaces) == 1200
+    got = {(r.doc_id, f.item_id) for r in decontam.matches(d, index, ["doc_id"]).collect() for f in r.found}
+    assert got == {(k, k) for k in range(1200)}
