@@ -10,6 +10,8 @@ candidate is confirmed by the longest common subsequence of words of the item an
 around the window, for the whole item and for its answer, its last sentence. So reworded items,
 with words left out or put in, count as well as exact ones, and shared phrases do not.
 
+Items of more than LONGEST words are cut into passages of about a window's length, and an item is a
+candidate where any of its passages is, so that recall does not depend on an item's length either.
 A block's latent space holds its row space whole, so that recall does not depend on the number of
 passages; time and the index grow in proportion to it.
 
@@ -37,10 +39,12 @@ from .textvec import Tokens, chunks, lowered, utf8
 TERMS, RANK, OVERSAMPLE = 1 << 15, 256, 16
 #: Words of a block; a window is WINDOW blocks, and the next one begins a block later.
 BLOCK, WINDOW = 16, 3
+#: Most words of a passage: items of more are cut into equal parts of a window's length at most.
+LONGEST = 4 * BLOCK
 #: Cosine from which an item is a candidate.
 CANDIDATE = 0.3
-#: Share of an item's squared TF-IDF length in a window from which it is one too: of an item of up to
-#: four blocks that a text holds whole, some window has half at least.
+#: Share of a passage's squared TF-IDF length in a window from which it is one too: of a passage of LONGEST
+#: words at most that a text holds whole, some window has half at least.
 CONTAINED = 0.4
 #: Shares of the words of an item, and of its answer, that the text must have in their order.
 ITEM_SHARE, ANSWER_SHARE = 0.6, 0.5
@@ -54,9 +58,9 @@ _GROUP = 256
 
 @dataclass
 class Space:
-    """The latent space of a block of items, with the weights that give a word's share in the cosine with each."""
+    """The latent space of a block of passages, with the weights that give a word's share in the cosine with each."""
 
-    items: np.ndarray  # places in the index
+    items: np.ndarray  # place in the index of each passage's item
     row: np.ndarray  # of a term in basis, frequent ones first, -1 for others
     basis: np.ndarray  # times the term's idf
     latent: np.ndarray  # unit length in the full space
@@ -65,7 +69,7 @@ class Space:
 
 @dataclass
 class Index:
-    """The benchmark's items and the latent spaces of their blocks."""
+    """The benchmark's items and the latent spaces of the blocks of their passages."""
 
     items: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
@@ -172,11 +176,11 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         return index
     data, offsets = utf8(lowered(pa.array(items["text"].tolist(), pa.string())))
     words = Tokens(data, offsets)
-    rows = list(_weights_of(pa.array(items["text"].tolist(), pa.string()), idf))
     chosen = np.flatnonzero(words.counts >= LEAST_WORDS)
     if not len(chosen):
         return index
     starts = np.concatenate([[0], np.cumsum(words.counts)])
+    passages, of = [], []
     for k in chosen:
         text = items["text"].iloc[k]
         own = slice(starts[k], starts[k + 1])
@@ -185,18 +189,24 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         stops = [p for p in (text.rstrip(" .!?\n").rfind(c) for c in ".!?\n") if p >= 0]
         cut = offsets[k] + len(text[: max(stops)].lower().encode()) if stops else offsets[k]
         index.answers.append(int((words.start[own] >= cut).sum()))
+        n = int(words.counts[k])
+        parts = -(-n // (BLOCK * WINDOW)) if n > LONGEST else 1
+        for i in range(parts):
+            a, b = starts[k] + n * i // parts, starts[k] + n * (i + 1) // parts
+            passages.append(data[words.start[a] : words.end[b - 1]].tobytes().decode())
+            of.append(len(index.items) - 1)
+    rows = list(_weights_of(pa.array(passages, pa.string()), idf))
     spark = benchmark.sparkSession
-    for a in range(0, len(chosen), rank):
-        block = chosen[a : a + rank]
-        used = np.unique(np.concatenate([rows[k][0] for k in block]))
-        passages = spark.createDataFrame([(items["text"].iloc[k],) for k in block], "text string")
-        basis = latent_basis(passages, idf, used, len(block))
+    for a in range(0, len(rows), rank):
+        block = rows[a : a + rank]
+        used = np.unique(np.concatenate([terms for terms, _, _ in block]))
+        basis = latent_basis(spark.createDataFrame([(x,) for x in passages[a : a + rank]], "text string"), idf, used, len(block))
         order = np.argsort(-found[used], kind="stable")
         row = np.full(TERMS, -1)
         row[used[order]] = np.arange(len(used))
-        latent = np.stack([rows[k][1] @ basis[np.searchsorted(used, rows[k][0])] for k in block])
-        length = np.array([rows[k][2] for k in block], np.float32)
-        index.spaces.append(Space(np.arange(a, a + len(block)), row, (basis * idf[used, None])[order].astype(np.float32), latent.astype(np.float32), length))
+        latent = np.stack([weight @ basis[np.searchsorted(used, terms)] for terms, weight, _ in block])
+        length = np.array([x for _, _, x in block], np.float32)
+        index.spaces.append(Space(np.array(of[a : a + rank]), row, (basis * idf[used, None])[order].astype(np.float32), latent.astype(np.float32), length))
     return index
 
 
@@ -216,7 +226,7 @@ def common_words(item: np.ndarray, text: np.ndarray) -> int:
 
 
 def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, item, cosine) of the windows of a chunk that pass a bound."""
+    """(first word, item, cosine of its best passage) of the windows of a chunk that pass a bound, the best first."""
     n_blocks = -(-words.counts // BLOCK)
     doc_first = np.cumsum(words.counts) - words.counts
     block_doc = np.repeat(np.arange(len(n_blocks)), n_blocks)
@@ -235,7 +245,11 @@ def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.
         at, item = np.nonzero((cosine >= CANDIDATE) | (inner >= CONTAINED * space.length))
         parts.append((first[at], space.items[item], cosine[at, item]))
     at, item, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return at, item, cosine
+    best = np.lexsort([-cosine, item, at])
+    at, item, cosine = at[best], item[best], cosine[best]
+    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (item[1:] != item[:-1])])) if len(at) else np.zeros(0, int)
+    head = head[np.argsort(-cosine[head], kind="stable")]
+    return at[head], item[head], cosine[head]
 
 
 def _windows(blocks: np.ndarray, block_doc: np.ndarray) -> np.ndarray:
@@ -284,11 +298,18 @@ def matches(docs: DataFrame, index: Index, keep: list[str | Column]) -> DataFram
             words = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             ends = np.cumsum(words.counts)
             best: dict[tuple[int, int], dict] = {}
+            seen: set[tuple[int, int, int]] = set()
             for first, item, cosine in zip(*(x.tolist() for x in candidates(words, index)), strict=True):
                 doc = int(words.doc[first])
                 own, answer = index.words[item], index.answers[item]
+                old = best.get((doc, index.items[item]))
+                if old is not None and old["item_share"] == old["answer_share"] == 1 and min(1.0, cosine) <= old["cosine"]:
+                    continue  # it is found whole: no other window can say more
                 around = len(own) + len(own) // 2
                 a, b = max(first - around, int(ends[doc] - words.counts[doc])), min(first + BLOCK * WINDOW + around, int(ends[doc]))
+                if (item, a, b) in seen:
+                    continue  # the same text, and a cosine that is no better
+                seen.add((item, a, b))
                 near = words.hash[a:b]
                 share = common_words(own, near) / len(own)
                 if share < ITEM_SHARE:
@@ -297,7 +318,6 @@ def matches(docs: DataFrame, index: Index, keep: list[str | Column]) -> DataFram
                 if answered < ANSWER_SHARE:
                     continue
                 row = {"item_id": index.items[item], "cosine": min(1.0, cosine), "item_share": share, "answer_share": answered}
-                old = best.get((doc, index.items[item]))
                 if old is None or (share, answered, cosine) > (old["item_share"], old["answer_share"], old["cosine"]):
                     best[doc, index.items[item]] = row
             for (doc, _), row in sorted(best.items()):

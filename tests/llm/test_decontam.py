@@ -119,3 +119,23 @@ def test_recall_does_not_fall_with_the_number_of_items(spark):
     assert all(len(x.items) <= decontam.RANK for x in index.spaces) and sum(len(x.items) for x in index.spaces) == 1200
     got = {(r.doc_id, f.item_id) for r in decontam.matches(d, index, ["doc_id"]).collect() for f in r.found}
     assert got == {(k, k) for k in range(1200)}
+
+
+def test_exact_copies_of_long_items(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(4000)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (65, 97, 300, 1000, 1500, 2500, 5000)]
+    docs, want = [], set()
+    for k in range(40):
+        text = [rng.choice(vocabulary) for _ in range(200)]
+        if k % 4:
+            item = k % len(items)
+            at = rng.randrange(200)
+            text[at:at] = items[item]
+            want.add((k, item))
+        docs.append((k, " ".join(text)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w) + ".") for k, w in enumerate(items)], "item_id long, text string")
+    index = decontam.build(d, b)
+    rows = [(r.doc_id, f.item_id, f.item_share) for r in decontam.matches(d, index, ["doc_id"]).collect() for f in r.found]
+    assert {r[:2] for r in rows} == want and all(r[2] == 1 for r in rows)
