@@ -9,21 +9,59 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .textvec import release
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: spark.checkpoint.dir, or the one set on the context.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only a session on one machine (local master) gets a temporary folder where none is named; on a
+    cluster the executors could not see it, so that this raises RuntimeError there.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the session's shared folder."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or with underscores added a name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str, *within: str) -> Column:
+    """A column by its very name, whatever characters it has; ``within``: the struct that holds it."""
+    return F.col(".".join(f"`{n.replace('`', '``')}`" for n in (*within, name)))
+
+
+def whole(docs: DataFrame, name: str = "doc") -> Column:
+    """All columns of docs as one struct, so that no name of theirs meets one of an operator's."""
+    return F.struct(*[column(c) for c in docs.columns]).alias(name)
+
+
+def unpacked(found: DataFrame, columns: list[str], name: str = "doc") -> DataFrame:
+    """The columns that ``whole`` has put into the struct ``name``."""
+    return found.select(*[column(c, name).alias(c) for c in columns])
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -40,38 +78,42 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, label: str, cap: int) -> DataFrame:
-    """At most ``cap`` rows for each value of ``label``, in the order of a hash of doc_id.
+    """doc_id and ``label`` of at most ``cap`` rows for each value of ``label``, in the order of a hash of doc_id.
 
     A first cut by the hash, from the counts of the labels, keeps about twice the cap, so that
-    the ranking never meets all rows of a label. Rows with a null label or id don't count.
+    the ranking never meets all rows of a label. Rows with a null label or id don't count; other
+    columns are ignored.
     """
-    known = df.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy(label).agg(F.count("*").alias("_n"))
+    known = df.select(F.col("doc_id").alias("doc_id"), column(label).alias("label")).where("label is not null and doc_id is not null")
+    counts = known.groupBy("label").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
-    near = known.join(F.broadcast(counts), label).where(place <= (2.0 * cap + 100) / F.col("_n"))  # counts: a row for each label
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return near.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_n", "_r")
+    near = known.join(F.broadcast(counts), "label").where(place <= (2.0 * cap + 100) / F.col("n"))  # counts: a row for each label
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return near.withColumn("r", rank).where(F.col("r") <= cap).select("doc_id", F.col("label").alias(label))
 
 
 def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """``keep`` columns of docs and, from their column text, the columns of ``fields`` that ``compute`` returns.
 
-    One Arrow pass without a shuffle; the text itself is passed on only if ``keep`` has it.
+    One Arrow pass without a shuffle; the text itself is passed on only if ``keep`` has it. A
+    column of ``keep`` whose name is one of ``fields`` gives way to the computed one.
     """
-    frame = docs.select(*keep, F.col("text").cast("string").alias("_text_"))
-    names = [c for c in frame.columns if c != "_text_"]
-    added = [f.split()[0] for f in fields.split(", ")]
+    added = StructType.fromDDL(fields).fields
+    new = {f.name.lower() for f in added}
+    inner = unused([f.name for f in added], "kept")  # one struct: Arrow functions take no names that need quoting
+    rows = docs.select(F.struct(*[column(c) if isinstance(c, str) else c for c in keep]).alias(inner), F.col("text").cast("string").alias("text"))
+    held = rows.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *compute(batch["_text_"])], [*names, *added])
+            yield pa.RecordBatch.from_arrays([batch.columns[0], *compute(batch.columns[1])], [inner, *(f.name for f in added)])
         release()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "_text_")
-    return frame.mapInArrow(run, f"{schema}, {fields}")
+    found = rows.mapInArrow(run, StructType([held, *added]))
+    own = [column(c, inner).alias(c) for c in held.dataType.names if c.lower() not in new]
+    return found.select(*own, *[f.name for f in added])
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for intermediate tables in the shared checkpoint folder, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared}/graphloom-{uuid.uuid4().hex}"
+    """A new folder for intermediate tables in the session's shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/graphloom-{uuid.uuid4().hex}"

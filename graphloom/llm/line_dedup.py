@@ -11,7 +11,8 @@ each task.
 
 Results for odd inputs: a null text stays null with 0 lines; blank lines are neither counted nor
 dropped; a null host is a host of its own; lines compare after trimming blanks; repeated rows are
-repeated in the result; a null id is kept; an empty table gives no rows; extra columns pass.
+repeated in the result; a null id is kept; an empty table gives no rows; extra columns pass,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, column, whole
 
 #: Share of a host's pages above which a line is boilerplate, and the pages it must be on at least.
 RATIO = 0.01
@@ -38,15 +39,15 @@ def _key(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """_host, _line (the line's hash), pages and host_pages of each line over the ratio."""
-    pages = docs.where(F.col("text").isNotNull()).select(F.col(host).alias("_host"), _key(F.col("text")).alias("_page"), F.array_distinct(F.transform(F.split("text", "\n"), F.trim)).alias("_lines"))
+    pages = docs.where(F.col("text").isNotNull()).select(column(host).alias("_host"), _key(F.col("text")).alias("_page"), F.array_distinct(F.transform(F.split("text", "\n"), F.trim)).alias("_lines"))
     totals = pages.select(F.col("_host").alias("_site"), "_page").distinct().groupBy("_site").agg(F.count("*").alias("host_pages"))
     lines = pages.select("_host", "_page", F.explode("_lines").alias("_line")).where("_line <> ''").select("_host", _key(F.col("_line")).alias("_line"), "_page")
     often = lines.groupBy("_host", "_line").agg(F.count_distinct("_page").alias("pages")).where(F.col("pages") >= least_pages)
     return often.join(totals, F.col("_host").eqNullSafe(F.col("_site"))).where(F.col("pages") > ratio * F.col("host_pages")).drop("_site")
 
 
-def without_boilerplate(docs: DataFrame, host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, kept_share: float = KEPT_SHARE) -> DataFrame:
-    """All columns of docs, the column text without boilerplate lines, and n_lines, n_dropped.
+def cleaned(docs: DataFrame, host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, kept_share: float = KEPT_SHARE) -> DataFrame:
+    """doc (all columns of docs as a struct), text without boilerplate lines, n_lines, n_dropped.
 
     A host has at most (lines of its mean page) / ratio boilerplate lines, so that their hashes
     fit one array for each host.
@@ -54,18 +55,27 @@ def without_boilerplate(docs: DataFrame, host: str, ratio: float = RATIO, least_
     marked = checkpointed(boilerplate(docs, host, ratio, least_pages).groupBy("_host").agg(F.collect_set("_line").alias("_drop")).withColumnRenamed("_host", "_site"))
     if (marked.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= BROADCAST_LINES:
         marked = F.broadcast(marked)
-    names = docs.columns
-    joined = docs.join(marked, F.col(host).eqNullSafe(F.col("_site")), "left")
-    split = joined.withColumn("_lines", F.split("text", "\n")).withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line: ~F.array_contains("_drop", _key(F.trim(line))))))
+    rows = docs.select(whole(docs), column(host).alias("_host"), F.split("text", "\n").alias("_lines"))
+    joined = rows.join(marked, F.col("_host").eqNullSafe(F.col("_site")), "left")
+    split = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line: ~F.array_contains("_drop", _key(F.trim(line))))))
     split = split.withColumn("_short", F.array_join("_kept", "\n"))
-    whole = F.length("_short") < kept_share * F.length("text")
+    text = F.col("doc.text")
+    stays = F.length("_short") < kept_share * F.length(text)
     return split.select(
-        *[F.when(whole, F.col("text")).otherwise(F.col("_short")).alias("text") if c == "text" else F.col(c) for c in names],
+        "doc",
+        F.when(stays, text).otherwise(F.col("_short")).alias("text"),
         F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"),
-        F.when(whole | F.col("text").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).alias("n_dropped"),
+        F.when(stays | text.isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).alias("n_dropped"),
     )
 
 
+def without_boilerplate(docs: DataFrame, host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, kept_share: float = KEPT_SHARE) -> DataFrame:
+    """All columns of docs, the column text without boilerplate lines, and n_lines, n_dropped, which replace columns of those names."""
+    found = cleaned(docs, host, ratio, least_pages, kept_share)
+    own = [F.col("text").alias(c) if c == "text" else column(c, "doc").alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return found.select(*own, "n_lines", "n_dropped")
+
+
 def oracle_sql(host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, kept_share: float = KEPT_SHARE) -> str:
     """DuckDB SQL for doc_id, host, text, n_lines and n_dropped over documents."""
     return f"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_text
+from .common import bounded_sample, column, map_text
 from .textvec import WORD_BYTES, Tokens, chunks, mix, utf8
 
 #: Labelled rows for each label that are learned from.
@@ -200,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
-    """``keep`` columns of docs and the score of the column text; no shuffle."""
-    table = with_statistics(docs, keep)
-    return table.withColumn("score", model.score()).drop(*STATISTICS)
+    """``keep`` columns of docs and the score of the column text; a kept column named score gives way. No shuffle."""
+    names = [c for c in docs.select(*keep).columns if c.lower() != "score"]
+    table = with_statistics(docs.select(F.struct(*keep).alias("kept"), "text"), ["kept"])
+    return table.select(*[column(c, "kept").alias(c) for c in names], model.score().alias("score"))

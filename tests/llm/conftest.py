@@ -15,12 +15,15 @@ ODD = [
     (None, "no id at all"),
 ]
 
+#: Names that the operators use inside or give to their results, and names that need quoting.
+CLASHING = ["_site", "_host", "_drop", "_line", "_lines", "_kept", "_short", "n_lines", "n_dropped", "score", "lang_pred", "text_", "_text_", "id", "_id", "again", "found", "doc", "kept", "_label", "label", "n", "r", "most", "least", "component_id", "a.b", "c`d"]
+
 
 @pytest.fixture
 def odd(spark):
     """Documents with odd rows and extra columns whose names may clash with inner ones."""
-    rows = [(i, t, None, "s", None, "r", 1, 2) for i, t in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, role string, fp long, _b int")
+    rows = [(i, t, None, "s", None, "r", 1, 2, *range(len(CLASHING))) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, role string, fp long, _b int, " + ", ".join("`" + c.replace("`", "``") + "` int" for c in CLASHING))
 
 
 @pytest.fixture
