@@ -16,15 +16,39 @@ def subtree_fold(postings: DataFrame, paths: DataFrame, amounts: dict[str, Colum
     return own.join(paths, F.col("account") == F.col("desc")).groupBy("anc").agg(*[F.sum(k).alias(k) for k in amounts]).withColumnRenamed("anc", "account")
 
 
-def stepwise(deltas: DataFrame, keys: list[str], order: list[str], delta: str, start: Column, ceiling: Column, out: str = "after") -> DataFrame:
+def stepwise(deltas: DataFrame, keys: list[str], order: list[str], delta: str, start: Column, ceiling: Column, out: str = "after", block: Column | None = None) -> DataFrame:
     """Ordered fold clamped at a ceiling after each step, in window form.
 
-    With S the running sum, the balance is S + least(start, least of (ceiling - S) so far).
+    With S the running sum, the balance is S + least(start, least of (ceiling - S) so far). Where a
+    key may hold a large part of all rows, ``block`` numbers ranges of its order: sums and least
+    rooms are taken within blocks and then over the blocks of a key, so that no task holds a key.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = deltas.withColumn("_s", F.sum(delta).over(w))
-    room = F.min(ceiling - F.col("_s")).over(w)
-    return summed.withColumn(out, F.col("_s") + F.least(start, room)).drop("_s")
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        summed = deltas.withColumn("_s", F.sum(delta).over(w))
+        room = F.min(ceiling - F.col("_s")).over(w)
+        return summed.withColumn(out, F.col("_s") + F.least(start, room)).drop("_s")
+    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = deltas.withColumn("_block", block).withColumn("_s", F.sum(delta).over(within)).withColumn("_room", F.min(ceiling - F.col("_s")).over(within))
+    blocks = parts.groupBy(*keys, "_block").agg(F.sum(delta).alias("_d"), F.min(ceiling - F.col("_s")).alias("_r"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_o", F.coalesce(F.sum("_d").over(before), F.lit(0))).withColumn("_m", F.min(F.col("_r") - F.col("_o")).over(before))
+    carried = blocks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_o", "_m")
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = parts.join(carried, same)
+    least = F.least(start, F.col("_m"), F.col("_room") - F.col("_o"))
+    return joined.withColumn(out, F.col("_o") + F.col("_s") + least).select(*deltas.columns, out)
+
+
+def steps(folded: DataFrame, keys: list[str], order: list[str], value: str, start: Column, block: Column) -> DataFrame:
+    """``before``: the value of the row before in a key's order, looked up within blocks and, for a block's first row, in the blocks before."""
+    numbered = folded.withColumn("_block", block)
+    own = F.lag(value).over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    last = numbered.groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    last = last.withColumn("_prior", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))).drop("_last")
+    return numbered.withColumn("_own", own).join(last, [*keys, "_block"]).withColumn("before", F.coalesce("_own", "_prior", start)).drop("_own", "_prior", "_block")
 
 
 def checkpoints(postings: DataFrame, period: Column) -> DataFrame:
@@ -49,3 +73,34 @@ def largest_remainder(requests: DataFrame, keys: list[str], weight: str, total:
     short = total - F.sum("_q").over(w)
     place = F.row_number().over(w.orderBy(F.col("_r").desc(), *ties))
     return shared.withColumn("granted", F.col("_q") + F.when(place <= short, 1).otherwise(0)).drop("_t", "_x", "_q", "_r")
+
+
+def nested_ration(requests: DataFrame, levels: list[tuple[list[str], Column]], order: list[Column], wanted: str) -> DataFrame:
+    """granted: what limits leave of each request, from the narrowest set of requests to the widest.
+
+    ``levels`` are (keys of the set, its limit); each is settled in ``order`` on what the one before
+    has left, so that a request is cut to its own limits before it competes. Keys of a wider set
+    must be among those of the narrower one: sets that cross have no such order and are refused.
+    """
+    for (narrow, _), (wide, _) in zip(levels, levels[1:], strict=False):
+        if not set(wide) <= set(narrow):
+            raise ValueError(f"the sets by {narrow} and {wide} cross")
+    claims = requests.withColumn("granted", F.col(wanted))
+    for keys, limit in levels:
+        claims = ration_by_rank(claims.withColumnRenamed("granted", "_claim"), keys, order, "_claim", limit).drop("_claim")
+    return claims
+
+
+def unmet(requests: DataFrame, keys: list[str], wanted: str, available: Column) -> DataFrame:
+    """The requests whose whole share of ``available`` by what they want is less than that, with it as ``part``."""
+    total = F.sum(wanted).over(Window.partitionBy(*keys))
+    shared = requests.withColumn("_x", available * F.col(wanted)).withColumn("_t", total).withColumn("part", F.expr("_x div _t"))
+    return shared.where(F.col("part") < F.col(wanted)).drop("_x", "_t")
+
+
+def tie_arises(requests: DataFrame, keys: list[str], rank: str, wanted: str, available: str) -> DataFrame:
+    """keys, rank, left of the ranks of two requests or more that together want more than is left for them, when some is."""
+    own = requests.groupBy(*keys, available, rank).agg(F.count("*").alias("n"), F.sum(wanted).alias("asked"))
+    before = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    left = own.withColumn("left", F.col(available) - F.coalesce(F.sum("asked").over(before), F.lit(0)))
+    return left.where("n > 1 AND left > 0 AND left < asked").select(*keys, rank, "left")

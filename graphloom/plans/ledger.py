@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import ledger
+from graphloom.operators import fold, ledger
 from graphloom.sources.tables import PATHS, POSTINGS, Tables
 
 from .registry import query
 
 HEAD = f"WITH RECURSIVE {PATHS}, {POSTINGS}"
-AT = 10_000
+#: Positions of a block of an account's postings, where the account may hold a large part of them.
+BLOCK = 4096
+#: Positions between two closings.
+PERIOD = 16384
 CEILING, STATED = 50_000_000, 20_000_000
 
 
@@ -21,9 +23,10 @@ def ledger_tree(t: Tables) -> DataFrame:
     return t.account_paths()
 
 
-@query(f'{HEAD} SELECT anc AS account, CAST(sum(delta) AS BIGINT) AS moved FROM posting JOIN path ON account = "desc" WHERE pos <= {AT} GROUP BY anc')
+@query(f'{HEAD} SELECT anc AS account, CAST(sum(delta) AS BIGINT) AS moved FROM posting JOIN path ON account = "desc" WHERE pos <= (SELECT max(pos) FROM posting) GROUP BY anc')
 def ledger_fold_plain(t: Tables) -> DataFrame:
-    return ledger.subtree_fold(t.postings().where(f"pos <= {AT}"), t.account_paths(), {"moved": F.col("delta")})
+    """Balances at the last recorded position: every posting counts."""
+    return ledger.subtree_fold(t.postings(), t.account_paths(), {"moved": F.col("delta")})
 
 
 @query(f'{HEAD} SELECT anc AS account, CAST(least({CEILING}, {STATED} + sum(delta)) AS BIGINT) AS balance FROM posting JOIN path ON account = "desc" GROUP BY anc')
@@ -32,9 +35,9 @@ def ledger_fold_ceiling(t: Tables) -> DataFrame:
     return folded.select("account", F.least(F.lit(CEILING), F.lit(STATED) + F.col("moved")).alias("balance"))
 
 
-@query(f'{HEAD} SELECT pos, anc AS account, depth AS "level", delta FROM posting JOIN path ON account = "desc" WHERE pos <= 500')
+@query(f'{HEAD} SELECT pos, anc AS account, depth AS "level", delta FROM posting JOIN path ON account = "desc"')
 def ledger_every_level(t: Tables) -> DataFrame:
-    return t.postings().where("pos <= 500").join(t.account_paths(), F.col("account") == F.col("desc")).select("pos", F.col("anc").alias("account"), F.col("depth").alias("level"), "delta")
+    return t.postings().join(t.account_paths(), F.col("account") == F.col("desc")).select("pos", F.col("anc").alias("account"), F.col("depth").alias("level"), "delta")
 
 
 @query(f"WITH {POSTINGS} SELECT account, period, CAST(sum(sum(delta)) OVER (PARTITION BY account ORDER BY period) AS BIGINT) AS closed FROM posting GROUP BY account, period")
@@ -42,14 +45,25 @@ def ledger_checkpoint(t: Tables) -> DataFrame:
     return ledger.checkpoints(t.postings(), F.col("period"))
 
 
-@query(f"WITH {POSTINGS} SELECT account, CAST(sum(delta) AS BIGINT) AS balance FROM posting WHERE pos <= {AT} GROUP BY account")
+@query(f"WITH {POSTINGS} SELECT account, CAST(sum(delta) AS BIGINT) AS balance FROM posting GROUP BY account")
 def ledger_read_from_checkpoint(t: Tables) -> DataFrame:
-    """The last checkpoint before the point, plus the tail of its period: older postings are not read again."""
-    p = t.postings().withColumn("k", F.expr("(pos - 1) div 1000"))
-    cut = (AT - 1) // 1000
-    closed = ledger.checkpoints(p, F.col("k")).where(F.col("period") < cut).groupBy("account").agg(F.max_by("closed", "period").alias("b"))
-    tail = p.where(f"k = {cut} AND pos <= {AT}").groupBy("account").agg(F.sum("delta").alias("b"))
-    return closed.unionByName(tail).groupBy("account").agg(F.sum("b").alias("balance"))
+    """The last closing of all accounts, plus the postings after it: older postings are not read again.
+
+    Closings and postings are stored by period once a session, as a ledger's writer keeps them; a
+    read opens the folders of the last period only.
+    """
+    numbered = t.postings().select("account", "delta", F.expr(f"(pos - 1) div {PERIOD}").alias("k"))
+    by_period = t.stored("postings_by_period", lambda: numbered, "k")
+    head = t.spark.read.parquet(by_period).agg(F.max("k")).first()[0] or 0  # from the folders' names
+
+    def closings() -> DataFrame:
+        k = F.explode(F.sequence(F.col("k"), F.lit(head))).alias("k")  # a posting counts in its own and all later closings
+        moved = numbered.groupBy("account", "k").agg(F.sum("delta").alias("d"))
+        return moved.select("account", "d", k).groupBy("account", "k").agg(F.sum("d").alias("closed"))
+
+    closed = t.spark.read.parquet(t.stored("closings", closings, "k"))
+    tail = t.spark.read.parquet(by_period).where(f"k = {head}").groupBy("account").agg(F.sum("delta").alias("b"))
+    return closed.where(f"k = {head - 1}").select("account", F.col("closed").alias("b")).unionByName(tail).groupBy("account").agg(F.sum("b").alias("balance"))
 
 
 @query(f"WITH {POSTINGS} SELECT (pos - 1) // 500 AS period, account[1:2] AS layer, count(*) AS n, CAST(sum(delta) AS BIGINT) AS moved FROM posting GROUP BY 1, 2")
@@ -57,13 +71,13 @@ def ledger_period_partition(t: Tables) -> DataFrame:
     return t.postings().groupBy(F.expr("(pos - 1) div 500").alias("period"), F.substring("account", 1, 2).alias("layer")).agg(F.count("*").alias("n"), F.sum("delta").alias("moved"))
 
 
-@query(f"""WITH {POSTINGS}, family(f, len) AS (VALUES ('fast', 200), ('slow', 1000)), sched AS (SELECT f, len, unnest(range(0, 20)) AS k FROM family)
+@query(f"""WITH {POSTINGS}, family(f, len) AS (VALUES ('fast', 200), ('slow', 1000)), sched AS (SELECT f, len, unnest(range(0, (SELECT max(pos) FROM posting) // len + 1)) AS k FROM family)
 SELECT f, k, count(*) AS n, CAST(sum(delta) AS BIGINT) AS moved FROM posting JOIN sched ON pos > k * len AND pos <= (k + 1) * len GROUP BY f, k""")
 def ledger_cross_family(t: Tables) -> DataFrame:
     """Periods of different lengths: the period number is computed for each family, no range join."""
     lengths = F.explode(F.array(F.struct(F.lit("fast").alias("f"), F.lit(200).alias("len")), F.struct(F.lit("slow").alias("f"), F.lit(1000).alias("len")))).alias("x")
     p = t.postings().select("pos", "delta", lengths).select(F.col("x.f").alias("f"), F.expr("(pos - 1) div x.len").alias("k"), "delta", "pos")
-    return p.where("pos >= 1 AND k < 20").groupBy("f", "k").agg(F.count("*").alias("n"), F.sum("delta").alias("moved"))
+    return p.where("pos >= 1").groupBy("f", "k").agg(F.count("*").alias("n"), F.sum("delta").alias("moved"))
 
 
 ACCEPTED = "(NOT credit OR kind IS NULL OR kind = 'O' OR (kind = 'F' AND CAST(account[2:] AS BIGINT) % 2 = 0))"
@@ -99,9 +113,10 @@ def _cuts(t: Tables) -> DataFrame:
     leaf = ledger.stepwise(t.postings(), ["account"], ["pos"], "delta", F.lit(STATED), F.lit(CEILING))
     applied = leaf.withColumn("applied", F.col("after") - F.coalesce(F.lag("after").over(Window.partitionBy("account").orderBy("pos")), F.lit(STATED)))
     up = applied.join(t.account_paths().where("depth = 1"), F.col("account") == F.col("desc")).select("anc", "pos", "applied")
-    above = ledger.stepwise(up, ["anc"], ["pos"], "applied", F.lit(STATED * 20), F.lit(CEILING * 20))
-    before = F.coalesce(F.lag("after").over(Window.partitionBy("anc").orderBy("pos")), F.lit(STATED * 20))
-    return above.select("anc", "pos", "applied", (F.col("applied") - (F.col("after") - before)).alias("cut"))
+    # A nation holds a share of all postings that does not fall with their number: its fold goes by blocks of
+    # positions. What the step before left is the same fold without the row's own applied amount.
+    above = ledger.stepwise(up, ["anc"], ["pos"], "applied", F.lit(STATED * 20), F.lit(CEILING * 20), block=F.expr(f"pos div {BLOCK}"))
+    return ledger.steps(above, ["anc"], ["pos"], "after", F.lit(STATED * 20), F.expr(f"pos div {BLOCK}")).select("anc", "pos", "applied", (F.col("applied") - (F.col("after") - F.col("before"))).alias("cut"))
 
 
 @query(f"{CUTS} SELECT anc AS account, pos, CAST(applied AS BIGINT) AS applied, CAST(cut AS BIGINT) AS cut FROM cut")
@@ -145,16 +160,14 @@ r AS (SELECT account, i, pos, delta, CASE WHEN delta < 0 AND -delta > {STATED} T
 UNION ALL SELECT o.account, o.i, o.pos, o.delta, CASE WHEN o.delta < 0 AND -o.delta > r.balance THEN 0 ELSE o.delta END, r.balance + CASE WHEN o.delta < 0 AND -o.delta > r.balance THEN 0 ELSE o.delta END FROM r JOIN o ON o.account = r.account AND o.i = r.i + 1)
 SELECT pos, CAST(taken AS BIGINT) AS taken, CAST(balance AS BIGINT) AS balance FROM r""")
 def ledger_replay(t: Tables) -> DataFrame:
-    """Settle again in order; a debit beyond the balance is refused. Refusals make it a true fold, done in JVM arrays."""
-    start = F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("taken"), F.lit(STATED).cast("long").alias("balance")))
+    """Settle again in order; a debit beyond the balance is refused. Refusals make it a true fold."""
 
-    def step(done, x):
-        last = F.element_at(done, -1)["balance"]
-        taken = F.when((x["delta"] < 0) & (-x["delta"] > last), F.lit(0).cast("long")).otherwise(x["delta"])
-        return F.concat(done, F.array(F.struct(x["pos"].alias("pos"), taken.alias("taken"), (last + taken).alias("balance"))))
+    def step(balance: int, row: tuple) -> tuple:
+        pos, delta = row
+        taken = 0 if delta < 0 and -delta > balance else delta
+        return balance + taken, (pos, taken, balance + taken)
 
-    ordered = t.postings().groupBy("account").agg(F.array_sort(F.collect_list(F.struct("pos", "delta"))).alias("p"))
-    return ordered.select(F.explode(F.aggregate("p", start, step)).alias("r")).select("r.*").where("pos >= 0")
+    return fold.ordered_fold(t.postings(), ["account"], ["pos"], ["pos", "delta"], lambda row: STATED, step, "pos long, taken long, balance long")
 
 
 LATE = "late AS (SELECT *, CASE WHEN pos % 20 = 0 THEN greatest(1, pos - 300) ELSE pos END AS eff FROM posting)"
@@ -243,14 +256,14 @@ r AS (SELECT k, i, id, CASE WHEN wanted <= available THEN wanted ELSE 0 END AS g
 UNION ALL SELECT o.k, o.i, o.id, CASE WHEN o.wanted <= r.rest THEN o.wanted ELSE 0 END, r.rest - CASE WHEN o.wanted <= r.rest THEN o.wanted ELSE 0 END FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1)
 SELECT id, granted FROM r""")
 def ledger_whole_each(t: Tables) -> DataFrame:
-    start = F.struct(F.array().cast("array<struct<id:long,granted:long>>").alias("done"), F.lit(0).cast("long").alias("used"))
+    """Each request in order is granted whole where it fits what is left, and nothing otherwise."""
 
-    def step(s, x):
-        got = F.when(x["wanted"] <= F.col("available") - s["used"], x["wanted"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(F.concat(s["done"], F.array(F.struct(x["id"].alias("id"), got.alias("granted")))).alias("done"), (s["used"] + got).alias("used"))
+    def step(rest: int, row: tuple) -> tuple:
+        request, wanted, _ = row
+        granted = wanted if wanted <= rest else 0
+        return rest - granted, (request, granted)
 
-    ordered = requests_of(t).groupBy("k", "available").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "wanted"))).alias("r"))
-    return ordered.select(F.explode(F.aggregate("r", start, step, lambda s: s["done"])).alias("x")).select("x.*")
+    return fold.ordered_fold(requests_of(t), ["k"], ["rank", "id"], ["id", "wanted", "available"], lambda row: row[2], step, "id long, granted long")
 
 
 @query(f"""WITH {REQUESTS}, pots AS (SELECT k, available, CAST(available // 2 AS BIGINT) AS first FROM pot), w AS (SELECT k, sum(wanted) AS total FROM request GROUP BY k)
@@ -269,19 +282,57 @@ def ledger_pots(t: Tables) -> DataFrame:
     return ledger.ration_by_rank(r, ["k"], [F.col("id")], "wanted", F.col("fund")).select("id", F.col("granted").alias("held"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {POSTINGS}, acc AS (SELECT 'C' || c_custkey AS account, c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j FROM customer),
+o AS (SELECT nation, j, pos, delta, row_number() OVER (PARTITION BY nation ORDER BY pos) AS i FROM posting JOIN acc USING (account)),
+r AS (SELECT nation, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, CAST(0 AS BIGINT) AS asked, CAST(0 AS BIGINT) AS settled, list(CAST({STATED} AS BIGINT)) AS own, CAST({STATED * 20} AS BIGINT) AS top FROM acc GROUP BY nation
+UNION ALL SELECT nation, i, pos, delta, take, list_transform(own, lambda x, k: CASE WHEN k = j THEN x + take ELSE x END), top + take
+FROM (SELECT r.nation, o.i, o.pos, o.delta, o.j, r.own, r.top, CASE WHEN o.delta >= 0 THEN o.delta ELSE -least(-o.delta, greatest(0, least(r.own[o.j], r.top))) END AS take FROM r JOIN o ON o.nation = r.nation AND o.i = r.i + 1))
+SELECT pos, settled, CASE WHEN settled = asked THEN 'granted' WHEN settled = 0 THEN 'refused' ELSE 'rationed' END AS outcome FROM r WHERE i > 0""")
 def ledger_settle(t: Tables) -> DataFrame:
-    """Settle each tree branch in order with pandas: debits beyond the path's balance are cut to it."""
-    paths = t.nation.select(F.col("n_nationkey").alias("nation"))
-    rows = t.postings().join(t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("account"), F.col("c_nationkey").alias("nation")), "account").join(paths, "nation").select("nation", "account", "pos", "delta")
-
-    def settle(branch: pd.DataFrame) -> pd.DataFrame:
-        limit, own, out = STATED * 20, {}, []
-        for a, pos, delta in branch.sort_values("pos")[["account", "pos", "delta"]].itertuples(index=False):
-            have = own.get(a, STATED)
-            take = delta if delta >= 0 else -min(-delta, have, limit)
-            own[a], limit = have + take, limit + take
-            out.append((pos, take))
-        return pd.DataFrame(out, columns=["pos", "settled"])
-
-    return rows.groupBy("nation").applyInPandas(settle, "pos long, settled long")
+    """Settle each posting in order against the least balance on its account's path, and debit the path.
+
+    The accounts of a nation share its balance, so that its postings are one fold.
+    """
+    rows = t.postings().join(t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("account"), F.col("c_nationkey").alias("nation")), "account")
+
+    def step(state: tuple, row: tuple) -> tuple:
+        own, top = state
+        account, pos, delta = row
+        have = own.get(account, STATED)
+        take = delta if delta >= 0 else -min(-delta, max(0, min(have, top)))
+        own[account] = have + take
+        return (own, top + take), (pos, take, "granted" if take == delta else "refused" if take == 0 else "rationed")
+
+    return fold.ordered_fold(rows, ["nation"], ["pos"], ["account", "pos", "delta"], lambda row: ({}, STATED * 20), step, "pos long, settled long, outcome string")
+
+
+@query(f"""WITH {REQUESTS}, p AS (SELECT *, CAST(available * wanted AS BIGINT) // CAST(sum(wanted) OVER (PARTITION BY k) AS BIGINT) AS part FROM request JOIN pot USING (k)) SELECT id, wanted, part FROM p WHERE part < wanted""")
+def ledger_unmet(t: Tables) -> DataFrame:
+    return ledger.unmet(requests_of(t), ["k"], "wanted", F.col("available")).select("id", "wanted", "part")
+
+
+@query(f"""WITH {REQUESTS}, x AS (SELECT *, CAST(sum(wanted) OVER (PARTITION BY k) AS BIGINT) AS total FROM request JOIN pot USING (k)), q AS (SELECT *, available * wanted // total AS q, available * wanted % total AS r FROM x),
+u AS (SELECT *, q < wanted AS lacks, CAST(available - sum(q) OVER (PARTITION BY k) AS BIGINT) AS short, row_number() OVER (PARTITION BY k, q < wanted ORDER BY r DESC, id) AS place FROM q WHERE total > available)
+SELECT id, CASE WHEN lacks AND place <= short THEN q + 1 ELSE q END AS granted FROM u""")
+def ledger_apportion(t: Tables) -> DataFrame:
+    """Where not all can have what they want: whole shares, and the units left go to the unmet ones of the largest remainders."""
+    total = F.sum("wanted").over(Window.partitionBy("k"))
+    x = requests_of(t).withColumn("total", total).where("total > available").withColumn("x", F.col("available") * F.col("wanted"))
+    q = x.withColumn("q", F.expr("x div total")).withColumn("r", F.expr("x % total")).withColumn("lacks", F.col("q") < F.col("wanted"))
+    short = F.col("available") - F.sum("q").over(Window.partitionBy("k"))
+    place = F.row_number().over(Window.partitionBy("k", "lacks").orderBy(F.col("r").desc(), "id"))
+    return q.select("id", (F.col("q") + F.when(F.col("lacks") & (place <= short), 1).otherwise(0)).alias("granted"))
+
+
+@query(f"""WITH {REQUESTS}, g AS (SELECT k, available, rank, count(*) AS n, sum(wanted) AS asked FROM request JOIN pot USING (k) GROUP BY ALL),
+l AS (SELECT *, CAST(available - coalesce(sum(asked) OVER (PARTITION BY k ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "left" FROM g)
+SELECT k, rank, "left" FROM l WHERE n > 1 AND "left" > 0 AND "left" < asked""")
+def ledger_ties(t: Tables) -> DataFrame:
+    return ledger.tie_arises(requests_of(t), ["k"], "rank", "wanted", "available")
+
+
+@query(f"""WITH {REQUESTS}, a AS (SELECT *, CAST(greatest(0, least(wanted, available // 2 - coalesce(sum(wanted) OVER (PARTITION BY k, rank ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS claim FROM request JOIN pot USING (k))
+SELECT id, CAST(greatest(0, least(claim, available - coalesce(sum(claim) OVER (PARTITION BY k ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS granted FROM a""")
+def ledger_purposes(t: Tables) -> DataFrame:
+    """Requests of one purpose share half of what is available; all of them share the whole."""
+    return ledger.nested_ration(requests_of(t), [(["k", "rank"], F.expr("available div 2")), (["k"], F.col("available"))], [F.col("id")], "wanted").select("id", "granted")

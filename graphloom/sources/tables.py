@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import scratch
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
 
 def cents(amount: Column) -> Column:
     """Money in doubles as whole cents."""
@@ -22,6 +28,17 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> str:
+        """Folder of a table that is written once a session in the shared folder, in folders of the values of ``by``."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            folder = scratch(self.spark)
+            made = build()
+            writer = (made.repartition(by) if by else made).write
+            (writer.partitionBy(by) if by else writer).parquet(folder)
+            _STORED[key] = folder
+        return _STORED[key]
+
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
         """An inline table."""
         return self.spark.createDataFrame(rows, schema)

@@ -8,8 +8,6 @@ restarted driver goes on from the last batch, and a batch written twice is writt
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,11 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared}/graphloom-stream-{uuid.uuid4().hex}"
+from graphloom.sources.shared import scratch
 
 
 def stream_of(spark: SparkSession, folder: str, table: str, files_at_once: int = 8) -> DataFrame:
@@ -29,9 +23,10 @@ def stream_of(spark: SparkSession, folder: str, table: str, files_at_once: int =
     path = f"{folder}/{table}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
-        # A stream reads folders: a table in one file is picked out of its folder by name.
+    # A stream reads folders. A table in one file is picked out of its folder by name; where the table is a folder
+    # itself, its files are named by another folder level, which the first read shows.
+    first = spark.read.parquet(path).inputFiles()[0].rstrip("/")
+    if first.endswith(f"/{table}.parquet"):
         rows = reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
     else:
         rows = reader.parquet(path)
