@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,32 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textvec import release
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or the one set on the context.
-
-    Only a session on one machine (local master) gets a temporary folder where none is named; on a
-    cluster the executors could not see it, so that this raises RuntimeError there.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return context.getCheckpointDir()
+from graphloom.sources.shared import checkpointed, scratch, shared_folder  # noqa: F401  the operators take them from here
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the session's shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+from .textvec import release
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -112,8 +87,3 @@ def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Ca
     found = rows.mapInArrow(run, StructType([held, *added]))
     own = [column(c, inner).alias(c) for c in held.dataType.names if c.lower() not in new]
     return found.select(*own, *[f.name for f in added])
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder for intermediate tables in the session's shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
