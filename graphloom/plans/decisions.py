@@ -229,3 +229,106 @@ def mapping_effective(t: Tables) -> DataFrame:
     """The version of each mapping in force at an instant."""
     e = t.events.where(F.col("ts") <= F.lit("2024-01-15").cast("timestamp"))
     return e.groupBy("user_id", F.col("event_type").alias("node")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("mapping"))
+
+
+TESTED = """tested AS (SELECT DISTINCT o_custkey AS id, s_nationkey AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey),
+v AS (SELECT id, CASE WHEN x.n % 6 = 5 THEN NULL WHEN b.n_regionkey = a.n_regionkey THEN true WHEN id % 3 <> 0 THEN false END AS v, x.n % 6 = 5 AS out
+ FROM tested x JOIN customer ON c_custkey = id JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = x.n),
+k AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS closed, count(v.id) AS n, count(*) FILTER (WHERE v) AS p, count(*) FILTER (WHERE NOT v) AS d, count(v.id) FILTER (WHERE v IS NULL) AS u, count(*) FILTER (WHERE out) AS out FROM customer LEFT JOIN v ON v.id = c_custkey GROUP BY ALL)"""
+READ = {
+    "Subset": ("CASE WHEN d > 0 THEN false WHEN n > 0 AND u = 0 AND closed THEN true END", "d > 0", "d = 0 AND u = 0 AND n > 0 AND closed"),
+    "Intersects": ("CASE WHEN p > 0 THEN true WHEN n > 0 AND u = 0 AND closed THEN false END", "p = 0 AND u = 0 AND n > 0 AND closed", "p = 0 AND u = 0 AND n > 0 AND closed"),
+}
+
+
+def compare_sql(comparison: str) -> str:
+    read, reference, tested = READ["Subset" if comparison == "Subset" else "Intersects"]
+    swap = "NOT " if comparison == "Disjoint" else ""
+    return f"""WITH {TESTED}, r AS (SELECT *, {read} AS r FROM k) SELECT id, {DECIDE.format(f'({swap}r)')} AS decision,
+CASE WHEN n = 0 THEN 'MissingCandidate' WHEN r IS NULL AND out > 0 THEN 'OutsideScheme' WHEN r IS NULL THEN 'NoClosureLicence' END AS diagnostic,
+concat_ws(' ', CASE WHEN {reference} THEN 'reference' END, CASE WHEN {tested} THEN 'tested' END) AS closures FROM r"""
+
+
+def compared(t: Tables, comparison: str) -> DataFrame:
+    """The nations that a customer's suppliers are in against the customer's region, along the nations' hierarchy."""
+    nation = F.concat(F.lit("N"), F.col("s_nationkey"))
+    tested = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("o_custkey").alias("id"), nation.alias("offered"))
+    of = t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("desc"), F.concat(F.lit("R"), "n_regionkey").alias("anc"), "n_nationkey")
+    reference = t.customer.join(of, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("anc").alias("reference"))
+    scheme = of.where("n_nationkey % 6 <> 5").select(F.col("desc").alias("concept"))
+    subjects = t.customer.select(F.col("c_custkey").alias("id"))
+    found = eligibility.compare_sets(tested, reference, subjects, "id", comparison, below=of.select("desc", "anc"), scheme=scheme, tested_closed=F.col("id") % 2 == 0, reference_closed=F.col("id") % 3 != 0)
+    return found.select("id", kleene.decision(F.col("value")).alias("decision"), "diagnostic", "closures")
+
+
+@query(compare_sql("Subset"))
+def elig_subset(t: Tables) -> DataFrame:
+    return compared(t, "Subset")
+
+
+@query(compare_sql("Intersects"))
+def elig_intersects(t: Tables) -> DataFrame:
+    return compared(t, "Intersects")
+
+
+@query(compare_sql("Disjoint"))
+def elig_disjoint(t: Tables) -> DataFrame:
+    return compared(t, "Disjoint")
+
+
+@query(f"WITH {TESTED}, r AS (SELECT *, {READ['Subset'][0]} AS r, {READ['Subset'][1]} AS a, {READ['Subset'][2]} AS b FROM k) SELECT * FROM (SELECT 'reference' AS closure, count(*) AS decisions FROM r WHERE a UNION ALL SELECT 'tested', count(*) FROM r WHERE b) WHERE decisions > 0")
+def elig_closures(t: Tables) -> DataFrame:
+    """How many decisions rely on each closure."""
+    return compared(t, "Subset").select(F.explode(F.split("closures", " ")).alias("closure")).where("closure <> ''").groupBy("closure").agg(F.count("*").alias("decisions"))
+
+
+@query("""WITH v AS (SELECT o_custkey AS id, min(o_orderdate) AS since, count(*) FILTER (WHERE o_orderstatus = 'O') AS y, count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) AS u FROM orders GROUP BY 1)
+SELECT id, CASE WHEN y > 0 THEN 'Permitted' WHEN u = 0 AND id % 5 <> 0 AND (id % 7 = 0 OR since <= TIMESTAMP '1996-01-01') THEN 'Denied' ELSE 'Undetermined' END AS decision FROM v""")
+def elig_closure_in_force(t: Tables) -> DataFrame:
+    """A set is closed from the day that its closure's source takes effect; without a closure it stays open."""
+    s = F.col("o_orderstatus")
+    values = t.orders.select(F.col("o_custkey").alias("id"), F.when(s == "O", True).when(s == "F", False).alias("value"))
+    first = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("first"))
+    closures = first.select("id", F.expr("if(id % 5 = 0, null, 'c' || id)").alias("closure"), F.expr("if(id % 7 = 0, null, first)").alias("valid_from"))
+    closed = closures.select("id", eligibility.in_force(closures, F.lit("1996-01-01").cast("timestamp")).alias("closed"))
+    return eligibility.read_set(values, closed, "id", "SomeValue", F.col("closed")).select("id", kleene.decision(F.col("value")).alias("decision"))
+
+
+@query("""WITH c AS (SELECT p_brand AS profile, CASE p_size % 3 WHEN 0 THEN 'AllRequired' WHEN 1 THEN 'AnySufficient' ELSE 'Weighted' END AS aggregation, p_type AS subject, p_partkey % 2 = 0 AS has FROM part WHERE p_size % 10 < 2 OR p_brand < 'Brand#3'),
+g AS (SELECT profile, count(*) FILTER (WHERE aggregation = 'Weighted') > 0 OR count(DISTINCT aggregation) > 1 AS a, count(*) FILTER (WHERE has) = 0 AS b, count(DISTINCT subject) FILTER (WHERE has) > 1 AS c FROM c GROUP BY 1)
+SELECT profile, 'RefusedOperation' AS reason FROM g WHERE a UNION ALL SELECT profile, 'NoCondition' FROM g WHERE b UNION ALL SELECT profile, 'MixedSubjects' FROM g WHERE c""")
+def profile_refused(t: Tables) -> DataFrame:
+    """Profiles that no evaluation can read: unknown or mixed aggregation, no condition, subjects of two classes."""
+    kind = F.expr("case p_size % 3 when 0 then 'AllRequired' when 1 then 'AnySufficient' else 'Weighted' end")
+    rows = t.part.where("p_size % 10 < 2 or p_brand < 'Brand#3'").select(F.col("p_brand").alias("profile"), kind.alias("aggregation"), F.expr("if(p_partkey % 2 = 0, p_partkey, null)").alias("condition"), F.col("p_type").alias("subject"))
+    return eligibility.profile_refusals(rows)
+
+
+@query(f"WITH {CANDIDATES} SELECT 'interval' AS rule, id FROM cand WHERE {IN_RANGE} UNION ALL SELECT 'segment', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+def elig_rules(t: Tables) -> DataFrame:
+    """Positive rules: what they derive is what the conditions permit."""
+    facts = candidates_of(t).join(t.customer.select(F.col("c_custkey").alias("id"), "c_mktsegment", "c_acctbal"), "id")
+    rules = [("interval", [F.coalesce(eligibility.interval(F.col("v"), F.col("unit"), RANGES), F.lit(False))], False), ("segment", [F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") > 0], False)]
+    return eligibility.positive_rules(facts, rules).select("rule", "id")
+
+
+SPANS = "span AS (SELECT p_type AS c, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1 UNION ALL SELECT p_brand, min(p_size), max(p_size) FROM part WHERE p_size BETWEEN 10 AND 30 GROUP BY 1)"
+
+
+@query(f"""WITH {SPANS} SELECT a.c AS a, b.c AS b, CASE WHEN a.lo = b.lo AND a.hi = b.hi THEN 'equal' WHEN a.lo >= b.lo AND a.hi <= b.hi THEN 'within' WHEN a.lo <= b.lo AND a.hi >= b.hi THEN 'contains'
+WHEN a.hi < b.lo OR b.hi < a.lo THEN 'disjoint' ELSE 'overlaps' END AS relation FROM span a JOIN span b ON a.c < b.c""")
+def elig_subsumption(t: Tables) -> DataFrame:
+    """Design-time check of declared interval conditions against each other: which subsumes which, which never meet."""
+    types = t.part.groupBy(F.col("p_type").alias("c")).agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    brands = t.part.where("p_size between 10 and 30").groupBy(F.col("p_brand").alias("c")).agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    span = types.unionByName(brands)
+    j = span.alias("a").join(span.alias("b"), F.col("a.c") < F.col("b.c"))
+    return j.select(F.col("a.c").alias("a"), F.col("b.c").alias("b"), eligibility.relation_of(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")).alias("relation"))
+
+
+@query("WITH v(x) AS (VALUES (true), (false), (NULL)) SELECT coalesce(CAST(a.x AS VARCHAR), 'u') AS a, coalesce(CAST(b.x AS VARCHAR), 'u') AS b, a.x IS NULL OR coalesce(a.x = b.x, false) AS below FROM v a, v b")
+def kleene_information(t: Tables) -> DataFrame:
+    """The information order: undetermined lies below everything, and a decided value below itself only."""
+    pairs = t.values([(a, b) for a in (True, False, None) for b in (True, False, None)], "x boolean, y boolean")
+    u = F.lit("u")
+    return pairs.select(F.coalesce(F.col("x").cast("string"), u).alias("a"), F.coalesce(F.col("y").cast("string"), u).alias("b"), kleene.at_least_as_known(F.col("x"), F.col("y")).alias("below"))
