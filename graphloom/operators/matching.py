@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared import checkpointed
+
 from .relational import top_k
 
 
-def bm25(queries: DataFrame, targets: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query, target, score, rank of the best k targets. Both inputs: id and words (array).
+def bm25(queries: DataFrame, targets: DataFrame, k: int, matches: dict[str, tuple[str, ...]], k1: float = 1.2, b: float = 0.75, step: float = 0.1) -> DataFrame:
+    """query, target, score, rank of the best k targets of the kinds that a query's kind can match. Inputs: id, kind, words (array).
 
-    Postings meet query terms by an equi-join on the term; targets' statistics ride on the postings.
+    ``matches`` names those kinds, the likeliest first; each step down the list costs ``step`` of the
+    score. Frequencies and lengths are of the pool of targets that a kind of query can match. The
+    words are read once: postings of the asked terms are kept in the checkpoint folder, and the
+    lengths of all targets are observed on the way. Postings meet query terms by an equi-join.
     """
-    terms = targets.select("id", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    all_ = targets.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    n, mean = all_["n"], all_["mean"] or 1.0
-    asked = queries.select(F.col("id").alias("query"), F.explode(F.array_distinct("words")).alias("term")).join(df, "term")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scored = asked.join(terms, "term").groupBy("query", F.col("id").alias("target")).agg(F.round(F.sum(idf * norm), 4).alias("score"))
+    kinds = sorted({x for xs in matches.values() for x in xs})
+    asked = queries.select(F.col("id").alias("query"), F.col("kind").alias("source"), F.explode(F.array_distinct("words")).alias("term"))
+    seen = Observation()
+    counted = targets.where(F.col("kind").isin(*kinds)).withColumn("len", F.size("words"))
+    counted = counted.observe(seen, *[f(F.when(F.col("kind") == x, v)).alias(f"{name}{i}") for i, x in enumerate(kinds) for name, f, v in (("n", F.count, F.col("len")), ("s", F.sum, F.col("len")))])
+    terms = counted.select("id", "kind", "len", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = checkpointed(terms.groupBy("id", "kind", "len", "term").agg(F.count("*").alias("tf")))
+    found = seen.get
+    pools = []
+    for source, of in matches.items():
+        n = sum(found[f"n{kinds.index(x)}"] or 0 for x in of)
+        pools += [(source, x, 1 - step * i, n, (sum(found[f"s{kinds.index(x)}"] or 0 for x in of) / n or 1.0) if n else 1.0) for i, x in enumerate(of)]
+    pool = F.broadcast(queries.sparkSession.createDataFrame(pools, "source string, kind string, likely double, n long, mean double"))  # a row for each pair of kinds
+    df = postings.groupBy("kind", "term").agg(F.count("*").alias("df")).join(pool.select("source", "kind"), "kind").groupBy("source", "term").agg(F.sum("df").alias("df"))
+    weighed = asked.join(df, ["source", "term"]).join(pool, "source")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    scored = weighed.join(postings, ["kind", "term"]).groupBy("query", F.col("id").alias("target"), "likely").agg(F.sum(idf * norm).alias("s"))
+    scored = scored.select("query", "target", F.round(F.col("s") * F.col("likely"), 4).alias("score")).where("score > 0")
     return top_k(scored, ["query"], [F.col("score").desc(), F.col("target")], k)
 
 

@@ -32,3 +32,8 @@ def gaps(receipts: DataFrame, key: str, seq: str) -> DataFrame:
     """Keys whose receipts skip numbers between their first and last, with how many are missing."""
     g = receipts.groupBy(key).agg(F.min(seq).alias("low"), F.max(seq).alias("high"), F.count_distinct(seq).alias("n"))
     return g.where("high - low + 1 <> n").select(key, "low", "high", (F.col("high") - F.col("low") + 1 - F.col("n")).alias("missing"))
+
+
+def replace_rows(rows: DataFrame, payload: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with those of the keys that the payload names replaced by the payload's."""
+    return rows.join(payload.select(*keys).distinct(), keys, "left_anti").select(*payload.columns).unionByName(payload)

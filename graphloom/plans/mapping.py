@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import digest
-from graphloom.operators import graph
+from graphloom.operators import fold, graph
 from graphloom.sources.tables import EDGES, Tables
 
 from .registry import query
@@ -17,9 +19,9 @@ def etl_root(t: Tables) -> DataFrame:
     return t.part.where("p_type = 'ECONOMY' OR p_size > 40").select(F.col("p_partkey").alias("root"))
 
 
-@query("SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, length(unnest(string_split(text, chr(10)))) AS n FROM documents WHERE doc_id < 50")
+@query("SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, length(unnest(string_split(text, chr(10)))) AS n FROM documents WHERE text IS NOT NULL")
 def etl_child(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id < 50").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("doc_id", "place", F.length("line").alias("n"))
+    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("doc_id", "place", F.length("line").alias("n"))
 
 
 @query("""SELECT p_partkey, 'urn:part/' || replace(p_name, ' ', '%20') AS by_template, 'urn:h/' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 16) AS by_hash, 'urn:pos/' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS by_position FROM part""")
@@ -30,12 +32,12 @@ def etl_identity(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, 'Customer ' || c_name || ' of ' || c_mktsegment || ' in ' || n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def etl_template(t: Tables) -> DataFrame:
-    j = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.select("c_custkey", F.format_string("Customer %s of %s in %s", "c_name", "c_mktsegment", "n_name").alias("label"))
 
 
-ASSERT = """SELECT 'P' || p_partkey AS s, 'type' AS p, 'Part' AS o FROM part WHERE p_size > 45 UNION ALL SELECT 'P' || p_partkey, 'brand', p_brand FROM part WHERE p_size > 45
-UNION ALL SELECT p_brand, 'brandOf', 'P' || p_partkey FROM part WHERE p_size > 45 UNION ALL SELECT 'P' || p_partkey, 'source', 'catalogue' FROM part WHERE p_size > 45"""
+ASSERT = """SELECT 'P' || p_partkey AS s, 'type' AS p, 'Part' AS o FROM part UNION ALL SELECT 'P' || p_partkey, 'brand', p_brand FROM part
+UNION ALL SELECT p_brand, 'brandOf', 'P' || p_partkey FROM part UNION ALL SELECT 'P' || p_partkey, 'source', 'catalogue' FROM part"""
 
 
 def triples_of(t: Tables) -> DataFrame:
@@ -43,7 +45,7 @@ def triples_of(t: Tables) -> DataFrame:
     s, b = F.concat(F.lit("P"), "p_partkey"), F.col("p_brand")
     rows = [(s, "type", F.lit("Part")), (s, "brand", b), (b, "brandOf", s), (s, "source", F.lit("catalogue"))]
     made = F.explode(F.array(*[F.struct(x.alias("s"), F.lit(p).alias("p"), o.alias("o")) for x, p, o in rows]))
-    return t.part.where("p_size > 45").select(made.alias("t")).select("t.*")
+    return t.part.select(made.alias("t")).select("t.*")
 
 
 @query(ASSERT)
@@ -56,9 +58,9 @@ def etl_attribution(t: Tables) -> DataFrame:
     return triples_of(t).groupBy(F.col("p").alias("mapping")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_type AS class, string_agg(DISTINCT p_brand, ' ' ORDER BY p_brand) AS members FROM part WHERE p_size < 6 GROUP BY 1")
+@query("SELECT p_type AS class, string_agg(DISTINCT p_brand, ' ' ORDER BY p_brand) AS members FROM part GROUP BY 1")
 def etl_schema_from_data(t: Tables) -> DataFrame:
-    return t.part.where("p_size < 6").groupBy(F.col("p_type").alias("class")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), " ").alias("members"))
+    return t.part.groupBy(F.col("p_type").alias("class")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), " ").alias("members"))
 
 
 @query(f"WITH a AS ({ASSERT}) SELECT DISTINCT a.o AS brand, 'hasPartsIn' AS p, p_type AS o FROM a JOIN part ON 'P' || p_partkey = a.s WHERE a.p = 'brand'")
@@ -77,9 +79,9 @@ def etl_findings(t: Tables) -> DataFrame:
     return unmapped.unionByName(many).unionByName(lost)
 
 
-@query("SELECT event_id, 'k' AS path, CAST(json_extract_string(props, '$.k') AS INTEGER) AS value FROM events WHERE event_id < 200")
+@query("SELECT event_id, 'k' AS path, CAST(json_extract_string(props, '$.k') AS INTEGER) AS value FROM events")
 def etl_json_plan(t: Tables) -> DataFrame:
-    return t.events.where("event_id < 200").select("event_id", F.explode(F.from_json("props", "map<string,int>")).alias("path", "value"))
+    return t.events.select("event_id", F.explode(F.from_json("props", "map<string,int>")).alias("path", "value"))
 
 
 @query("""WITH c AS (SELECT user_id, event_type, round(min(value) / 1000, 6) AS local FROM events GROUP BY ALL) SELECT user_id, round(min(local), 6) AS confidence FROM c GROUP BY 1""")
@@ -152,9 +154,9 @@ def surf_refresh(t: Tables) -> DataFrame:
     return kept.unionByName(t.customer.where("c_mktsegment = 'BUILDING' AND c_acctbal >= 0").agg(F.lit("BUILDING").alias("part"), F.count("*").alias("n")))
 
 
-@query("SELECT DISTINCT l_partkey AS asset, s_nationkey AS location, l_returnflag AS peril FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 48")
+@query("SELECT DISTINCT l_partkey AS asset, s_nationkey AS location, l_returnflag AS peril FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
 def derive_units(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_quantity > 48").join(F.broadcast(t.supplier), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("asset"), F.col("s_nationkey").alias("location"), F.col("l_returnflag").alias("peril")).distinct()
+    return t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("asset"), F.col("s_nationkey").alias("location"), F.col("l_returnflag").alias("peril")).distinct()
 
 
 @query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 11 = 0 THEN 'own' END, CASE WHEN n_nationkey % 4 = 0 THEN 'nation' END, CASE WHEN n_regionkey % 2 = 0 THEN 'region' END, 'root') AS nearest FROM customer JOIN nation ON n_nationkey = c_nationkey""")
@@ -177,7 +179,7 @@ def derive_cover(t: Tables) -> DataFrame:
 def assemble_tree(t: Tables) -> DataFrame:
     """Walk down included elements only: an excluded node hides all below it."""
     kept_n = t.nation.where("n_regionkey <> 2 AND n_nationkey % 3 <> 0").select("n_nationkey")
-    return t.customer.where("c_acctbal > 0").join(F.broadcast(kept_n), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select(F.concat(F.lit("C"), "c_custkey").alias("element"))
+    return t.customer.where("c_acctbal > 0").join(kept_n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select(F.concat(F.lit("C"), "c_custkey").alias("element"))
 
 
 # ---- the remaining modules ----
@@ -224,19 +226,18 @@ def stream_partition(t: Tables) -> DataFrame:
     return t.events.select("event_id", part.alias("part"), (F.row_number().over(Window.partitionBy(part).orderBy("event_id")) - 1).alias("position"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id < 40),
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 r AS (SELECT user_id, i, event_id, sha256('' || '|' || event_id || '|' || event_type) AS hash FROM o WHERE i = 1 UNION ALL
 SELECT o.user_id, o.i, o.event_id, sha256(r.hash || '|' || o.event_id || '|' || o.event_type) FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT event_id, hash FROM r""")
 def journal_hash_chain(t: Tables) -> DataFrame:
     """Each entry's hash covers the one before: an ordered fold over the session's entries."""
-    g = t.events.where("user_id < 40").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
-    start = F.array(F.struct(F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("hash")))
 
-    def step(done, x):
-        h = F.sha2(F.concat_ws("|", F.element_at(done, -1)["hash"], x["event_id"].cast("string"), x["event_type"]), 256)
-        return F.concat(done, F.array(F.struct(x["event_id"].alias("event_id"), h.alias("hash"))))
+    def step(before: str, row: tuple) -> tuple:
+        entry, kind = row
+        now = hashlib.sha256(f"{before}|{entry}|{kind}".encode()).hexdigest()
+        return now, (entry, now)
 
-    return g.select(F.explode(F.aggregate("e", start, step)).alias("r")).select("r.*").where("event_id >= 0")
+    return fold.ordered_fold(t.events, ["user_id"], ["event_id"], ["event_id", "event_type"], lambda row: "", step, "event_id long, hash string")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events")
@@ -268,8 +269,8 @@ def stream_correlate(t: Tables) -> DataFrame:
     return p.join(v, (F.col("v.user_id") == F.col("p.user_id")) & (F.col("v.event_id") < F.col("p.event_id"))).select(F.col("p.event_id").alias("signal"), F.col("v.event_id").alias("subscription"))
 
 
-@query("SELECT o_orderkey, coalesce(relational.n, 0) AS lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) relational ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, coalesce(relational.n, 0) AS lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) relational ON l_orderkey = o_orderkey")
 def summary_counts(t: Tables) -> DataFrame:
     """Aggregate before the join: one row for each key meets the orders."""
     n = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return t.orders.where("o_orderkey % 10 = 0").join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("lines"))
+    return t.orders.join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("lines"))

@@ -15,8 +15,8 @@ STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
 def words_sql(c: str) -> str:
-    spaced = f"regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')"
-    found = f"list_filter(string_split(lower(trim({spaced})), ' '), lambda w: w <> '' AND w NOT IN ({STOP}))"
+    spaced = f"regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
+    found = f"list_filter(list_transform(regexp_extract_all({spaced}, '[A-Za-z][a-z0-9]*'), lambda w: lower(w)), lambda w: length(w) > 1 AND w NOT IN ({STOP}))"
     return f"list_transform({found}, lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN substr(w, 1, length(w) - 1) ELSE w END)"
 
 
@@ -69,24 +69,28 @@ def vec_cosine(t: Tables) -> DataFrame:
     return j.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round((1 + matching.cosine(F.col("a.embedding"), F.col("b.embedding"))) / 2, 6).alias("similarity"))
 
 
-def bm25_sql(k: int) -> str:
-    return f"""t AS (SELECT doc_id AS id, {words_sql('text')} AS w FROM documents WHERE n_chars < 3000), q AS (SELECT item_id AS id, {words_sql('text')} AS w FROM benchmark WHERE item_id < 20),
-tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), qt AS (SELECT DISTINCT id, term FROM (SELECT id, unnest(w) AS term FROM q)),
-s AS (SELECT qt.id AS query, tf.id AS target, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 4) AS score FROM qt JOIN df USING (term) JOIN tf USING (term), st GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS rank FROM s), top AS (SELECT * FROM r WHERE rank <= {k})"""
+# The kinds of targets that a kind of query can match, the likeliest first.
+MATCHES = {"en": ("en", "de"), "de": ("de", "en"), "fr": ("fr", "es"), "es": ("es",)}
+PAIRS = ", ".join(f"('{a}', '{b}', {k})" for a, bs in MATCHES.items() for k, b in enumerate(bs))
 
 
-def bm25_of(t: Tables, k: int) -> DataFrame:
-    q = t.benchmark.where("item_id < 20").select(F.col("item_id").alias("id"), text.words(F.col("text")).alias("words"))
-    d = t.documents.where("n_chars < 3000").select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("words"))
-    return matching.bm25(q, d, k)
+def bm25_sql(k: int) -> str:
+    return f"""WITH kinds(source, kind, step) AS (VALUES {PAIRS}), t AS (SELECT doc_id AS id, lang AS kind, {words_sql('text')} AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+q AS (SELECT item_id AS id, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS source, {words_sql('text')} AS w FROM benchmark),
+tf AS (SELECT id, kind, len, term, count(*) AS tf FROM (SELECT id, kind, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT source, term, count(*) AS df FROM tf JOIN kinds USING (kind) GROUP BY ALL),
+st AS (SELECT source, count(*) AS n, avg(len(w)) AS mean FROM t JOIN kinds USING (kind) GROUP BY 1), qt AS (SELECT DISTINCT id, source, term FROM (SELECT id, source, unnest(w) AS term FROM q)),
+s AS (SELECT qt.id AS query, tf.id AS target, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) * (1 - 0.1 * step), 4) AS score
+ FROM qt JOIN df USING (source, term) JOIN st USING (source) JOIN kinds USING (source) JOIN tf ON tf.term = qt.term AND tf.kind = kinds.kind GROUP BY qt.id, tf.id, step),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS rank FROM s WHERE score > 0) SELECT query, rank, target, score FROM r WHERE rank <= {k}"""
 
 
-@query(f"WITH {bm25_sql(3)} SELECT query, rank, round(score, 2) AS score FROM top")
+@query(bm25_sql(3))
 def text_bm25_topk(t: Tables) -> DataFrame:
-    """Scores by rank; equal scores may rank either target, so that targets are left out of the comparison."""
-    return bm25_of(t, 3).select("query", "rank", F.round("score", 2).alias("score"))
+    """Each benchmark item's best documents among those of the languages that it can match."""
+    e = F.expr("case item_id % 4 when 0 then 'en' when 1 then 'de' when 2 then 'fr' else 'es' end")
+    q = t.benchmark.select(F.col("item_id").alias("id"), e.alias("kind"), text.words(F.col("text")).alias("words"))
+    d = t.documents.where("text is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), text.words(F.col("text")).alias("words"))
+    return matching.bm25(q, d, 3, MATCHES).select("query", "rank", "target", "score")
 
 
 RANKS = """a AS (SELECT user_id AS query, event_type AS target, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY 1, 2),
@@ -144,14 +148,14 @@ def cooc_overlap(t: Tables) -> DataFrame:
     return matching.cooccurrence(obs_of(t), "s", "c")
 
 
-LINK = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.09)"
-
-
-@query(f"""WITH RECURSIVE {LINK}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.node)
+@query(f"""WITH RECURSIVE {COOC}, e AS (SELECT a, b FROM w WHERE weight >= 1 / 4.0 UNION SELECT b, a FROM w WHERE weight >= 1 / 4.0), r AS (SELECT c AS node, c AS m FROM deg UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.node)
 SELECT node, min(m) AS component FROM r GROUP BY node""")
 def cluster_components(t: Tables) -> DataFrame:
-    big = t.lineitem.where("l_quantity >= 50 AND l_discount >= 0.09D").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return graph.components(big.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct(), "a", "b")
+    """Components of the concepts whose weight reaches the threshold, one over the resolution; a concept without one is its own."""
+    obs = obs_of(t)
+    strong = matching.cooccurrence(obs, "s", "c").where(f"weight >= {1 / 4.0}D").select("a", "b")
+    alone = obs.select(F.col("c").alias("a"), F.col("c").alias("b")).distinct()
+    return graph.components(strong.union(alone), "a", "b")
 
 
 @query(f"""WITH {COOC}, m AS (SELECT a, b, weight, substr(a, 7, 1) = substr(b, 7, 1) AS same FROM w), tot AS (SELECT sum(weight) AS t FROM w),
@@ -179,20 +183,20 @@ def cluster_profiles(t: Tables) -> DataFrame:
     return communities_of(t).groupBy("comm").agg(F.count("*").alias("members"), F.round(F.max("p"), 6).alias("top"), F.round(F.sum(F.col("p") * F.col("p")), 6).alias("coherence"))
 
 
-@query(f"WITH {COMM}, m AS (SELECT s, comm, round(sum(p), 6) AS score FROM obs JOIN wt USING (c) WHERE s % 50 = 0 GROUP BY ALL) SELECT s, comm, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, comm) AS r FROM m) WHERE r <= 5")
+@query(f"WITH {COMM}, m AS (SELECT s, comm, round(sum(p), 6) AS score FROM obs JOIN wt USING (c) GROUP BY ALL) SELECT s, comm, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, comm) AS r FROM m) WHERE r <= 5")
 def comm_match_sum(t: Tables) -> DataFrame:
-    m = obs_of(t).where("s % 50 = 0").join(F.broadcast(communities_of(t)), "c").groupBy("s", "comm").agg(F.round(F.sum("p"), 6).alias("score"))
+    m = obs_of(t).join(communities_of(t), "c").groupBy("s", "comm").agg(F.round(F.sum("p"), 6).alias("score"))
     return relational.top_k(m, ["s"], [F.col("score").desc(), F.col("comm")], 5).select("s", "comm", "score")
 
 
-@query(f"""WITH {COMM}, l AS (SELECT s, comm, sum(ln(greatest(coalesce(p, 0), 0.001))) AS ll FROM obs CROSS JOIN (SELECT DISTINCT comm FROM wt) k LEFT JOIN wt USING (comm, c) WHERE s % 50 = 0 GROUP BY ALL),
+@query(f"""WITH {COMM}, l AS (SELECT s, comm, sum(ln(greatest(coalesce(p, 0), 0.001))) AS ll FROM obs CROSS JOIN (SELECT DISTINCT comm FROM wt) k LEFT JOIN wt USING (comm, c) GROUP BY ALL),
 e AS (SELECT s, comm, exp(ll - max(ll) OVER (PARTITION BY s)) AS e FROM l) SELECT s, comm, round(e / sum(e) OVER (PARTITION BY s), 6) AS posterior FROM e""")
 def comm_bayes(t: Tables) -> DataFrame:
     """Naive Bayes over communities with clamped likelihoods: a small, bounded list of communities rides on each observation."""
     wide = communities_of(t)
-    kinds = F.broadcast(wide.groupBy().agg(F.array_sort(F.collect_set("comm")).alias("comms")))
-    o = obs_of(t).where("s % 50 = 0").join(kinds).select("s", "c", F.explode("comms").alias("comm"))
-    j = o.join(F.broadcast(wide), ["comm", "c"], "left")
+    rows = wide.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("comm", "p"))).alias("ps"))  # communities are a short list
+    kinds = wide.groupBy().agg(F.array_sort(F.collect_set("comm")).alias("comms"))
+    j = obs_of(t).join(rows, "c", "left").join(F.broadcast(kinds)).select("s", "c", "ps", F.explode("comms").alias("comm")).select("s", "comm", F.element_at("ps", F.col("comm")).alias("p"))  # kinds: one row
     logs = j.groupBy("s", "comm").agg(F.sum(F.log(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(0.001)))).alias("ll"))
     return matching.posteriors(logs, ["s"], "ll").select("s", "comm", F.round("posterior", 6).alias("posterior"))
 
@@ -208,7 +212,7 @@ def comm_wjaccard(t: Tables) -> DataFrame:
 def comm_boost(t: Tables) -> DataFrame:
     base = t.part.groupBy(F.col("p_brand").alias("c")).agg(F.count("*").alias("n"))
     total = F.broadcast(base.agg(F.sum("n").alias("total")))
-    return communities_of(t).join(F.broadcast(base.join(total)), "c").groupBy("comm").agg(F.round(F.sum(F.col("p") * F.greatest(F.lit(0.0), F.log(F.col("p") / (F.col("n") / F.col("total"))))), 6).alias("boost"))
+    return communities_of(t).join(base.join(total), "c").groupBy("comm").agg(F.round(F.sum(F.col("p") * F.greatest(F.lit(0.0), F.log(F.col("p") / (F.col("n") / F.col("total"))))), 6).alias("boost"))
 
 
 @query("SELECT p_type AS comm, p_brand AS concept, count(*) AS n, max(s_name) AS holder FROM part LEFT JOIN supplier ON s_suppkey = p_partkey GROUP BY ALL HAVING count(*) >= 2")
@@ -228,10 +232,11 @@ def proj_confidence(t: Tables) -> DataFrame:
 @query("""WITH RECURSIVE d AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT user_id, i, x AS ema FROM d WHERE i = 1
 UNION ALL SELECT d.user_id, d.i, 0.3 * d.x + 0.7 * r.ema FROM r JOIN d ON d.user_id = r.user_id AND d.i = r.i + 1) SELECT user_id, round(arg_max(ema, i), 6) AS ema FROM r GROUP BY user_id""")
 def comm_ema(t: Tables) -> DataFrame:
-    """Exponential moving average in event order; values of a user fold in one array."""
-    g = t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
-    fold = F.aggregate(F.slice("v", 2, F.size("v")), F.col("v")[0], lambda s, x: 0.3 * x + 0.7 * s)
-    return g.select("user_id", F.round(fold, 6).alias("ema"))
+    """Exponential moving average in event order, as a sum: the k-th value before the last has the weight 0.3 * 0.7 ** k, the first one 0.7 ** k."""
+    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())) - 1
+    numbered = t.events.select("user_id", "value", back.alias("k"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())).isNull().alias("first"))
+    weight = F.when(F.col("first"), F.pow(F.lit(0.7), "k")).otherwise(0.3 * F.pow(F.lit(0.7), "k"))
+    return numbered.groupBy("user_id").agg(F.round(F.sum(weight * F.col("value")), 6).alias("ema"))
 
 
 SIGNALS = "sig AS (SELECT p_partkey, p_size / 50.0 AS a, p_retailprice / 2000 AS b, CAST(p_type = 'ECONOMY' AS INTEGER) AS gate, length(p_name) / 20.0 AS c FROM part)"

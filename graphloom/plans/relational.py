@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph, relational
+from graphloom.sources.store import digest_tree, digest_tree_sql
 from graphloom.sources.tables import EDGES, PATHS, POSTINGS, QUADS, Tables, cents
 
 from .registry import query
@@ -27,7 +28,7 @@ def scan_reference(t: Tables) -> DataFrame:
 SELECT DISTINCT s AS instance FROM quad JOIN sub ON o = c WHERE p = 'type' AND super = 'Place'""")
 def scan_class_extent(t: Tables) -> DataFrame:
     classes = graph.closure(t.values([("Region", "Place"), ("Nation", "Place")], "child string, parent string")).where("anc = 'Place'").select(F.col("desc").alias("o"))
-    return t.quads().where("p = 'type'").join(F.broadcast(classes.union(t.values([("Place",)], "o string"))), "o", "left_semi").select(F.col("s").alias("instance")).distinct()
+    return t.quads().where("p = 'type'").join(classes.union(t.values([("Place",)], "o string")), "o", "left_semi").select(F.col("s").alias("instance")).distinct()
 
 
 @query("SELECT p_brand AS member FROM part UNION SELECT p_type FROM part")
@@ -56,12 +57,12 @@ def scan_graph_names(t: Tables) -> DataFrame:
     return t.quads().select("g").distinct()
 
 
-@query(f"""WITH {QUADS} SELECT g, sha256(string_agg('<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END, chr(10)
-  ORDER BY s, p, o)) AS digest, count(*) AS n FROM quad WHERE g = 'geo' GROUP BY g""")
+@query(f"""WITH {QUADS}, """ + digest_tree_sql("""SELECT g, '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END AS row FROM quad""", ["g"]) + " SELECT g, digest, n FROM tree")
 def snapshot_digest(t: Tables) -> DataFrame:
+    """A digest of each graph's canonical lines, as a tree over their hashes: no graph is gathered whole."""
     term = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), "o", F.lit('"')))
-    lines = t.quads().where("g = 'geo'").select("g", F.struct("s", "p", "o", F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), term).alias("line")).alias("r"))
-    return lines.groupBy("g").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    lines = t.quads().select("g", F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), term).alias("line"))
+    return digest_tree(lines, ["g"], "line").select("g", "digest", F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50")
@@ -256,9 +257,9 @@ def order_violation(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_orderdate", F.max("o_orderdate").over(before).alias("m")).where("m > o_orderdate").select("o_orderkey")
 
 
-@query(f"""WITH {POSTINGS} SELECT account, pos, amount FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY pos DESC) AS r FROM posting WHERE pos <= 5000) WHERE r = 1""")
+@query(f"""WITH {POSTINGS} SELECT account, pos, amount FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY pos DESC) AS r FROM posting) WHERE r = 1""")
 def asof_latest(t: Tables) -> DataFrame:
-    return relational.latest_at(t.postings().select("account", "pos", "amount"), ["account"], ["pos"], F.col("pos") <= 5000)
+    return relational.latest_at(t.postings().select("account", "pos", "amount"), ["account"], ["pos"], F.lit(True))
 
 
 @query("""SELECT e.event_id, o.o_orderkey FROM events e LEFT JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = e.user_id AND o_orderdate + INTERVAL 24 YEAR <= e.ts ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) o ON true WHERE e.event_type = 'purchase'""")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import digest
 from graphloom.operators import relational, versions
-from graphloom.sources.tables import Tables
+from graphloom.sources.shared import scratch
+from graphloom.sources.store import GraphStore, MemorySink, digest_tree, digest_tree_sql, published
+from graphloom.sources.tables import QUADS, Tables
 
 from .registry import query
 
@@ -73,9 +75,16 @@ def events_of(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("root"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("error", "click"), "drop").otherwise("add").alias("kind"), F.from_json("props", "k int")["k"].alias("member"))
 
 
-@query(f"WITH {EVENTS} SELECT root, member FROM ev WHERE seq <= 5000 GROUP BY ALL HAVING arg_max(kind, seq) = 'add'")
+@query(f"WITH {EVENTS} SELECT root, member FROM ev WHERE seq <= (SELECT max(seq) FROM ev) GROUP BY ALL HAVING arg_max(kind, seq) = 'add'")
 def ver_members(t: Tables) -> DataFrame:
-    return versions.last_event(events_of(t).where("seq <= 5000"), ["root", "member"], ["seq"], "kind", "drop")
+    """Members at the head from a checkpoint, every hundredth part of the log, and the deltas after it."""
+    ev = events_of(t)
+    head = ev.agg(F.max("seq")).first()[0] or 0
+    at = head - head % 100
+    keys = ["root", "member"]
+    checkpoint = ev.where(f"seq <= {at}").groupBy(*keys).agg(F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq"))
+    deltas = ev.where(f"seq > {at}").select(*keys, "kind", "seq")
+    return versions.last_event(checkpoint.unionByName(deltas), keys, ["seq"], "kind", "drop")
 
 
 @query(f"WITH {EVENTS} SELECT root, member FROM ev GROUP BY ALL HAVING arg_max(kind, seq) = 'add'")
@@ -133,9 +142,22 @@ def audit_gap(t: Tables) -> DataFrame:
     return versions.gaps(t.lineitem.withColumnRenamed("l_orderkey", "target"), "target", "l_linenumber")
 
 
-@query("SELECT o_custkey AS root, sha256(string_agg(o_orderkey || chr(9) || o_orderstatus, chr(10) ORDER BY o_orderkey || chr(9) || o_orderstatus)) AS digest FROM orders GROUP BY 1")
+@query("WITH " + digest_tree_sql("SELECT o_custkey AS root, o_orderkey || chr(9) || o_orderstatus AS row FROM orders", ["root"]) + " SELECT root, digest FROM tree")
 def state_digest(t: Tables) -> DataFrame:
-    return versions.state_digest(t.orders.withColumnRenamed("o_custkey", "root"), ["root"], ["o_orderkey", "o_orderstatus"])
+    """A digest of each root's state, as a tree over its rows' hashes: no group is gathered whole."""
+    rows = t.orders.select(F.col("o_custkey").alias("root"), F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("row"))
+    return digest_tree(rows, ["root"], "row").select("root", "digest")
+
+
+@query("WITH " + digest_tree_sql("SELECT o_orderpriority AS k, o_orderkey || chr(9) || o_orderstatus || chr(9) || o_totalprice AS row FROM orders", ["k"]) + " SELECT k, 'urn:v/' || digest AS version, n FROM tree")
+def surf_version_iri(t: Tables) -> DataFrame:
+    """A version named by the digest of its content, written to a folder of that name once: a second publication finds it there."""
+    rows = t.orders.select(F.col("o_orderpriority").alias("k"), F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_totalprice").cast("string")).alias("row"))
+    folder = scratch(t.spark)
+    first, second = published(rows, folder, "row"), published(rows, folder, "row")
+    if first != second:
+        raise RuntimeError("equal content has two names")
+    return digest_tree(t.spark.read.parquet(first), ["k"], "row").select("k", F.concat(F.lit("urn:v/"), "digest").alias("version"), F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT o_orderkey, sha256(strlen(o_orderstatus) || ':' || o_orderstatus || strlen(o_orderpriority) || ':' || o_orderpriority) AS digest FROM orders")
@@ -201,3 +223,41 @@ def jobs_expired(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), lower('RED')) ORDER BY p_name, p_brand, p_partkey LIMIT 50")
 def search_terms(t: Tables) -> DataFrame:
     return t.part.where(F.lower("p_name").contains("red")).orderBy("p_name", "p_brand", "p_partkey").limit(50).select("p_partkey", "p_name", "p_brand")
+
+
+@query(f"WITH {QUADS} SELECT g, count(*) AS n, count(DISTINCT s) AS subjects FROM quad GROUP BY g")
+def store_graphs(t: Tables) -> DataFrame:
+    """Graphs put into a store, one replaced and one dropped again, listed and read back."""
+    store = GraphStore(t.spark)
+    q = t.quads()
+    for name in ("geo", "party"):
+        store.put(name, q.where(F.col("g") == name).drop("g").limit(1))
+        store.put(name, q.where(F.col("g") == name).drop("g"))
+    store.put("gone", q.drop("g").limit(1))
+    store.drop("gone")
+    return store.dataset().groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
+
+
+@query(f"WITH {QUADS} SELECT p, count(*) AS n FROM quad GROUP BY p")
+def sink_memory(t: Tables) -> DataFrame:
+    """Triples written to the sink in memory and read from its view."""
+    sink = MemorySink(t.spark)
+    return sink.write("quads", t.quads()).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey % 3 <> 0 OR o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, o_custkey, 'new' FROM orders WHERE o_custkey % 3 = 0 AND o_orderstatus = 'P'")
+def ver_rows_replace(t: Tables) -> DataFrame:
+    """A payload of rows replaces all rows of the keys that it names."""
+    payload = t.orders.where("o_custkey % 3 = 0 AND o_orderstatus = 'P'").select("o_orderkey", "o_custkey", F.lit("new").alias("o_orderstatus"))
+    return versions.replace_rows(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), payload, ["o_custkey"])
+
+
+@query("""WITH s AS (SELECT conv_id, string_agg(role || ':' || length(text), '>' ORDER BY turn) AS signature FROM conversations GROUP BY 1), v AS (SELECT conv_id, signature, lag(signature) OVER (ORDER BY conv_id) AS was FROM s)
+SELECT conv_id, CASE WHEN was IS NULL THEN 'first' WHEN was = signature THEN 'kept' ELSE 'new version' END AS outcome FROM v""")
+def assemble_diff(t: Tables) -> DataFrame:
+    """An assembly becomes a new version only if its signature differs from that of the one before, here the conversation before."""
+    form = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.length("text").cast("string")).alias("x")))), lambda x: x["x"])
+    own = t.conversations.groupBy("conv_id").agg(F.sha2(F.array_join(form, ">"), 256).alias("signature"))
+    before = own.select((F.col("conv_id") + 1).alias("conv_id"), F.col("signature").alias("was"))  # ids are a sequence: no window over all rows
+    j = own.join(before, "conv_id", "left")
+    return j.select("conv_id", F.when(F.col("was").isNull(), "first").when(F.col("was") == F.col("signature"), "kept").otherwise("new version").alias("outcome"))

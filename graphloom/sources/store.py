@@ -63,7 +63,7 @@ def digest_tree(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
     def level(df: DataFrame, digits: int, n) -> DataFrame:
         part = F.substring("h", 1, digits) if digits else F.lit("")
         joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256)
-        return df.withColumn("at", F.col("at")).groupBy(*keys, part.alias("p")).agg(joined.alias("d"), n.alias("n")).select(*keys, F.col("p").alias("at"), F.col("d"), "n")
+        return df.groupBy(*keys, part.alias("p")).agg(joined.alias("d"), n.alias("n")).select(*keys, F.col("p").alias("at"), F.col("d"), "n")
 
     first = level(hashed.withColumn("at", F.col("h")), 4, F.count("*"))
     second = level(first.select(*keys, F.col("at").alias("h0"), "d", "n").select(*keys, F.col("h0").alias("at"), F.concat(F.col("h0"), F.col("d")).alias("h"), "n"), 2, F.sum("n"))
@@ -71,6 +71,18 @@ def digest_tree(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
     return last.select(*keys, F.col("d").alias("digest"), "n")
 
 
+def digest_tree_sql(rows: str, keys: list[str]) -> str:
+    """DuckDB CTEs up to ``tree`` (keys, digest, n) for a query that gives the keys and ``row``."""
+    k = "".join(f"{x}, " for x in keys)
+    by = " GROUP BY " + ", ".join([*keys, "p"])
+    last = " GROUP BY " + ", ".join(keys) if keys else ""
+    return (
+        f"leaf AS (SELECT {k}sha256(row) AS h FROM ({rows})), four AS (SELECT {k}substr(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM leaf{by}), "
+        f"two AS (SELECT {k}substr(q, 1, 2) AS p, sha256(string_agg(q || d, '' ORDER BY q)) AS d, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {k}p AS q, d, n FROM four){by}), "
+        f"tree AS (SELECT {k}sha256(string_agg(p || d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM two{last})"
+    )
+
+
 def published(rows: DataFrame, folder: str, row: str) -> str:
     """Write rows to a folder named by their digest and return it; rows that are there already are not written again."""
     found = digest_tree(rows, [], row).first()
