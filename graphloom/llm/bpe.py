@@ -3,17 +3,19 @@
 Pre-token borders follow the tokenizer's own pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``
 and are found by numpy on code points. BPE never crosses them, so that the ids of a text are the
-ids of its pre-tokens in turn; those come from the ``tokenizers`` library and are remembered.
+ids of its pre-tokens in turn; those are the ones that the ``tokenizers`` library gives, and are
+remembered.
 """
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
 
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 
 from .textvec import mix, prefix_hash
 
@@ -21,6 +23,8 @@ from .textvec import mix, prefix_hash
 REMEMBERED = 1_200_000
 #: Sorted runs of remembered hashes before they are merged into one.
 _RUNS = 6
+#: Pre-tokens that are joined into one text for the library.
+_JOINED = 2000
 
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 
@@ -77,6 +81,24 @@ def borders(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _merger(path: str, names: list[str], special: list[str]):
+    """A merger of the file's tokens by their ids, or None where its merges are not in the order of the ids.
+
+    Where they are, taking the pair with the least id is taking the first merge of the list, so
+    that ``tiktoken`` gives the ids of ``tokenizers``, a few times faster. The pattern only parts a run.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m), -1) for m in merges]
+    if made != sorted(set(made)) or made and made[0] < 256:
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+    ranks = {bytes(byte_of[c] for c in t): k for k, t in enumerate(names) if t and t not in special}
+    return tiktoken.Encoding("pieces", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of texts by one tokenizer file, with a bounded memory of pre-tokens."""
 
@@ -86,6 +108,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
+        self.width = np.array([len(t) for t in names], np.int64)  # a character of a token's name stands for one byte
+        self.merger = _merger(path, names, self.special)
         self._forget()
 
     def _forget(self) -> None:
@@ -105,11 +130,38 @@ class Encoder:
             place[hit] = numbers[at[hit]]
         return place
 
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens in turn, number of ids of each).
+
+        Pre-tokens without a line feed are merged in runs, a line feed between them; the bytes that
+        the ids stand for show where each ends. The others, and all where the file's merges don't
+        follow its ids, go to the ``tokenizers`` library one by one.
+        """
+        plain = ["\n" not in w for w in words] if self.merger else [False] * len(words)
+        counts, found = np.zeros(len(words), np.int32), []
+        at = [k for k, p in enumerate(plain) if p]
+        for run in (at[i : i + _JOINED] for i in range(0, len(at), _JOINED)):
+            own = [words[k] for k in run]
+            ids = np.array(self.merger.encode_ordinary("\n".join(own)), np.uint32)
+            stops = np.cumsum(np.fromiter((len(w.encode()) for w in own), np.int64, len(own)))
+            last = np.searchsorted(np.cumsum(self.width[ids]), stops)
+            counts[run] = np.diff(last, prepend=-1)
+            found.append((run, ids))
+        alone = [k for k, p in enumerate(plain) if not p]
+        single = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False)]
+        counts[alone] = [len(x) for x in single]
+        if alone:
+            found.append((alone, np.concatenate(single)))
+        begin = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), np.uint32)
+        for run, ids in found:
+            n = counts[run]
+            flat[np.repeat(begin[run] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, counts
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode and remember pre-tokens, given with their sorted hashes."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(counts.sum()))
+        flat, counts = self._ids_of(words)
         k = self.known
         while len(self.at) < k + len(words):
             self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count))
