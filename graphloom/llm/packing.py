@@ -185,7 +185,7 @@ def _epoch(seed: int, capacity: int):
 
 def _solve(items: DataFrame, shards: int, seed: int, capacity: int) -> DataFrame:
     """item, size, shard, bin, at (offset in the bin) and slack (free places of the bin)."""
-    parts = max(partitions(items.sparkSession), 1)
+    parts = max(1, min(partitions(items.sparkSession), shards * ISLANDS))
     dealt = items.groupBy(F.expr(f"cast(pmod(xxhash64(item, {seed}), {shards}) as int)").alias("shard")).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "item"))).alias("rows"))  # SHARD rows about, by the hash of a unique number
     dealt = checkpointed(dealt.select("shard", F.expr("transform(rows, r -> r.item)").alias("items"), F.expr("transform(rows, r -> cast(-r.s as int))").alias("sizes")))
     islands = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "items", "sizes", F.expr("cast(array() as array<array<int>>)").alias("packed"))
@@ -206,8 +206,7 @@ def _solve(items: DataFrame, shards: int, seed: int, capacity: int) -> DataFrame
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents with the sequence and the offset that each is packed at."""
-    cut = checkpointed(pieces(docs, tokenizer, capacity)).withColumn("item", F.monotonically_increasing_id())
-    cut = checkpointed(cut)
+    cut = checkpointed(pieces(docs, tokenizer, capacity).withColumn("item", F.monotonically_increasing_id()))
     full = cut.where(F.col("length") == capacity).select("item", (F.col("item") * 8 + 7).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     open_items = cut.where(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("size"))
     placed = full

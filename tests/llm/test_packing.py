@@ -71,6 +71,37 @@ def test_crossover_keeps_every_item_once():
         assert len(bins_of) == 300 and fill.max() <= 1024 and fill.min() > 0
 
 
+def test_generations_need_fewer_sequences_than_their_best_fit_seed():
+    seeded = evolved = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        sizes = []  # threes that fill a sequence to the brim, which best fit seldom finds again
+        for _ in range(100):
+            a = rng.randint(256, 380)
+            b = rng.randint(200, 824 - a)
+            sizes += [a, b, 1024 - a - b]
+        bins, free = [], []
+        packing.best_fit(sorted(range(len(sizes)), key=lambda i, s=sizes: -s[i]), sizes, bins, free, 1024)
+        packed: list = []
+        for epoch in range(packing.EPOCHS):
+            packed = packing.evolve(sizes, packed, seed * 10 + epoch, 1024)
+        assert max(packed[0]) + 1 <= len(bins)
+        seeded, evolved = seeded + len(bins), evolved + max(packed[0]) + 1
+    assert evolved < seeded
+
+
+def test_pre_tokens_are_merged_as_the_library_does():
+    encoder, plain = Encoder(PATH), Tokenizer.from_file(PATH)
+    assert encoder.merger is not None
+    rng = random.Random(8)
+    words = sorted({rng.choice(["", " "]) + "".join(rng.choices(rng.choice(["abceéßñ漢", "0123", "_.-\x1c!"]), k=rng.randint(1, 20))) for _ in range(5000)}) + ["\n", "\n\n", " ", "\t", "\u2028"]
+    ids, counts = encoder._ids_of(words)
+    encoder.merger = None
+    again, same = encoder._ids_of(words)
+    assert ids.tolist() == again.tolist() and counts.tolist() == same.tolist()
+    assert plain.decode(ids.tolist()) == "".join(words)
+
+
 def test_encoder_equals_the_library():
     rng = random.Random(1)
     letters = "ab's'tre'lldm 0 9\n\t  é.!—'  x'S²̀ñ漢\U0001f600  "
