@@ -49,22 +49,66 @@ CONTAINED = 0.4
 #: Shares of the words of an item, and of its answer, that the text must have in their order.
 ITEM_SHARE, ANSWER_SHARE = 0.6, 0.5
 LEAST_WORDS = 8
-#: Most frequent terms, whose latent vectors are added by a product with their counts; words whose
-#: vectors are added at once, and blocks whose counts are held at once.
-_FREQUENT, _AT_ONCE, _BLOCKS = 128, 4096, 4096
+#: Passages with a term from which on it counts as a common one, whose weights are added by a product
+#: with its counts; cells of the table of counts that is held at once.
+_COMMON, _CELLS = 8, 1 << 21
+#: Share of the largest weight below which a weight that comes back from the latent space is rounding.
+_ROUNDING = 1e-6
 #: Terms whose sums one row of a partial result holds.
 _GROUP = 256
 
 
 @dataclass
 class Space:
-    """The latent space of a block of passages, with the weights that give a word's share in the cosine with each."""
+    """The latent space of a block of passages, folded into the weight of each term in the inner product with each.
+
+    A window's latent vector is its words' rows of the basis summed, and its inner product with a
+    passage that sum times the passage's latent vector: so each term has one weight for each passage,
+    the product of its row and the passage's vector. Most are 0, and the others are an index from
+    terms to passages: ``common`` holds the rows of terms of many passages, the rest are postings.
+    """
 
     items: np.ndarray  # place in the index of each passage's item
-    row: np.ndarray  # of a term in basis, frequent ones first, -1 for others
-    basis: np.ndarray  # times the term's idf
-    latent: np.ndarray  # unit length in the full space
     length: np.ndarray  # of the TF-IDF row
+    row: np.ndarray  # of a term: in common, or len(common) plus its place in starts; -1 for others
+    common: np.ndarray
+    starts: np.ndarray
+    passage: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, items: np.ndarray, length: np.ndarray, used: np.ndarray, basis: np.ndarray, latent: np.ndarray) -> Space:
+        """From the used terms' rows of the basis, times their idf, and the passages' latent vectors."""
+        table = (basis @ latent.T).astype(np.float32)
+        table[np.abs(table) < _ROUNDING * max(float(np.abs(table).max(initial=0)), 1e-12)] = 0
+        held = (table != 0).sum(axis=1)
+        order = np.argsort(held < _COMMON, kind="stable")
+        n = int((held >= _COMMON).sum())
+        row = np.full(TERMS, -1)
+        row[used[order]] = np.arange(len(used))
+        rest = table[order[n:]]
+        at, passage = np.nonzero(rest)
+        return cls(items, length, row, table[order[:n]], np.searchsorted(at, np.arange(len(rest) + 1)), passage, rest[at, passage])
+
+    def inner(self, terms: np.ndarray, block: np.ndarray, n_blocks: int) -> np.ndarray:
+        """Inner products of each block's words with each passage."""
+        row = self.row[terms]
+        n, width = len(self.common), len(self.items)
+        rare = np.flatnonzero(row >= n)
+        first, many = self.starts[row[rare] - n], np.diff(self.starts)[row[rare] - n]
+        entry = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        cells = np.repeat(block[rare], many) * width + self.passage[entry]
+        sums = np.bincount(cells, self.weight[entry], n_blocks * width).astype(np.float32).reshape(n_blocks, width)
+        if n:
+            often = np.flatnonzero((row >= 0) & (row < n))
+            row, block = row[often], block[often]
+            step = max(1, _CELLS // n)
+            for a in range(0, n_blocks, step):
+                size = min(step, n_blocks - a)
+                part = slice(*np.searchsorted(block, [a, a + size]))
+                counts = np.bincount((block[part] - a) * n + row[part], minlength=size * n)
+                sums[a : a + size] += counts.reshape(size, n).astype(np.float32) @ self.common
+        return sums
 
 
 @dataclass
@@ -73,6 +117,8 @@ class Index:
 
     items: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
+    places: list[dict[int, int]] = field(default_factory=list)  # of each word of an item, as bits
+    terms: list[np.ndarray] = field(default_factory=list)  # of each word of an item
     answers: list[int] = field(default_factory=list)  # words of the last sentence
     idf: np.ndarray = field(default_factory=lambda: np.zeros(TERMS))
     spaces: list[Space] = field(default_factory=list)
@@ -186,6 +232,8 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         own = slice(starts[k], starts[k + 1])
         index.items.append(int(items["item_id"].iloc[k]))
         index.words.append(words.hash[own])
+        index.places.append(places_of(words.hash[own]))
+        index.terms.append(_terms(words)[own])
         stops = [p for p in (text.rstrip(" .!?\n").rfind(c) for c in ".!?\n") if p >= 0]
         cut = offsets[k] + len(text[: max(stops)].lower().encode()) if stops else offsets[k]
         index.answers.append(int((words.start[own] >= cut).sum()))
@@ -201,28 +249,28 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
         block = rows[a : a + rank]
         used = np.unique(np.concatenate([terms for terms, _, _ in block]))
         basis = latent_basis(spark.createDataFrame([(x,) for x in passages[a : a + rank]], "text string"), idf, used, len(block))
-        order = np.argsort(-found[used], kind="stable")
-        row = np.full(TERMS, -1)
-        row[used[order]] = np.arange(len(used))
         latent = np.stack([weight @ basis[np.searchsorted(used, terms)] for terms, weight, _ in block])
         length = np.array([x for _, _, x in block], np.float32)
-        index.spaces.append(Space(np.array(of[a : a + rank]), row, (basis * idf[used, None])[order].astype(np.float32), latent.astype(np.float32), length))
+        index.spaces.append(Space.of(np.array(of[a : a + rank]), length, used, basis * idf[used, None], latent))
     return index
 
 
-def common_words(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence of two sequences of word hashes."""
+def places_of(item: np.ndarray) -> dict[int, int]:
+    """The places of each word of a sequence, as the bits of a number."""
     masks: dict[int, int] = {}
     for k, w in enumerate(item.tolist()):
         masks[w] = masks.get(w, 0) | 1 << k
-    full = (1 << len(item)) - 1
-    s = full
-    for w in text.tolist():
-        u = masks.get(w)
-        if u:
-            u &= s
-            s = (s + u | s - u) & full
-    return len(item) - s.bit_count()
+    return masks
+
+
+def common_words(places: dict[int, int], n: int, text: list[int], skip: int = 0) -> int:
+    """Length of the longest common subsequence of a text and a sequence of n words without its first ``skip``."""
+    hits = [m for w in text if (m := places.get(w, 0) >> skip)]
+    full = s = (1 << n - skip) - 1
+    for m in hits:
+        u = m & s
+        s = (s + u | s - u) & full
+    return n - skip - s.bit_count()
 
 
 def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,13 +285,12 @@ def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.
     terms = _terms(words)
     block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
     norms = np.bincount(block, index.idf[terms] ** 2, len(first))
-    square = _windows(norms, block_doc)
+    norm = np.sqrt(np.maximum(_windows(norms, block_doc), 1e-12)).astype(np.float32)
     parts = []
     for space in index.spaces:
-        inner = _windows(_latent(terms, block, len(first), space), block_doc) @ space.latent.T
-        cosine = inner / np.sqrt(np.maximum(square, 1e-12))[:, None]
-        at, item = np.nonzero((cosine >= CANDIDATE) | (inner >= CONTAINED * space.length))
-        parts.append((first[at], space.items[item], cosine[at, item]))
+        inner = _windows(space.inner(terms, block, len(first)), block_doc)
+        at, item = np.nonzero(inner >= np.minimum((CANDIDATE * norm)[:, None], CONTAINED * space.length))
+        parts.append((first[at], space.items[item], inner[at, item] / norm[at]))
     at, item, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
     best = np.lexsort([-cosine, item, at])
     at, item, cosine = at[best], item[best], cosine[best]
@@ -261,31 +308,11 @@ def _windows(blocks: np.ndarray, block_doc: np.ndarray) -> np.ndarray:
     return whole
 
 
-def _latent(terms: np.ndarray, block: np.ndarray, n_blocks: int, space: Space) -> np.ndarray:
-    """Sums of the latent vectors of each block's words."""
-    row = space.row[terms]
-    known = np.flatnonzero(row >= 0)
-    row, block = row[known], block[known]
-    sums = np.zeros((n_blocks, space.basis.shape[1]), np.float32)
-    n = min(_FREQUENT, len(space.basis))
-    for a in range(0, n_blocks, _BLOCKS):
-        part = slice(*np.searchsorted(block, [a, a + _BLOCKS]))
-        often = row[part] < n
-        size = min(_BLOCKS, n_blocks - a)
-        counts = np.bincount((block[part][often] - a) * n + row[part][often], minlength=size * n)
-        sums[a : a + size] = counts.reshape(size, n).astype(np.float32) @ space.basis[:n]
-    row, block = row[row >= n], block[row >= n]
-    for a in range(0, len(row), _AT_ONCE):
-        part, of = row[a : a + _AT_ONCE], block[a : a + _AT_ONCE]
-        head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        sums[of[head]] += np.add.reduceat(space.basis[part], head, axis=0)
-    return sums
-
-
 def matches(docs: DataFrame, index: Index, keep: list[str | Column]) -> DataFrame:
     """``keep`` columns of docs and ``found``: the items in the column text, with their evidence; no shuffle.
 
-    found is an array of (item_id, cosine, item_share, answer_share), one for each item.
+    found is an array of (item_id, cosine, item_share, answer_share), one for each item. A kept
+    column of that name gives way.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index)
     struct = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("item_share", pa.float64()), ("answer_share", pa.float64())]))
@@ -297,6 +324,7 @@ def matches(docs: DataFrame, index: Index, keep: list[str | Column]) -> DataFram
         for i, j in chunks(offsets):
             words = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             ends = np.cumsum(words.counts)
+            terms, seen_terms = _terms(words), np.zeros(TERMS, bool)
             best: dict[tuple[int, int], dict] = {}
             seen: set[tuple[int, int, int]] = set()
             for first, item, cosine in zip(*(x.tolist() for x in candidates(words, index)), strict=True):
@@ -310,11 +338,16 @@ def matches(docs: DataFrame, index: Index, keep: list[str | Column]) -> DataFram
                 if (item, a, b) in seen:
                     continue  # the same text, and a cosine that is no better
                 seen.add((item, a, b))
-                near = words.hash[a:b]
-                share = common_words(own, near) / len(own)
+                seen_terms[terms[a:b]] = True
+                present = np.count_nonzero(seen_terms[index.terms[item]])
+                seen_terms[terms[a:b]] = False
+                if present < ITEM_SHARE * len(own):
+                    continue  # so many of its words are not there at all that no order can have enough
+                near, places = words.hash[a:b].tolist(), index.places[item]
+                share = common_words(places, len(own), near) / len(own)
                 if share < ITEM_SHARE:
                     continue
-                answered = common_words(own[len(own) - answer :], near) / answer if answer else 1.0
+                answered = common_words(places, len(own), near, skip=len(own) - answer) / answer if answer else 1.0
                 if answered < ANSWER_SHARE:
                     continue
                 row = {"item_id": index.items[item], "cosine": min(1.0, cosine), "item_share": share, "answer_share": answered}

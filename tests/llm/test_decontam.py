@@ -1,9 +1,11 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from graphloom.llm import decontam, queries
+from graphloom.llm.textvec import Tokens, utf8
 
 
 def words(text):
@@ -139,3 +141,62 @@ def test_exact_copies_of_long_items(spark):
     index = decontam.build(d, b)
     rows = [(r.doc_id, f.item_id, f.item_share) for r in decontam.matches(d, index, ["doc_id"]).collect() for f in r.found]
     assert {r[:2] for r in rows} == want and all(r[2] == 1 for r in rows)
+
+
+def test_common_words_against_dynamic_programming():
+    rng = random.Random(12)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randint(1, 16))] for _ in "ab")
+        skip = rng.randrange(len(a))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) - skip + 1)]
+        for i, x in enumerate(a[skip:]):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert decontam.common_words(decontam.places_of(np.array(a, np.uint64)), len(a), b, skip) == best[-1][-1]
+
+
+def test_candidates_against_brute_force(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(60)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = decontam.build(docs, items)
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(120).collect()]
+    data, offsets = utf8(pa.array([t.lower() for t in texts], pa.string()))
+    words = Tokens(data, offsets)
+    terms = decontam._terms(words)
+    passages = [Counter(t.tolist()) for t in index.terms]
+    lengths = [np.sqrt(sum((n * index.idf[t]) ** 2 for t, n in p.items())) for p in passages]
+    want, near, start = {}, set(), 0
+    for n in words.counts:
+        for a in range(start, start + n, decontam.BLOCK):
+            window = Counter(terms[a : min(a + decontam.BLOCK * decontam.WINDOW, start + n)].tolist())
+            flat = np.sqrt(sum(c * index.idf[t] ** 2 for t, c in window.items()))  # of the words as if none were repeated
+            for k, (p, length) in enumerate(zip(passages, lengths, strict=True)):
+                inner = sum(c * p[t] * index.idf[t] ** 2 for t, c in window.items() if t in p) / length
+                bound = min(decontam.CANDIDATE * flat, decontam.CONTAINED * length)
+                if inner >= bound:
+                    want[a, k] = inner / flat
+                if abs(inner - bound) < 1e-3 * bound:
+                    near.add((a, k))
+        start += n
+    at, item, cosine = decontam.candidates(words, index)
+    got = {(a, k): c for a, k, c in zip(at.tolist(), item.tolist(), cosine.tolist(), strict=True)}
+    assert want and got.keys() ^ want.keys() <= near
+    assert all(abs(got[x] - want[x]) < 1e-3 for x in got.keys() & want.keys())
+
+
+def test_recall_of_items_with_words_swapped(spark):
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(14, 59))] for _ in range(300)]
+    docs = []
+    for item in items:
+        swapped = [rng.choice(vocabulary) if rng.random() < 0.25 else w for w in item]
+        text = [rng.choice(vocabulary) for _ in range(120)]
+        at = rng.randrange(120)
+        text[at:at] = swapped
+        docs.append((len(docs), " ".join(text)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, f.item_id) for r in decontam.matches(d, decontam.build(d, b), ["doc_id"]).collect() for f in r.found}
+    assert len(got & {(k, k) for k in range(300)}) >= 0.9 * 300
+    assert all(a == b for a, b in got)
