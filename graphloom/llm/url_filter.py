@@ -28,7 +28,6 @@ RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
     ("block", "net/de/"),
-    ("allow", "example.net/de/"),
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )

@@ -5,6 +5,14 @@ import pytest
 from graphloom.llm import queries, url_filter
 
 
+#: The contract's five rules, written out.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def test_rules():
+    assert list(url_filter.RULES) == RULES
+
+
 def brute(pages):
     """pages: (id, url, html). (id, host, path, rule, verdict) by the definitions, with plain loops."""
     rows = []
@@ -14,7 +22,7 @@ def brute(pages):
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = "".join(c.lower() if c.isascii() else c for c in host)
         fits = []
-        for verdict, rule in url_filter.RULES:
+        for verdict, rule in RULES:
             name, _, start = rule.partition("/")
             if (host == name or host.endswith("." + name)) and path.startswith("/" + start):
                 fits.append((len(rule), len(name), verdict == "allow", rule, verdict))
