@@ -152,8 +152,9 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     The edited text has its last half replaced by the beginning of the next document by id, the
     last document's by that of the first. One range shuffle of the texts.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.col("doc_id").cast("long"), "text")
-    laid = ordered_with_edges(rows, ["at"], ["text"], wrap=True)
+    # Rows of one id, or without one, are dealt by their texts, so that they don't make one partition.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long"), "text")
+    laid = ordered_with_edges(rows, ["at", "tie"], ["text"], wrap=True)
     return laid.select("doc_id", "text", "role").mapInArrow(_against_next, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
