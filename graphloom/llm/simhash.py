@@ -18,17 +18,14 @@ ignored. The longest text bounds a task's memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .textvec import release
+from .common import checkpointed, map_text, unpacked, whole
 
 SEED = 42
 #: Differing bits of a link. Up to 3, a resident meets all visitors. For 4 and 5, a segment has at
@@ -40,6 +37,9 @@ PAIRS_AT_ANCHOR = 1 << 14
 #: Residents, and visitors, of a cell.
 CELL = 1024
 
+#: Ids of documents that may go up to which they are broadcast (9 bytes each).
+BROADCAST_IDS = 2_000_000
+
 _SEGMENT = (1 << 31) - 1
 #: Bits of a segment whose position, counted from 1, has bit k set: the parity checks of the code.
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5)]
@@ -60,16 +60,13 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
     return int(np.packbits(set_in * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and fingerprint (a signed long) of each document; no shuffle."""
+def fingerprints(docs: DataFrame, shingle: int, keep: list[str | Column] | None = None) -> DataFrame:
+    """doc_id (or the columns ``keep``) and fp, the fingerprint as a signed long, of each document; no shuffle."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint_of(t.as_py(), shingle) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64())], ["doc_id", "fp"])
-        release()
+    def of(text: pa.Array) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint_of(t.as_py(), shingle) for t in text], np.uint64).view(np.int64), pa.int64())]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp long")
+    return map_text(docs, keep or [F.col("doc_id").cast("long").alias("doc_id")], "fp long", of)
 
 
 def _residents(fps: DataFrame) -> DataFrame:
@@ -173,14 +170,26 @@ def deduplicated(docs: DataFrame, shingle: int = 5, threshold: int = MOST) -> Da
     """The columns of docs, one row for each component: that of its least id.
 
     With five-word shingles, five bits are the distance expected at a Jaccard similarity of about
-    0.95; below 0.8 a pair seldom links. Rows of equal id and text count as one. A row without an
-    id cannot be named and stays.
+    0.95; below 0.8 a pair seldom links. Rows of equal id and text count as one; of rows with equal
+    ids and other texts each is judged by its own component. A row without an id cannot be named
+    and stays. Extra columns pass, whatever their names.
+
+    Ids travel, not texts: those of rows that may go are broadcast, up to BROADCAST_IDS of them;
+    beyond that the texts are joined with them by a shuffle.
     """
+    own = F.col("doc.doc_id").cast("long")
     found = checkpointed(near_duplicates(docs, shingle, threshold).where(F.col("doc_id").isNotNull()))
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
-    again = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")))
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, kept["doc_id"] == F.col("_id"), "left_anti").unionByName(repeated)
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("most"), F.min("component_id").alias("least"))
+    ids = checkpointed(ids.where("n > 1 or least <> doc_id").select(F.col("doc_id").alias("id"), (F.col("n") > 1).alias("again")))
+    sizes = {r["again"]: r["count"] for r in ids.groupBy("again").count().collect()}
+    marked = F.broadcast(ids) if sum(sizes.values()) <= BROADCAST_IDS else ids
+    rows = docs.select(whole(docs))
+    kept = rows.join(marked, own == F.col("id"), "left_anti")
+    if sizes.get(True):
+        # Repeated ids are few, or the same row again: their fingerprints say which component a row is in.
+        repeated = rows.join(marked.where("again"), own == F.col("id"), "left_semi")
+        judged = fingerprints(repeated.select("doc", F.col("doc.text").alias("text")), shingle, ["doc"])
+        heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("id"), F.col("fp").alias("head")).distinct()
+        stays = judged.join(heads, (own == F.col("id")) & (F.col("fp") == F.col("head")), "left_semi")
+        kept = kept.unionByName(stays.withColumn("id", F.col("doc.doc_id")).withColumn("text", F.col("doc.text")).dropDuplicates(["id", "text"]).select("doc"))
+    return unpacked(kept, docs.columns)

@@ -12,6 +12,7 @@ a task's memory.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_text
+from .common import bounded_sample, checkpointed, map_text
 from .textvec import Tokens, chunks, lowered, mix, span_hash, utf8
 
 #: Labelled rows for each label that are learned from.
@@ -110,10 +111,31 @@ def _learn(docs: np.ndarray, terms: np.ndarray, y: np.ndarray, weight: np.ndarra
     return Model(kinds[good], params[1], params[2], float(params[0][0]))
 
 
+def _chosen(held: DataFrame) -> np.ndarray:
+    """The TERMS terms (sorted) of LEAST documents or more that differ most between the labels, counted in Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(t.as_py(), np.uint32) for t in batch["terms"]]
+            y = np.repeat(np.asarray(batch["_label"].to_pylist(), np.int64), [len(t) for t in found])
+            kinds, at = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(np.bincount(at, minlength=len(kinds))), pa.array(np.bincount(at, y, len(kinds)).astype(np.int64))], ["term", "n", "pos"])
+
+    size = held.agg(F.count("*").alias("total"), F.coalesce(F.sum("_label"), F.lit(0)).alias("yes")).first()
+    if not size["total"]:
+        return np.zeros(0, np.uint32)
+    total, yes = float(size["total"]), float(size["yes"])
+    p = F.col("n") / total
+    chi = F.pow(F.col("pos") - p * yes, 2) / F.greatest(F.lit(1e-9), p * (1 - p) * (yes * (total - yes) / total))
+    sums = held.mapInArrow(count, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST)
+    best = sums.select("term", chi.alias("chi")).orderBy(F.col("chi").desc(), "term").limit(TERMS).toPandas()
+    return np.sort(best["term"].to_numpy().astype(np.uint32))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learn ``label`` (0 or 1) of labelled documents from a bounded sample.
 
-    Executors send hashed terms, not texts. Rows are weighted so that the scores follow the share
+    Executors send the hashes of chosen terms, not texts. Rows are weighted so that the scores follow the share
     of the labels before sampling.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
@@ -129,7 +151,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             out += [t.tobytes() for t in np.split(term[order], np.searchsorted(doc[order], np.arange(1, j - i)))]
         return [pa.array(out, pa.binary())]
 
-    table = map_text(texts, ["doc_id", "_label"], "terms binary", hashed).toPandas().sort_values(["doc_id", "_label", "terms"])
+    held = checkpointed(map_text(texts, ["doc_id", "_label"], "terms binary", hashed))
+    chosen_terms = _chosen(held)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(t.as_py(), np.uint32) for t in batch["terms"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_label"], pa.array([t[_within(t, chosen_terms)].tobytes() for t in found], pa.binary())], ["doc_id", "_label", "terms"])
+
+    table = held.mapInArrow(kept, held.schema).toPandas().sort_values(["doc_id", "_label", "terms"])
     if table.empty:
         return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, LATENT)), -30.0)
     counts = {r["_label"]: r["count"] for r in known.where("doc_id is not null").groupBy("_label").count().collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,20 @@ def posteriors(logs: DataFrame, keys: list[str], log_score: str) -> DataFrame:
     w = Window.partitionBy(*keys)
     e = F.exp(F.col(log_score) - F.max(log_score).over(w))
     return logs.withColumn("posterior", e / F.sum(e).over(w))
+
+
+def recognised(fields: DataFrame, concepts: list[str], embed: Callable[[Column], Column]) -> DataFrame:
+    """field, concept, score: the concept whose embedding is nearest, its cosine mapped to 0 to 1; the name breaks ties.
+
+    ``embed`` makes a vector (array of doubles) from a text column; ``concepts`` is a declared list.
+    """
+    pairs = fields.select("field", embed(F.col("field")).alias("_x"), F.explode(F.array(*[F.lit(c) for c in concepts])).alias("concept"))
+    score = F.round((1 + cosine(F.col("_x"), embed(F.col("concept")))) / 2, 6)
+    return top_k(pairs.select("field", "concept", score.alias("score")), ["field"], [F.col("score").desc(), F.col("concept")], 1).select("field", "concept", "score")
+
+
+def correction_rules(reviews: DataFrame, recurring: int) -> DataFrame:
+    """rule, times, mappings of corrections and rejections that recur. ``reviews``: mapping, wrote, decision, kept."""
+    corrected = reviews.where("decision = 'Corrected' and wrote <> kept").select("mapping", F.concat(F.lit("Instead of "), "wrote", F.lit(", write "), "kept").alias("rule"))
+    rejected = reviews.where("decision = 'Rejected'").select("mapping", F.concat(F.lit("Do not write "), "wrote").alias("rule"))
+    return corrected.unionByName(rejected).groupBy("rule").agg(F.count("*").alias("times"), F.count_distinct("mapping").alias("mappings")).where(F.col("times") >= recurring)
