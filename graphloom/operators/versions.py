@@ -22,12 +22,6 @@ def last_event(events: DataFrame, keys: list[str], order: list[str], kind: str,
     return events.groupBy(*keys).agg(F.max_by(kind, F.struct(*order)).alias("_k")).where(F.col("_k") != gone).select(*keys)
 
 
-def state_digest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, digest: SHA-256 over the sorted lines of each key."""
-    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
-
-
 def gaps(receipts: DataFrame, key: str, seq: str) -> DataFrame:
     """Keys whose receipts skip numbers between their first and last, with how many are missing."""
     g = receipts.groupBy(key).agg(F.min(seq).alias("low"), F.max(seq).alias("high"), F.count_distinct(seq).alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, relational
+from graphloom.operators import graph, paths, relational
+from graphloom.sources.shared import scratch
 from graphloom.sources.store import digest_tree, digest_tree_sql
 from graphloom.sources.tables import EDGES, PATHS, POSTINGS, QUADS, Tables, cents
 
@@ -72,15 +73,24 @@ def src_json_path(t: Tables) -> DataFrame:
 
 @query("""SELECT 'R' || r_regionkey AS s, r_name AS name FROM region WHERE r_name IS NOT NULL""")
 def src_xml_path(t: Tables) -> DataFrame:
-    doc = F.concat(F.lit("<region><id>R"), F.col("r_regionkey").cast("string"), F.lit('</id><name lang="en">'), "r_name", F.lit("</name></region>"))
-    parsed = t.region.select(doc.alias("x"))
-    return parsed.select(F.xpath_string("x", F.lit("/region/id")).alias("s"), F.xpath_string("x", F.lit("/region/name")).alias("name"))
+    """Records of an XML file, read by paths: a child, an attribute and a text."""
+    name = F.struct(F.lit("en").alias("_lang"), F.col("r_name").alias("_VALUE"))
+
+    def build() -> DataFrame:
+        return t.region.select(F.struct(F.concat(F.lit("R"), "r_regionkey").alias("id"), name.alias("name")).alias("region")).select("region.*")
+
+    folder = f"{scratch(t.spark)}/regions.xml"
+    build().write.option("rowTag", "region").option("rootTag", "regions").xml(folder)
+    rows = t.spark.read.option("rowTag", "region").schema("id string, name struct<_lang:string,_VALUE:string>").xml(folder)
+    return rows.select(F.col("id").alias("s"), F.col("name._VALUE").alias("name")).where("name is not null")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def src_csv(t: Tables) -> DataFrame:
-    lines = t.nation.select(F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit('"')), F.col("n_regionkey").cast("string")).alias("line"))
-    return lines.select(F.from_csv("line", "n_nationkey int, n_name string, n_regionkey int").alias("r")).select("r.*")
+    """Records of a CSV file with a header and quoted texts."""
+    folder = f"{scratch(t.spark)}/nations.csv"
+    t.nation.select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).option("quoteAll", True).csv(folder)
+    return t.spark.read.option("header", True).schema("n_nationkey int, n_name string, n_regionkey int").csv(folder)
 
 
 @query(f"""WITH {QUADS} SELECT '<urn:' || s || '> <urn:' || p || '> ' || CASE WHEN o_kind = 'iri' THEN '<urn:' || o || '>' ELSE '"' || o || '"^^<urn:' || o_dt || '>' END || ' .' AS line
@@ -502,3 +512,23 @@ def graph_topo(t: Tables) -> DataFrame:
 @query(f"""WITH RECURSIVE {EDGES}, l AS (SELECT 'R1' AS node, 0 AS round UNION ALL SELECT e.child, l.round + 1 FROM l JOIN edge e ON e.parent = l.node) SELECT node, round FROM l""")
 def graph_impacted(t: Tables) -> DataFrame:
     return graph.reachable(t.account_edges(), t.values([("R1",)], "node string"), "parent", "child")
+
+
+STATES = [("customer", "partOf", "nation"), ("nation", "partOf", "region"), ("region", "^partOf", "nation")]
+
+
+@query(f"""WITH {QUADS}, up AS (SELECT a.s AS a, b.o AS r FROM quad a JOIN quad b ON b.s = a.o AND b.p = 'partOf' WHERE a.p = 'partOf') SELECT DISTINCT a, r AS b FROM up""")
+def path_elimination(t: Tables) -> DataFrame:
+    """A graph of states made one path, customer to region with the way back as a loop, and the pairs that it joins."""
+    q = t.quads()
+    path = paths.eliminated(STATES, "customer", "region")
+    found = paths.pairs(path, q.select("s", "p", "o"), q.select(F.col("s").alias("node")).distinct())
+    return found.where("a like 'C%' and b like 'R%'").select("a", "b")
+
+
+@query(f"""WITH {QUADS} SELECT DISTINCT a.s AS a, c.s AS b FROM quad a JOIN quad c ON c.o = a.o AND c.p = 'segment' AND c.s < 'C2' WHERE a.p = 'segment' AND a.s < 'C2'""")
+def path_injected(t: Tables) -> DataFrame:
+    """Steps in a caller's own path language: > follows a property, < goes back along it."""
+    q = t.quads().where("s < 'C2'")
+    path = paths.parsed(">segment/<segment", lambda name: ("step" if name[0] == ">" else "back", name[1:]))
+    return paths.pairs(path, q.select("s", "p", "o"), q.select(F.col("s").alias("node")).distinct()).select("a", "b")

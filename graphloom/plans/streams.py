@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import fold, graph, paths
+from graphloom.sources.shared import scratch
 from graphloom.sources.tables import Tables
 from graphloom.streaming import log
 
@@ -68,3 +70,115 @@ def stream_timeout(t: Tables) -> DataFrame:
 @query("""WITH o AS (SELECT user_id, min(event_id) AS opened FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT user_id, event_id AS seq, greatest(opened, event_id) AS released_by FROM events JOIN o USING (user_id) WHERE event_type = 'purchase'""")
 def stream_pending(t: Tables) -> DataFrame:
     return log.collected(log.pending(events_stream(t), "user_id", "event_id", "event_type", "signup", "purchase"), "append")
+
+
+@query("SELECT event_id, event_id % 3 AS part FROM events")
+def stream_retry(t: Tables) -> DataFrame:
+    """The first attempt of every batch fails; each is written again in its place and no row is lost or doubled."""
+
+    def fault(batch: int, attempt: int) -> None:
+        if attempt == 0:
+            raise OSError(f"batch {batch} fails once")
+
+    folder = log.split(t.events.select("event_id", (F.col("event_id") % 3).alias("k")), F.col("k"), 3)
+    return log.collected(log.stream_of_folder(t.spark, folder, 1), "append", attempts=3, fault=fault).select("event_id", F.col("k").alias("part"))
+
+
+@query("SELECT 4 AS files, 4 AS batches, count(*) AS rows FROM events")
+def stream_backpressure(t: Tables) -> DataFrame:
+    """A reader that asks for one file at a time gets a batch for each file."""
+    folder = log.split(t.events.select("event_id"), F.col("event_id") % 4, 4)
+    out = log.collected(log.stream_of_folder(t.spark, folder, 1), "append", number=True)
+    return out.agg(F.lit(4).alias("files"), F.count_distinct("batch").cast("int").alias("batches"), F.count("*").alias("rows"))
+
+
+@query("SELECT user_id AS producer, count(*) AS kept, count(*) + count(*) FILTER (WHERE event_id % 3 = 0) AS sent FROM events GROUP BY 1")
+def stream_producer_dedup(t: Tables) -> DataFrame:
+    """A producer that fails over sends a third of its messages again under their numbers; each is kept once."""
+    e = t.events.select("user_id", "event_id", "ts")
+    sent = e.withColumn("k", F.lit(0)).unionByName(e.where("event_id % 3 = 0").withColumn("k", F.lit(1)))
+    stream = log.stream_of_folder(t.spark, log.split(sent, F.col("k"), 2), 1).withColumn("at", F.col("ts").cast("timestamp"))
+    kept = log.collected(log.first_of_each(stream, "event_id", "at", "60 days").select("user_id", "event_id"), "append").groupBy("user_id").agg(F.count("*").alias("kept"))
+    return kept.join(sent.groupBy("user_id").agg(F.count("*").alias("sent")), "user_id").select(F.col("user_id").alias("producer"), "kept", "sent")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS deliveries, 1 AS applied FROM events")
+def stream_outbox(t: Tables) -> DataFrame:
+    """A relay crashes after it published the even messages and before it marked them; all are delivered, and applied once."""
+    outbox, state = t.events.select("event_id", "event_type"), scratch(t.spark)
+    log.relay(outbox.where("event_id % 2 = 0"), state, crash=True)
+    log.relay(outbox, state)
+    log.relay(outbox, state)
+    delivered = t.spark.read.parquet(f"{state}/log").groupBy("event_id").agg(F.count("*").cast("int").alias("deliveries"))
+    applied = t.spark.read.parquet(f"{state}/log").dropDuplicates(["event_id"]).groupBy("event_id").agg(F.count("*").cast("int").alias("applied"))
+    return delivered.join(applied, "event_id")
+
+
+@query("""WITH h AS (SELECT o_custkey AS root, count(*) AS seq FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), w AS (SELECT event_id AS txn, user_id AS root, event_id % 6 AS expected FROM events),
+j AS (SELECT w.*, coalesce(seq, 0) AS seq, row_number() OVER (PARTITION BY root, expected ORDER BY txn) AS k FROM w LEFT JOIN h USING (root))
+SELECT txn, root, CASE WHEN expected <> seq THEN 'conflict' WHEN k = 1 THEN 'applied' ELSE 'lost' END AS outcome, CASE WHEN expected = seq AND k = 1 THEN seq + 1 END AS seq FROM j""")
+def stream_guarded_write(t: Tables) -> DataFrame:
+    """Writes of a stream against the revisions that they expect."""
+    heads = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("root")).agg(F.count("*").alias("seq"))
+    folder = log.split(t.events.select(F.col("event_id").alias("txn"), F.col("user_id").alias("root"), (F.col("event_id") % 6).alias("expected")), F.lit(0), 1)
+    return log.guarded_writes(log.stream_of_folder(t.spark, folder, 1), heads)
+
+
+LEASE_S = 432_000
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST('' AS VARCHAR) AS action, false AS held, CAST(0 AS BIGINT) AS beat FROM events
+UNION ALL SELECT user_id, i, event_id, CASE WHEN event_type = 'signup' THEN CASE WHEN live THEN 'busy' WHEN held THEN 'taken again' ELSE 'taken' END WHEN NOT live THEN 'stray'
+ WHEN event_type = 'click' THEN 'beat' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' THEN 'requeued' ELSE 'stray' END AS action,
+ CASE WHEN event_type = 'signup' THEN true WHEN live AND event_type NOT IN ('purchase', 'error') THEN true ELSE false END AS held, CASE WHEN event_type = 'click' AND live OR event_type = 'signup' AND NOT live THEN moment ELSE beat END AS beat
+FROM (SELECT r.user_id, o.i, o.event_id, o.event_type, o.moment, r.held, r.beat, r.held AND o.moment - r.beat <= {LEASE_S * 1_000_000} AS live FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+SELECT event_id, action FROM r WHERE i > 0""")
+def stream_jobs(t: Tables) -> DataFrame:
+    """A consumer with one job in hand: taken, kept by heartbeats, done or given back; without a beat for the lease it is lost and may be taken again."""
+
+    def step(state: tuple, row: tuple) -> tuple:
+        held, beat = state
+        event, kind, at = row
+        live = held and at - beat <= LEASE_S * 1_000_000
+        if kind == "signup":
+            action = "busy" if live else "taken again" if held else "taken"
+        elif not live:
+            action = "stray"
+        else:
+            action = {"click": "beat", "purchase": "done", "error": "requeued"}.get(kind, "stray")
+        now = kind == "signup" or live and kind not in ("purchase", "error")
+        beat = at if kind == "click" and live or kind == "signup" and not live else beat
+        return (now, beat), (event, action)
+
+    rows = t.events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return fold.ordered_fold(rows, ["user_id"], ["event_id"], ["event_id", "event_type", "at"], lambda row: (False, 0), step, "event_id long, action string")
+
+
+PROTOCOL = "(VALUES ('ask', 'open', 'send', 'wait'), ('ask', 'wait', 'recv', 'open'), ('ask', 'wait', '', 'idle'), ('ask', 'idle', '', 'rest'), ('spin', 'a', '', 'b'), ('spin', 'b', '', 'a'), ('spin', 'b', 'send', 'c'), ('loop', 'x', '', 'x'))"
+MOVED = [("ask", "open", "send", "wait"), ("ask", "wait", "recv", "open"), ("ask", "wait", "", "idle"), ("ask", "idle", "", "rest"), ("spin", "a", "", "b"), ("spin", "b", "", "a"), ("spin", "b", "send", "c"), ("loop", "x", "", "x")]
+
+
+@query(f"""WITH RECURSIVE m(protocol, state, event, next) AS {PROTOCOL}, e AS (SELECT protocol || '/' || state AS a, protocol || '/' || next AS b FROM m WHERE event = ''), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node FROM r WHERE a = b""")
+def protocol_contractive(t: Tables) -> DataFrame:
+    """States that come back to themselves without a message: the protocol is not contractive."""
+    moves = t.values(MOVED, "protocol string, state string, event string, next string")
+    silent = moves.where("event = ''").select(F.concat_ws("/", "protocol", "state").alias("child"), F.concat_ws("/", "protocol", "next").alias("parent"))
+    return graph.cyclic(silent)
+
+
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT n_regionkey AS a, n_nationkey % 7 AS b FROM nation WHERE n_nationkey % 7 <> n_regionkey), r AS (SELECT a, b FROM c UNION SELECT r.a, c.b FROM r JOIN c ON c.a = r.b) SELECT a AS node FROM r WHERE a = b""")
+def protocol_calls(t: Tables) -> DataFrame:
+    """Protocols that call themselves through others."""
+    calls = t.nation.select(F.col("n_regionkey").alias("child"), (F.col("n_nationkey") % 7).alias("parent")).where("child <> parent").distinct()
+    return graph.cyclic(calls)
+
+
+SUB = [("p", "0", "send", "1"), ("p", "1", "recv", "0"), ("p", "1", "stop", "2"), ("q", "0", "send", "1"), ("q", "1", "recv", "0"), ("w", "0", "send", "1"), ("w", "1", "call", "0")]
+
+
+@query("SELECT * FROM (VALUES ('p', 'q'), ('p', 'p'), ('q', 'q'), ('w', 'w')) v(sub, super)")
+def protocol_subtypes(t: Tables) -> DataFrame:
+    """Protocols that can stand for others: from the start on they accept all that the other does."""
+    moves = t.values(SUB, "protocol string, state string, event string, next string")
+    return paths.simulations(moves, "0")

@@ -8,13 +8,17 @@ restarted driver goes on from the last batch, and a batch written twice is writt
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from graphloom.operators import versions
 from graphloom.sources.shared import scratch
 
 
@@ -33,20 +37,85 @@ def stream_of(spark: SparkSession, folder: str, table: str, files_at_once: int =
     return rows.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else f.name for f in schema])
 
 
-def collected(stream: DataFrame, mode: str) -> DataFrame:
-    """All that the plan gives for the data at hand: the last complete result, or all appended rows."""
+def collected(stream: DataFrame, mode: str, attempts: int = 1, fault: Callable[[int, int], None] | None = None, number: bool = False) -> DataFrame:
+    """All that the plan gives for the data at hand: the last complete result, or all appended rows.
+
+    A batch that fails is written again in its place, up to ``attempts`` times, before the next one
+    begins, so that order is kept. ``fault(batch, attempt)`` is called before each write and may
+    raise, for trials. With ``number``, rows keep their batch's number.
+    """
     spark, folder = stream.sparkSession, scratch(stream.sparkSession)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # The batch's number names its folder: a repeated batch overwrites itself.
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        for attempt in range(attempts):
+            try:
+                if fault:
+                    fault(batch_id, attempt)
+                # The batch's number names its folder: a repeated batch overwrites itself.
+                batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+                return
+            except Exception:
+                if attempt + 1 == attempts:
+                    raise
+                time.sleep(min(1.0, 0.1 * 2**attempt))
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     if mode == "complete":
         out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
-    return out.drop("batch")
+    return out if number else out.drop("batch")
+
+
+def split(rows: DataFrame, part: Column, parts: int) -> str:
+    """A folder of ``parts`` tables, written one after the other by the number ``part``: files that a stream takes in turn."""
+    folder = scratch(rows.sparkSession)
+    for k in range(parts):
+        rows.where(part == k).coalesce(1).write.parquet(f"{folder}/part={k}")
+    return folder
+
+
+def stream_of_folder(spark: SparkSession, folder: str, files_at_once: int) -> DataFrame:
+    """The files of a folder's folders as a stream, so many at once: a reader asks for no more than that before it has written them."""
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder).drop("part")
+
+
+def relay(outbox: DataFrame, state: str, crash: bool = False) -> None:
+    """Publish the outbox's rows (id first) that are not marked as published, then mark them: at least once each.
+
+    A crash between the two leaves them unmarked, and the next run publishes them again.
+    """
+    spark, key = outbox.sparkSession, outbox.columns[0]
+    try:
+        marked = spark.read.parquet(f"{state}/marked")
+    except AnalysisException:
+        marked = outbox.select(key).limit(0)
+    pending = outbox.join(marked, key, "left_anti")
+    run = uuid.uuid4().hex
+    pending.write.parquet(f"{state}/log/run={run}")
+    if not crash:
+        spark.read.parquet(f"{state}/log").where(F.col("run") == run).select(key).write.mode("append").parquet(f"{state}/marked")
+
+
+def guarded_writes(stream: DataFrame, heads: DataFrame) -> DataFrame:
+    """txn, root, outcome, seq of writes (txn, root, expected): each batch reads the revisions, decides and writes new ones.
+
+    Revisions are snapshots by batch number in the shared folder, so that a repeated batch reads the
+    same ones and overwrites its own result.
+    """
+    spark, folder = stream.sparkSession, scratch(stream.sparkSession)
+    heads.select("root", "seq").write.parquet(f"{folder}/heads/v=0")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now = spark.read.parquet(f"{folder}/heads/v={batch_id}")
+        versions.compare_and_set(now, batch.select("txn", "root", "expected")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        won = spark.read.parquet(f"{folder}/out/batch={batch_id}").where("outcome = 'applied'").groupBy("root").agg(F.max("seq").alias("seq"))
+        now.join(won.select("root"), "root", "left_anti").unionByName(won).write.mode("overwrite").parquet(f"{folder}/heads/v={batch_id + 1}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 def first_of_each(stream: DataFrame, key: str, at: str, cap: str) -> DataFrame:
@@ -55,7 +124,8 @@ def first_of_each(stream: DataFrame, key: str, at: str, cap: str) -> DataFrame:
 
 
 def per_window(stream: DataFrame, at: str, width: str, cap: str, keys: list[str]) -> DataFrame:
-    """keys, start, n of tumbling windows; rows later than ``cap`` are dropped by the watermark."""
+    """keys, start, n of tumbling windows. In append mode a window is given once, when it is past the watermark by ``cap``, its
+    state goes, and rows that come later than that are dropped; in complete mode all windows stay."""
     g = stream.withWatermark(at, cap).groupBy(F.window(at, width).alias("w"), *keys).agg(F.count("*").alias("n"))
     return g.select(*keys, F.col("w.start").alias("start"), "n")
 
