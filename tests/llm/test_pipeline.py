@@ -69,3 +69,26 @@ def test_run_gives_the_packed_rows(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() == len(stages["packing"][1])
     assert langid.UNDETERMINED == "und"
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, odd, empty, sf_dir):
+    kept = {"language_id": 8, "line_dedup": 11, "near_dedup": 8, "decontamination": 11}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        labelled = odd.na.fill("en", ["lang"])
+        got = stage(spark, labelled, sf_dir)
+        assert got.columns == odd.columns
+        assert len(got.collect()) == kept[name], name
+        assert stage(spark, empty, sf_dir).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, odd, sf_dir).collect()} == {r.doc_id for r in odd.collect()}
+    assert corpus_pipeline.pack(spark, empty, sf_dir).count() == 0
+
+
+def test_rows_with_equal_ids_and_other_texts_are_judged_one_by_one(spark):
+    base = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, base), (5, base + " more"), (5, "a text of its own that nobody else has"), (5, "a text of its own that nobody else has")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:3]) for r in simhash.deduplicated(docs).collect()) == [(1, "w0 "), (5, "a t")]
+
+
+def test_many_ids_are_joined_without_broadcast(spark, monkeypatch, odd):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    assert sorted(str(r.doc_id) for r in simhash.deduplicated(odd).collect()) == sorted(["None", "1", "3", "4", "6", "7", "8", "9"])
