@@ -5,9 +5,13 @@ A condition's value is a nullable boolean (see functions.kleene); each result ca
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import kleene
+
 
 def interval(value: Column, unit: Column, intervals: list[tuple]) -> Column:
     """Whether a value lies in one of (lower, lower closed, upper, upper closed, unit); null without a value or a bound in its unit."""
@@ -60,14 +64,27 @@ def read_set(values: DataFrame, subjects: DataFrame, key: str, reading: str, clo
     return j.select(key, value.alias("value"))
 
 
-def profile(conditions: DataFrame, keys: list[str], aggregation: str) -> DataFrame:
-    """keys, value: AllRequired is a Kleene conjunction, AnySufficient a disjunction, of the column value."""
-    from graphloom.functions import kleene
+#: Ways to compose the conditions of a profile, by name; ``composition`` adds one.
+COMPOSITIONS: dict[str, Callable[[Column], Column]] = {"AllRequired": kleene.every, "AnySufficient": kleene.some}
+
+
+def composition(name: str) -> Callable:
+    """Register an aggregate of three-valued conditions as a way to compose them; a name can be taken once."""
 
-    if aggregation not in ("AllRequired", "AnySufficient"):
+    def register(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        if COMPOSITIONS.get(name, f) is not f:
+            raise ValueError(f"there is another composition {name}")
+        COMPOSITIONS[name] = f
+        return f
+
+    return register
+
+
+def profile(conditions: DataFrame, keys: list[str], aggregation: str) -> DataFrame:
+    """keys, value: AllRequired is a Kleene conjunction, AnySufficient a disjunction, of the column value; other registered ways as they say."""
+    if aggregation not in COMPOSITIONS:
         raise ValueError(f"unknown aggregation {aggregation}")
-    fold = kleene.every if aggregation == "AllRequired" else kleene.some
-    return conditions.groupBy(*keys).agg(fold(F.col("value")).alias("value"))
+    return conditions.groupBy(*keys).agg(COMPOSITIONS[aggregation](F.col("value")).alias("value"))
 
 
 def compare_sets(tested: DataFrame, reference: DataFrame, subjects: DataFrame, key: str, comparison: str, *, below: DataFrame | None = None, scheme: DataFrame | None = None, tested_closed: Column, reference_closed: Column, negated: bool = False) -> DataFrame:

@@ -82,15 +82,18 @@ def template(text: str) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def run(specs: list[Spec], table: Callable[[str], DataFrame], least: float = 0.0) -> DataFrame:
-    """s, p, o, mapping of the triples that specs of at least that confidence write; a triple with an unbound part is not written."""
+def run(specs: list[Spec], table: Callable[[str], DataFrame], least: float = 0.0, parse: Callable[[str], Column] = template) -> DataFrame:
+    """s, p, o, mapping of the triples that specs of at least that confidence write; a triple with an unbound part is not written.
+
+    ``parse`` reads the templates, so that a caller's own path language can stand in for them.
+    """
     out = None
     for spec in specs:
         if spec.confidence < least:
             continue
         rows = table(spec.source)
         rows = rows.where(spec.guard) if spec.guard else rows
-        made = rows.select(template(spec.subject).alias("s"), F.lit("type" if spec.predicate == "a" else spec.predicate).alias("p"), template(spec.value).alias("o"), F.lit(spec.name).alias("mapping")).where("s is not null and o is not null")
+        made = rows.select(parse(spec.subject).alias("s"), F.lit("type" if spec.predicate == "a" else spec.predicate).alias("p"), parse(spec.value).alias("o"), F.lit(spec.name).alias("mapping")).where("s is not null and o is not null")
         out = made if out is None else out.unionByName(made)
     if out is None:
         raise ValueError("no mapping is confident enough")
@@ -148,3 +151,53 @@ def violations(rows: DataFrame, focus: str, bounds: list[Bound]) -> DataFrame:
             raise ValueError(f"unknown kind of bound {b.kind}")
         broken.append(F.when(test, F.struct(F.lit(b.shape).alias("shape"), F.lit(b.kind).alias("kind"))))
     return rows.select(F.col(focus).alias("focus"), F.explode(F.array_compact(F.array(*broken))).alias("b")).select("b.shape", "b.kind", "focus")
+
+
+#: The terms by which a compiled mapping is exchanged as rows, with the fields that they carry.
+EXCHANGED = {"logicalSource": "source", "subjectTemplate": "subject", "predicate": "predicate", "objectTemplate": "value", "condition": "guard", "confidence": "confidence"}
+
+
+def exported(specs: list[Spec]) -> list[tuple[str, str, str]]:
+    """(mapping, term, value) rows of a compiled mapping; parts that are not given have no row."""
+    return [(s.name, term, str(getattr(s, name))) for s in specs for term, name in EXCHANGED.items() if getattr(s, name) is not None]
+
+
+def imported(rows: list[tuple[str, str, str]]) -> list[Spec]:
+    """The compiled mapping of such rows, in the order of its names. ValueError for an unknown term, a term twice or a missing part."""
+    found: dict[str, dict] = {}
+    for name, term, value in rows:
+        if term not in EXCHANGED or EXCHANGED[term] in found.setdefault(name, {}):
+            raise ValueError(f"{name} has an unknown or repeated term {term}")
+        found[name][EXCHANGED[term]] = float(value) if term == "confidence" else value
+    try:
+        return [Spec(name, **parts) for name, parts in sorted(found.items())]
+    except TypeError as e:
+        raise ValueError(f"a mapping lacks a part: {e}") from e
+
+
+def json_chain(fields: dict[str, Column], steps: list[tuple[str, dict | list]]) -> Column:
+    """A JSON object through a chain of steps: shift moves fields to dotted paths, modify computes, default fills, remove drops.
+
+    ``modify`` maps a path to a function of the column there; steps run in order at plan time, so
+    that the row costs one expression. Keys are sorted, no spaces, null fields left out.
+    """
+    now = dict(fields)
+    for kind, spec in steps:
+        if kind == "shift":
+            now = {spec.get(k, k): v for k, v in now.items() if spec.get(k, k) is not None}
+        elif kind == "modify":
+            now |= {k: f(now[k]) for k, f in spec.items() if k in now}
+        elif kind == "default":
+            now = {k: F.coalesce(v, F.lit(spec[k])) if k in spec else v for k, v in now.items()} | {k: F.lit(v) for k, v in spec.items() if k not in now}
+        elif kind == "remove":
+            now = {k: v for k, v in now.items() if k not in spec}
+        else:
+            raise ValueError(f"unknown step {kind}")
+
+    def nested(parts: dict[tuple[str, ...], Column]) -> Column:
+        heads: dict[str, dict] = {}
+        for path, v in parts.items():
+            heads.setdefault(path[0], {})[path[1:]] = v
+        return F.struct(*[(heads[h][()] if () in heads[h] else nested(heads[h])).alias(h) for h in sorted(heads)])
+
+    return F.to_json(nested({tuple(k.split(".")): v for k, v in now.items()}))

@@ -332,3 +332,16 @@ def kleene_information(t: Tables) -> DataFrame:
     pairs = t.values([(a, b) for a in (True, False, None) for b in (True, False, None)], "x boolean, y boolean")
     u = F.lit("u")
     return pairs.select(F.coalesce(F.col("x").cast("string"), u).alias("a"), F.coalesce(F.col("y").cast("string"), u).alias("b"), kleene.at_least_as_known(F.col("x"), F.col("y")).alias("below"))
+
+
+@eligibility.composition("Majority")
+def majority(value):
+    """Decided by more than half of all conditions, undetermined ones included in the whole."""
+    p, d, n = F.count_if(value), F.count_if(~value), F.count("*")
+    return F.when(2 * p > n, True).when(2 * d > n, False)
+
+
+@query(f"WITH {CONDITIONS} SELECT id, CASE WHEN 2 * count(*) FILTER (WHERE p) > count(*) THEN 'Permitted' WHEN 2 * count(*) FILTER (WHERE NOT p) > count(*) THEN 'Denied' ELSE 'Undetermined' END AS decision FROM cond GROUP BY id")
+def profile_custom(t: Tables) -> DataFrame:
+    """A profile composed in a way that the caller has registered."""
+    return eligibility.profile(conditions_of(t), ["id"], "Majority").select("id", kleene.decision(F.col("value")).alias("decision"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text
 from graphloom.operators import schemes
 from graphloom.operators.schemes import Bound, Spec
 from graphloom.sources.tables import Tables
@@ -79,3 +80,58 @@ def shapes_compiled(t: Tables) -> DataFrame:
     """Constraint frames compiled from a table of parameters."""
     bounds = [Bound("part", "p_name", "required"), Bound("part", "p_size", "most", 45), Bound("part", "p_type", "one_of", ("ECONOMY", "STANDARD", "PROMO")), Bound("name", "p_name", "pattern", "^[a-m]")]
     return schemes.violations(t.part, "p_partkey", bounds)
+
+
+def _exchanged(mapping: str, **parts: object) -> str:
+    return ", ".join(f"('{mapping}', '{term}', '{str(value).replace(chr(39), chr(39) * 2)}')" for term, value in parts.items())
+
+
+EXCHANGE = ", ".join([
+    _exchanged("customer-type", logicalSource="customer", subjectTemplate="urn:c/{c_custkey}", predicate="a", objectTemplate="Customer", confidence="1.0"),
+    _exchanged("customer-segment", logicalSource="customer", subjectTemplate="urn:c/{c_custkey}", predicate="segment", objectTemplate="{c_mktsegment}", condition="c_acctbal > 0", confidence="1.0"),
+    _exchanged("order-of", logicalSource="orders", subjectTemplate="urn:o/{o_orderkey}", predicate="of", objectTemplate="urn:c/{o_custkey}", condition="o_orderstatus <> 'P'", confidence="0.9"),
+    _exchanged("order-guess", logicalSource="orders", subjectTemplate="urn:o/{o_orderkey}", predicate="urgent", objectTemplate="{o_orderpriority}", confidence="0.2"),
+])
+
+
+@query(f"SELECT * FROM (VALUES {EXCHANGE}) v(mapping, term, value)")
+def scheme_exchange(t: Tables) -> DataFrame:
+    """A compiled mapping exported as rows, imported and exported again."""
+    rows = t.values(schemes.exported(PLAN), "mapping string, term string, value string")
+    again = schemes.imported([tuple(r) for r in rows.collect()])  # a declared plan: small
+    return t.values(schemes.exported(again), "mapping string, term string, value string")
+
+
+@query("SELECT 'o-' || o_orderkey AS s, 'by' AS p, 'c-' || o_custkey AS o FROM orders")
+def scheme_parse(t: Tables) -> DataFrame:
+    """A scheme whose values are written in a caller's path language, here prefix$column."""
+
+    def parse(text: str) -> Column:
+        prefix, _, name = text.partition("$")
+        return F.concat(F.lit(prefix), F.col(name).cast("string"))
+
+    return schemes.run([Spec("by", "orders", "o-$o_orderkey", "by", "c-$o_custkey")], lambda name: getattr(t, name), parse=parse).drop("mapping")
+
+
+@query("""SELECT event_id, '{"item":{"key":' || (CAST(json_extract_string(props, '$.k') AS INTEGER) + 1) || ',"kind":"' || upper(event_type) || '"},"source":"log"}' AS json FROM events""")
+def json_chain(t: Tables) -> DataFrame:
+    """Records through a chain of steps: shift, modify, default, remove."""
+    fields = {"k": F.from_json("props", "k int")["k"], "type": F.col("event_type"), "user": F.col("user_id")}
+    steps = [("shift", {"k": "item.key", "type": "item.kind"}), ("modify", {"item.key": lambda c: c + 1, "item.kind": F.upper}), ("default", {"source": "log"}), ("remove", ["user"])]
+    return t.events.select("event_id", schemes.json_chain(fields, steps).alias("json"))
+
+
+@query("""WITH a AS (SELECT c_custkey, r_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) SELECT region, c_mktsegment AS segment, count(*) AS n, true AS composes FROM a JOIN customer USING (c_custkey) GROUP BY ALL""")
+def surf_stacked(t: Tables) -> DataFrame:
+    """A surface over a surface: promoted regions, then counts by them; one step after the other gives what both at once give."""
+    place = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    promoted = place.select("c_custkey", F.col("r_name").alias("region"))
+    stacked = promoted.join(t.customer, "c_custkey").groupBy("region", F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    at_once = place.groupBy(F.col("r_name").alias("region"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("m"))
+    return stacked.join(at_once, ["region", "segment"], "full").select("region", "segment", "n", F.col("n").eqNullSafe(F.col("m")).alias("composes"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(text)) AS nfkc, sha256(replace(lower(text), 'ß', 'ss')) AS folded FROM documents WHERE text IS NOT NULL")
+def text_unicode_forms(t: Tables) -> DataFrame:
+    """Compatibility form and full case folding of all texts. SQL has the same for texts without compatibility characters, as the documents are."""
+    return t.documents.where("text is not null").select("doc_id", F.sha2(text.nfkc(F.col("text")), 256).alias("nfkc"), F.sha2(text.casefold(F.col("text")), 256).alias("folded"))

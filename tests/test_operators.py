@@ -2,11 +2,14 @@
 
 import itertools
 import random
+import unicodedata
 
 import pytest
 from graphloom.functions import digest, kleene, text
-from graphloom.operators import bindings, constraints, eligibility, graph, ledger, matching, relational, versions
+from graphloom.operators import bindings, constraints, eligibility, fold, graph, ledger, matching, operations, paths, relational, schemes, versions
 from graphloom.sources import terms
+from graphloom.sources.store import digest_tree
+from graphloom.streaming import log
 from pyspark.sql import functions as F
 
 
@@ -132,3 +135,119 @@ def test_words_and_similarities(spark):
     assert r.w == ["user", "name", "cat"] and abs(r.e - (1 - 3 / 7)) < 1e-9 and r.n == "é x"
     vec = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>").select(matching.cosine(F.col("a"), F.col("b")).alias("c")).collect()
     assert abs(vec[0].c - 0.5**0.5) < 1e-9 and vec[1].c is None
+
+
+def test_ordered_fold_keeps_order_and_state_by_key(spark):
+    rows = [(k % 3, i, i * k) for k in range(7) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, i long, v long")
+    got = fold.ordered_fold(df, ["k"], ["i"], ["i", "v"], lambda row: [0], lambda s, row: ([s[0] + row[1]], (row[0], s[0] + row[1])), "i long, total long").collect()
+    want = []
+    for k in range(3):
+        total = 0
+        for _, i, v in sorted(r for r in rows if r[0] == k):
+            total += v
+            want.append((i, total))
+    assert sorted((r.i, r.total) for r in got) == sorted(want)
+    assert fold.ordered_fold(df.limit(0), ["k"], ["i"], ["i"], lambda row: 0, lambda s, row: (s, row), "i long").count() == 0
+
+
+def test_clamped_folds_by_blocks_equal_plain_ones(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), i, rng.randint(-40, 40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i long, d long")
+    plain = ledger.stepwise(df, ["k"], ["i"], "d", F.lit(10), F.lit(60))
+    blocks = ledger.stepwise(df, ["k"], ["i"], "d", F.lit(10), F.lit(60), block=F.expr("i div 7"))
+    want, now = {}, {}
+    for k, i, d in rows:
+        now[k] = min(60, now.get(k, 10) + d)
+        want[i] = now[k]
+    assert {r.i: r.after for r in plain.collect()} == {r.i: r.after for r in blocks.collect()} == want
+    before = {r.i: r.before for r in ledger.steps(blocks, ["k"], ["i"], "after", F.lit(10), F.expr("i div 7")).collect()}
+    last = {}
+    for k, i, _ in rows:
+        assert before[i] == last.get(k, 10)
+        last[k] = want[i]
+
+
+def test_nested_limits_refuse_sets_that_cross(spark):
+    df = spark.createDataFrame([(1, "a", 1, 50), (1, "b", 2, 50)], "k long, p string, id long, wanted long")
+    with pytest.raises(ValueError, match="cross"):
+        ledger.nested_ration(df, [(["k", "p"], F.lit(10)), (["id"], F.lit(10))], [F.col("id")], "wanted")
+    got = ledger.nested_ration(df, [(["k", "p"], F.lit(40)), (["k"], F.lit(60))], [F.col("id")], "wanted")
+    assert {r.id: r.granted for r in got.collect()} == {1: 40, 2: 20}
+
+
+def test_flat_set_comparison(spark):
+    tested = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (3, "z")], "k long, offered string")
+    reference = spark.createDataFrame([(k, "x") for k in range(1, 5)], "k long, reference string")
+    subjects = spark.createDataFrame([(k,) for k in range(1, 5)], "k long")
+
+    def read(comparison, closed, fixed):
+        return {r.k: (r.value, r.diagnostic, r.closures) for r in eligibility.compare_sets(tested, reference, subjects, "k", comparison, tested_closed=F.lit(closed), reference_closed=F.lit(fixed)).collect()}
+
+    assert read("Subset", True, True) == {1: (False, None, "reference"), 2: (True, None, "tested"), 3: (False, None, "reference"), 4: (None, "MissingCandidate", "")}
+    assert read("Intersects", True, False) == {1: (True, None, ""), 2: (True, None, ""), 3: (None, "NoClosureLicence", ""), 4: (None, "MissingCandidate", "")}
+    assert read("Disjoint", True, True)[3] == (True, None, "reference tested")
+    with pytest.raises(ValueError, match="unknown"):
+        read("Equal", True, True)
+
+
+def test_stored_plans_are_held_against_their_digest():
+    specs = [schemes.Spec("a", "t", "urn:{x}", "a", "T"), schemes.Spec("b", "t", "urn:{x}", "p", "{y}", "y > 0", 0.5)]
+    plan, digest = schemes.stored(specs)
+    assert schemes.read_back(plan, digest) == specs and schemes.imported(schemes.exported(specs)) == specs
+    with pytest.raises(ValueError, match="digest"):
+        schemes.read_back(plan + " ", digest)
+    with pytest.raises(ValueError, match="term"):
+        schemes.imported([("a", "color", "red")])
+    with pytest.raises(ValueError, match="lacks"):
+        schemes.imported([("a", "predicate", "p")])
+
+
+def test_operations_that_a_rule_refuses_are_not_rendered():
+    for kind, build in operations.BUILDERS.items():
+        assert operations.refusals(build("x", "t", "id", {"v": "long"})) == [], kind
+    with pytest.raises(ValueError, match="ReplaceWithoutSeq"):
+        operations.rendered(operations.Operation("x", "replace", "t", "id", {"id": "long"}, ("id",)))
+
+
+def test_digest_trees_depend_on_the_rows_and_not_on_their_order(spark):
+    rows = [(k % 2, f"row {k}") for k in range(300)]
+    one = {r.g: (r.digest, r.n) for r in digest_tree(spark.createDataFrame(rows, "g long, t string"), ["g"], "t").collect()}
+    two = {r.g: (r.digest, r.n) for r in digest_tree(spark.createDataFrame(rows[::-1], "g long, t string").repartition(7), ["g"], "t").collect()}
+    assert one == two and {n for _, n in one.values()} == {150}
+    three = {r.g: r.digest for r in digest_tree(spark.createDataFrame([*rows, (0, "row 0")], "g long, t string"), ["g"], "t").collect()}
+    assert three[0] != one[0][0] and three[1] == one[1][0]
+
+
+def test_paths_by_elimination(spark):
+    path = paths.eliminated([("s", "a", "m"), ("m", "b", "m"), ("m", "c", "e"), ("s", "d", "e")], "s", "e")
+    df = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (3, "b", 4), (4, "c", 5), (2, "c", 6), (1, "d", 7), (9, "c", 9)], "s long, p string, o long")
+    nodes = spark.range(1, 10).withColumnRenamed("id", "node")
+    assert sorted((r.a, r.b) for r in paths.pairs(path, df, nodes).where("a = 1").collect()) == [(1, 5), (1, 6), (1, 7)]
+    assert paths.eliminated([("s", "a", "m")], "s", "e") is None
+    assert paths.text(paths.parsed("a/^b")) == "(a/^b)"
+
+
+def test_unicode_forms_and_durations(spark):
+    texts = ["ﬁne ①²", "Straße İ", "a­b‍c", "ŉ ǰ", "", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k long, x string")
+    rows = df.select("k", text.nfkc("x").alias("n"), text.casefold("x").alias("c"), text.strip_format("x").alias("s"), text.upper_full("x").alias("u"), text.lower_full("x").alias("l")).collect()
+    for r in rows:
+        x = texts[r.k]
+        assert tuple(r)[1:] == ((None,) * 5 if x is None else (unicodedata.normalize("NFKC", x), x.casefold(), "".join(c for c in x if unicodedata.category(c) != "Cf"), x.upper(), x.lower()))
+
+
+def test_rows_later_than_the_cap_are_dropped_and_others_correct_their_window(spark):
+    """Windows of a day in append mode, rows a batch at a time: the watermark is the latest day seen less the cap, a batch before."""
+    day = 86_400
+    batches = [[0, 1, 2], [5, 5, 6], [5, 9], [1, 2, 9, 20], [30]]  # in the fourth batch days 1 and 2 are past the cap
+    rows = [(k, d * day + 10) for k, days in enumerate(batches) for d in days]
+    df = spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    folder = log.split(df, F.col("k"), len(batches))
+    out = log.collected(log.per_window(log.stream_of_folder(spark, folder, 1), "ts", "1 day", "2 days", []), "append").collect()
+    counts = {int(r.start.timestamp()) // day: r.n for r in out}
+    assert len(counts) == len(out)  # each window is given once
+    assert counts[0] == counts[1] == counts[2] == 1  # the late rows of days 1 and 2 are dropped
+    assert counts[5] == 3 and counts[6] == 1 and counts[9] == 2  # a row of day 5 came late within the cap
+    assert 30 not in counts  # still open
