@@ -90,3 +90,44 @@ def correction_rules(reviews: DataFrame, recurring: int) -> DataFrame:
     corrected = reviews.where("decision = 'Corrected' and wrote <> kept").select("mapping", F.concat(F.lit("Instead of "), "wrote", F.lit(", write "), "kept").alias("rule"))
     rejected = reviews.where("decision = 'Rejected'").select("mapping", F.concat(F.lit("Do not write "), "wrote").alias("rule"))
     return corrected.unionByName(rejected).groupBy("rule").agg(F.count("*").alias("times"), F.count_distinct("mapping").alias("mappings")).where(F.col("times") >= recurring)
+
+
+# What each kind of evidence weighs, and the score of an infeasible candidate.
+EVIDENCE = {"name_match": 1.5, "embedding": 1.0, "type_compatibility": 0.8, "distortion": 0.7, "structural": 0.3, "prior": 0.2, "community": 1.8, "projection": 2.5}
+INFEASIBLE = -1000.0
+
+
+def evidence(signals: dict[str, Column], feasible: Column, properties: int = 15) -> Column:
+    """Log score of a candidate from eight signals; INFEASIBLE where types cannot meet or the axioms forbid it.
+
+    Similarities, compatibility and the prior count by their logarithm, distortion, structure and
+    community as they are, a projection by its confidence over a chance among ``properties``. A
+    signal that is 0 or missing says nothing, but the prior, which has a floor, always counts.
+    """
+
+    def logged(name: str) -> Column:
+        x = F.coalesce(signals[name], F.lit(0.0))
+        return F.when(x > 0, EVIDENCE[name] * F.log(x)).otherwise(0.0)
+
+    def linear(name: str) -> Column:
+        return EVIDENCE[name] * F.greatest(F.coalesce(signals[name], F.lit(0.0)), F.lit(0.0))
+
+    fits = F.coalesce(signals["type_compatibility"], F.lit(1.0))
+    projection = F.coalesce(signals["projection"], F.lit(0.0))
+    total = (
+        logged("name_match") + logged("embedding") + F.when(fits < 1, EVIDENCE["type_compatibility"] * F.log(fits)).otherwise(0.0) + linear("distortion") + linear("structural")
+        + EVIDENCE["prior"] * F.log(F.greatest(F.coalesce(signals["prior"], F.lit(0.0)), F.lit(1e-10))) + linear("community") + F.when(projection > 0, EVIDENCE["projection"] * (F.log(projection) + F.log(F.lit(float(properties))))).otherwise(0.0)
+    )
+    return F.when((fits <= 0) | ~feasible, F.lit(INFEASIBLE)).otherwise(total)
+
+
+def recognise(fields: DataFrame, concepts: list[str], strategies: dict[str, tuple[float, Callable[[Column, Column], Column]]], k: int) -> DataFrame:
+    """field, concept, strategy, score, rank of the best k concepts of a declared list for each field.
+
+    A strategy is a weight and a similarity of two texts; a concept has the score of the best one,
+    the first in the list among equals.
+    """
+    pairs = fields.select("field", F.explode(F.array(*[F.lit(c) for c in concepts])).alias("concept"))
+    tried = [F.struct(F.round(weight * similar(F.col("field"), F.col("concept")), 6).alias("score"), F.lit(-i).alias("turn"), F.lit(name).alias("strategy")) for i, (name, (weight, similar)) in enumerate(strategies.items())]
+    best = pairs.withColumn("_b", F.array_max(F.array(*tried))).select("field", "concept", "_b.strategy", "_b.score").where("score > 0")
+    return top_k(best, ["field"], [F.col("score").desc(), F.col("concept")], k)

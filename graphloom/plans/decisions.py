@@ -111,15 +111,15 @@ def elig_negated(t: Tables) -> DataFrame:
     return eligibility.read_set(*sets_of(t), "id", "EveryValue", F.col("id") % 2 == 0).select("id", kleene.decision(~F.col("value")).alias("decision"))
 
 
-@query("""WITH ref AS (SELECT DISTINCT s_nationkey AS nk, p_brand AS b FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40),
-own AS (SELECT DISTINCT o_custkey AS id, p_brand AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48),
+@query("""WITH ref AS (SELECT DISTINCT s_nationkey AS nk, p_brand AS b FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'),
+own AS (SELECT DISTINCT o_custkey AS id, p_brand AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
 j AS (SELECT c_custkey AS id, count(*) AS n, count(ref.b) AS hit FROM customer JOIN own ON own.id = c_custkey LEFT JOIN ref ON nk = c_nationkey AND ref.b = own.b GROUP BY 1)
 SELECT id, CASE WHEN n = hit THEN 'Subset' WHEN hit > 0 THEN 'Overlaps' ELSE 'Disjoint' END AS relation FROM j""")
 def elig_set_compare(t: Tables) -> DataFrame:
     """A subject's set against a reference set: subset, overlapping or disjoint."""
-    line = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_suppkey", "l_quantity", "p_brand")
-    ref = line.where("l_quantity > 40").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", F.col("p_brand").alias("rb")).distinct()
-    own = line.where("l_quantity > 48").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "p_brand").distinct()
+    line = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_suppkey", "l_returnflag", "p_brand")
+    ref = line.where("l_returnflag = 'R'").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", F.col("p_brand").alias("rb")).distinct()
+    own = line.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "p_brand").distinct()
     j = own.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(ref, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("rb") == F.col("p_brand")), "left")
     g = j.groupBy(F.col("c_custkey").alias("id")).agg(F.count("*").alias("n"), F.count("rb").alias("hit"))
     return g.select("id", F.when(F.col("n") == F.col("hit"), "Subset").when(F.col("hit") > 0, "Overlaps").otherwise("Disjoint").alias("relation"))

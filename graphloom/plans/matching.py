@@ -115,16 +115,21 @@ def text_hit_at_k(t: Tables) -> DataFrame:
     return j.agg(F.round(F.avg((F.col("rank") <= 2).cast("int")), 6).alias("hit_at_2"), F.count("*").alias("n"))
 
 
-@query("""WITH f AS (SELECT DISTINCT p_name AS field FROM part), c(concept) AS (VALUES ('red widget'), ('blue gadget'), ('green bolt')), s AS (SELECT field, concept,
-greatest(CASE WHEN field = concept THEN 1.0 ELSE 0.0 END, 0.9 * (1 - levenshtein(field, concept) / greatest(length(field), length(concept)))) AS score FROM f, c)
-SELECT field, concept, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, concept) AS r FROM s) WHERE r = 1""")
+CONCEPTS = ["red widget", "blue gadget", "green bolt", "cold widget", "hot gear", "large panel", "small bolt", "widget frame", "steel gear", "gadget"]
+
+
+@query(f"""WITH f AS (SELECT DISTINCT p_name AS field FROM part), c(concept) AS (VALUES {', '.join(f"('{c}')" for c in CONCEPTS)}),
+w AS (SELECT field, concept, list_distinct(string_split(field, ' ')) AS a, list_distinct(string_split(concept, ' ')) AS b FROM f, c),
+s AS (SELECT field, concept, CASE WHEN field = concept THEN 1.0 ELSE 0.0 END AS exact, round(0.9 * (1 - levenshtein(field, concept) / greatest(length(field), length(concept))), 6) AS edit,
+ round(0.95 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS tokens FROM w),
+x AS (SELECT field, concept, greatest(exact, edit, tokens) AS score, CASE WHEN exact >= edit AND exact >= tokens THEN 'exact' WHEN edit >= tokens THEN 'edit' ELSE 'tokens' END AS strategy FROM s)
+SELECT field, concept, strategy, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, concept) AS rank FROM x WHERE score > 0) WHERE rank <= 3""")
 def text_recognise(t: Tables) -> DataFrame:
-    """The best concept of a short inline list for each distinct field, over strategies: exact and edit distance."""
-    concepts = ["red widget", "blue gadget", "green bolt"]
-    f = t.part.select(F.col("p_name").alias("field")).distinct().withColumn("concept", F.explode(F.array(*[F.lit(c) for c in concepts])))
-    score = F.greatest((F.col("field") == F.col("concept")).cast("double"), 0.9 * text.edit_similarity(F.col("field"), F.col("concept")))
-    best = relational.top_k(f.withColumn("score", score), ["field"], [F.col("score").desc(), F.col("concept")], 1)
-    return best.select("field", "concept", F.round("score", 6).alias("score"))
+    """The best concepts of a declared list for each distinct field, over strategies: exact, edit distance, shared tokens."""
+    strategies = {
+        "exact": (1.0, lambda a, b: (a == b).cast("double")), "edit": (0.9, text.edit_similarity), "tokens": (0.95, lambda a, b: text.jaccard(text.tokens(a), text.tokens(b))),
+    }
+    return matching.recognise(t.part.select(F.col("p_name").alias("field")).distinct(), CONCEPTS, strategies, 3).select("field", "concept", "strategy", "score", "rank")
 
 
 OBS = "obs AS (SELECT DISTINCT l_orderkey AS s, p_brand AS c FROM lineitem JOIN part ON p_partkey = l_partkey)"
@@ -239,14 +244,20 @@ def comm_ema(t: Tables) -> DataFrame:
     return numbered.groupBy("user_id").agg(F.round(F.sum(weight * F.col("value")), 6).alias("ema"))
 
 
-SIGNALS = "sig AS (SELECT p_partkey, p_size / 50.0 AS a, p_retailprice / 2000 AS b, CAST(p_type = 'ECONOMY' AS INTEGER) AS gate, length(p_name) / 20.0 AS c FROM part)"
+SIGNALS = """sig AS (SELECT p_partkey, p_size / 50.0 AS name, p_retailprice / 4000 AS emb, CASE WHEN p_type = 'ECONOMY' THEN 0.0 WHEN p_size % 3 = 0 THEN 0.5 ELSE 1.0 END AS ty, p_size / 100.0 AS dist, length(p_name) / 20.0 AS struc,
+p_size / 500.0 AS prior, p_partkey % 7 / 10.0 AS comm, p_partkey % 5 / 5.0 AS proj, p_partkey % 11 <> 0 AS ok FROM part)"""
 
 
-@query(f"WITH {SIGNALS} SELECT p_partkey, round(CASE WHEN gate = 1 THEN -1000 ELSE 0 END + 0.5 * a + 0.3 * b + 0.2 * c, 6) AS score FROM sig")
+@query(f"""WITH {SIGNALS} SELECT p_partkey, round(CASE WHEN ty <= 0 OR NOT ok THEN -1000 ELSE CASE WHEN name > 0 THEN 1.5 * ln(name) ELSE 0 END + CASE WHEN emb > 0 THEN ln(emb) ELSE 0 END + CASE WHEN ty < 1 THEN 0.8 * ln(ty) ELSE 0 END + 0.7 * dist + 0.3 * struc
++ 0.2 * ln(greatest(prior, 1e-10)) + 1.8 * comm + CASE WHEN proj > 0 THEN 2.5 * (ln(proj) + ln(15)) ELSE 0 END END, 6) AS score FROM sig""")
 def evidence_score(t: Tables) -> DataFrame:
-    """A weighted sum of signals with a hard gate."""
-    gate = F.when(F.col("p_type") == "ECONOMY", -1000).otherwise(0)
-    return t.part.select("p_partkey", F.round(gate + 0.5 * (F.col("p_size") / 50.0) + 0.3 * (F.col("p_retailprice") / 2000) + 0.2 * (F.length("p_name") / 20.0), 6).alias("score"))
+    """Eight signals with two hard gates."""
+    e = F.expr
+    signals = {
+        "name_match": F.col("p_size") / 50.0, "embedding": F.col("p_retailprice") / 4000, "type_compatibility": e("case when p_type = 'ECONOMY' then 0.0D when p_size % 3 = 0 then 0.5D else 1.0D end"), "distortion": F.col("p_size") / 100.0,
+        "structural": F.length("p_name") / 20.0, "prior": F.col("p_size") / 500.0, "community": e("p_partkey % 7 / 10.0D"), "projection": e("p_partkey % 5 / 5.0D"),
+    }
+    return t.part.select("p_partkey", F.round(matching.evidence(signals, F.col("p_partkey") % 11 != 0), 6).alias("score"))
 
 
 @query("""WITH c(a, b, d) AS (VALUES ('int', 'long', 0.25), ('int', 'string', 0.5), ('long', 'string', 0.5)), f AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'long' ELSE 'date' END AS ty FROM part)
