@@ -59,3 +59,21 @@ def report(*frames: DataFrame) -> DataFrame:
         out = out.unionByName(f)
     order = F.when(F.col("severity") == "Violation", 0).when(F.col("severity") == "Warning", 1).otherwise(2)
     return out.withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy(order, "focus", "value")))
+
+
+def answers(facts: DataFrame, questions: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
+    """question, s of the subjects that answer each question: of its class, with all it requires and none that it forbids.
+
+    ``facts``: s, class, p. ``questions``: name, class, required, forbidden properties. A subject's
+    properties are a set within the vocabulary, so that all questions are one aggregate.
+    """
+    own = facts.groupBy("s", "class").agg(F.collect_set("p").alias("ps"))
+    hits = []
+    for name, kind, required, forbidden in questions:
+        test = F.col("class") == kind
+        for p in required:
+            test = test & F.array_contains("ps", p)
+        for p in forbidden:
+            test = test & ~F.array_contains("ps", p)
+        hits.append(F.when(test, F.lit(name)))
+    return own.select("s", F.explode(F.array_compact(F.array(*hits))).alias("question"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import communities, constraints, decisions, ledger, mapping, matching, operations, relational, schemes, streams, versions  # noqa: F401  they register their queries
+from . import communities, competency, constraints, decisions, ledger, mapping, matching, operations, relational, schemes, streams, versions  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 
