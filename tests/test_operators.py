@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import pytest
+from graphloom.__main__ import main as command
 from graphloom.functions import digest, kleene, text
 from graphloom.operators import bindings, constraints, eligibility, fold, graph, ledger, matching, operations, paths, relational, schemes, versions
 from graphloom.sources import terms
@@ -251,3 +252,19 @@ def test_rows_later_than_the_cap_are_dropped_and_others_correct_their_window(spa
     assert counts[0] == counts[1] == counts[2] == 1  # the late rows of days 1 and 2 are dropped
     assert counts[5] == 3 and counts[6] == 1 and counts[9] == 2  # a row of day 5 came late within the cap
     assert 30 not in counts  # still open
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    assert command(["list", "ledger_se"]) == 0 and capsys.readouterr().out == "ledger_settle\n"
+    assert command(["sql", "sort_iri"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert command(["run", "agg_global", sf_dir], spark) == 0 and "+" in capsys.readouterr().out
+    assert command(["run", "agg_global", sf_dir, "--out", str(tmp_path / "out")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    with pytest.raises(SystemExit):
+        command(["run", "no_such_query", sf_dir], spark)
+
+
+def test_answers_need_all_and_forbid(spark):
+    facts = spark.createDataFrame([("a", "X", "p"), ("a", "X", "q"), ("b", "X", "p"), ("c", "Y", "p"), ("b", "X", "p")], "s string, class string, p string")
+    got = constraints.answers(facts, [("both", "X", ("p", "q"), ()), ("only", "X", ("p",), ("q",)), ("any", "Y", (), ())])
+    assert pairs(got.select("question", "s")) == [("any", "c"), ("both", "a"), ("only", "b")]
