@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, column, map_text
-from .textvec import WORD_BYTES, Tokens, chunks, mix, utf8
+from .textvec import Tokens, chunks, mix, utf8
 
 #: Labelled rows for each label that are learned from.
 SAMPLE_PER_LABEL = 4000

@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lowered words, words that come at least twice, and the first bytes of words; each
-counts once for a document, as 32 bits of its hash. The terms that go best with either label in a bounded sample get a
-linear weight and a latent vector, so that pairs of terms add to the score beside single ones.
+counts once for a document, as 32 bits of its hash. The terms that go best with either label in a
+bounded sample get a linear weight and a latent vector, so that pairs of terms add to the score
+beside single ones. The sample's terms are counted in Spark; the driver gets the chosen ones only.
 
 Results for odd inputs: a null text is an empty one; a text without a known term gets the
 constant's score; without any labelled row every score is 0; repeated rows get equal scores; a
@@ -43,7 +44,7 @@ class Model:
 def terms_of(data: np.ndarray, offsets: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, term hash), each once; of terms in ``only`` (sorted) if given."""
     words = Tokens(data, offsets)
-    stems = [span_hash(words.sums, words.start[m], words.start[m] + n) ^ np.uint64(n) for n in STEMS for m in [words.end - words.start >= n]]
+    stems = [mix(span_hash(words.sums, words.start[m], words.start[m] + n) + np.uint64(n)) for n in STEMS for m in [words.end - words.start >= n]]
     doc = np.concatenate([words.doc, *(words.doc[words.end - words.start >= n] for n in STEMS)])
     whole = np.concatenate([words.hash, *stems])
     term, twice = (whole >> np.uint64(32)).astype(np.uint32), (mix(whole + np.uint64(2)) >> np.uint64(32)).astype(np.uint32)

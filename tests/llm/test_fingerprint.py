@@ -59,3 +59,21 @@ def test_odd_rows(odd, empty):
     assert fingerprint.fingerprints_with_edits(empty).count() == fingerprint.fingerprints(empty).count() == 0
     assert fingerprint.fingerprints_with_edits(odd.where("doc_id = 4")).first().near_next == 1
     assert sorted(r.fingerprint for r in fingerprint.fingerprints(odd).collect()) == sorted(r.fingerprint for r in got)
+
+
+def test_differences_against_brute_force():
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 100 + k % 20, size=int(rng.integers(0, 3000)), dtype=np.uint8)) for k in range(40)]
+    found = fingerprint.digests(texts)
+    again = fingerprint.parse(found.hex())
+    score = {0: 0, 1: 1, 2: 2, 3: 6}
+    for i in range(0, 40):
+        for j in (0, (i * 7 + 3) % 40, 39 - i):
+            body = sum(score[abs(int(a) - int(b))] for a, b in zip(found.codes[i], found.codes[j], strict=True))
+            head = min(40, abs(int(found.length[i]) - int(found.length[j]))) + sum(abs(int(a) - int(b)) for a, b in zip(found.ratios[i], found.ratios[j], strict=True)) + (found.check[i] != found.check[j])
+            want = min(fingerprint.BOUND, body + head)
+            pair = slice(i, i + 1), slice(j, j + 1)
+            assert fingerprint.difference(found.take(pair[0]), found.take(pair[1]))[0] == want
+            assert fingerprint.difference(again.take(pair[0]), again.take(pair[1]))[0] == want
+            assert abs(fingerprint.likeness(found.take(pair[0]), found.take(pair[1]))[0] - (1 - want / fingerprint.BOUND)) < 1e-12
+            assert i != j or want == 0

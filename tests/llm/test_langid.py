@@ -42,3 +42,31 @@ def test_odd_rows(spark, odd, empty, sf_dir):
     assert langid.classify(empty, model, ["doc_id"]).count() == 0
     none = langid.fit(odd)
     assert none.labels == [] and {r.lang_pred for r in langid.classify(odd, none, ["doc_id"]).collect()} == {"und"}
+
+
+def test_folded_weights_against_the_kernel(monkeypatch):
+    """Scores by folded weights equal ridge regression with explicit kernels, landmarks and square roots."""
+    monkeypatch.setattr(langid, "LANDMARKS_PER_LABEL", 6)
+    rng = np.random.default_rng(4)
+    n, labels = 60, ["a", "b", "c"]
+    y = np.repeat(np.arange(3), n // 3)
+    x = rng.random((n, langid.FEATURES)) < 0.002
+    for k in range(3):
+        x[np.ix_(y == k, range(k * 50, k * 50 + 50))] |= rng.random((n // 3, 50)) < 0.4
+    model = langid._fit(np.packbits(x, axis=1), labels, y)
+
+    def kernel(p, q):
+        return np.array([[len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b))) for b in q] for a in p])
+
+    sets = [set(np.flatnonzero(r).tolist()) for r in x]
+    marks = [sets[i] for k in range(3) for i in np.flatnonzero(y == k)[:6]]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    kept = values > 1e-6 * values[-1]
+    mapped = kernel(sets, marks) @ (vectors[:, kept] / np.sqrt(values[kept]))
+    target = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    centred = mapped - mapped.mean(axis=0)
+    beta = np.linalg.solve(centred.T @ centred + langid.RIDGE * n / 100 * np.eye(mapped.shape[1]), centred.T @ (target - target.mean(axis=0)))
+    want = centred @ beta + target.mean(axis=0)
+    got = x @ model.weights / np.sqrt(x.sum(axis=1, keepdims=True)) + model.bias
+    assert np.abs(got - want).max() < 1e-3
+    assert (got.argmax(axis=1) == y).mean() > 0.9

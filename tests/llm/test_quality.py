@@ -68,3 +68,45 @@ def test_odd_rows(spark, odd, empty):
     assert quality.score(empty, model, ["doc_id"]).count() == 0
     none = quality.fit(odd, labels.limit(0))
     assert {r.score for r in quality.score(odd, none, ["doc_id"]).collect()} == {0.5}
+
+
+def test_weights_meet_the_conditions_of_the_lasso():
+    """At the optimum the gradient of a rule with a weight is the penalty against its sign, and of others no more than that."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, len(quality.STATISTICS)))
+    y = ((x[:, 0] > 0.3) & (x[:, 3] < 0.8) | (x[:, 5] > 1.2)).astype(float)
+    model = quality.learn(x, y)
+    at = {s: k for k, s in enumerate(quality.STATISTICS)}
+    on = np.stack([quality._obeyed(x, [(at[s], op, t) for s, op, t in r]) for r in model.rules], axis=1).astype(float)
+    w = np.array(model.weights)
+    p = 1 / (1 + np.exp(-(on @ w + model.constant)))
+    gradient = on.T @ (p - y) / len(y)
+    assert np.abs(gradient + quality.PENALTY * np.sign(w)).max() < 0.5 * quality.PENALTY
+    assert ((p >= 0.5) == y).mean() > 0.97
+    rules = {tuple(r) for r in model.rules}
+    assert len(rules) == len(model.rules)
+
+
+def test_trees_split_where_brute_force_does(monkeypatch):
+    monkeypatch.setattr(quality, "DEPTH", 1)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        x = rng.integers(0, 6, size=(80, 4)).astype(float)
+        g, h = rng.normal(size=80), rng.random(80) + 0.1
+        edges = [np.array([0.5, 1.5, 2.5, 3.5, 4.5])] * 4
+        binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1)
+        paths, step = quality._grow(binned, edges, g, h)
+        best = (1e-6, None)
+        for f in range(4):
+            for cut in edges[f]:
+                left = x[:, f] <= cut
+                if min(left.sum(), (~left).sum()) < 5:
+                    continue
+                gain = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+                if gain > best[0] + 1e-12:
+                    best = (gain, (f, cut))
+        assert {(f, t) for path in paths for f, _, t in path} == ({best[1]} if best[1] else set())
+        if best[1]:
+            left = x[:, best[1][0]] <= best[1][1]
+            for m in (left, ~left):
+                assert np.allclose(step[m], g[m].sum() / (h[m].sum() + 1))

@@ -59,3 +59,35 @@ def test_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, model, ["doc_id"]).count() == 0
     none = toxicity.fit(odd, labels.limit(0))
     assert all(r.score < 1e-9 for r in toxicity.score(odd, none, ["doc_id"]).collect())
+
+
+def test_scores_against_the_sum_over_pairs(spark):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(1, "an insult for that group"), (2, "a word, a word and Words again"), (3, ""), (4, None)], "doc_id long, text string")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    raw = [(t or "").lower().encode() for t in texts]
+    terms = [set(toxicity.terms_of(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[1].tolist()) for b in raw]
+    kinds = np.array(sorted(set().union(*terms))[::2], np.uint32)
+    model = toxicity.Model(kinds, rng.normal(size=len(kinds)), rng.normal(size=(len(kinds), toxicity.LATENT)), -0.3)
+    for r in toxicity.score(docs, model, ["doc_id"]).collect():
+        own = [k for k, t in enumerate(kinds.tolist()) if t in terms[r.doc_id - 1]]
+        f = model.constant + sum(model.linear[k] for k in own) + sum(model.latent[a] @ model.latent[b] for i, a in enumerate(own) for b in own[i + 1 :])
+        assert abs(r.score - 1 / (1 + np.exp(-f))) < 1e-9
+
+
+def test_terms_are_chosen_as_one_machine_would(spark):
+    rng = np.random.default_rng(10)
+    rows, y = [], []
+    for _ in range(200):
+        y.append(int(rng.random() < 0.3))
+        rows.append(np.unique(rng.choice(400, 30) + 200 * y[-1]).astype(np.uint32))
+    held = spark.createDataFrame([(k, y[k], r.tobytes()) for k, r in enumerate(rows)], "doc_id long, _label int, terms binary").repartition(5)
+    n, pos = np.zeros(600), np.zeros(600)
+    for r, label in zip(rows, y, strict=True):
+        n[r] += 1
+        pos[r] += label
+    p, total, yes = n / len(y), len(y), sum(y)
+    chi = (pos - p * yes) ** 2 / np.maximum(1e-9, p * (1 - p) * yes * (total - yes) / total)
+    good = np.flatnonzero(n >= toxicity.LEAST)
+    want = np.sort(good[np.lexsort((good, -chi[good]))[: toxicity.TERMS]])
+    assert toxicity._chosen(held).tolist() == want.tolist()
