@@ -20,7 +20,7 @@ import tiktoken
 from .textvec import mix, prefix_hash
 
 #: Pre-tokens remembered by a Python worker before it forgets them all: about 50 bytes each.
-REMEMBERED = 1_200_000
+REMEMBERED = 300_000
 #: Sorted runs of remembered hashes before they are merged into one.
 _RUNS = 6
 #: Pre-tokens that are joined into one text for the library.

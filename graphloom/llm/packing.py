@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder
 from .common import checkpointed, partitions
-from .textvec import release
+from .textvec import chunks, release, utf8
 
 CAPACITY = 1024
 END = 2
@@ -45,7 +45,7 @@ EPOCHS = 2
 SLACK = 8
 ROUNDS = 3
 
-_TEXTS_AT_ONCE = 500_000  # characters
+_BYTES_AT_ONCE = 1 << 19
 _encoders: dict[str, Encoder] = {}
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -60,16 +60,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             _encoders[tokenizer] = Encoder(tokenizer)
         encoder = _encoders[tokenizer]
         for batch in batches:
-            texts, ids = [t or "" for t in batch["text"].to_pylist()], batch["doc_id"].to_pylist()
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= _TEXTS_AT_ONCE):
-                    size += len(texts[j])
-                    j += 1
-                yield _cut(ids[i:j], *encoder.encode(texts[i:j]), capacity)
-                i = j
-            del texts, ids
+            _, offsets = utf8(batch["text"])
+            for i, j in chunks(offsets, _BYTES_AT_ONCE):
+                part = batch.slice(i, j - i)
+                yield _cut(part["doc_id"].to_pylist(), *encoder.encode([t or "" for t in part["text"].to_pylist()]), capacity)
         release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _PIECES_SQL)
