@@ -22,33 +22,28 @@ def stepwise(deltas: DataFrame, keys: list[str], order: list[str], delta: str, s
     With S the running sum, the balance is S + least(start, least of (ceiling - S) so far). Where a
     key may hold a large part of all rows, ``block`` numbers ranges of its order: sums and least
     rooms are taken within blocks and then over the blocks of a key, so that no task holds a key.
+    Then ``before``, the balance before the step, is given too.
     """
     if block is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         summed = deltas.withColumn("_s", F.sum(delta).over(w))
         room = F.min(ceiling - F.col("_s")).over(w)
         return summed.withColumn(out, F.col("_s") + F.least(start, room)).drop("_s")
-    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = deltas.withColumn("_block", block).withColumn("_s", F.sum(delta).over(within)).withColumn("_room", F.min(ceiling - F.col("_s")).over(within))
-    blocks = parts.groupBy(*keys, "_block").agg(F.sum(delta).alias("_d"), F.min(ceiling - F.col("_s")).alias("_r"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_o", F.coalesce(F.sum("_d").over(before), F.lit(0))).withColumn("_m", F.min(F.col("_r") - F.col("_o")).over(before))
+    within = Window.partitionBy(*keys, "_block").orderBy(*order)
+    upto, past = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(Window.unboundedPreceding, -1)
+    parts = deltas.withColumn("_block", block).withColumn("_s", F.sum(delta).over(upto))
+    parts = parts.withColumn("_room", F.min(ceiling - F.col("_s")).over(upto)).withColumn("_past", F.min(ceiling - F.col("_s")).over(past))
+    blocks = parts.groupBy(*keys, "_block").agg(F.sum(delta).alias("_d"), F.min("_room").alias("_r"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_o", F.coalesce(F.sum("_d").over(earlier), F.lit(0))).withColumn("_m", F.min(F.col("_r") - F.col("_o")).over(earlier))
     carried = blocks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_o", "_m")
     same = F.col("_block") == F.col("_b")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = parts.join(carried, same)
-    least = F.least(start, F.col("_m"), F.col("_room") - F.col("_o"))
-    return joined.withColumn(out, F.col("_o") + F.col("_s") + least).select(*deltas.columns, out)
-
-
-def steps(folded: DataFrame, keys: list[str], order: list[str], value: str, start: Column, block: Column) -> DataFrame:
-    """``before``: the value of the row before in a key's order, looked up within blocks and, for a block's first row, in the blocks before."""
-    numbered = folded.withColumn("_block", block)
-    own = F.lag(value).over(Window.partitionBy(*keys, "_block").orderBy(*order))
-    last = numbered.groupBy(*keys, "_block").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    last = last.withColumn("_prior", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))).drop("_last")
-    return numbered.withColumn("_own", own).join(last, [*keys, "_block"]).withColumn("before", F.coalesce("_own", "_prior", start)).drop("_own", "_prior", "_block")
+    base = F.col("_o") + F.col("_s")  # least passes over nulls: the first block has no room behind it, its first row none before it
+    after = base + F.least(start, F.col("_m"), F.col("_room") - F.col("_o"))
+    before = base - F.col(delta) + F.least(start, F.col("_m"), F.col("_past") - F.col("_o"))
+    return parts.join(carried, same).withColumn(out, after).withColumn("before", before).select(*deltas.columns, out, "before")
 
 
 def checkpoints(postings: DataFrame, period: Column) -> DataFrame:

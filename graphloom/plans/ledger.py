@@ -54,15 +54,16 @@ def ledger_read_from_checkpoint(t: Tables) -> DataFrame:
     """
     numbered = t.postings().select("account", "delta", F.expr(f"(pos - 1) div {PERIOD}").alias("k"))
     by_period = t.stored("postings_by_period", lambda: numbered, "k")
-    head = t.spark.read.parquet(by_period).agg(F.max("k")).first()[0] or 0  # from the folders' names
+    stored = t.spark.read.schema("account string, delta long, k int").parquet(by_period)
+    head = max((int(f.split("/k=")[1].split("/")[0]) for f in stored.inputFiles()), default=0)  # the folders' names: one for each period
 
     def closings() -> DataFrame:
         k = F.explode(F.sequence(F.col("k"), F.lit(head))).alias("k")  # a posting counts in its own and all later closings
         moved = numbered.groupBy("account", "k").agg(F.sum("delta").alias("d"))
         return moved.select("account", "d", k).groupBy("account", "k").agg(F.sum("d").alias("closed"))
 
-    closed = t.spark.read.parquet(t.stored("closings", closings, "k"))
-    tail = t.spark.read.parquet(by_period).where(f"k = {head}").groupBy("account").agg(F.sum("delta").alias("b"))
+    closed = t.spark.read.schema("account string, closed long, k int").parquet(t.stored("closings", closings, "k"))
+    tail = stored.where(f"k = {head}").groupBy("account").agg(F.sum("delta").alias("b"))
     return closed.where(f"k = {head - 1}").select("account", F.col("closed").alias("b")).unionByName(tail).groupBy("account").agg(F.sum("b").alias("balance"))
 
 
@@ -113,10 +114,9 @@ def _cuts(t: Tables) -> DataFrame:
     leaf = ledger.stepwise(t.postings(), ["account"], ["pos"], "delta", F.lit(STATED), F.lit(CEILING))
     applied = leaf.withColumn("applied", F.col("after") - F.coalesce(F.lag("after").over(Window.partitionBy("account").orderBy("pos")), F.lit(STATED)))
     up = applied.join(t.account_paths().where("depth = 1"), F.col("account") == F.col("desc")).select("anc", "pos", "applied")
-    # A nation holds a share of all postings that does not fall with their number: its fold goes by blocks of
-    # positions. What the step before left is the same fold without the row's own applied amount.
+    # A nation holds a share of all postings that does not fall with their number: its fold goes by blocks of positions.
     above = ledger.stepwise(up, ["anc"], ["pos"], "applied", F.lit(STATED * 20), F.lit(CEILING * 20), block=F.expr(f"pos div {BLOCK}"))
-    return ledger.steps(above, ["anc"], ["pos"], "after", F.lit(STATED * 20), F.expr(f"pos div {BLOCK}")).select("anc", "pos", "applied", (F.col("applied") - (F.col("after") - F.col("before"))).alias("cut"))
+    return above.select("anc", "pos", "applied", (F.col("applied") - (F.col("after") - F.col("before"))).alias("cut"))
 
 
 @query(f"{CUTS} SELECT anc AS account, pos, CAST(applied AS BIGINT) AS applied, CAST(cut AS BIGINT) AS cut FROM cut")

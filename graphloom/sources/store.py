@@ -9,7 +9,7 @@ from __future__ import annotations
 import urllib.parse
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import scratch
@@ -53,22 +53,18 @@ class GraphStore:
 
 
 def digest_tree(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
-    """keys, digest, n of the multiset of the texts ``row``: SHA-256 over sorted hashes in three levels.
+    """keys, digest, n of the multiset of the texts ``row``: SHA-256 over sorted hashes in two levels.
 
-    The rows' hashes are sorted and hashed by their first four hex digits, those digests by the
-    first two, and those at last, so that no array holds more than a 65,536th of a group's rows.
+    The rows' hashes are sorted and hashed by their first four hex digits, and those digests in the
+    order of the digits, so that no array holds more than a 65,536th of a group's rows, or 65,536 digests.
     """
-    hashed = rows.select(*keys, F.sha2(F.col(row).cast("string"), 256).alias("h"))
 
-    def level(df: DataFrame, digits: int, n) -> DataFrame:
-        part = F.substring("h", 1, digits) if digits else F.lit("")
-        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256)
-        return df.groupBy(*keys, part.alias("p")).agg(joined.alias("d"), n.alias("n")).select(*keys, F.col("p").alias("at"), F.col("d"), "n")
+    def joined(part: str) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(part)), ""), 256)
 
-    first = level(hashed.withColumn("at", F.col("h")), 4, F.count("*"))
-    second = level(first.select(*keys, F.col("at").alias("h0"), "d", "n").select(*keys, F.col("h0").alias("at"), F.concat(F.col("h0"), F.col("d")).alias("h"), "n"), 2, F.sum("n"))
-    last = level(second.select(*keys, "at", F.concat(F.col("at"), F.col("d")).alias("h"), "n"), 0, F.sum("n"))
-    return last.select(*keys, F.col("d").alias("digest"), "n")
+    leaf = rows.select(*keys, F.sha2(F.col(row).cast("string"), 256).alias("h")).withColumn("p", F.substring("h", 1, 4))
+    four = leaf.groupBy(*keys, "p").agg(joined("h").alias("d"), F.count("*").alias("n")).withColumn("h", F.concat("p", "d"))
+    return four.groupBy(*keys).agg(joined("h").alias("digest"), F.sum("n").alias("n"))
 
 
 def digest_tree_sql(rows: str, keys: list[str]) -> str:
@@ -78,8 +74,7 @@ def digest_tree_sql(rows: str, keys: list[str]) -> str:
     last = " GROUP BY " + ", ".join(keys) if keys else ""
     return (
         f"leaf AS (SELECT {k}sha256(row) AS h FROM ({rows})), four AS (SELECT {k}substr(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM leaf{by}), "
-        f"two AS (SELECT {k}substr(q, 1, 2) AS p, sha256(string_agg(q || d, '' ORDER BY q)) AS d, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {k}p AS q, d, n FROM four){by}), "
-        f"tree AS (SELECT {k}sha256(string_agg(p || d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM two{last})"
+        f"tree AS (SELECT {k}sha256(string_agg(p || d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM four{last})"
     )
 
 
