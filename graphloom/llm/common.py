@@ -67,21 +67,27 @@ def bounded_sample(df: DataFrame, label: str, cap: int) -> DataFrame:
     return near.withColumn("r", rank).where(F.col("r") <= cap).select("doc_id", F.col("label").alias(label))
 
 
-def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Callable[[pa.Array], list[pa.Array]], at: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of docs and, from their column text, the columns of ``fields`` that ``compute`` returns.
 
     One Arrow pass without a shuffle; the text itself is passed on only if ``keep`` has it. A
-    column of ``keep`` whose name is one of ``fields`` gives way to the computed one.
+    column of ``keep`` whose name is one of ``fields`` gives way to the computed one. ``at`` names the
+    struct in ``keep`` and the field of it that hold the text already, which then is not sent twice.
     """
     added = StructType.fromDDL(fields).fields
     new = {f.name.lower() for f in added}
     inner = unused([f.name for f in added], "kept")  # one struct: Arrow functions take no names that need quoting
-    rows = docs.select(F.struct(*[column(c) if isinstance(c, str) else c for c in keep]).alias(inner), F.col("text").cast("string").alias("text"))
+    kept = F.struct(*[column(c) if isinstance(c, str) else c for c in keep]).alias(inner)
+    at = at if docs.schema["text"].dataType.typeName() == "string" else ()
+    rows = docs.select(kept) if at else docs.select(kept, F.col("text").cast("string").alias("text"))
     held = rows.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.columns[0], *compute(batch.columns[1])], [inner, *(f.name for f in added)])
+            text = batch.columns[-1]
+            for name in at:
+                text = text.field(name)
+            yield pa.RecordBatch.from_arrays([batch.columns[0], *compute(text)], [inner, *(f.name for f in added)])
         release()
 
     found = rows.mapInArrow(run, StructType([held, *added]))

@@ -2,13 +2,15 @@
 
 Document frequencies of hashed words are counted over all documents. The benchmark's passages
 become TF-IDF rows with them, and a randomised SVD, whose sums over rows run in Spark, gives the
-latent space of each block of RANK passages; an item's inner products with any text depend on that space only. Every window of
-every document is projected into it, and items whose cosine passes a low bound are candidates, as
-are items of whose own weight the window holds a share, whatever stands beside it. Every word has a
-positive weight, so that an item counts as well where a large part of all documents hold it. A
-candidate is confirmed by the longest common subsequence of words of the item and of the text
-around the window, for the whole item and for its answer, its last sentence. So reworded items,
-with words left out or put in, count as well as exact ones, and shared phrases do not.
+latent space of each block of RANK passages; an item's inner products with any text depend on that
+space only. Projection and product fold into one weight of each term for each passage, an index
+from terms to passages, by which every window of every document meets the passages that it shares
+terms with. Items whose cosine passes a low bound are candidates, as are items of whose own weight
+the window holds a share, whatever stands beside it. Every word has a positive weight, so that an
+item counts as well where a large part of all documents hold it. A candidate is confirmed by the
+longest common subsequence of words of the item and of the text around the window, for the whole
+item and for its answer, its last sentence. So reworded items, with words left out, put in or
+replaced, count as well as exact ones, and shared phrases do not.
 
 Items of more than LONGEST words are cut into passages of about a window's length, and an item is a
 candidate where any of its passages is, so that recall does not depend on an item's length either.
@@ -308,11 +310,11 @@ def _windows(blocks: np.ndarray, block_doc: np.ndarray) -> np.ndarray:
     return whole
 
 
-def matches(docs: DataFrame, index: Index, keep: list[str | Column]) -> DataFrame:
+def matches(docs: DataFrame, index: Index, keep: list[str | Column], at: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of docs and ``found``: the items in the column text, with their evidence; no shuffle.
 
     found is an array of (item_id, cosine, item_share, answer_share), one for each item. A kept
-    column of that name gives way.
+    column of that name gives way. ``at`` says where ``keep`` has the text, as for map_text.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index)
     struct = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("item_share", pa.float64()), ("answer_share", pa.float64())]))
@@ -357,4 +359,4 @@ def matches(docs: DataFrame, index: Index, keep: list[str | Column]) -> DataFram
                 out[i + doc].append(row)
         return [pa.array(out, struct)]
 
-    return map_text(docs, keep, "found array<struct<item_id:long,cosine:double,item_share:double,answer_share:double>>", of)
+    return map_text(docs, keep, "found array<struct<item_id:long,cosine:double,item_share:double,answer_share:double>>", of, at)

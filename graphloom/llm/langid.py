@@ -125,10 +125,10 @@ def fit(labelled: DataFrame, label: str = "lang") -> Model:
     return _fit(bits, labels, np.searchsorted(np.array(labels, object), got["label"].to_numpy()))
 
 
-def classify(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
+def classify(docs: DataFrame, model: Model, keep: list[str | Column], at: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of docs with lang_pred and score from the column text; no shuffle.
 
-    ``text`` is passed on only if ``keep`` has it.
+    ``text`` is passed on only if ``keep`` has it; ``at`` says where, as for map_text.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -154,4 +154,4 @@ def classify(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFra
             sure[i:j] = np.where(letters, p.max(axis=1), 0)
         return [pa.array([names[k] for k in best], pa.string()), pa.array(sure, pa.float64())]
 
-    return map_text(docs, keep, "lang_pred string, score double", score)
+    return map_text(docs, keep, "lang_pred string, score double", score, at)
