@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from graphloom.sources.shared import checkpointed, scratch, shared_folder  # noqa: F401  the operators take them from here
 
-from .textvec import release
+from .textvec import let_go, release
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -83,6 +83,7 @@ def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Ca
     held = rows.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             text = batch.columns[-1]
             for name in at:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder
 from .common import checkpointed, partitions
-from .textvec import chunks, release, utf8
+from .textvec import chunks, held, release, utf8
 
 CAPACITY = 1024
 END = 2
@@ -46,7 +46,6 @@ SLACK = 8
 ROUNDS = 3
 
 _BYTES_AT_ONCE = 1 << 19
-_encoders: dict[str, Encoder] = {}
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,9 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """doc_id, piece, start, length and ids_crc32 of each piece of each document; no shuffle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = held(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
             _, offsets = utf8(batch["text"])
             for i, j in chunks(offsets, _BYTES_AT_ONCE):

@@ -8,7 +8,7 @@ Memory is proportional to one chunk (``CHUNK`` bytes, or one longer document).
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +113,22 @@ def lowered(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.utf8_lower(column)
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, build: Callable[[], object]) -> object:
+    """A table that a Python worker keeps between tasks of one operator, built at its first use."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Forget what another operator has held in this worker: workers are kept and reused."""
+    _held.clear()
+
+
 def release() -> None:
     """Give memory that a finished task has freed back to the system: Python workers are kept and reused."""
     pa.default_memory_pool().release_unused()
