@@ -23,7 +23,7 @@ BROKEN = [("fix_clock", "ClockInGuard"), ("blind", "ReplaceWithoutSeq"), ("odd k
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in BROKEN) + ") v(operation, rule)")
-def op_static_checks(t: Tables) -> DataFrame:
+def typed_static_checks(t: Tables) -> DataFrame:
     """The static rules that declared operations break."""
     return t.values([(op.name, rule) for op in DECLARED for rule in operations.refusals(op)], "operation string, rule string")
 
@@ -39,7 +39,7 @@ TEXTS = {
 
 
 @query("SELECT name, length(text) AS n, sha256(text) AS digest FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in TEXTS.items()) + ") v(name, text)")
-def op_rendered(t: Tables) -> DataFrame:
+def typed_rendered(t: Tables) -> DataFrame:
     """A folder of rendered operations, one file each, read back."""
     folder = rendered_folder(t.spark, {op.name: operations.rendered(op) for op in READY})
     files = t.spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.input_file_name(), r"/([^/]+)\.sql/[^/]+$", 1).alias("name"), F.regexp_replace("value", r"\n$", "").alias("text"))
@@ -63,14 +63,14 @@ def asked_of(t: Tables) -> DataFrame:
 
 @query(f"""WITH {ASKED} SELECT request, 'value' AS parameter, CASE WHEN value IS NULL THEN 'missing' ELSE 'no double' END AS reason FROM asked WHERE value IS NULL OR value = 'much'
 UNION ALL SELECT request, 'source', 'no iri' FROM asked WHERE source = 'no iri' UNION ALL SELECT request, 'seq', 'no long' FROM asked WHERE seq = '1x' UNION ALL SELECT request, 'zone', 'undeclared' FROM asked WHERE extra""")
-def op_parameters(t: Tables) -> DataFrame:
+def typed_parameters(t: Tables) -> DataFrame:
     """Parameters of requests that the operation's declaration refuses."""
     return operations.broken_parameters(asked_of(t), "request", F.col("params"), SET_VALUE)
 
 
 @query("""SELECT o_orderkey AS key, 'ClosedNeedsDate' AS rule FROM orders WHERE o_orderstatus = 'F' AND o_orderdate > TIMESTAMP '2000-06-01' UNION ALL SELECT o_orderkey, 'UrgentNeedsTotal' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice < 50000
 UNION ALL SELECT o_orderkey, 'SegmentStore' FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'P'""")
-def op_cross_axis(t: Tables) -> DataFrame:
+def typed_cross_axis(t: Tables) -> DataFrame:
     """Rules that hold between the fields of a request, as a configuration's axes."""
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     rules = {
