@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, html_extract, langid, line_dedup, packing, quality, ranked_search, simhash, toxicity, url_filter
+from . import decontam, divergence, fingerprint, html_extract, langid, line_dedup, packing, quality, ranked_search, secret_scan, simhash, toxicity, url_filter
 from .common import fold, read
 
 
@@ -70,15 +70,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"), ["doc_id"])
+    base = secret_scan.KINDS[:3]
+    return found.select("doc_id", *[secret_scan.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in base], F.sha2(secret_scan.listed(F.col("spans"), base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans"), secret_scan.KINDS).alias("spans"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest-scoring documents for each benchmark item."""
     index = ranked_search.build(read(spark, sf_dir, "documents"))
     return ranked_search.search(index, read(spark, sf_dir, "benchmark"), 20)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_language_id, op4_html_text, op5_line_dedup, op6_quality, op7_simhash_components, op8_toxicity, op9_packing, op10_url_filter, op12_ranked_search)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_language_id, op4_html_text, op5_line_dedup, op6_quality, op7_simhash_components, op8_toxicity, op9_packing, op10_url_filter, op11_secrets, op12_ranked_search, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.oracle_sql("source"), "op10_url_filter": url_filter.oracle_sql(), "op12_ranked_search": ranked_search.oracle_sql()}
+    return {"op5_line_dedup": line_dedup.oracle_sql("source"), "op10_url_filter": url_filter.oracle_sql(), "op12_ranked_search": ranked_search.oracle_sql(), "op13_divergence": divergence.oracle_sql()}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, scratch
-from .textvec import WORD_BYTES, chunks, let_go, release, utf8
+from .textvec import chunks, let_go, release, term_spans, terms_of, utf8
 
 #: Text of a shard, in bytes; one longer document is a shard of its own. At most _SHARD_DOCS documents.
 SHARD_BYTES = 8 << 20
@@ -49,9 +49,6 @@ QUERY_TERMS = 200_000
 #: Documents scored first in a shard, before the bound is looked at again.
 _FIRST = 64
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 @dataclass
 class Index:
@@ -78,27 +75,6 @@ def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * tf) // (1000 * tf + 12 * m)
 
 
-def _inside(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which bytes belong to terms, where terms start and where they end; a document's end ends a term."""
-    member = np.zeros(len(data) + 2, bool)
-    member[1:-1] = WORD_BYTES[data]
-    starts, ends = member[1:-1] & ~member[:-2], member[1:-1] & ~member[2:]
-    cut = offsets[(offsets > 0) & (offsets < len(data))]
-    starts[cut] = member[1:-1][cut]
-    ends[cut - 1] = member[1:-1][cut - 1]
-    return member[1:-1], np.flatnonzero(starts), np.flatnonzero(ends) + 1
-
-
-def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct terms of some documents, and of each occurrence the term's place among them and the document."""
-    inside, start, end = _inside(data, offsets)
-    ends = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(end - start, out=ends[1:])
-    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(_LOWER[data[inside]])))
-    coded = words.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(offsets, start, "right") - 1
-
-
 def cut_blocks(scores: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of several lists of impacts: the length and largest impact of each, and the offsets of the lists' blocks.
 
@@ -178,7 +154,7 @@ def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Index:
             held = terms = 0
             for i, j in chunks(offsets):
                 at = offsets[i : j + 1] - offsets[i]
-                each = np.diff(np.searchsorted(_inside(data[offsets[i] : offsets[j]], at)[1], at))
+                each = np.diff(np.searchsorted(term_spans(data[offsets[i] : offsets[j]], at)[1], at))
                 held, terms = held + int((each > 0).sum()), terms + int(each.sum())
             yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([terms])], ["held", "terms"])
 

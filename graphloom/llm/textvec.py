@@ -22,6 +22,12 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that belong to words: ASCII letters, digits and every byte of a non-ASCII character.
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: The same without digits.
+LETTER_BYTES = WORD_BYTES.copy()
+LETTER_BYTES[48:58] = False
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
@@ -106,6 +112,28 @@ class Tokens:
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
 
+def term_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes belong to terms, where terms start and where they end; a document's end ends a term."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = member[data]
+    own = inside[1:-1]
+    starts, ends = own & ~inside[:-2], own & ~inside[2:]
+    cut = offsets[(offsets > 0) & (offsets < len(data))]
+    starts[cut] = own[cut]
+    ends[cut - 1] = own[cut - 1]
+    return own, np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def terms_of(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = WORD_BYTES) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct terms of some documents, ASCII letters lowered, and of each occurrence the term's place among them and the document."""
+    inside, start, end = term_spans(data, offsets, member)
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=ends[1:])
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(_LOWER[data[inside]])))
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(offsets, start, "right") - 1
+
+
 def lowered(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """Unicode lower case of a string column; null stays null."""
     if isinstance(column, pa.ChunkedArray):
