@@ -53,20 +53,31 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, label: str, cap: int) -> DataFrame:
-    """doc_id and ``label`` of at most ``cap`` rows for each value of ``label``, in the order of a hash of doc_id.
+    """doc_id and ``label`` of at most ``cap`` ids for each value of ``label``, in the order of a hash of doc_id.
 
-    A first cut by the hash, from the counts of the labels, keeps about twice the cap, so that
-    the ranking never meets all rows of a label. Rows with a null label or id don't count; other
-    columns are ignored.
+    A first cut by the hash, from the (approximate) numbers of distinct ids, keeps about twice the cap,
+    so that the ranking never meets all rows of a label; an id that repeats counts once. Rows with a
+    null label or id don't count; other columns are ignored.
     """
     known = df.select(F.col("doc_id").alias("doc_id"), column(label).alias("label")).where("label is not null and doc_id is not null")
-    counts = known.groupBy("label").agg(F.count("*").alias("n"))
+    counts = known.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
-    near = known.join(F.broadcast(counts), "label").where(place <= (2.0 * cap + 100) / F.col("n"))  # counts: a row for each label
+    near = known.join(F.broadcast(counts), "label").where(place <= (2.0 * cap + 100) / F.col("n")).select("doc_id", "label").distinct()  # counts: a row for each label
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return near.withColumn("r", rank).where(F.col("r") <= cap).select("doc_id", F.col("label").alias(label))
 
 
+def sampled_texts(texts: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
+    """doc_id, the other column of ``chosen`` and one text for each row of ``chosen`` (a bounded_sample).
+
+    Of an id's texts, which may be a third of all rows, the one of the least hash counts; it is
+    found by a partial aggregate, so that a task passes on one row for each chosen id.
+    """
+    met = texts.join(F.broadcast(chosen), on)  # chosen: bounded for each label
+    least = met.groupBy(*chosen.columns).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text"))).alias("least"))
+    return least.select(*chosen.columns, "least.text")
+
+
 def map_text(docs: DataFrame, keep: list[str | Column], fields: str, compute: Callable[[pa.Array], list[pa.Array]], at: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of docs and, from their column text, the columns of ``fields`` that ``compute`` returns.
 

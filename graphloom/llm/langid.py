@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_text
+from .common import bounded_sample, map_text, sampled_texts
 from .textvec import WORD_BYTES, chunks, lowered, utf8
 
 UNDETERMINED = "und"
@@ -100,10 +100,11 @@ def _fit(bits: np.ndarray, labels: list[str], y: np.ndarray) -> Model:
 def fit(labelled: DataFrame, label: str = "lang") -> Model:
     """Learn from the columns text, doc_id (only to choose the sample) and ``label`` of ``labelled``.
 
-    The sample is SAMPLE_PER_LABEL rows for each label and, of each, the whole text and its first
-    100 bytes. Executors send presence bits, not texts, to the driver.
+    The sample is SAMPLE_PER_LABEL ids for each label with one text each (of the label) and, of each, the
+    whole text and its first 100 bytes. Executors send presence bits, not texts, to the driver.
     """
-    chosen = bounded_sample(labelled.select("doc_id", F.col(label).alias("label")), "label", SAMPLE_PER_LABEL)
+    known = labelled.select("doc_id", F.col(label).alias("label"), "text").where("text is not null")
+    chosen = bounded_sample(known, "label", SAMPLE_PER_LABEL)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +116,7 @@ def fit(labelled: DataFrame, label: str = "lang") -> Model:
                     found = presence(part, np.concatenate([[0], np.cumsum(ends - offsets[i:j])]))
                     yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["label"].slice(i, j - i), pa.array([np.packbits(r).tobytes() for r in found], pa.binary())], ["doc_id", "label", "bits"])
 
-    texts = labelled.select("doc_id", "text").where(F.col("text").isNotNull())
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(bits, "doc_id long, label string, bits binary").toPandas()  # chosen: SAMPLE_PER_LABEL ids for each label
+    got = sampled_texts(known, chosen, ["doc_id", "label"]).mapInArrow(bits, "doc_id long, label string, bits binary").toPandas()
     got = got.sort_values(["label", "doc_id", "bits"])
     labels = sorted(set(got["label"]))
     if not labels:

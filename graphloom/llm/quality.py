@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, column, map_text
+from .common import bounded_sample, column, map_text, sampled_texts
 from .textvec import Tokens, chunks, mix, utf8
 
 #: Labelled rows for each label that are learned from.
@@ -194,7 +194,7 @@ def learn(x: np.ndarray, y: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Learn ``label`` (0 or 1) of labelled documents from a bounded sample; numbers go to the driver, not texts."""
     chosen = bounded_sample(labels.select("doc_id", F.col(label).cast("int").alias("_label")), "_label", SAMPLE_PER_LABEL)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: SAMPLE_PER_LABEL ids for each label
+    known = sampled_texts(docs.select("doc_id", "text"), chosen, ["doc_id"])
     table = with_statistics(known, ["doc_id", "_label"]).toPandas().sort_values(["doc_id", *STATISTICS])
     return learn(table[list(STATISTICS)].to_numpy(), table["_label"].to_numpy().astype(float))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpointed, map_text
+from .common import bounded_sample, checkpointed, map_text, sampled_texts
 from .textvec import Tokens, chunks, lowered, mix, span_hash, utf8
 
 #: Labelled rows for each label that are learned from.
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
     chosen = bounded_sample(known, "_label", SAMPLE_PER_LABEL)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: SAMPLE_PER_LABEL ids for each label
+    texts = sampled_texts(docs.select("doc_id", "text"), chosen, ["doc_id"])
 
     def hashed(text: pa.Array) -> list[pa.Array]:
         data, offsets = utf8(lowered(text))
