@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import community, matching, operations, relational
+from graphloom.operators import community, leiden, matching, operations, relational
 from graphloom.sources.tables import QUADS, Tables
 
 from .matching import COMM, COOC, communities_of, obs_of
@@ -64,6 +64,13 @@ def cluster_sweep(t: Tables) -> DataFrame:
     return found.withColumn("resolution", F.lit(float(resolution)))
 
 
+@query()
+def cluster_leiden(t: Tables) -> DataFrame:
+    """Communities over levels of parts that are in orders together, weighted by the overlap coefficient."""
+    bought = t.lineitem.select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("c")).distinct()
+    return leiden.leiden(matching.cooccurrence(bought, "s", "c"))
+
+
 TEMPLATES = "tpl AS (SELECT DISTINCT p_type || '/' || p_size % 10 AS template, p_brand AS c FROM part)"
 
 

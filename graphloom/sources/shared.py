@@ -36,3 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through a table in the session's shared folder.
+
+    For loops of many rounds: the plan of a checkpoint keeps the statistics and constraints of the plan
+    before it, which grow from round to round; a table has its own size, by which joins are chosen.
+    """
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -46,9 +46,13 @@ def test_against_oracle(spark, duck, sf_dir, name):
     assert found == rows(want.columns, want.fetchall())
 
 
+#: Queries that SQL can't express: each is held against a brute-force version in a test of its own.
+WITHOUT_SQL = {"cluster_leiden"}
+
+
 def test_every_query_has_an_oracle_or_is_listed():
     without = {k for k in __spark_entry__.queries() if k not in __spark_entry__.oracle_sql() and not k.startswith("op") and k != "pipeline"}
-    assert without == set()
+    assert without == WITHOUT_SQL
 
 
 def test_entry(spark):
