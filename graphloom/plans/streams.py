@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import fold, graph, paths
 from graphloom.sources.shared import scratch
 from graphloom.sources.tables import Tables
-from graphloom.streaming import log
+from graphloom.streaming import log, timers
 
 from .registry import query
 
@@ -67,6 +67,29 @@ def stream_timeout(t: Tables) -> DataFrame:
     return log.collected(log.overdue(events_stream(t), "user_id", "event_id", "ts", 172_800), "append")
 
 
+# Timers of the session machine: an active session times out, a finished one is reminded once.
+TIMERS = {"active": timers.Timer(172_800, "idle", "timeout"), "done": timers.Timer(86_400, None, "reminder")}
+CAP_S = 86_400
+LIMIT = "CASE s WHEN 'active' THEN e + 172800000000 WHEN 'done' THEN e + 86400000000 END"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+mark AS (SELECT max(epoch_us(ts)) - {CAP_S * 1_000_000} AS w FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS t, CAST('idle' AS VARCHAR) AS s, CAST(0 AS BIGINT) AS e, CAST('' AS VARCHAR) AS was, CAST('' AS VARCHAR) AS cause FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT user_id, i, t, s, CASE WHEN s <> was THEN t ELSE e END, was, cause FROM (
+  SELECT user_id, i, t, {NEXT.format("was", "cause")} AS s, e, was, cause FROM (
+  SELECT r.user_id, o.i, o.t, r.e, CASE WHEN r.s = 'active' AND r.e + 172800000000 <= o.t THEN 'idle' ELSE r.s END AS was, o.event_type AS cause FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))),
+n AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY i), (SELECT w FROM mark)) AS until FROM r),
+f AS (SELECT user_id, {LIMIT} AS due, s, t, until FROM n WHERE i > 0)
+SELECT user_id, t AS at_us, was AS before, s AS after, cause FROM r WHERE i > 0
+UNION ALL SELECT user_id, due, s, CASE s WHEN 'active' THEN 'idle' ELSE s END, CASE s WHEN 'active' THEN 'timeout' ELSE 'reminder' END FROM f WHERE due > t AND due <= until""")
+def stream_timers(t: Tables) -> DataFrame:
+    """The session machine with a timer that interrupts and one that reminds; silent users' timers fire at the watermark."""
+    with timers.timer_state(t.spark):
+        found = log.collected(timers.timed_machine(events_stream(t), "user_id", "ts", "event_id", "event_type", f"{CAP_S} seconds", dict(MOVES), TIMERS, "idle"), "append")
+    return found.withColumnRenamed("key", "user_id")
+
+
 @query("""WITH o AS (SELECT user_id, min(event_id) AS opened FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT user_id, event_id AS seq, greatest(opened, event_id) AS released_by FROM events JOIN o USING (user_id) WHERE event_type = 'purchase'""")
 def stream_pending(t: Tables) -> DataFrame:
     return log.collected(log.pending(events_stream(t), "user_id", "event_id", "event_type", "signup", "purchase"), "append")
