@@ -53,16 +53,10 @@ def ledger_read_from_checkpoint(t: Tables) -> DataFrame:
     read opens the folders of the last period only.
     """
     numbered = t.postings().select("account", "delta", F.expr(f"(pos - 1) div {PERIOD}").alias("k"))
-    by_period = t.stored("postings_by_period", lambda: numbered, "k")
-    stored = t.spark.read.schema("account string, delta long, k int").parquet(by_period)
-    head = max((int(f.split("/k=")[1].split("/")[0]) for f in stored.inputFiles()), default=0)  # the folders' names: one for each period
-
-    def closings() -> DataFrame:
-        k = F.explode(F.sequence(F.col("k"), F.lit(head))).alias("k")  # a posting counts in its own and all later closings
-        moved = numbered.groupBy("account", "k").agg(F.sum("delta").alias("d"))
-        return moved.select("account", "d", k).groupBy("account", "k").agg(F.sum("d").alias("closed"))
-
-    closed = t.spark.read.schema("account string, closed long, k int").parquet(t.stored("closings", closings, "k"))
+    last = t.spark.read.schema("k long").parquet(t.stored("last_period", lambda: numbered.agg(F.max("k").alias("k")), of=("orders",)))
+    head = last.first()["k"] or 0
+    stored = t.spark.read.schema("account string, delta long, k long").parquet(t.stored("postings_by_period", lambda: numbered, "k", of=("orders",)))
+    closed = t.spark.read.schema("account string, closed long, k long").parquet(t.stored("closings", lambda: ledger.closings(numbered, "k", head), "k", of=("orders",)))
     tail = stored.where(f"k = {head}").groupBy("account").agg(F.sum("delta").alias("b"))
     return closed.where(f"k = {head - 1}").select("account", F.col("closed").alias("b")).unionByName(tail).groupBy("account").agg(F.sum("b").alias("balance"))
 

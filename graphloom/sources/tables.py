@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .shared import scratch
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str, str], str] = {}
 
 
 def cents(amount: Column) -> Column:
@@ -28,9 +28,12 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> str:
-        """Folder of a table that is written once a session in the shared folder, in folders of the values of ``by``."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+    def stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None, of: tuple[str, ...] = ()) -> str:
+        """Folder of a table that is written once a session in the shared folder, in folders of the values of ``by``.
+
+        It is written anew when a file of the tables ``of`` has another time or size than before.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self.files(of) if of else "")
         if key not in _STORED:
             folder = scratch(self.spark)
             made = build()
@@ -39,6 +42,12 @@ class Tables:
             _STORED[key] = folder
         return _STORED[key]
 
+    def files(self, tables: tuple[str, ...]) -> str:
+        """A digest of the paths, times and sizes of the tables' files; their contents are not read."""
+        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{self.sf_dir}/{t}.parquet" for t in tables])
+        one = F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)")
+        return str(listed.agg(F.sum(one), F.count("*")).first())
+
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
         """An inline table."""
         return self.spark.createDataFrame(rows, schema)
