@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import graph, matching, relational
+from graphloom.operators import forms, graph, matching, nearest, relational
 from graphloom.sources.tables import Tables
 
 from .registry import query
@@ -309,6 +309,52 @@ def text_keyword_class(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(low.contains("licensed under"), "licence").when(low.contains("token ="), "secret").otherwise("other").alias("class"))
 
 
+# Forms and phrases come from the benchmark's items: their beginnings and ends as fixed words around a slot, their first words as phrases.
+ITEM_WORDS = """item AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM benchmark)"""
+FORM_ROWS = f"""{ITEM_WORDS}, form AS (SELECT min(item_id) * 2 AS form, a, b, c FROM (SELECT item_id, lower(w[1]) AS a, lower(w[2]) AS b, lower(w[-1]) AS c FROM item WHERE len(w) > 3) GROUP BY a, b, c
+UNION ALL SELECT min(item_id) * 2 + 1, a, NULL, NULL FROM (SELECT item_id, lower(w[1]) AS a FROM item WHERE len(w) > 3) GROUP BY a)"""
+
+
+def words_of(text: str) -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def forms_of(t: Tables) -> DataFrame:
+    """form, pattern: for each item its first two words, a slot and its last word; and its first word and a slot."""
+    w = t.benchmark.select("item_id", words_of("text").alias("w")).where("size(w) > 3").select("item_id", *[F.lower(F.element_at("w", k)).alias(c) for c, k in (("a", 1), ("b", 2), ("c", -1))])
+    long = w.groupBy("a", "b", "c").agg((F.min("item_id") * 2).alias("form")).select("form", F.concat_ws(" ", "a", "b", F.lit("{rest:text}"), "c").alias("pattern"))
+    return long.unionByName(w.groupBy("a").agg((F.min("item_id") * 2 + 1).alias("form")).select("form", F.concat_ws(" ", "a", F.lit("{rest:text}")).alias("pattern")))
+
+
+@query(f"""WITH {FORM_ROWS}, s AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS sentence, regexp_extract_all(unnest(x), '[\\p{{L}}\\p{{N}}_]+') AS w FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]+[ \\t\\r\\n]+|\\n+') AS x FROM documents)),
+m AS (SELECT doc_id, sentence, form, w[3:-2] AS rest, 3 AS fixed FROM s JOIN form ON lower(w[1]) = a AND lower(w[2]) = b AND lower(w[-1]) = c WHERE len(w) > 3
+ UNION ALL SELECT doc_id, sentence, form, w[2:], 1 FROM s JOIN form ON lower(w[1]) = a AND b IS NULL WHERE len(w) > 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY fixed DESC, form) AS place FROM m)
+SELECT doc_id, CAST(sentence AS INTEGER) AS sentence, form, array_to_string(rest, ' ') AS rest FROM r WHERE place = 1""")
+def text_sentence_forms(t: Tables) -> DataFrame:
+    """Sentences of whole documents that a form of the table matches, with what its slot holds."""
+    found = forms.match_sentences(t.documents, "doc_id", "text", forms_of(t))
+    return found.select("doc_id", "sentence", "form", F.element_at("slots", "rest").alias("rest"))
+
+
+@query(f"""WITH {ITEM_WORDS}, rule AS (SELECT min(item_id) AS rule, p, 'class ' || min(item_id) % 5 AS class FROM (SELECT item_id, lower(array_to_string(w[1:3], ' ')) AS p FROM item WHERE len(w) > 3) GROUP BY p),
+t AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)),
+h AS (SELECT doc_id, class, rule, i - 1 AS "at" FROM t JOIN rule ON p = w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule, "at") AS place FROM h)
+SELECT d.doc_id, class, rule, "at" FROM documents d LEFT JOIN (SELECT * FROM b WHERE place = 1) x USING (doc_id)""")
+def text_phrase_class(t: Tables) -> DataFrame:
+    """The first rule in order whose phrase a whole document holds."""
+    p = t.benchmark.select("item_id", words_of("text").alias("w")).where("size(w) > 3").select("item_id", F.lower(F.array_join(F.slice("w", 1, 3), " ")).alias("phrase"))
+    rules = p.groupBy("phrase").agg(F.min("item_id").alias("rule")).select("rule", "phrase", F.concat(F.lit("class "), (F.col("rule") % 5).cast("string")).alias("class"))
+    return forms.classify_phrases(t.documents, "doc_id", "text", rules)
+
+
+@query()
+def vec_nearest(t: Tables) -> DataFrame:
+    """The ten nearest of all vectors for every vector whose id is divisible by 50; similarity in [0, 1]."""
+    found = nearest.nearest(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return found.select("query", "vec_id", "rank", F.round((1 + F.col("similarity")) / 2, 6).alias("similarity"))
+
+
 @query("SELECT item_id, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) AS text FROM benchmark")
 def norm_text(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", text.normal_text(F.col("text")).alias("text"))

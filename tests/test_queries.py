@@ -47,7 +47,7 @@ def test_against_oracle(spark, duck, sf_dir, name):
 
 
 #: Queries that SQL can't express: each is held against a brute-force version in a test of its own.
-WITHOUT_SQL = {"cluster_leiden"}
+WITHOUT_SQL = {"cluster_leiden", "vec_nearest"}
 
 
 def test_every_query_has_an_oracle_or_is_listed():
