@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, paths, relational
+from graphloom.operators import canonical, graph, paths, relational
 from graphloom.sources.shared import scratch
 from graphloom.sources.store import digest_tree, digest_tree_sql
 from graphloom.sources.tables import EDGES, PATHS, POSTINGS, QUADS, Tables, cents
@@ -66,6 +66,21 @@ def snapshot_digest(t: Tables) -> DataFrame:
     return digest_tree(lines, ["g"], "line").select("g", "digest", F.col("n").cast("long").alias("n"))
 
 
+@query("""WITH line AS (SELECT l_orderkey AS g, min(l_returnflag) || min(l_linestatus) || min(l_linenumber) % 4 AS row FROM lineitem GROUP BY l_orderkey, l_partkey), kind AS (SELECT g, string_agg(row, ',' ORDER BY row) AS rows, count(*) AS lines FROM line GROUP BY 1)
+SELECT g, min(g) OVER (PARTITION BY o_orderstatus, rows) AS same_as, 1 + 4 * lines AS n FROM kind JOIN orders ON o_orderkey = g""")
+def graph_canonical(t: Tables) -> DataFrame:
+    """Orders and their parts as graphs of blank nodes, each with the first graph that has its canonical digest: the same but for names."""
+    rows = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_linenumber")])
+    order, line = F.concat(F.lit("o"), "l_orderkey"), F.concat_ws(" ", F.lit("l"), F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))
+    values = {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus"), "place": (F.col("l_linenumber") % 4).cast("string")}
+    parts = F.array(F.struct(order.alias("s"), F.lit("line").alias("p"), line.alias("o"), F.lit(True).alias("o_blank")), *[F.struct(line.alias("s"), F.lit(p).alias("p"), v.alias("o"), F.lit(False).alias("o_blank")) for p, v in values.items()])
+    lines = rows.select(F.col("l_orderkey").alias("g"), F.inline(parts))
+    heads = t.orders.join(t.lineitem.select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("g"), F.concat(F.lit("o"), "o_orderkey").alias("s"), F.lit("status").alias("p"), F.col("o_orderstatus").alias("o"), F.lit(False).alias("o_blank"))
+    found = canonical.graph_digests(lines.unionByName(heads).withColumn("s_blank", F.lit(True)))
+    first = found.groupBy("digest").agg(F.min("g").alias("same_as"))
+    return found.join(first, "digest").select("g", "same_as", "n")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50")
 def src_json_path(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k")).where("k >= 50")
