@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import digest
-from graphloom.operators import fold, graph
-from graphloom.sources.tables import EDGES, Tables
+from graphloom.operators import cover, fold, graph
+from graphloom.sources.tables import EDGES, PATHS, Tables
 
 from .registry import query
 
@@ -175,6 +175,24 @@ def derive_cover(t: Tables) -> DataFrame:
     return sig.groupBy("sig").agg(F.count("*").alias("n"), F.min("o_custkey").alias("shared"))
 
 
+@query(f"""WITH RECURSIVE {PATHS}, m AS (SELECT o_orderpriority AS owner, 'C' || o_custkey AS node FROM orders WHERE o_totalprice > 300000
+UNION SELECT o_orderpriority, 'N' || c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 380000 AND o_orderkey % 3 = 0)
+SELECT owner, node FROM m WHERE NOT EXISTS (SELECT 1 FROM path p JOIN m x ON x.node = p.anc WHERE p."desc" = m.node AND p.anc <> m.node AND x.owner = m.owner)""")
+def derive_topmost(t: Tables) -> DataFrame:
+    """Accounts of large orders for each priority, without those below another one of them."""
+    large = t.orders.where("o_totalprice > 300000").select(F.col("o_orderpriority").alias("owner"), F.concat(F.lit("C"), "o_custkey").alias("node"))
+    nations = t.orders.where("o_totalprice > 380000 AND o_orderkey % 3 = 0").join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderpriority").alias("owner"), F.concat(F.lit("N"), "c_nationkey").alias("node"))
+    return cover.topmost(large.unionByName(nations), t.account_paths())
+
+
+@query("""WITH i AS (SELECT DISTINCT o_custkey AS owner, left(o_orderpriority, 1) || o_orderstatus AS item FROM orders), s AS (SELECT owner, list_sort(list(item)) AS items FROM i GROUP BY 1),
+k AS (SELECT items, min(owner) AS shared FROM s GROUP BY 1), top AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k x WHERE len(x.items) > len(k.items) AND list_has_all(x.items, k.items)))
+SELECT owner, shared FROM s JOIN top USING (items)""")
+def derive_maximal(t: Tables) -> DataFrame:
+    """Customers whose set of kinds of orders no other set exceeds, with the first customer of the same set."""
+    return cover.maximal_sets(t.orders.select(F.col("o_custkey").alias("owner"), F.concat(F.substring("o_orderpriority", 1, 1), "o_orderstatus").alias("item")))
+
+
 @query("SELECT 'C' || c_custkey AS element FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 2 AND n_nationkey % 3 <> 0 AND c_acctbal > 0")
 def assemble_tree(t: Tables) -> DataFrame:
     """Walk down included elements only: an excluded node hides all below it."""

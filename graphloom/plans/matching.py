@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import forms, graph, matching, nearest, relational
+from graphloom.operators import abbreviations, forms, graph, matching, nearest, relational
 from graphloom.sources.tables import Tables
 
 from .registry import query
@@ -61,6 +61,33 @@ def text_abbrev(t: Tables) -> DataFrame:
     return relational.top_k(every, ["p_name"], [F.col("first"), F.col("rest")], 50).select("p_name", F.concat_ws(" ", "first", "rest").alias("variant"))
 
 
+LEARNED = """pair AS (SELECT string_split(p_name, ' ') AS w FROM part), both_ AS (SELECT left(w[1], 3) AS short, w[1] AS long FROM pair UNION ALL SELECT w[2][1] || regexp_replace(w[2][2:], '[aeiou]', '', 'g'), w[2] FROM pair),
+learned AS (SELECT short, long, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY short), 6) AS share FROM both_ WHERE short <> long GROUP BY short, long)"""
+
+
+def learned_of(t: Tables) -> DataFrame:
+    """Short forms learned from names of parts and names in which the first word is cut and the second has lost its vowels."""
+    w = t.part.select(F.split("p_name", " ").alias("long"))
+    short = F.array(F.substring(F.col("long")[0], 1, 3), F.concat(F.substring(F.col("long")[1], 1, 1), F.regexp_replace(F.substring(F.col("long")[1], 2, 100), "[aeiou]", "")))
+    return abbreviations.learn(w.select(short.alias("short"), "long"))
+
+
+@query(f"WITH {LEARNED} SELECT short, long, n, share FROM learned WHERE n >= 2")
+def text_abbrev_learned(t: Tables) -> DataFrame:
+    return learned_of(t)
+
+
+@query(f"""WITH {LEARNED}, own AS (SELECT DISTINCT p_name, left(w[1], 3) AS a, w[2][1] || regexp_replace(w[2][2:], '[aeiou]', '', 'g') AS b FROM (SELECT p_name, string_split(p_name, ' ') AS w FROM part)),
+x AS (SELECT p_name, a AS word, 1.0 AS p, b FROM own UNION ALL SELECT p_name, long, share, b FROM own JOIN learned ON short = a WHERE n >= 2),
+y AS (SELECT p_name, word, p, b AS second FROM x UNION ALL SELECT p_name, word, p * share, long FROM x JOIN learned ON short = b WHERE n >= 2)
+SELECT p_name, word || ' ' || second AS variant FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p DESC, word || ' ' || second) AS r FROM y) WHERE r <= 50""")
+def text_abbrev_expanded(t: Tables) -> DataFrame:
+    """What shortened names of parts may stand for, the likeliest 50."""
+    w = F.split("p_name", " ")
+    short = F.array(F.substring(w[0], 1, 3), F.concat(F.substring(w[1], 1, 1), F.regexp_replace(F.substring(w[1], 2, 100), "[aeiou]", "")))
+    return abbreviations.expanded(t.part.select("p_name", short.alias("w")).distinct(), "p_name", "w", learned_of(t))
+
+
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round((1 + list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))
 * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))) / 2, 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def vec_cosine(t: Tables) -> DataFrame:

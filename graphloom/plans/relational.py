@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import canonical, graph, paths, relational
+from graphloom.sources import paths as source_paths
 from graphloom.sources.shared import scratch
 from graphloom.sources.store import digest_tree, digest_tree_sql
 from graphloom.sources.tables import EDGES, PATHS, POSTINGS, QUADS, Tables, cents
@@ -86,6 +87,34 @@ def src_json_path(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k")).where("k >= 50")
 
 
+def nested_orders(t: Tables) -> DataFrame:
+    """o_orderkey and the order as JSON and as XML: its lines with a part and, of a returned line, two tags. Every 19th text is cut off."""
+    tags = F.when(F.col("l_returnflag") == "R", F.array(F.col("l_linestatus"), F.lit("back"))).otherwise(F.array().cast("array<string>"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("_no"), F.col("l_partkey").alias("part"), tags.alias("tag")))).alias("line"))  # the lines of an order
+    whole = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("order", F.struct(F.col("o_orderstatus").alias("status"), "line"))
+    cut = F.col("o_orderkey") % 19 == 0
+    json, xml = F.to_json("order"), F.to_xml("order", {"rowTag": "order", "declaration": ""})
+    return whole.select("o_orderkey", *[F.when(cut, F.substring(x, 1, 25)).otherwise(x).alias(n) for n, x in (("json", json), ("xml", xml))])
+
+
+NESTED = """tagged AS (SELECT l_orderkey, l_linenumber, l_partkey, unnest(CASE WHEN l_returnflag = 'R' THEN [l_linestatus, 'back'] ELSE [NULL] END) AS tag FROM lineitem)"""
+
+
+@query(f"""WITH {NESTED} SELECT o_orderkey, o_orderstatus AS status, CAST(l_partkey AS VARCHAR) AS part, tag FROM orders JOIN tagged ON l_orderkey = o_orderkey WHERE o_orderkey % 19 <> 0
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 19 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def src_json_nested(t: Tables) -> DataFrame:
+    """Three paths, two of them through one repeated level and one through another within it, from one parse."""
+    found = source_paths.read_json(nested_orders(t), "json", {"status": "$.status", "part": "$.line[*].part", "tag": "$.line[*].tag[*]"})
+    return found.select("o_orderkey", "status", "part", "tag")
+
+
+@query("""SELECT l_orderkey AS o_orderkey, l_linenumber AS no, CAST(l_partkey AS VARCHAR) AS part, CASE WHEN l_returnflag = 'R' THEN l_linestatus || ',back' ELSE '' END AS tags FROM lineitem WHERE l_orderkey % 19 <> 0""")
+def src_xml_nested(t: Tables) -> DataFrame:
+    """Lines of orders' XML by an iteration path, with an attribute, a child and a repeated child."""
+    found = source_paths.read_xml(nested_orders(t), "o_orderkey", "xml", "/order/line", {"no": "@no", "part": "part", "tags": "tag"})
+    return found.select("o_orderkey", F.element_at("no", 1).cast("int").alias("no"), F.element_at("part", 1).alias("part"), F.array_join("tags", ",").alias("tags"))
+
+
 @query("""SELECT 'R' || r_regionkey AS s, r_name AS name FROM region WHERE r_name IS NOT NULL""")
 def src_xml_path(t: Tables) -> DataFrame:
     """Records of an XML file, read by paths: a child, an attribute and a text."""
