@@ -13,6 +13,10 @@ from graphloom.streaming import log, timers
 from .registry import query
 
 
+#: Files of a part of a stream: as many tasks read and write it.
+FILES = 4
+
+
 def events_stream(t: Tables) -> DataFrame:
     return log.stream_of(t.spark, t.sf_dir, "events")
 
@@ -35,11 +39,12 @@ def stream_idempotent(t: Tables) -> DataFrame:
     return log.collected(log.first_of_each(s, "command", "ts", "40 days").select("command"), "append")
 
 
-@query("SELECT date_trunc('day', CASE WHEN event_id % 20 = 0 THEN ts - INTERVAL 3 DAY ELSE ts END) AS start, count(*) AS n FROM events GROUP BY 1")
+@query("""WITH e AS (SELECT CASE WHEN event_id % 20 = 0 THEN ts - INTERVAL 3 DAY ELSE ts END AS ts FROM events) SELECT date_trunc('day', ts) AS start, count(*) AS n FROM e GROUP BY 1
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 7 DAY FROM e)""")
 def stream_late(t: Tables) -> DataFrame:
-    """Late rows within the cap correct their window."""
+    """Late rows within the cap count in their window, which is given once, when the watermark has passed it, and then forgotten."""
     s = events_stream(t).select(F.expr("if(event_id % 20 = 0, ts - interval 3 days, ts)").alias("ts"))
-    return log.collected(log.per_window(s, "ts", "1 day", "7 days", []), "complete")
+    return log.collected(log.per_window(s, "ts", "1 day", "7 days", []), "append")
 
 
 @query("SELECT user_id AS k, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS balance, count(*) AS n FROM events GROUP BY 1")
@@ -103,16 +108,18 @@ def stream_retry(t: Tables) -> DataFrame:
         if attempt == 0:
             raise OSError(f"batch {batch} fails once")
 
-    folder = log.split(t.events.select("event_id", (F.col("event_id") % 3).alias("k")), F.col("k"), 3)
-    return log.collected(log.stream_of_folder(t.spark, folder, 1), "append", attempts=3, fault=fault).select("event_id", F.col("k").alias("part"))
+    folder = log.split(t.events.select("event_id", (F.col("event_id") % 3).alias("k")), F.col("k"), 3, FILES)
+    return log.collected(log.stream_of_folder(t.spark, folder, FILES), "append", attempts=3, fault=fault).select("event_id", F.col("k").alias("part"))
 
 
-@query("SELECT 4 AS files, 4 AS batches, count(*) AS rows FROM events")
+@query("SELECT event_id % 4 AS part, count(*) AS rows, {} AS files, true AS alone FROM events GROUP BY 1".format(FILES))
 def stream_backpressure(t: Tables) -> DataFrame:
-    """A reader that asks for one file at a time gets a batch for each file."""
-    folder = log.split(t.events.select("event_id"), F.col("event_id") % 4, 4)
-    out = log.collected(log.stream_of_folder(t.spark, folder, 1), "append", number=True)
-    return out.agg(F.lit(4).alias("files"), F.count_distinct("batch").cast("int").alias("batches"), F.count("*").alias("rows"))
+    """A reader that asks for a part's files at a time gets a batch for each part: rows and files of each, and whether its batch held no other part."""
+    folder = log.split(t.events.select("event_id"), F.col("event_id") % 4, 4, FILES)
+    stream = log.stream_of_folder(t.spark, folder, FILES).select("event_id", F.col("_metadata.file_name").alias("file"))
+    out = log.collected(stream, "append", number=True).withColumn("part", F.col("event_id") % 4)
+    own = out.groupBy("batch").agg(F.count_distinct("part").alias("kinds"))
+    return out.join(own, "batch").groupBy("part").agg(F.count("*").alias("rows"), F.count_distinct("file").cast("int").alias("files"), F.every(F.col("kinds") == 1).alias("alone"))
 
 
 @query("SELECT user_id AS producer, count(*) AS kept, count(*) + count(*) FILTER (WHERE event_id % 3 = 0) AS sent FROM events GROUP BY 1")
@@ -120,7 +127,7 @@ def stream_producer_dedup(t: Tables) -> DataFrame:
     """A producer that fails over sends a third of its messages again under their numbers; each is kept once."""
     e = t.events.select("user_id", "event_id", "ts")
     sent = e.withColumn("k", F.lit(0)).unionByName(e.where("event_id % 3 = 0").withColumn("k", F.lit(1)))
-    stream = log.stream_of_folder(t.spark, log.split(sent, F.col("k"), 2), 1).withColumn("at", F.col("ts").cast("timestamp"))
+    stream = log.stream_of_folder(t.spark, log.split(sent, F.col("k"), 2, FILES), FILES).withColumn("at", F.col("ts").cast("timestamp"))
     kept = log.collected(log.first_of_each(stream, "event_id", "at", "60 days").select("user_id", "event_id"), "append").groupBy("user_id").agg(F.count("*").alias("kept"))
     return kept.join(sent.groupBy("user_id").agg(F.count("*").alias("sent")), "user_id").select(F.col("user_id").alias("producer"), "kept", "sent")
 
@@ -137,14 +144,16 @@ def stream_outbox(t: Tables) -> DataFrame:
     return delivered.join(applied, "event_id")
 
 
-@query("""WITH h AS (SELECT o_custkey AS root, count(*) AS seq FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), w AS (SELECT event_id AS txn, user_id AS root, event_id % 6 AS expected FROM events),
-j AS (SELECT w.*, coalesce(seq, 0) AS seq, row_number() OVER (PARTITION BY root, expected ORDER BY txn) AS k FROM w LEFT JOIN h USING (root))
+@query("""WITH RECURSIVE w AS (SELECT event_id AS txn, user_id AS root, event_id % 6 AS expected, event_id % 4 AS batch FROM events), h AS (SELECT o_custkey AS root, count(*) AS seq FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+r AS (SELECT root, CAST(0 AS BIGINT) AS batch, CAST(coalesce(max(seq), 0) AS BIGINT) AS seq FROM (SELECT DISTINCT root FROM w) LEFT JOIN h USING (root) GROUP BY root
+UNION ALL SELECT root, batch + 1, seq + CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.root = r.root AND w.batch = r.batch AND w.expected = r.seq) THEN 1 ELSE 0 END FROM r WHERE batch < 4),
+j AS (SELECT w.*, r.seq, row_number() OVER (PARTITION BY w.root, w.batch, expected ORDER BY txn) AS k FROM w JOIN r USING (root, batch))
 SELECT txn, root, CASE WHEN expected <> seq THEN 'conflict' WHEN k = 1 THEN 'applied' ELSE 'lost' END AS outcome, CASE WHEN expected = seq AND k = 1 THEN seq + 1 END AS seq FROM j""")
 def stream_guarded_write(t: Tables) -> DataFrame:
-    """Writes of a stream against the revisions that they expect."""
+    """Writes of a stream of four batches against the revisions that they expect; each batch leaves a delta of the revisions."""
     heads = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("root")).agg(F.count("*").alias("seq"))
-    folder = log.split(t.events.select(F.col("event_id").alias("txn"), F.col("user_id").alias("root"), (F.col("event_id") % 6).alias("expected")), F.lit(0), 1)
-    return log.guarded_writes(log.stream_of_folder(t.spark, folder, 1), heads)
+    folder = log.split(t.events.select(F.col("event_id").alias("txn"), F.col("user_id").alias("root"), (F.col("event_id") % 6).alias("expected")), F.col("txn") % 4, 4, FILES)
+    return log.guarded_writes(log.stream_of_folder(t.spark, folder, FILES), heads, every=3, buckets=4)
 
 
 LEASE_S = 432_000

@@ -21,6 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from graphloom.operators import versions
 from graphloom.sources.shared import scratch
 
+from . import deltas
+
 
 def stream_of(spark: SparkSession, folder: str, table: str, files_at_once: int = 8) -> DataFrame:
     """A table of the data folder as a stream of its files; a bound on files is the back-pressure."""
@@ -67,12 +69,19 @@ def collected(stream: DataFrame, mode: str, attempts: int = 1, fault: Callable[[
     return out if number else out.drop("batch")
 
 
-def split(rows: DataFrame, part: Column, parts: int) -> str:
-    """A folder of ``parts`` tables, written one after the other by the number ``part``: files that a stream takes in turn."""
-    folder = scratch(rows.sparkSession)
+def split(rows: DataFrame, part: Column, parts: int, files: int = 1) -> str:
+    """A folder of ``parts`` tables by the number ``part``, each of ``files`` files, that a stream takes in turn.
+
+    The rows are read once; parts are laid out one after the other, since a stream takes files by their time.
+    Raises ValueError for a part with fewer rows than files.
+    """
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession)
+    rows.withColumn("part", part.cast("int")).write.partitionBy("part").parquet(f"{folder}/all")
     for k in range(parts):
-        rows.where(part == k).coalesce(1).write.parquet(f"{folder}/part={k}")
-    return folder
+        spark.read.schema(rows.schema).parquet(f"{folder}/all/part={k}").repartition(files).write.parquet(f"{folder}/parts/part={k}")
+        if len(spark.read.schema(rows.schema).parquet(f"{folder}/parts/part={k}").inputFiles()) != files:
+            raise ValueError(f"part {k} has fewer rows than its {files} files")
+    return f"{folder}/parts"
 
 
 def stream_of_folder(spark: SparkSession, folder: str, files_at_once: int) -> DataFrame:
@@ -98,20 +107,23 @@ def relay(outbox: DataFrame, state: str, crash: bool = False) -> None:
         spark.read.parquet(f"{state}/log").where(F.col("run") == run).select(key).write.mode("append").parquet(f"{state}/marked")
 
 
-def guarded_writes(stream: DataFrame, heads: DataFrame) -> DataFrame:
-    """txn, root, outcome, seq of writes (txn, root, expected): each batch reads the revisions, decides and writes new ones.
+def guarded_writes(stream: DataFrame, heads: DataFrame, every: int = deltas.EVERY, buckets: int = deltas.BUCKETS, fault: Callable[[int], None] | None = None, folder: str | None = None) -> DataFrame:
+    """txn, root, outcome, seq of writes (txn, root, expected): each batch reads the revisions of its roots, decides and writes new ones.
 
-    Revisions are snapshots by batch number in the shared folder, so that a repeated batch reads the
-    same ones and overwrites its own result.
+    Revisions are a table with deltas, so that a batch costs its own roots; a batch that is repeated
+    decides the same. ``fault(batch)`` is called when a batch has written and before it is marked as
+    done, and may raise, for trials; a run with the same ``folder`` then goes on.
     """
-    spark, folder = stream.sparkSession, scratch(stream.sparkSession)
-    heads.select("root", "seq").write.parquet(f"{folder}/heads/v=0")
+    spark, folder = stream.sparkSession, folder or scratch(stream.sparkSession)
+    kept = deltas.Deltas(spark, f"{folder}/heads", heads.select("root", "seq"), "root", every, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        now = spark.read.parquet(f"{folder}/heads/v={batch_id}")
-        versions.compare_and_set(now, batch.select("txn", "root", "expected")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        asked = batch.select("txn", "root", "expected")
+        versions.compare_and_set(kept.of(batch_id, asked), asked).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
         won = spark.read.parquet(f"{folder}/out/batch={batch_id}").where("outcome = 'applied'").groupBy("root").agg(F.max("seq").alias("seq"))
-        now.join(won.select("root"), "root", "left_anti").unionByName(won).write.mode("overwrite").parquet(f"{folder}/heads/v={batch_id + 1}")
+        kept.put(batch_id, won)
+        if fault:
+            fault(batch_id)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
