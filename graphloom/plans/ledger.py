@@ -53,8 +53,7 @@ def ledger_read_from_checkpoint(t: Tables) -> DataFrame:
     read opens the folders of the last period only.
     """
     numbered = t.postings().select("account", "delta", F.expr(f"(pos - 1) div {PERIOD}").alias("k"))
-    last = t.spark.read.schema("k long").parquet(t.stored("last_period", lambda: numbered.agg(F.max("k").alias("k")), of=("orders",)))
-    head = last.first()["k"] or 0
+    head = t.remembered("last_period", lambda: numbered.agg(F.max("k").alias("k")).first()["k"] or 0, ("orders",))
     stored = t.spark.read.schema("account string, delta long, k long").parquet(t.stored("postings_by_period", lambda: numbered, "k", of=("orders",)))
     closed = t.spark.read.schema("account string, closed long, k long").parquet(t.stored("closings", lambda: ledger.closings(numbered, "k", head), "k", of=("orders",)))
     tail = stored.where(f"k = {head}").groupBy("account").agg(F.sum("delta").alias("b"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .shared import scratch
 
+_REMEMBERED: dict[tuple[str, str, str, str], object] = {}
 _STORED: dict[tuple[str, str, str, str], str] = {}
 
 
@@ -42,11 +44,24 @@ class Tables:
             _STORED[key] = folder
         return _STORED[key]
 
+    def remembered(self, name: str, build: Callable[[], object], of: tuple[str, ...]) -> object:
+        """A small value that is made once a session, and again when a file of the tables ``of`` changes."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self.files(of))
+        if key not in _REMEMBERED:
+            _REMEMBERED[key] = build()
+        return _REMEMBERED[key]
+
     def files(self, tables: tuple[str, ...]) -> str:
-        """A digest of the paths, times and sizes of the tables' files; their contents are not read."""
-        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{self.sf_dir}/{t}.parquet" for t in tables])
-        one = F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)")
-        return str(listed.agg(F.sum(one), F.count("*")).first())
+        """Paths, times and sizes of the tables' files, from their file system; nothing is read."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        found = []
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+            listed = path.getFileSystem(conf).listFiles(path, True)
+            while listed.hasNext():
+                status = listed.next()
+                found.append(f"{status.getPath()} {status.getModificationTime()} {status.getLen()}")
+        return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
         """An inline table."""
