@@ -196,12 +196,15 @@ def json_canonical(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.canonical_json({"user": F.col("user_id"), "type": F.col("event_type"), "k": F.from_json("props", "k int")["k"]}).alias("canonical"))
 
 
-@query("""WITH d(text) AS (VALUES ('P1DT2H'), ('PT0.5S'), ('P2W'), ('PT90M'), ('P1Y'), ('-PT1H'), ('nonsense'), ('P'), ('PT'), ('P3DT4H5M6.789S')), v(text, ms) AS (VALUES ('P1DT2H', 93600000), ('PT0.5S', 500), ('P2W', 1209600000), ('PT90M', 5400000), ('-PT1H', -3600000), ('P3DT4H5M6.789S', 273906789))
-SELECT text, CAST(ms AS BIGINT) AS ms FROM d LEFT JOIN v USING (text)""")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'P' || event_id % 5 || 'DT' || event_id % 24 || 'H' WHEN 1 THEN 'PT' || event_id % 90 || '.5S' WHEN 2 THEN 'P' || event_id % 9 || 'W' WHEN 3 THEN '-PT' || event_id % 70 || 'M'
+ WHEN 4 THEN 'P' || event_id || 'Y' WHEN 5 THEN 'P' WHEN 6 THEN event_type ELSE 'P' || event_id % 30 || 'DT1H' || event_id % 60 || 'M6.789S' END AS text,
+CASE event_id % 8 WHEN 0 THEN event_id % 5 * 86400000 + event_id % 24 * 3600000 WHEN 1 THEN event_id % 90 * 1000 + 500 WHEN 2 THEN event_id % 9 * 604800000 WHEN 3 THEN -(event_id % 70 * 60000)
+ WHEN 7 THEN event_id % 30 * 86400000 + 3600000 + event_id % 60 * 60000 + 6789 END AS ms FROM events""")
 def iso_duration(t: Tables) -> DataFrame:
     """Durations in milliseconds; null for what has no fixed length or is none."""
-    d = t.values([(x,) for x in ("P1DT2H", "PT0.5S", "P2W", "PT90M", "P1Y", "-PT1H", "nonsense", "P", "PT", "P3DT4H5M6.789S")], "text string")
-    return d.select("text", text.duration_ms(F.col("text")).alias("ms"))
+    written = F.expr("""case event_id % 8 when 0 then 'P' || event_id % 5 || 'DT' || event_id % 24 || 'H' when 1 then 'PT' || event_id % 90 || '.5S' when 2 then 'P' || event_id % 9 || 'W' when 3 then '-PT' || event_id % 70 || 'M'
+     when 4 then 'P' || event_id || 'Y' when 5 then 'P' when 6 then event_type else 'P' || event_id % 30 || 'DT1H' || event_id % 60 || 'M6.789S' end""")
+    return t.events.select("event_id", written.alias("text")).select("event_id", "text", text.duration_ms(F.col("text")).alias("ms"))
 
 
 @query("SELECT count(*) AS rows, 1 AS instants, true AS recent FROM orders")

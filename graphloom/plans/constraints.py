@@ -118,10 +118,14 @@ def ck_continuity(t: Tables) -> DataFrame:
     return ck.violations(lost, "continuity", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.col("role"))
 
 
-@query("""WITH v(id, unit, space, other) AS (VALUES (1, 'kg', 'mass', 'mass'), (2, 'kg', 'length', 'mass'), (3, 'm', 'length', 'length'), (4, 'ft', NULL, 'length')), u(unit, space) AS (VALUES ('kg', 'mass'), ('m', 'length'))
+@query("""WITH v AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'kg' WHEN 1 THEN 'm' ELSE 'ft' END AS unit, CASE p_partkey % 4 WHEN 0 THEN 'mass' WHEN 1 THEN 'length' WHEN 2 THEN CASE p_size % 3 WHEN 0 THEN 'mass' ELSE 'length' END END AS space FROM part),
+u(unit, space) AS (VALUES ('kg', 'mass'), ('m', 'length'))
 SELECT 'units' AS rule, CAST(id AS VARCHAR) AS focus, v.unit AS value, 'Violation' AS severity FROM v LEFT JOIN u ON u.unit = v.unit WHERE u.space IS NULL OR u.space IS DISTINCT FROM v.space""")
 def ck_units(t: Tables) -> DataFrame:
-    v = t.values([(1, "kg", "mass"), (2, "kg", "length"), (3, "m", "length"), (4, "ft", None)], "id int, unit string, space string")
+    """Parts whose unit is unknown or belongs to another space than they state."""
+    unit = F.when(F.col("p_size") % 3 == 0, "kg").when(F.col("p_size") % 3 == 1, "m").otherwise("ft")
+    space = F.when(F.col("p_partkey") % 4 == 0, "mass").when(F.col("p_partkey") % 4 == 1, "length").when(F.col("p_partkey") % 4 == 2, F.when(F.col("p_size") % 3 == 0, "mass").otherwise("length"))
+    v = t.part.select(F.col("p_partkey").alias("id"), unit.alias("unit"), space.alias("space"))
     u = t.values([("kg", "mass"), ("m", "length")], "unit string, of string")
     j = v.join(u, "unit", "left").where(F.col("of").isNull() | ~F.col("of").eqNullSafe(F.col("space")))
     return ck.violations(j, "units", F.col("id"), F.col("unit"))

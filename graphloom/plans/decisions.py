@@ -15,12 +15,22 @@ RANGES = [(0.0, True, 1000.0, False, "USD"), (5000.0, False, 9000.0, True, "USD"
 DECIDE = "CASE WHEN {0} IS NULL THEN 'Undetermined' WHEN {0} THEN 'Permitted' ELSE 'Denied' END"
 
 
-@query("""WITH v(x) AS (VALUES (true), (false), (NULL)) SELECT coalesce(CAST(a.x AS VARCHAR), 'u') AS a, coalesce(CAST(b.x AS VARCHAR), 'u') AS b,
-coalesce(CAST(a.x AND b.x AS VARCHAR), 'u') AS both, coalesce(CAST(a.x OR b.x AS VARCHAR), 'u') AS one, coalesce(CAST(NOT a.x AS VARCHAR), 'u') AS negated FROM v a, v b""")
+TRUTH = "truth AS (SELECT l_orderkey AS id, CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS x, CASE l_linenumber % 3 WHEN 0 THEN true WHEN 1 THEN false END AS y FROM lineitem)"
+
+
+def truths_of(t: Tables) -> DataFrame:
+    """id, x, y: two three-valued findings on each line."""
+    x = F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False)
+    y = F.when(F.col("l_linenumber") % 3 == 0, True).when(F.col("l_linenumber") % 3 == 1, False)
+    return t.lineitem.select(F.col("l_orderkey").alias("id"), x.alias("x"), y.alias("y"))
+
+
+@query(f"""WITH {TRUTH} SELECT id, coalesce(CAST(x AS VARCHAR), 'u') AS a, coalesce(CAST(y AS VARCHAR), 'u') AS b,
+coalesce(CAST(x AND y AS VARCHAR), 'u') AS both, coalesce(CAST(x OR y AS VARCHAR), 'u') AS one, coalesce(CAST(NOT x AS VARCHAR), 'u') AS negated FROM truth""")
 def kleene_truth_table(t: Tables) -> DataFrame:
-    pairs = t.values([(a, b) for a in (True, False, None) for b in (True, False, None)], "x boolean, y boolean")
+    """And, or and not of the findings on each line."""
     x, y = F.col("x"), F.col("y")
-    return pairs.select(*[F.coalesce(v.cast("string"), F.lit("u")).alias(n) for n, v in (("a", x), ("b", y), ("both", x & y), ("one", x | y), ("negated", ~x))])
+    return truths_of(t).select("id", *[F.coalesce(v.cast("string"), F.lit("u")).alias(n) for n, v in (("a", x), ("b", y), ("both", x & y), ("one", x | y), ("negated", ~x))])
 
 
 CANDIDATES = "cand AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_acctbal END AS v, CASE WHEN c_custkey % 7 = 0 THEN 'EUR' ELSE 'USD' END AS unit FROM customer)"
@@ -326,12 +336,11 @@ def elig_subsumption(t: Tables) -> DataFrame:
     return j.select(F.col("a.c").alias("a"), F.col("b.c").alias("b"), eligibility.relation_of(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")).alias("relation"))
 
 
-@query("WITH v(x) AS (VALUES (true), (false), (NULL)) SELECT coalesce(CAST(a.x AS VARCHAR), 'u') AS a, coalesce(CAST(b.x AS VARCHAR), 'u') AS b, a.x IS NULL OR coalesce(a.x = b.x, false) AS below FROM v a, v b")
+@query(f"WITH {TRUTH} SELECT id, coalesce(CAST(x AS VARCHAR), 'u') AS a, coalesce(CAST(y AS VARCHAR), 'u') AS b, x IS NULL OR coalesce(x = y, false) AS below FROM truth")
 def kleene_information(t: Tables) -> DataFrame:
     """The information order: undetermined lies below everything, and a decided value below itself only."""
-    pairs = t.values([(a, b) for a in (True, False, None) for b in (True, False, None)], "x boolean, y boolean")
     u = F.lit("u")
-    return pairs.select(F.coalesce(F.col("x").cast("string"), u).alias("a"), F.coalesce(F.col("y").cast("string"), u).alias("b"), kleene.at_least_as_known(F.col("x"), F.col("y")).alias("below"))
+    return truths_of(t).select("id", F.coalesce(F.col("x").cast("string"), u).alias("a"), F.coalesce(F.col("y").cast("string"), u).alias("b"), kleene.at_least_as_known(F.col("x"), F.col("y")).alias("below"))
 
 
 @eligibility.composition("Majority")

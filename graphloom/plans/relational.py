@@ -170,11 +170,17 @@ def filter_compare(t: Tables) -> DataFrame:
     return t.lineitem.where("l_quantity >= 45 AND l_discount < 0.02D AND l_returnflag <> 'N'").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("""WITH v(id, lex, dt) AS (VALUES (1, '1', 'integer'), (2, '01', 'integer'), (3, '1.0', 'decimal'), (4, '1', 'string'), (5, '2', 'integer'))
-SELECT id, lex = '1' AND dt = 'integer' AS same_term, coalesce(dt <> 'string' AND CAST(lex AS DECIMAL(10, 2)) = 1, false) AS same_value FROM v""")
+LITERALS = """lit AS (SELECT l_orderkey AS id, CASE l_orderkey % 4 WHEN 1 THEN '0' || l_linenumber WHEN 2 THEN l_linenumber || '.0' ELSE CAST(l_linenumber AS VARCHAR) END AS lex,
+CASE l_orderkey % 4 WHEN 2 THEN 'decimal' WHEN 3 THEN 'string' ELSE 'integer' END AS dt FROM lineitem)"""
+
+
+@query(f"""WITH {LITERALS} SELECT id, lex, dt, lex = '1' AND dt = 'integer' AS same_term, coalesce(dt <> 'string' AND CAST(lex AS DECIMAL(10, 2)) = 1, false) AS same_value FROM lit""")
 def filter_term_vs_value(t: Tables) -> DataFrame:
-    v = t.values([(1, "1", "integer"), (2, "01", "integer"), (3, "1.0", "decimal"), (4, "1", "string"), (5, "2", "integer")], "id int, lex string, dt string")
-    return v.select("id", ((F.col("lex") == "1") & (F.col("dt") == "integer")).alias("same_term"), F.coalesce((F.col("dt") != "string") & (F.col("lex").try_cast("decimal(10,2)") == 1), F.lit(False)).alias("same_value"))
+    """Literals of lines in several lexical forms, held against the integer 1 as terms and as values."""
+    n, kind = F.col("l_linenumber").cast("string"), F.col("l_orderkey") % 4
+    lex = F.when(kind == 1, F.concat(F.lit("0"), n)).when(kind == 2, F.concat(n, F.lit(".0"))).otherwise(n)
+    v = t.lineitem.select(F.col("l_orderkey").alias("id"), lex.alias("lex"), F.when(kind == 2, "decimal").when(kind == 3, "string").otherwise("integer").alias("dt"))
+    return v.select("id", "lex", "dt", ((F.col("lex") == "1") & (F.col("dt") == "integer")).alias("same_term"), F.coalesce((F.col("dt") != "string") & (F.col("lex").try_cast("decimal(10,2)") == 1), F.lit(False)).alias("same_value"))
 
 
 @query("SELECT p_partkey FROM part WHERE (p_size < 5 OR p_size > 45) AND NOT (p_brand = 'Brand#11' OR p_retailprice < 1000)")
@@ -282,16 +288,24 @@ def join_point_in_interval(t: Tables) -> DataFrame:
     return w.join(t.orders, at).select("id", F.col("o_orderkey").alias("hit"))
 
 
-VARIANTS = """variant(slot, id, lo, hi) AS (VALUES ('a', 1, 0, 10), ('a', 2, 8, 20), ('a', 3, 25, 30), ('b', 4, 0, 5), ('b', 5, 5, 9))"""
-VARIANT_ROWS = [("a", 1, 0, 10), ("a", 2, 8, 20), ("a", 3, 25, 30), ("b", 4, 0, 5), ("b", 5, 5, 9)]
+VARIANTS = """variant AS (SELECT p_brand || '/' || p_type AS slot, p_partkey AS id, p_size AS lo, p_size + 1 + p_partkey % 7 AS hi FROM part)"""
+
+
+def variants_of(t: Tables) -> DataFrame:
+    """slot, id, lo, hi: whole ranges of sizes that parts of a brand and type stand for."""
+    return t.part.select(F.concat_ws("/", "p_brand", "p_type").alias("slot"), F.col("p_partkey").alias("id"), F.col("p_size").alias("lo"), (F.col("p_size") + 1 + F.col("p_partkey") % 7).cast("int").alias("hi"))
+
+
+def covered(variants: DataFrame) -> DataFrame:
+    """slot, id, p of all whole points p in [lo, hi): widths are small."""
+    return variants.select("slot", "id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("p"))
 
 
 @query(f"WITH {VARIANTS} SELECT x.slot, x.id AS a, y.id AS b, greatest(x.lo, y.lo) AS witness FROM variant x JOIN variant y ON x.slot = y.slot AND x.id < y.id AND x.lo < y.hi AND y.lo < x.hi")
 def interval_variants_overlap(t: Tables) -> DataFrame:
     """Candidate points are the lower ends of a slot; a point inside two variants shows an overlap."""
-    v = t.values(VARIANT_ROWS, "slot string, id int, lo int, hi int")
-    points = v.select("slot", F.col("lo").alias("p")).distinct()
-    inside = v.join(points, "slot").where("lo <= p AND p < hi")
+    v = variants_of(t)
+    inside = covered(v).join(v.select("slot", F.col("lo").alias("p")).distinct(), ["slot", "p"])
     pairs = inside.alias("x").join(inside.alias("y"), (F.col("x.slot") == F.col("y.slot")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.id") < F.col("y.id")))
     return pairs.groupBy(F.col("x.slot").alias("slot"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min("x.p").alias("witness"))
 
@@ -299,10 +313,9 @@ def interval_variants_overlap(t: Tables) -> DataFrame:
 @query(f"""WITH {VARIANTS}, e AS (SELECT slot, hi, max(hi) OVER (PARTITION BY slot) AS top FROM variant)
 SELECT DISTINCT slot, hi AS gap_from FROM e WHERE hi < top AND NOT EXISTS (SELECT 1 FROM variant v WHERE v.slot = e.slot AND v.lo <= e.hi AND e.hi < v.hi)""")
 def interval_variants_gap(t: Tables) -> DataFrame:
-    v = t.values(VARIANT_ROWS, "slot string, id int, lo int, hi int")
+    v = variants_of(t)
     ends = v.select("slot", "hi", F.max("hi").over(Window.partitionBy("slot")).alias("top")).where("hi < top").select("slot", F.col("hi").alias("gap_from")).distinct()
-    cover = v.select(F.col("slot").alias("s"), "lo", "hi")
-    return ends.join(cover, (F.col("slot") == F.col("s")) & (F.col("lo") <= F.col("gap_from")) & (F.col("gap_from") < F.col("hi")), "left_anti")
+    return ends.join(covered(v).select("slot", F.col("p").alias("gap_from")), ["slot", "gap_from"], "left_anti")
 
 
 @query("""SELECT o_orderkey FROM (SELECT o_orderkey, o_orderdate, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM orders) WHERE m > o_orderdate""")

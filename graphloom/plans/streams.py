@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import fold, graph, paths
@@ -187,16 +187,13 @@ def stream_jobs(t: Tables) -> DataFrame:
     return fold.ordered_fold(rows, ["user_id"], ["event_id"], ["event_id", "event_type", "at"], lambda row: (False, 0), step, "event_id long, action string")
 
 
-PROTOCOL = "(VALUES ('ask', 'open', 'send', 'wait'), ('ask', 'wait', 'recv', 'open'), ('ask', 'wait', '', 'idle'), ('ask', 'idle', '', 'rest'), ('spin', 'a', '', 'b'), ('spin', 'b', '', 'a'), ('spin', 'b', 'send', 'c'), ('loop', 'x', '', 'x'))"
-MOVED = [("ask", "open", "send", "wait"), ("ask", "wait", "recv", "open"), ("ask", "wait", "", "idle"), ("ask", "idle", "", "rest"), ("spin", "a", "", "b"), ("spin", "b", "", "a"), ("spin", "b", "send", "c"), ("loop", "x", "", "x")]
-
-
-@query(f"""WITH RECURSIVE m(protocol, state, event, next) AS {PROTOCOL}, e AS (SELECT protocol || '/' || state AS a, protocol || '/' || next AS b FROM m WHERE event = ''), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node FROM r WHERE a = b""")
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_type AS state, value, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events),
+e AS (SELECT DISTINCT user_id || '/' || state AS a, user_id || '/' || next AS b FROM n WHERE value < 4 AND next IS NOT NULL), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node FROM r WHERE a = b""")
 def protocol_contractive(t: Tables) -> DataFrame:
-    """States that come back to themselves without a message: the protocol is not contractive."""
-    moves = t.values(MOVED, "protocol string, state string, event string, next string")
-    silent = moves.where("event = ''").select(F.concat_ws("/", "protocol", "state").alias("child"), F.concat_ws("/", "protocol", "next").alias("parent"))
-    return graph.cyclic(silent)
+    """States of a user's protocol, as their events follow each other, that come back to themselves without a message (a value of 4 or more): it is not contractive."""
+    steps = t.events.select("user_id", F.col("event_type").alias("state"), "value", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next"))
+    silent = steps.where("value < 4 AND next IS NOT NULL").select(F.concat_ws("/", F.col("user_id").cast("string"), "state").alias("child"), F.concat_ws("/", F.col("user_id").cast("string"), "next").alias("parent"))
+    return graph.cyclic(silent.distinct())
 
 
 @query("""WITH RECURSIVE c AS (SELECT DISTINCT n_regionkey AS a, n_nationkey % 7 AS b FROM nation WHERE n_nationkey % 7 <> n_regionkey), r AS (SELECT a, b FROM c UNION SELECT r.a, c.b FROM r JOIN c ON c.a = r.b) SELECT a AS node FROM r WHERE a = b""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import digest
 from graphloom.operators import relational, versions
 from graphloom.sources.shared import scratch
-from graphloom.sources.store import GraphStore, MemorySink, digest_tree, digest_tree_sql, published
+from graphloom.sources.store import GraphStore, MemorySink, digest_bag, digest_bag_sql, digest_tree, digest_tree_sql, published
 from graphloom.sources.tables import QUADS, Tables
 
 from .registry import query
@@ -142,11 +142,11 @@ def audit_gap(t: Tables) -> DataFrame:
     return versions.gaps(t.lineitem.withColumnRenamed("l_orderkey", "target"), "target", "l_linenumber")
 
 
-@query("WITH " + digest_tree_sql("SELECT o_custkey AS root, o_orderkey || chr(9) || o_orderstatus AS row FROM orders", ["root"]) + " SELECT root, digest FROM tree")
+@query("WITH " + digest_bag_sql("SELECT o_custkey AS root, o_orderkey || chr(9) || o_orderstatus AS row FROM orders", ["root"]) + " SELECT root, digest FROM bag")
 def state_digest(t: Tables) -> DataFrame:
-    """A digest of each root's state, as a tree over its rows' hashes: no group is gathered whole."""
+    """A digest of each root's state, as sums over its rows' hashes: one aggregate, and no group is gathered whole."""
     rows = t.orders.select(F.col("o_custkey").alias("root"), F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("row"))
-    return digest_tree(rows, ["root"], "row").select("root", "digest")
+    return digest_bag(rows, ["root"], "row")
 
 
 @query("WITH " + digest_tree_sql("SELECT o_orderpriority AS k, o_orderkey || chr(9) || o_orderstatus || chr(9) || o_totalprice AS row FROM orders", ["k"]) + " SELECT k, 'urn:v/' || digest AS version, n FROM tree")

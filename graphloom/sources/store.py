@@ -78,6 +78,24 @@ def digest_tree_sql(rows: str, keys: list[str]) -> str:
     )
 
 
+def digest_bag(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """keys, digest of the multiset of the texts ``row``: SHA-256 over two sums of 60 bits of the rows' hashes and their count.
+
+    Sums need no order, so that it is one partial aggregate, and a group of any size is three numbers.
+    """
+    hashed = rows.select(*keys, F.sha2(F.col(row).cast("string"), 256).alias("_h"))
+    sums = [F.sum(F.conv(F.substring("_h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_s{k}") for k in (0, 1)]
+    found = hashed.groupBy(*keys).agg(*sums, F.count("*").cast("string").alias("_n"))
+    return found.select(*keys, F.sha2(F.concat_ws("|", "_s0", "_s1", "_n"), 256).alias("digest"))
+
+
+def digest_bag_sql(rows: str, keys: list[str]) -> str:
+    """DuckDB CTEs up to ``bag`` (keys, digest) for a query that gives the keys and ``row``."""
+    k = ", ".join(keys)
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in (0, 1))
+    return f"hashed AS (SELECT {k}, sha256(row) AS h FROM ({rows})), bag AS (SELECT {k}, sha256(concat_ws('|', {sums}, CAST(count(*) AS VARCHAR))) AS digest FROM hashed GROUP BY {k})"
+
+
 def published(rows: DataFrame, folder: str, row: str) -> str:
     """Write rows to a folder named by their digest and return it; rows that are there already are not written again."""
     found = digest_tree(rows, [], row).first()
