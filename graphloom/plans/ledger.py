@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import fold, ledger
+from graphloom.operators import fold, ledger, settle
 from graphloom.sources.tables import PATHS, POSTINGS, Tables
 
 from .registry import query
@@ -284,19 +284,10 @@ SELECT pos, settled, CASE WHEN settled = asked THEN 'granted' WHEN settled = 0 T
 def ledger_settle(t: Tables) -> DataFrame:
     """Settle each posting in order against the least balance on its account's path, and debit the path.
 
-    The accounts of a nation share its balance, so that its postings are one fold.
+    Accounts settle alone until their nation's balance binds; only from there on are its postings one fold.
     """
-    rows = t.postings().join(t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("account"), F.col("c_nationkey").alias("nation")), "account")
-
-    def step(state: tuple, row: tuple) -> tuple:
-        own, top = state
-        account, pos, delta = row
-        have = own.get(account, STATED)
-        take = delta if delta >= 0 else -min(-delta, max(0, min(have, top)))
-        own[account] = have + take
-        return (own, top + take), (pos, take, "granted" if take == delta else "refused" if take == 0 else "rationed")
-
-    return fold.ordered_fold(rows, ["nation"], ["pos"], ["account", "pos", "delta"], lambda row: ({}, STATED * 20), step, "pos long, settled long, outcome string")
+    nation = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("account"), F.col("c_nationkey").cast("long").alias("group"))
+    return settle.settle(t.postings().join(nation, "account"), STATED, STATED * 20)
 
 
 @query(f"""WITH {REQUESTS}, p AS (SELECT *, CAST(available * wanted AS BIGINT) // CAST(sum(wanted) OVER (PARTITION BY k) AS BIGINT) AS part FROM request JOIN pot USING (k)) SELECT id, wanted, part FROM p WHERE part < wanted""")
