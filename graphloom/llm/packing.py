@@ -7,7 +7,7 @@ population of packings starts from best-fit-decreasing orders with random keys;
 the well-filled bins of one parent whole into the other, removes the bins that hold duplicates and
 best-fits the displaced documents, largest first. After each epoch an island's elite migrates to
 the next island of its shard. At last the bins that a shard could not fill are opened, and their
-pieces are dealt into fewer shards and solved again, until one shard holds them.
+pieces are dealt into fewer shards and solved again, until one shard holds them or ROUNDS are over.
 
 State is one bounded row for each shard and island, written to the checkpoint folder between
 epochs, so that a lost executor repeats one epoch of its rows.
