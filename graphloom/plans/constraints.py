@@ -100,7 +100,9 @@ def ck_fallback(t: Tables) -> DataFrame:
 @query(rows("conflict", "a.s_suppkey", "b.s_suppkey", "supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE abs(a.s_acctbal - b.s_acctbal) < 500 AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = a.s_nationkey AND n_regionkey = 0)", "Warning"))
 def ck_conflict_pairs(t: Tables) -> DataFrame:
     s = t.supplier.join(t.nation.where("n_regionkey = 0"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("s_suppkey", "s_nationkey", "s_acctbal")
-    j = s.alias("a").join(s.alias("b"), (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 500))
+    band = F.floor(F.col("s_acctbal") / 500)  # two balances within 500 are in the same band or in bands beside each other
+    near = s.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    j = s.withColumn("band", band).alias("a").join(near.alias("b"), (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 500))
     return ck.violations(j, "conflict", F.col("a.s_suppkey"), F.col("b.s_suppkey"), "Warning")
 
 

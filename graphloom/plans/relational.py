@@ -261,10 +261,12 @@ def join_division(t: Tables) -> DataFrame:
     return relational.divides(t.orders, "o_custkey", "o_orderpriority", needed)
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@query("SELECT a.l_orderkey AS o, a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey")
 def join_self_pairs(t: Tables) -> DataFrame:
-    s = t.supplier.select("s_suppkey", "s_nationkey")
-    return s.alias("a").join(s.alias("b"), (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey"))).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
+    """Pairs of parts of an order, once each; an order has a few lines."""
+    s = t.lineitem.select("l_orderkey", "l_partkey")
+    j = s.alias("a").join(s.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey")))
+    return j.select(F.col("a.l_orderkey").alias("o"), F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b"))
 
 
 WINDOWS = """win AS (SELECT o_orderkey AS id, o_custkey AS owner, o_orderdate AS vf, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate + to_days(CAST(o_orderkey % 90 AS INTEGER)) END AS vt FROM orders)"""
@@ -583,9 +585,9 @@ def path_elimination(t: Tables) -> DataFrame:
     return found.where("a like 'C%' and b like 'R%'").select("a", "b")
 
 
-@query(f"""WITH {QUADS} SELECT DISTINCT a.s AS a, c.s AS b FROM quad a JOIN quad c ON c.o = a.o AND c.p = 'segment' AND c.s < 'C2' WHERE a.p = 'segment' AND a.s < 'C2'""")
+@query(f"""WITH {QUADS} SELECT DISTINCT a.s AS a, d.s AS b FROM quad a JOIN quad c ON c.s = a.o AND c.p = 'partOf' JOIN quad d ON d.o = c.o AND d.p = 'partOf' WHERE a.p = 'partOf'""")
 def path_injected(t: Tables) -> DataFrame:
-    """Steps in a caller's own path language: > follows a property, < goes back along it."""
-    q = t.quads().where("s < 'C2'")
-    path = paths.parsed(">segment/<segment", lambda name: ("step" if name[0] == ">" else "back", name[1:]))
+    """Steps in a caller's own path language, > follows a property, < goes back along it: customers and the nations of their region."""
+    q = t.quads()
+    path = paths.parsed(">partOf/>partOf/<partOf", lambda name: ("step" if name[0] == ">" else "back", name[1:]))
     return paths.pairs(path, q.select("s", "p", "o"), q.select(F.col("s").alias("node")).distinct()).select("a", "b")
