@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import community, leiden, matching, operations, relational
+from graphloom.operators import community, leiden, lift, matching, operations, relational
+from graphloom.sources.store import digest_bag, digest_bag_sql
 from graphloom.sources.tables import QUADS, Tables
 
 from .matching import COMM, COOC, communities_of, obs_of
@@ -161,6 +162,44 @@ def shadow_index(t: Tables) -> DataFrame:
     return _shadow(t)
 
 
+LIFTED = """line AS (SELECT doc_id, 'd' || doc_id AS d, i - 1 AS i, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(l, ' ') <> ''),
+fact AS (SELECT doc_id, 'd' || doc_id AS s, 'type' AS p, 'Document' AS o, false AS declared FROM documents UNION ALL SELECT doc_id, 'd' || doc_id, 'lang', lang, true FROM documents WHERE lang IS NOT NULL
+ UNION ALL SELECT doc_id, 'd' || doc_id, 'source', source, true FROM documents WHERE source IS NOT NULL UNION ALL SELECT doc_id, d || '/' || i, 'type', 'Line', false FROM line UNION ALL SELECT doc_id, d || '/' || i, 'of', d, false FROM line
+ UNION ALL SELECT doc_id, d || '/' || i, 'text', sha256(l), false FROM line UNION ALL SELECT doc_id, d || '/' || i, 'refersTo', unnest(regexp_extract_all(l, '[a-z0-9.]+@[a-z0-9.]+[a-z0-9]')), false FROM line
+ UNION ALL SELECT doc_id, d, unnest(regexp_extract_all(l, '([a-z_]+) = "([^"]*)"', 1)), unnest(regexp_extract_all(l, '([a-z_]+) = "([^"]*)"', 2)), true FROM line),
+seen AS (SELECT doc_id, 'declared' AS seen, s, p, o FROM fact UNION ALL SELECT doc_id, 'blind', s, p, o FROM fact WHERE NOT declared)"""
+
+
+@query(f"WITH {LIFTED}, " + digest_bag_sql("SELECT seen, doc_id, s || ' ' || p || ' ' || o AS row FROM seen", ["seen", "doc_id"]) + " SELECT seen, doc_id, digest FROM bag")
+def lift_documents(t: Tables) -> DataFrame:
+    """Whole documents lifted to facts in two views, as a digest of each document's facts in each."""
+    facts = lift.views(lift.lifted(t.documents, "doc_id", "text", ["lang", "source"]))
+    return digest_bag(facts.select("seen", "doc_id", F.concat_ws(" ", "s", "p", "o").alias("row")), ["seen", "doc_id"], "row")
+
+
+@query(f"WITH {LIFTED} SELECT seen, p, count(*) AS n, count(DISTINCT s) AS subjects FROM seen WHERE p IN ('type', 'lang', 'source', 'of', 'refersTo', 'token') GROUP BY ALL")
+def lift_properties(t: Tables) -> DataFrame:
+    """How often each view of the lifted documents states a property, and of how many subjects."""
+    facts = lift.views(lift.lifted(t.documents, "doc_id", "text", ["lang", "source"]))
+    return facts.where(F.col("p").isin("type", "lang", "source", "of", "refersTo", "token")).groupBy("seen", "p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
+
+
+CLASSED = """sub AS (SELECT p_brand || '/' || p_type AS child, p_brand AS parent FROM part UNION SELECT p_brand, 'Brand' FROM part UNION SELECT 'Brand', 'Thing'),
+f AS (SELECT DISTINCT 'p' || p_partkey AS s, 'type' AS p, CASE WHEN p_size % 2 = 0 THEN p_brand || '/' || p_type ELSE p_brand END AS o FROM part UNION SELECT 'p' || p_partkey, CASE WHEN p_size < 10 THEN 'small' ELSE 'size' END, '' || p_size FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {CLASSED}, up AS (SELECT child, parent FROM sub UNION SELECT up.child, sub.parent FROM up JOIN sub ON sub.child = up.parent),
+i AS (SELECT s, o AS class FROM f WHERE p = 'type' UNION SELECT s, parent FROM f JOIN up ON child = o WHERE p = 'type'), o AS (SELECT o AS class, count(*) AS own FROM f WHERE p = 'type' GROUP BY 1)
+SELECT class, coalesce(any_value(own), 0) AS own, count(DISTINCT i.s) AS all, coalesce(string_agg(DISTINCT f.p, ' ' ORDER BY f.p), '') AS properties FROM i LEFT JOIN o USING (class) LEFT JOIN f ON f.s = i.s AND f.p <> 'type' GROUP BY class""".replace(" AS all,", ' AS "all",'))
+def shadow_classes(t: Tables) -> DataFrame:
+    """Classes with the instances and properties that they inherit from below."""
+    one = F.when(F.col("p_size") % 2 == 0, F.concat_ws("/", "p_brand", "p_type")).otherwise(F.col("p_brand"))
+    s = F.concat(F.lit("p"), "p_partkey")
+    facts = t.part.select(F.inline(F.array(F.struct(s.alias("s"), F.lit("type").alias("p"), one.alias("o")), F.struct(s.alias("s"), F.when(F.col("p_size") < 10, "small").otherwise("size").alias("p"), F.col("p_size").cast("string").alias("o")))))
+    edges = t.part.select(F.inline(F.array(F.struct(F.concat_ws("/", "p_brand", "p_type").alias("child"), F.col("p_brand").alias("parent")), F.struct(F.col("p_brand").alias("child"), F.lit("Brand").alias("parent")), F.struct(F.lit("Brand").alias("child"), F.lit("Thing").alias("parent"))))).distinct()
+    return lift.class_index(facts, edges)
+
+
 @query(f"""WITH {QUADS}, v AS (SELECT 'declared' AS seen, s, p, o FROM quad UNION ALL SELECT 'blind', s, p, o FROM quad WHERE p NOT IN ('type', 'label')) SELECT seen, p, count(*) AS n, count(DISTINCT s) AS subjects FROM v GROUP BY ALL""")
 def lift_views(t: Tables) -> DataFrame:
     """A document set lifted to one graph in two views: with what documents declare, and without."""
