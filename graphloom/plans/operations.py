@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import operations
 from graphloom.operators.operations import BUILDERS, Operation
-from graphloom.sources.store import rendered_folder
+from graphloom.sources.shared import scratch
 from graphloom.sources.tables import QUADS, Tables
 
 from .registry import query
@@ -19,13 +19,35 @@ DECLARED = [
     Operation("bury", "tombstone", "orders", "id", {"id": "long", "note": "string"}, (), "t.owner = :who"),
     BUILDERS["replace"]("good", "orders", "id", {"total": "double"}),
 ]
-BROKEN = [("fix_clock", "ClockInGuard"), ("blind", "ReplaceWithoutSeq"), ("odd key", "UnknownKind"), ("odd key", "BadName"), ("odd key", "KeyIsNoParameter"), ("odd key", "UnknownType"), ("odd key", "RequiredUndeclared"), ("bury", "KeyNotRequired"), ("bury", "UnboundInGuard"), ("bury", "PayloadOnTombstone")]
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in BROKEN) + ") v(operation, rule)")
+# Operations by the remainder of a part's key: what each differs in from one that no rule refuses, and the rules that it breaks.
+SOUND = {"operation": "'op_' || p_partkey", "kind": "'replace'", "table": "'orders'", "key": "'id'", "params": "map('id', 'long', 'total', 'double', 'seq', 'long')", "required": "array('id', 'total', 'seq')", "guard": "'t.total < :total'", "expects_seq": "true"}
+VARIED = [
+    ({}, ()), ({"kind": "'upsert'"}, ("UnknownKind",)), ({"operation": "'op ' || p_partkey"}, ("BadName",)), ({"operation": "'op_twice'"}, ("DuplicateOperation",)), ({"key": "'code'"}, ("KeyIsNoParameter",)), ({"required": "array('total', 'seq')"}, ("KeyNotRequired",)),
+    ({"params": "map('id', 'double', 'total', 'double', 'seq', 'long')"}, ("KeyType",)), ({"params": "map('id', 'long', 'total', 'money', 'seq', 'long')"}, ("UnknownType",)), ({"params": "map('id', 'long', 'total', 'double', 'seq', 'long', 'a-b', 'long')"}, ("BadParameterName",)), ({"params": "map('id', 'long', 'total', 'double', 'seq', 'long', 'deleted', 'long')"}, ("ReservedParameter",)),
+    ({"params": "map('id', 'long', 'total', 'double', 'seq', 'long', 'Total', 'double')"}, ("CaseClash",)), ({"required": "array('id', 'total', 'seq', 'who')"}, ("RequiredUndeclared",)), ({"required": "array('id', 'total', 'seq', 'id')"}, ("RequiredTwice",)), ({"params": "map('id', 'long', 'total', 'double')", "required": "array('id', 'total')"}, ("SeqUndeclared",)),
+    ({"params": "map('id', 'long', 'total', 'double', 'seq', 'string')"}, ("SeqNotLong",)), ({"required": "array('id', 'total')"}, ("SeqNotRequired",)), ({"kind": "'create'"}, ("SeqOnCreate", "RowInGuardOfCreate")), ({"kind": "'append'", "guard": "':total > 0'"}, ("SeqOnAppend",)), ({"expects_seq": "false"}, ("ReplaceWithoutSeq",)),
+    ({"kind": "'tombstone'", "expects_seq": "false", "params": "map('id', 'long')", "required": "array('id')", "guard": "null"}, ("TombstoneWithoutSeq",)), ({"kind": "'tombstone'"}, ("PayloadOnTombstone",)), ({"params": "map('id', 'long', 'seq', 'long')", "required": "array('id', 'seq')", "guard": "null"}, ("NoPayload",)), ({"guard": "' '"}, ("EmptyGuard",)),
+    ({"guard": "'t.due < now()'"}, ("ClockInGuard",)), ({"guard": "'t.owner = :who'"}, ("UnboundInGuard",)), ({"params": "map('id', 'long', 'total', 'double', 'seq', 'long', 'least', 'double')", "guard": "'t.total > :least'"}, ("OptionalInGuard",)), ({"guard": "'true; drop'"}, ("StatementInGuard",)), ({"guard": "'t.id in (select 1)'"}, ("QueryInGuard",)),
+    ({"guard": "'(t.total < :total'"}, ("UnbalancedGuard",)), ({"kind": "'rows'"}, ("GuardOnRows",)), ({"guard": "null"}, ()), ({"kind": "'create'", "expects_seq": "false", "guard": "null"}, ()),
+]
+EXPECTED = " UNION ALL ".join(f"SELECT {change.get('operation', SOUND['operation'])} AS operation, '{rule}' AS rule FROM part WHERE p_partkey % {len(VARIED)} = {k}" for k, (change, rules) in enumerate(VARIED) for rule in rules)
+
+
+def stored_operations(t: Tables) -> DataFrame:
+    """Operations as rows of a table, one for each part."""
+    kinds = {"params": "map<string, string>", "required": "array<string>", "expects_seq": "boolean"}
+    cases = {}
+    for f, sound in SOUND.items():
+        whens = " ".join(f"when {k} then {change[f]}" for k, (change, _) in enumerate(VARIED) if f in change)
+        cases[f] = f"case p_partkey % {len(VARIED)} {whens} else {sound} end" if whens else sound
+    return t.part.select(*[F.expr(e).cast(kinds.get(f, "string")).alias(f) for f, e in cases.items()])
+
+
+@query(EXPECTED)
 def typed_static_checks(t: Tables) -> DataFrame:
-    """The static rules that declared operations break."""
-    return t.values([(op.name, rule) for op in DECLARED for rule in operations.refusals(op)], "operation string, rule string")
+    """The static rules that stored operations break: each rule by operations made to break it."""
+    return operations.refused_operations(stored_operations(t))
 
 
 READY = [BUILDERS["create"]("open_order", "orders", "id", {"total": "double"}), BUILDERS["replace"]("reprice", "orders", "id", {"total": "double"}, "t.total < :total"), BUILDERS["append"]("note", "notes", "id", {"text": "string"}), BUILDERS["tombstone"]("close", "orders", "id"), BUILDERS["rows"]("relist", "lines", "id")]
@@ -38,12 +60,19 @@ TEXTS = {
 }
 
 
-@query("SELECT name, length(text) AS n, sha256(text) AS digest FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in TEXTS.items()) + ") v(name, text)")
+GOOD = {0: "MERGE INTO orders t USING (SELECT :id AS id) s ON t.id = s.id WHEN MATCHED AND t.seq = :seq AND (t.total < :total) THEN UPDATE SET t.total = :total, t.seq = t.seq + 1",
+        30: "MERGE INTO orders t USING (SELECT :id AS id) s ON t.id = s.id WHEN MATCHED AND t.seq = :seq THEN UPDATE SET t.total = :total, t.seq = t.seq + 1",
+        31: "MERGE INTO orders t USING (SELECT :id AS id) s ON t.id = s.id WHEN NOT MATCHED THEN INSERT (id, total, seq) VALUES (:id, :total, 1)"}
+
+
+@query(" UNION ALL ".join(f"SELECT 'op_' || p_partkey AS name, {len(text)} AS n, sha256('{text}') AS digest FROM part WHERE p_partkey % {len(VARIED)} = {k}" for k, text in GOOD.items()))
 def typed_rendered(t: Tables) -> DataFrame:
-    """A folder of rendered operations, one file each, read back."""
-    folder = rendered_folder(t.spark, {op.name: operations.rendered(op) for op in READY})
-    files = t.spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.input_file_name(), r"/([^/]+)\.sql/[^/]+$", 1).alias("name"), F.regexp_replace("value", r"\n$", "").alias("text"))
-    return files.where("text <> ''").select("name", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
+    """The SQL texts of all stored operations that no rule refuses, written as rows of a folder and read back."""
+    stored = stored_operations(t)
+    sound = stored.join(operations.refused_operations(stored).select("operation").distinct(), "operation", "left_anti")
+    folder = scratch(t.spark)
+    sound.select(F.col("operation").alias("name"), operations.rendered_text().alias("text")).write.parquet(folder)
+    return t.spark.read.parquet(folder).select("name", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
 SET_VALUE = Operation("set_value", "replace", "events", "id", {"id": "long", "value": "double", "at": "timestamp", "source": "iri", "seq": "long"}, ("id", "value", "seq"), None, True)
