@@ -193,7 +193,7 @@ def bindings_of(t: Tables) -> tuple[DataFrame, DataFrame]:
         F.col("o_orderkey").alias("id"), F.expr("case o_orderkey % 3 when 0 then 'k1' when 1 then 'k2' else 'k3' end").alias("contract"),
         F.array(F.expr("if(o_orderkey % 2 = 0, 'A', 'B')"), "o_orderstatus").alias("context"), F.col("o_orderdate").alias("at"),
     )
-    return F.broadcast(bindings.effective(b, closures)), contexts
+    return bindings.effective(b, closures), contexts
 
 
 @query(f"WITH {BIND} SELECT node, vt AS valid_to FROM e")

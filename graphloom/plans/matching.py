@@ -301,7 +301,7 @@ def axiom_align(t: Tables) -> DataFrame:
     """An intent of a node, or inherited from the node above."""
     own = t.nation.select(F.col("n_nationkey").alias("id"), F.expr("case when n_nationkey % 3 = 0 then 'closed' when n_nationkey % 3 = 1 then 'open' end").alias("own"), "n_regionkey")
     above = t.region.select("r_regionkey", F.expr("if(r_regionkey % 2 = 0, 'closed', 'open')").alias("above"))
-    j = own.join(F.broadcast(above), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = own.join(above, F.col("n_regionkey") == F.col("r_regionkey"))
     return j.select("id", F.coalesce("own", "above").alias("intent"), F.when(F.col("own").isNull(), 0.5).otherwise(1.0).alias("alignment"))
 
 

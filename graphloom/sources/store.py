@@ -104,13 +104,6 @@ def published(rows: DataFrame, folder: str, row: str) -> str:
     return path
 
 
-def rendered_folder(spark: SparkSession, texts: dict[str, str]) -> str:
-    """A folder with one text for each name, ``<name>.sql``."""
-    folder = scratch(spark)
-    for name, text in texts.items():
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}.sql")
-    return f"{folder}/*.sql"
-
 
 class MemorySink:
     """A sink that holds what is written to it as a cached view, until it is closed."""
