@@ -175,6 +175,56 @@ def imported(rows: list[tuple[str, str, str]]) -> list[Spec]:
         raise ValueError(f"a mapping lacks a part: {e}") from e
 
 
+#: Mappings of one scheme that are compiled into plans.
+MOST = 2000
+#: Terms that a mapping must have.
+NEEDED = ("logicalSource", "subjectTemplate", "predicate", "objectTemplate")
+
+
+def findings(rows: DataFrame) -> DataFrame:
+    """mapping, finding, term of a scheme's rows (mapping, term, value): what keeps a mapping from being compiled.
+
+    UnknownTerm, RepeatedTerm (other values for a term; equal rows are one), MissingTerm, EmptyValue and BadConfidence.
+    """
+    each = rows.select("mapping", "term", "value").distinct()
+    known = F.col("term").isin(*EXCHANGED)
+    one = F.when(~known, "UnknownTerm").when(F.coalesce(F.trim("value"), F.lit("")) == "", "EmptyValue").when((F.col("term") == "confidence") & ~F.coalesce(F.col("value").try_cast("double").between(0, 1), F.lit(False)), "BadConfidence")
+    own = each.select("mapping", one.alias("finding"), "term").where("finding is not null")
+    twice = each.where(known).groupBy("mapping", "term").agg(F.count("*").alias("n")).where("n > 1").select("mapping", F.lit("RepeatedTerm").alias("finding"), "term")
+    held = each.groupBy("mapping").agg(F.collect_set("term").alias("terms"))  # the terms of one mapping
+    missing = held.select("mapping", F.lit("MissingTerm").alias("finding"), F.explode(F.array_except(F.array(*[F.lit(t) for t in NEEDED]), "terms")).alias("term"))
+    return own.unionByName(twice).unionByName(missing).distinct()
+
+
+def compiled(rows: DataFrame) -> list[Spec]:
+    """The mappings of a scheme's rows that have no finding, compiled. ValueError for more than MOST of them."""
+    sound = rows.select("mapping", "term", "value").distinct().join(findings(rows).select("mapping").distinct(), "mapping", "left_anti")
+    found = [tuple(r) for r in sound.limit(MOST * len(EXCHANGED) + 1).collect()]
+    if len({r[0] for r in found}) > MOST:
+        raise ValueError(f"more than {MOST} mappings in one scheme")
+    return imported(found)
+
+
+def run_by_source(specs: list[Spec], table: Callable[[str], DataFrame], least: float = 0.0, parse: Callable[[str], Column] = template) -> DataFrame:
+    """As ``run``, with one read of each source for all specs over it."""
+    of: dict[str, list[Spec]] = {}
+    for spec in specs:
+        if spec.confidence >= least:
+            of.setdefault(spec.source, []).append(spec)
+    if not of:
+        raise ValueError("no mapping is confident enough")
+    out = None
+    for source, own in of.items():
+        made = []
+        for spec in own:
+            s, o = parse(spec.subject), parse(spec.value)
+            triple = F.struct(s.alias("s"), F.lit("type" if spec.predicate == "a" else spec.predicate).alias("p"), o.alias("o"), F.lit(spec.name).alias("mapping"))
+            made.append(F.when((F.expr(spec.guard) if spec.guard else F.lit(True)) & s.isNotNull() & o.isNotNull(), triple))
+        rows = table(source).select(F.inline(F.array_compact(F.array(*made))))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def json_chain(fields: dict[str, Column], steps: list[tuple[str, dict | list]]) -> Column:
     """A JSON object through a chain of steps: shift moves fields to dotted paths, modify computes, default fills, remove drops.
 

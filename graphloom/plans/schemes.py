@@ -102,6 +102,41 @@ def scheme_exchange(t: Tables) -> DataFrame:
     return t.values(schemes.exported(again), "mapping string, term string, value string")
 
 
+# A scheme as rows: a mapping for each nation, some of them broken.
+SCHEME = """(SELECT 'in-' || n_nationkey AS mapping, unnest(['logicalSource', 'subjectTemplate', 'predicate', 'objectTemplate', 'condition', 'confidence', 'note']) AS term, n_nationkey AS k, n_name FROM nation)"""
+SCHEME_ROWS = f"""scheme AS (SELECT mapping, term, CASE term WHEN 'logicalSource' THEN 'customer' WHEN 'subjectTemplate' THEN 'urn:c/' || '{{c_custkey}}' WHEN 'predicate' THEN 'livesIn' WHEN 'objectTemplate' THEN n_name || '/' || '{{c_mktsegment}}'
+ WHEN 'condition' THEN 'c_nationkey = ' || k WHEN 'confidence' THEN CASE WHEN k % 8 = 3 THEN '1.5' WHEN k % 6 = 1 THEN '0.4' ELSE '0.9' END END AS value FROM {SCHEME} WHERE NOT (term = 'note' AND k % 10 <> 7) AND NOT (term = 'objectTemplate' AND k % 9 = 5)
+ UNION ALL SELECT 'in-' || n_nationkey, 'predicate', 'dwellsIn' FROM nation WHERE n_nationkey % 12 = 6)"""
+
+
+def scheme_rows(t: Tables) -> DataFrame:
+    """mapping, term, value of the scheme, as it would be read from a table that others write."""
+    k = F.col("n_nationkey")
+    terms = {
+        "logicalSource": F.lit("customer"), "subjectTemplate": F.lit("urn:c/{c_custkey}"), "predicate": F.lit("livesIn"), "objectTemplate": F.when(k % 9 != 5, F.concat("n_name", F.lit("/{c_mktsegment}"))),
+        "condition": F.concat(F.lit("c_nationkey = "), k), "confidence": F.when(k % 8 == 3, "1.5").when(k % 6 == 1, "0.4").otherwise("0.9"), "note": F.when(k % 10 == 7, F.lit("")),
+    }
+    rows = t.nation.select(F.concat(F.lit("in-"), k).alias("mapping"), "n_nationkey", F.inline(F.array(*[F.struct(F.lit(term).alias("term"), v.alias("value")) for term, v in terms.items()]))).where("value is not null")
+    return rows.drop("n_nationkey").unionByName(t.nation.where("n_nationkey % 12 = 6").select(F.concat(F.lit("in-"), k).alias("mapping"), F.lit("predicate").alias("term"), F.lit("dwellsIn").alias("value")))
+
+
+BROKEN = f"""{SCHEME_ROWS}, broken AS (SELECT DISTINCT mapping, 'UnknownTerm' AS finding, term FROM scheme WHERE term = 'note' UNION SELECT mapping, 'BadConfidence', term FROM scheme WHERE term = 'confidence' AND value = '1.5'
+ UNION SELECT mapping, 'RepeatedTerm', term FROM scheme GROUP BY mapping, term HAVING count(DISTINCT value) > 1 UNION SELECT mapping, 'MissingTerm', 'objectTemplate' FROM scheme GROUP BY mapping HAVING count(*) FILTER (WHERE term = 'objectTemplate') = 0)"""
+
+
+@query(f"WITH {BROKEN} SELECT * FROM broken")
+def scheme_findings(t: Tables) -> DataFrame:
+    """What keeps mappings of a stored scheme from being compiled."""
+    return schemes.findings(scheme_rows(t))
+
+
+@query(f"""WITH {BROKEN} SELECT 'urn:c/' || c_custkey AS s, 'livesIn' AS p, n_name || '/' || c_mktsegment AS o, 'in-' || n_nationkey AS mapping FROM customer JOIN nation ON n_nationkey = c_nationkey
+WHERE n_nationkey % 6 <> 1 AND 'in-' || n_nationkey NOT IN (SELECT mapping FROM broken)""")
+def scheme_from_rows(t: Tables) -> DataFrame:
+    """A scheme read from rows of a table: sound and confident mappings are compiled and run in one read of each source."""
+    return schemes.run_by_source(schemes.compiled(scheme_rows(t)), lambda name: getattr(t, name), 0.5)
+
+
 @query("SELECT 'o-' || o_orderkey AS s, 'by' AS p, 'c-' || o_custkey AS o FROM orders")
 def scheme_parse(t: Tables) -> DataFrame:
     """A scheme whose values are written in a caller's path language, here prefix$column."""
