@@ -42,6 +42,12 @@ def bm25(queries: DataFrame, targets: DataFrame, k: int, matches: dict[str, tupl
     return top_k(scored, ["query"], [F.col("score").desc(), F.col("target")], k)
 
 
+def entry_words(fields: list[tuple[Column, int]]) -> Column:
+    """The words of an entry for ranking: those of each field (an array, null as empty) so many times, as label and aliases say more than a definition."""
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(words, none) for words, times in fields for _ in range(times)])
+
+
 def reciprocal_rank_fusion(rankings: list[DataFrame], c: int = 60) -> DataFrame:
     """query, target, score summed over rankings (query, target, rank)."""
     out = rankings[0].select("query", "target", "rank")

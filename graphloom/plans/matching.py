@@ -101,9 +101,12 @@ MATCHES = {"en": ("en", "de"), "de": ("de", "en"), "fr": ("fr", "es"), "es": ("e
 PAIRS = ", ".join(f"('{a}', '{b}', {k})" for a, bs in MATCHES.items() for k, b in enumerate(bs))
 
 
-def bm25_sql(k: int) -> str:
-    return f"""WITH kinds(source, kind, step) AS (VALUES {PAIRS}), t AS (SELECT doc_id AS id, lang AS kind, {words_sql('text')} AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
-q AS (SELECT item_id AS id, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS source, {words_sql('text')} AS w FROM benchmark),
+DOCS = f"""t AS (SELECT doc_id AS id, lang AS kind, {words_sql('text')} AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+q AS (SELECT item_id AS id, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS source, {words_sql('text')} AS w FROM benchmark)"""
+
+
+def bm25_sql(k: int, pairs: str = PAIRS, inputs: str = DOCS) -> str:
+    return f"""WITH kinds(source, kind, step) AS (VALUES {pairs}), {inputs},
 tf AS (SELECT id, kind, len, term, count(*) AS tf FROM (SELECT id, kind, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT source, term, count(*) AS df FROM tf JOIN kinds USING (kind) GROUP BY ALL),
 st AS (SELECT source, count(*) AS n, avg(len(w)) AS mean FROM t JOIN kinds USING (kind) GROUP BY 1), qt AS (SELECT DISTINCT id, source, term FROM (SELECT id, source, unnest(w) AS term FROM q)),
 s AS (SELECT qt.id AS query, tf.id AS target, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) * (1 - 0.1 * step), 4) AS score
@@ -120,6 +123,24 @@ def text_bm25_topk(t: Tables) -> DataFrame:
     return matching.bm25(q, d, 3, MATCHES).select("query", "rank", "target", "score")
 
 
+# Entries of a catalogue: parts by name and type, each word twice, and by brand; suppliers by name. Queries ask for parts first.
+ENTRY_MATCHES = {"part": ("part", "supplier")}
+ENTRIES = f"""t AS (SELECT p_partkey AS id, 'part' AS kind, list_concat({words_sql('p_name')}, {words_sql('p_name')}, {words_sql('p_type')}, {words_sql('p_type')}, {words_sql('p_brand')}) AS w FROM part
+ UNION ALL SELECT 10000000 + s_suppkey, 'supplier', list_concat({words_sql("s_name || ' widget'")}, {words_sql("s_name || ' widget'")}) FROM supplier WHERE s_suppkey % 9 = 0),
+q AS (SELECT p_partkey AS id, 'part' AS source, {words_sql("p_type || ' ' || p_name")} AS w FROM part WHERE p_partkey % 50 = 0)"""
+
+
+@query(bm25_sql(5, "('part', 'part', 0), ('part', 'supplier', 1)", ENTRIES))
+def text_rank_entries(t: Tables) -> DataFrame:
+    """The best entries of a catalogue for each fiftieth part's description: an entry's names count twice."""
+    w = text.words
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.lit("part").alias("kind"), matching.entry_words([(w(F.col("p_name")), 2), (w(F.col("p_type")), 2), (w(F.col("p_brand")), 1)]).alias("words"))
+    named = F.concat("s_name", F.lit(" widget"))
+    suppliers = t.supplier.where("s_suppkey % 9 = 0").select((F.col("s_suppkey") + 10_000_000).alias("id"), F.lit("supplier").alias("kind"), matching.entry_words([(w(named), 2)]).alias("words"))
+    asked = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.lit("part").alias("kind"), w(F.concat_ws(" ", "p_type", "p_name")).alias("words"))
+    return matching.bm25(asked, parts.unionByName(suppliers), 5, ENTRY_MATCHES).select("query", "rank", "target", "score")
+
+
 RANKS = """a AS (SELECT user_id AS query, event_type AS target, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY 1, 2),
 b AS (SELECT user_id AS query, event_type AS target, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) AS rank FROM events GROUP BY 1, 2)"""
 
