@@ -82,26 +82,6 @@ def shapes_compiled(t: Tables) -> DataFrame:
     return schemes.violations(t.part, "p_partkey", bounds)
 
 
-def _exchanged(mapping: str, **parts: object) -> str:
-    return ", ".join(f"('{mapping}', '{term}', '{str(value).replace(chr(39), chr(39) * 2)}')" for term, value in parts.items())
-
-
-EXCHANGE = ", ".join([
-    _exchanged("customer-type", logicalSource="customer", subjectTemplate="urn:c/{c_custkey}", predicate="a", objectTemplate="Customer", confidence="1.0"),
-    _exchanged("customer-segment", logicalSource="customer", subjectTemplate="urn:c/{c_custkey}", predicate="segment", objectTemplate="{c_mktsegment}", condition="c_acctbal > 0", confidence="1.0"),
-    _exchanged("order-of", logicalSource="orders", subjectTemplate="urn:o/{o_orderkey}", predicate="of", objectTemplate="urn:c/{o_custkey}", condition="o_orderstatus <> 'P'", confidence="0.9"),
-    _exchanged("order-guess", logicalSource="orders", subjectTemplate="urn:o/{o_orderkey}", predicate="urgent", objectTemplate="{o_orderpriority}", confidence="0.2"),
-])
-
-
-@query(f"SELECT * FROM (VALUES {EXCHANGE}) v(mapping, term, value)")
-def scheme_exchange(t: Tables) -> DataFrame:
-    """A compiled mapping exported as rows, imported and exported again."""
-    rows = t.values(schemes.exported(PLAN), "mapping string, term string, value string")
-    again = schemes.imported([tuple(r) for r in rows.collect()])  # a declared plan: small
-    return t.values(schemes.exported(again), "mapping string, term string, value string")
-
-
 # A scheme as rows: a mapping for each nation, some of them broken.
 SCHEME = """(SELECT 'in-' || n_nationkey AS mapping, unnest(['logicalSource', 'subjectTemplate', 'predicate', 'objectTemplate', 'condition', 'confidence', 'note']) AS term, n_nationkey AS k, n_name FROM nation)"""
 SCHEME_ROWS = f"""scheme AS (SELECT mapping, term, CASE term WHEN 'logicalSource' THEN 'customer' WHEN 'subjectTemplate' THEN 'urn:c/' || '{{c_custkey}}' WHEN 'predicate' THEN 'livesIn' WHEN 'objectTemplate' THEN n_name || '/' || '{{c_mktsegment}}'
@@ -130,6 +110,12 @@ def scheme_findings(t: Tables) -> DataFrame:
     return schemes.findings(scheme_rows(t))
 
 
+@query(f"WITH {BROKEN} SELECT DISTINCT mapping, term, value FROM scheme WHERE value IS NOT NULL AND mapping NOT IN (SELECT mapping FROM broken)")
+def scheme_exchange(t: Tables) -> DataFrame:
+    """The sound mappings of a scheme imported from its rows and exported again."""
+    return t.values(schemes.exported(schemes.compiled(scheme_rows(t))), "mapping string, term string, value string")
+
+
 @query(f"""WITH {BROKEN} SELECT 'urn:c/' || c_custkey AS s, 'livesIn' AS p, n_name || '/' || c_mktsegment AS o, 'in-' || n_nationkey AS mapping FROM customer JOIN nation ON n_nationkey = c_nationkey
 WHERE n_nationkey % 6 <> 1 AND 'in-' || n_nationkey NOT IN (SELECT mapping FROM broken)""")
 def scheme_from_rows(t: Tables) -> DataFrame:

@@ -204,11 +204,12 @@ def protocol_calls(t: Tables) -> DataFrame:
     return graph.cyclic(calls)
 
 
-SUB = [("p", "0", "send", "1"), ("p", "1", "recv", "0"), ("p", "1", "stop", "2"), ("q", "0", "send", "1"), ("q", "1", "recv", "0"), ("w", "0", "send", "1"), ("w", "1", "call", "0")]
-
-
-@query("SELECT * FROM (VALUES ('p', 'q'), ('p', 'p'), ('q', 'q'), ('w', 'w')) v(sub, super)")
+@query("""WITH RECURSIVE mv AS (SELECT p_brand AS protocol, CAST(p_partkey % 2 AS VARCHAR) AS state, p_type AS event, CAST((min(p_partkey) // 2) % 2 AS VARCHAR) AS next FROM part WHERE p_size <= 12 GROUP BY 1, 2, 3),
+st AS (SELECT protocol, state FROM mv UNION SELECT protocol, next FROM mv),
+bad AS (SELECT a.protocol AS sub, a.state AS x, t.protocol AS super, t.state AS y FROM st a, mv t WHERE NOT EXISTS (SELECT 1 FROM mv m WHERE m.protocol = a.protocol AND m.state = a.state AND m.event = t.event)
+ UNION SELECT m.protocol, m.state, t.protocol, t.state FROM bad b JOIN mv m ON m.protocol = b.sub AND m.next = b.x JOIN mv t ON t.protocol = b.super AND t.next = b.y AND t.event = m.event)
+SELECT a.protocol AS sub, b.protocol AS super FROM st a, st b WHERE a.state = '0' AND b.state = '0' AND NOT EXISTS (SELECT 1 FROM bad WHERE sub = a.protocol AND x = '0' AND super = b.protocol AND y = '0')""")
 def protocol_subtypes(t: Tables) -> DataFrame:
-    """Protocols that can stand for others: from the start on they accept all that the other does."""
-    moves = t.values(SUB, "protocol string, state string, event string, next string")
-    return paths.simulations(moves, "0")
+    """Brands' protocols, whose messages are types of small parts, that can stand for others: from the start on they accept all that the other does."""
+    of = t.part.where("p_size <= 12").groupBy(F.col("p_brand").alias("protocol"), (F.col("p_partkey") % 2).cast("string").alias("state"), F.col("p_type").alias("event"))
+    return paths.simulations(of.agg(F.expr("cast((min(p_partkey) div 2) % 2 as string)").alias("next")), "0")
