@@ -82,7 +82,8 @@ def divergence(p: Column, q: Column) -> Column:
 def radix_top(rows: DataFrame, groups: list[str], k: int) -> DataFrame:
     """The rows (``groups``, item, value) of each group's ``k`` largest values, equal ones by the item's UTF-8 bytes.
 
-    ``value`` is a long of 0 or more, ``item`` a string that a group has once, without U+0000. Each round counts
+    ``value`` is a long of 0 or more, ``item`` a string that a group has once (ValueError where one that is open to the
+    end comes twice), without U+0000. Each round counts
     a digit of the rows whose place is open, takes those above the digit at which the k-th place
     falls, drops those below it, and leaves that digit's rows open unless all of them have a place.
     """
@@ -95,7 +96,10 @@ def radix_top(rows: DataFrame, groups: list[str], k: int) -> DataFrame:
         if at < len(falling):
             digit, order = falling[at], F.col("digit").desc()
         else:
-            byte = F.substring(F.encode("item", "UTF-8"), 2 * (at - len(falling)) + 1, 2)
+            place = 2 * (at - len(falling))
+            if place > found.where("open").agg(F.max(F.octet_length("item"))).first()[0]:
+                raise ValueError("a group has an item twice")
+            byte = F.substring(F.encode("item", "UTF-8"), place + 1, 2)
             digit, order = F.conv(F.rpad(F.hex(byte), 4, "0"), 16, 10).cast("long"), F.col("digit").asc()
         digits = found.where("open").withColumn("digit", digit)
         above = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # 65,536 digits at most

@@ -90,6 +90,12 @@ def test_radix_top_against_sorting(spark, k):
     assert divergence.radix_top(df.limit(0), ["g"], k).count() == 0
 
 
+def test_an_item_twice_at_the_threshold_is_refused(spark):
+    df = spark.createDataFrame([("g", "same", 3), ("g", "same", 3), ("g", "other", 5)], "g string, item string, value long")
+    with pytest.raises(ValueError, match="twice"):
+        divergence.radix_top(df, ["g"], 2)
+
+
 def test_shares_beyond_64_bits(spark):
     counts = [(0, 0, 0), (5, 100, 7), (9 * 10**9, 10**10, 3), (10**13, 3 * 10**13, 10**6)]
     got = spark.createDataFrame(counts, "c long, n long, v long").select("c", "n", "v", divergence.share(F.col("c"), F.col("n"), F.col("v")).alias("p")).collect()
