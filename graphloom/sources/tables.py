@@ -84,7 +84,7 @@ class Tables:
         customers = self.customer.join(of_nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.array(F.concat(F.lit("C"), "c_custkey"), "n", "r", F.lit("ALL")).alias("path"))
         nations = of_nation.select(F.array("n", "r", F.lit("ALL")).alias("path"))
         regions = self.region.select(F.array(F.concat(F.lit("R"), "r_regionkey"), F.lit("ALL")).alias("path"))
-        root = self.spark.range(1).select(F.array(F.lit("ALL")).alias("path"))
+        root = self.spark.range(0, 1, 1, 1).select(F.array(F.lit("ALL")).alias("path"))
         paths = customers.unionByName(nations).unionByName(regions).unionByName(root)
         return paths.select(F.col("path")[0].alias("desc"), F.posexplode("path").alias("depth", "anc"))
 
