@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import hashlib
 
 import __spark_entry__
 
@@ -30,3 +31,18 @@ def test_late_rows_correct_their_window_and_the_last_days_are_given(spark, tmp_p
     found = over(spark, tmp_path, "stream_late", {"events": (parts, EVENTS)})
     want = collections.Counter(range(1, 31)) + collections.Counter({30: 8, 2: 2})
     assert {r.start.day: r.n for r in found} == dict(want)
+
+
+def test_a_states_digest_is_over_its_sorted_rows_hashes(spark, tmp_path):
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    rows = [(k, k % 2, "FOP"[k % 3], 1.0, None, "1-URGENT") for k in range(9)]
+    found = over(spark, tmp_path, "state_digest", {"orders": ([rows], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string")})
+    want = {}
+    for root in (0, 1):
+        by = collections.defaultdict(list)
+        for h in sorted(sha(f"{r[0]}\t{r[2]}") for r in rows if r[1] == root):
+            by[h[:4]].append(h)
+        want[root] = sha("".join(p + sha("".join(hs)) for p, hs in sorted(by.items())))
+    assert {r.root: r.digest for r in found} == want
