@@ -298,18 +298,19 @@ def variants_of(t: Tables) -> DataFrame:
     return t.part.select(F.concat_ws("/", "p_brand", "p_type").alias("slot"), F.col("p_partkey").alias("id"), F.col("p_size").alias("lo"), (F.col("p_size") + 1 + F.col("p_partkey") % 7).cast("int").alias("hi"))
 
 
-def covered(variants: DataFrame) -> DataFrame:
-    """slot, id, p of all whole points p in [lo, hi): widths are small."""
-    return variants.select("slot", "id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("p"))
+def covered(variants: DataFrame, *more: str) -> DataFrame:
+    """slot, id, p of all whole points p in [lo, hi), and more columns: widths are small."""
+    return variants.select("slot", "id", *more, F.explode(F.sequence("lo", F.col("hi") - 1)).alias("p"))
 
 
 @query(f"WITH {VARIANTS} SELECT x.slot, x.id AS a, y.id AS b, greatest(x.lo, y.lo) AS witness FROM variant x JOIN variant y ON x.slot = y.slot AND x.id < y.id AND x.lo < y.hi AND y.lo < x.hi")
 def interval_variants_overlap(t: Tables) -> DataFrame:
-    """Candidate points are the lower ends of a slot; a point inside two variants shows an overlap."""
+    """Of two variants that overlap, the one that starts later (of equal starts, the larger id) starts within the other: each pair is met there once."""
     v = variants_of(t)
-    inside = covered(v).join(v.select("slot", F.col("lo").alias("p")).distinct(), ["slot", "p"])
-    pairs = inside.alias("x").join(inside.alias("y"), (F.col("x.slot") == F.col("y.slot")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.id") < F.col("y.id")))
-    return pairs.groupBy(F.col("x.slot").alias("slot"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min("x.p").alias("witness"))
+    inside = covered(v, "lo").repartition("slot", "p")  # a small table in one file makes many pairs
+    later = v.select("slot", F.col("lo").alias("p"), F.col("id").alias("_id"))
+    met = inside.join(later, ["slot", "p"]).where("lo < p AND id <> _id OR lo = p AND id < _id")
+    return met.select("slot", F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"), F.col("p").alias("witness"))
 
 
 @query(f"""WITH {VARIANTS}, e AS (SELECT slot, hi, max(hi) OVER (PARTITION BY slot) AS top FROM variant)
