@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import checkpointed
+from graphloom.sources.shared import checkpointed, written
+
+from .relational import top_k
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -70,16 +72,39 @@ def sweep(edges: DataFrame, resolutions: list[float], rounds: int, turn: Callabl
     return best[1], best[2]
 
 
+def alike(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(s, set) of sections s, c and (set, c) of their distinct sets of concepts.
+
+    What depends on a section's concepts only is worked out once for each set: sections of few concepts
+    repeat theirs. An array holds the distinct concepts of one section.
+    """
+    sets = written(sections.where("c is not null").groupBy("s").agg(F.array_sort(F.collect_set("c")).alias("set")))
+    return sets, sets.select("set").distinct().select("set", F.explode("set").alias("c"))
+
+
 def template_coverage(sections: DataFrame, templates: DataFrame, least: float) -> DataFrame:
     """s, template, coverage, missing of the template that covers a section best, if it covers ``least`` of its own concepts.
 
-    ``sections``: s, c; ``templates``: template, c. Concepts meet by an equi-join; the name breaks ties.
+    ``sections``: s, c; ``templates``: template, c. Concepts meet by an equi-join, once for each set of
+    concepts that sections have; the name breaks ties.
     """
+    sets, concepts = alike(sections)
     sizes = templates.groupBy("template").agg(F.count("*").alias("size"))
-    hits = sections.join(templates, "c").groupBy("s", "template").agg(F.count("*").alias("hit")).join(sizes, "template")
+    hits = concepts.join(templates, "c").groupBy("set", "template").agg(F.count("*").alias("hit")).join(sizes, "template")
     scored = hits.withColumn("coverage", F.round(F.col("hit") / F.col("size"), 6)).where(F.col("coverage") >= least)
-    place = F.row_number().over(Window.partitionBy("s").orderBy(F.col("coverage").desc(), "template"))
-    return scored.withColumn("_r", place).where("_r = 1").select("s", "template", "coverage", (F.col("size") - F.col("hit")).alias("missing"))
+    best = scored.groupBy("set").agg(F.min_by(F.struct("template", "coverage", (F.col("size") - F.col("hit")).alias("missing")), F.struct(-F.col("coverage"), "template")).alias("b"))
+    return sets.join(best, "set").select("s", "b.template", "b.coverage", "b.missing")
+
+
+def matched(sections: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+    """s, comm, score of the k communities in whose profiles a section's concepts weigh most; the name breaks ties.
+
+    ``sections``: s, c; ``profiles``: comm, c, p. Worked out once for each set of concepts that sections have.
+    """
+    sets, concepts = alike(sections)
+    summed = concepts.join(profiles, "c").groupBy("set", "comm").agg(F.round(F.sum("p"), 6).alias("score"))
+    best = top_k(summed, ["set"], [F.col("score").desc(), F.col("comm")], k)
+    return sets.join(best, "set").select("s", "comm", "score")
 
 
 def resolve_sections(candidates: DataFrame, matches: DataFrame, profiles: DataFrame, gap: float, floor: float = 0.001) -> DataFrame:
