@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import community, leiden, lift, matching, operations, relational
+from graphloom.operators import community, leiden, lift, matching, operations
 from graphloom.sources.store import digest_bag, digest_bag_sql
 from graphloom.sources.tables import QUADS, Tables
 
@@ -95,8 +95,7 @@ SELECT s, token, concept, score, CASE WHEN next IS NULL OR score - next >= 0.5 T
 def section_resolution(t: Tables) -> DataFrame:
     """Recognition, community and projection as evidence for the concept of each line of an order."""
     profiles = communities_of(t)
-    matched = obs_of(t).join(profiles, "c").groupBy("s", "comm").agg(F.round(F.sum("p"), 6).alias("score"))
-    best = relational.top_k(matched, ["s"], [F.col("score").desc(), F.col("comm")], 1).select("s", "comm")
+    best = community.matched(obs_of(t), profiles, 1).select("s", "comm")
     lines = t.lineitem.select(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("token"), "l_partkey")
     recognised = lines.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("s", "token", F.col("p_brand").alias("concept"), ((F.col("p_size") + 1) / 60.0).alias("prior"))
     usual = lines.select("s", "token", F.lit("Brand#11").alias("concept"), F.lit(0.4).cast("double").alias("prior"))

@@ -5,7 +5,7 @@ import pytest
 from graphloom.operators import community
 
 
-@pytest.mark.parametrize("name", ["template_coverage", "comm_match_sum"])
+@pytest.mark.parametrize("name", ["template_coverage", "comm_match_sum", "section_resolution"])
 def test_queries_work_once_for_each_set(spark, sf_dir, name, monkeypatch):
     held = []
     alike = community.alike
