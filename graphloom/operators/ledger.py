@@ -52,16 +52,20 @@ def checkpoints(postings: DataFrame, period: Column) -> DataFrame:
     return per.select("account", "period", F.sum("d").over(Window.partitionBy("account").orderBy("period")).alias("closed"))
 
 
-def closings(postings: DataFrame, period: str, head: int) -> DataFrame:
-    """account, period, closed: the balance at the end of each period up to ``head`` from an account's first on.
+def closing_runs(postings: DataFrame, period: str, head: int) -> DataFrame:
+    """account, since, until, closed: the balance at the ends of the periods since..until, up to ``head``, over which an account rests.
 
-    One running window over the periods with postings, carried up to the next of them: a row for each
-    account and period, from a shuffle of one row for each account and period that moved.
+    One running window over the periods with postings: a row for each account and period that moved, however
+    many periods pass without a posting.
     """
     moved = postings.groupBy("account", period).agg(F.sum("delta").alias("d"))
     w = Window.partitionBy("account").orderBy(period)
-    closed = moved.select("account", F.col(period).alias("_from"), F.sum("d").over(w).alias("closed"), F.coalesce(F.lead(period).over(w) - 1, F.lit(head)).alias("_to"))
-    return closed.select("account", F.explode(F.sequence("_from", "_to")).alias(period), "closed")
+    return moved.select("account", F.col(period).alias("since"), F.coalesce(F.lead(period).over(w) - 1, F.lit(head)).alias("until"), F.sum("d").over(w).alias("closed"))
+
+
+def closings(postings: DataFrame, period: str, head: int) -> DataFrame:
+    """account, period, closed: the balance at the end of each period up to ``head`` from an account's first on: accounts times periods."""
+    return closing_runs(postings, period, head).select("account", F.explode(F.sequence("since", "until")).alias(period), "closed")
 
 
 def ration_by_rank(requests: DataFrame, keys: list[str], order: list[Column], wanted: str, available: Column) -> DataFrame:

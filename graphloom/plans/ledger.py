@@ -49,15 +49,16 @@ def ledger_checkpoint(t: Tables) -> DataFrame:
 def ledger_read_from_checkpoint(t: Tables) -> DataFrame:
     """The last closing of all accounts, plus the postings after it: older postings are not read again.
 
-    Closings and postings are stored by period once a session, as a ledger's writer keeps them; a
-    read opens the folders of the last period only.
+    Closings are stored by the last period that they hold for and postings by period, once a session, as a
+    ledger's writer keeps them; a read opens the folders of the last periods only.
     """
     numbered = t.postings().select("account", "delta", F.expr(f"(pos - 1) div {PERIOD}").alias("k"))
     head = t.remembered("last_period", lambda: numbered.agg(F.max("k").alias("k")).first()["k"] or 0, ("orders",))
     stored = t.spark.read.schema("account string, delta long, k long").parquet(t.stored("postings_by_period", lambda: numbered, "k", of=("orders",)))
-    closed = t.spark.read.schema("account string, closed long, k long").parquet(t.stored("closings", lambda: ledger.closings(numbered, "k", head), "k", of=("orders",)))
+    runs = t.stored("closing_runs", lambda: ledger.closing_runs(numbered, "k", head).withColumn("until", F.col("until").cast("long")), "until", of=("orders",))
+    closed = t.spark.read.schema("account string, since long, closed long, until long").parquet(runs)
     tail = stored.where(f"k = {head}").groupBy("account").agg(F.sum("delta").alias("b"))
-    return closed.where(f"k = {head - 1}").select("account", F.col("closed").alias("b")).unionByName(tail).groupBy("account").agg(F.sum("b").alias("balance"))
+    return closed.where(f"until >= {head - 1} AND since < {head}").select("account", F.col("closed").alias("b")).unionByName(tail).groupBy("account").agg(F.sum("b").alias("balance"))
 
 
 @query(f"WITH {POSTINGS} SELECT (pos - 1) // 500 AS period, account[1:2] AS layer, count(*) AS n, CAST(sum(delta) AS BIGINT) AS moved FROM posting GROUP BY 1, 2")
