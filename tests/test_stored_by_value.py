@@ -15,5 +15,5 @@ def test_a_frequent_value_is_in_several_files(spark, tmp_path):
         spark.conf.set(name, old)
     back = spark.read.parquet(folder)
     assert back.count() == 400_000
-    often = back.where("p = 'often'")
-    assert len(often.inputFiles()) > 1 and {r.n for r in back.groupBy("p").agg(F.count("*").alias("n")).collect()} == {8000, 392_000}
+    often = [f for f in back.inputFiles() if "/p=often/" in f]
+    assert len(often) > 1 and {r.n for r in back.groupBy("p").agg(F.count("*").alias("n")).collect()} == {8000, 392_000}
