@@ -16,6 +16,18 @@ def test_maximal_sets_against_brute_force(spark):
     assert cover.maximal_sets(spark.createDataFrame([], "owner string, item string")).count() == 0
 
 
+def test_maximal_sets_by_pivots_and_by_lists(spark, monkeypatch):
+    """The largest sets first, then the lists: the same sets, whether the pivots hold many sets or none."""
+    rng = random.Random(5)
+    held = {f"h{i:03}": set(rng.sample("abcdefgh", rng.randrange(1, 8))) for i in range(90)} | {"all": set("abcdefgh")}
+    apart = {f"p{i:02}": set(rng.sample("qrstuvwxyz", 4)) for i in range(60)}
+    for pivots in (1, 3, 1000):
+        monkeypatch.setattr(cover, "PIVOTS", pivots)
+        for sets in (held, apart, held | apart):
+            got = sorted(map(tuple, cover.maximal_sets(spark.createDataFrame([(o, x) for o, s in sets.items() for x in s], "owner string, item string")).collect()))
+            assert got == sorted((o, min(p for p, t in sets.items() if t == s)) for o, s in sets.items() if not any(s < t for t in sets.values()))
+
+
 def test_topmost_against_brute_force(spark):
     rng = random.Random(6)
     parent = {i: rng.randrange(i) for i in range(1, 60)}
