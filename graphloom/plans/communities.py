@@ -221,13 +221,8 @@ u AS (SELECT *, length(w) + length(regexp_replace(w, '[\\x{0}-\\x{FFFF}]', '', '
 SELECT doc_id, count(*) AS tokens, CAST(max(start + n) AS BIGINT) AS utf16, sha256(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY i)) AS spans FROM p GROUP BY doc_id""")
 def text_spans_utf16(t: Tables) -> DataFrame:
     """Spans of the tokens of whole documents in UTF-16 units; here their number, the last end and a digest of all."""
-    words = F.split("text", " ")
-    units = F.transform(words, lambda w: (F.octet_length(F.encode(w, "UTF-16BE")) / 2).cast("long"))
-    d = t.documents.where("text is not null").select("doc_id", F.posexplode(units).alias("i", "n"))
-    start = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = F.array_sort(F.collect_list(F.struct("i", F.concat_ws(":", F.col("start").cast("string"), (F.col("start") + F.col("n")).cast("string")).alias("span"))))  # one document's
-    found = d.withColumn("start", start).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.max(F.col("start") + F.col("n")).alias("utf16"), spans.alias("s"))
-    return found.select("doc_id", "tokens", "utf16", F.sha2(F.array_join(F.transform("s", lambda x: x["span"]), ","), 256).alias("spans"))
+    units = F.transform(F.split("text", " "), lambda w: (F.octet_length(F.encode(w, "UTF-16BE")) / 2).cast("int"))
+    return text.token_spans(t.documents.where("text is not null").select("doc_id", units.alias("lengths")), "doc_id")
 
 
 @query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '","user":' || user_id || '}' AS canonical FROM events""")
