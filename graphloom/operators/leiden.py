@@ -39,12 +39,11 @@ def _moved(near: DataFrame, state: DataFrame, total: float, resolution: float, r
     best: tuple[float, DataFrame] | None = None
     waited = 0
     for r in range(rounds + 1):
-        of = state.select(F.col("node").alias("other"), "community")
-        links = near.join(of, "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-        own = state.select("node", "community", F.lit(0.0).alias("w"))
-        choices = links.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w"))
         size = state.groupBy("community").agg(F.sum("k").alias("t"))
-        scored = choices.join(size, "community").join(state.select("node", "k", "loops", F.col("community").alias("was")), "node")
+        full = state.join(size, "community")  # a row a node: the size goes along with the community, and rows of edges meet it only there
+        links = near.join(full.select(F.col("node").alias("other"), "community", "t"), "other").select("node", "community", "t", "weight")
+        choices = links.unionByName(full.select("node", "community", "t", F.lit(0.0).alias("weight"))).repartition("node")  # a node has no more rows than there are nodes
+        scored = choices.groupBy("node", "community").agg(F.sum("weight").alias("w"), F.max("t").alias("t")).join(state.select("node", "k", "loops", F.col("community").alias("was")), "node")
         stays = F.col("community") == F.col("was")
         gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("t") - F.when(stays, F.col("k")).otherwise(0.0)) / total, DIGITS)
         to = F.min_by("community", F.struct((-F.col("gain")).alias("g"), (~F.col("stays")).alias("s"), F.col("community")))
@@ -101,6 +100,7 @@ def leiden(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels:
 
     ``salt`` picks other coins. Nodes are those of the edges; an empty table gives no rows.
     """
+    edges = written(edges.select("a", "b", "weight"))
     ends = both_ways(edges.where("a <> b")).groupBy("node", "other").agg(F.sum("weight").alias("weight"))
     near = written(ends)
     loops = edges.where("a = b").groupBy(F.col("a").alias("node")).agg((2 * F.sum(F.col("weight").cast("double"))).alias("loops"))

@@ -105,3 +105,17 @@ def test_query(spark, sf_dir):
     found = {r.node: r.community for r in queries()["cluster_leiden"](spark, sf_dir).collect()}
     assert set(found) == {n for e in edges for n in e[:2]} and connected(edges, found)
     assert modularity(edges, found) > 0 and all(found[c] == c == min(n for n in found if found[n] == c) for c in set(found.values()))
+
+
+def test_edges_are_worked_out_once(spark):
+    """What makes the edges (a join of all pairs) runs once, not once for the links and once for the loops."""
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([("1", "2", 1.0), ("3", "3", 2.0)], "a string, b string, weight double").mapInArrow(seen, "a string, b string, weight double")
+    assert {r.node for r in leiden.leiden(df, rounds=1, levels=1).collect()} == {"1", "2", "3"}
+    assert met.value == 2
