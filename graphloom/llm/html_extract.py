@@ -2,19 +2,23 @@
 
 A page's html is read into text lines, one for each block. Within a host, pages are ordered by
 path; the one with the longest common path prefix is next to a page in that order. The lines of
-both are aligned by their longest common subsequence, and shared lines are deleted. Pages of a host
-with the same lines throughout are one page there, at the first of their paths: so the nearest page
-is always another one, and equal pages get equal texts. Two marks in the html go before that: lines
-in menus, headers, footers, sidebars, notices, adverts, forms and comments are never main text, and
-where a page marks its article, the lines in it are, shared or not, while lines outside are not. A
-page that would lose all its lines is a copy of its neighbour and keeps them.
+both are aligned by their longest common subsequence, on each page with a neighbour, and shared
+lines are to be deleted. Pages of a host with the same lines throughout are one page there, at the
+first of their paths: so the nearest page is always another one, and equal pages get equal texts.
+Marks in the html then check the deletions: lines in menus, headers, footers, sidebars, notices,
+adverts, forms and comments are never main text, and where a page marks its article, lines outside
+are not, while those in it are, as pages quote and copy each other. There a deletion stands for an
+element whose attributes leave it in doubt: it goes if all of its lines are shared, but most others
+of the article are not. On a page without an article each deletion stands, unless the page would
+lose all its lines: it is a copy of its neighbour and keeps them.
 
 Outside an article the words of class, id and role attributes tell furniture. Within one, where
 sections on any matter are text, they do so only if a whole token names an advert, sharing or reader
-comments, or if at least half of the element's characters are in links. A dropped element within a
-line (a button in a sentence) does not break it.
+comments, or if at least half of the element's characters are in links; other elements with such
+words are those in doubt. A dropped element within a line (a button in a sentence) does not break it.
 
-Only hashes of lines travel to find shared ones; a page's text is read again where it is written.
+Only hashes of lines and their marks travel to find shared ones; a page's text is read again where
+it is written. The marks of equal lines that differ from page to page are held as a set.
 
 Results for odd inputs: null and empty html give an empty text; pages without a host or alone on
 it are only judged by their marks; unclosed tags end with the page; repeated rows are repeated in
@@ -42,7 +46,7 @@ from .url_filter import host_and_path
 
 #: Kinds of lines: never main text, unmarked, in a marked article.
 FURNITURE, PLAIN, ARTICLE = 0, 1, 2
-#: Bytes of the places of shared lines up to which they are broadcast; beyond that pages without a mark are joined with them by a shuffle.
+#: Bytes of the places of deleted lines up to which they are broadcast; beyond that pages that may lose lines are joined with them by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 # Names of elements by what they do, and words of class, id and role attributes.
@@ -98,12 +102,12 @@ def _marked(name: str, attributes: str, article: int) -> tuple[bool, bool]:
     return told, not told and name not in _BLOCKS_OF_TEXT and name not in _INLINE
 
 
-def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """(text, kind) of each block with text, in page order."""
-    out: list[tuple[str, int]] = []
+def marked_lines(page: str | None) -> list[tuple[str, int, int]]:
+    """(text, kind, element in doubt) of each block with text, in page order; elements in doubt are numbered from 1, 0 is none."""
+    out: list[tuple[str, int, int]] = []
     held: list[str] = []
     stack: list[_Open] = []
-    off = article = links = chars = linked = 0
+    off = article = links = chars = linked = doubts = 0
     page = page or ""
     at, n = 0, len(page)
 
@@ -112,11 +116,11 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, FURNITURE if off else ARTICLE if article else PLAIN))
+                out.append((text, FURNITURE if off else ARTICLE if article else PLAIN, 0))
 
     def leave(k: int) -> None:
         """Close the elements from the k-th on."""
-        nonlocal held, off, article, links
+        nonlocal held, off, article, links, doubts
         for e in reversed(stack[k:]):
             if e.line is None and (off != e.off or article != e.article) or e.lines is not None:
                 close()
@@ -124,7 +128,10 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                 close()
                 held = e.line
             if e.lines is not None and 2 * (linked - e.linked) >= chars - e.chars:
-                out[e.lines :] = [(text, FURNITURE) for text, _ in out[e.lines :]]
+                out[e.lines :] = [(text, FURNITURE, 0) for text, _, _ in out[e.lines :]]
+            elif e.lines is not None:  # inner elements are closed first and keep their numbers
+                doubts += 1
+                out[e.lines :] = [(text, kind, doubt or doubts * (kind == ARTICLE)) for text, kind, doubt in out[e.lines :]]
             off, article = e.off, e.article
             links -= e.name == "a"
         del stack[k:]
@@ -181,6 +188,11 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
+def lines_of(page: str | None) -> list[tuple[str, int]]:
+    """(text, kind) of each block with text, in page order."""
+    return [(text, kind) for text, kind, _ in marked_lines(page)]
+
+
 def common_subsequence(a: list, b: list) -> list[int]:
     """Positions in ``a`` of a longest common subsequence of two lists of hashable items."""
     head = 0
@@ -212,55 +224,73 @@ def common_subsequence(a: list, b: list) -> list[int]:
     return found + middle[::-1] + list(range(len(a) - tail, len(a)))
 
 
-def main_text(lines: list[tuple[str, int]], shared: list[int] | None) -> str:
-    """The main text of a page's lines, given the places of those that it shares with its nearest page."""
-    if any(kind == ARTICLE for _, kind in lines):
-        return "\n".join(text for text, kind in lines if kind == ARTICLE)
-    plain = [k for k, (_, kind) in enumerate(lines) if kind == PLAIN]
-    own = sorted(set(plain).difference(shared or ()))
-    return "\n".join(lines[k][0] for k in own or plain)
+def deleted(marks: np.ndarray, shared: list[int]) -> list[int]:
+    """Places of the lines that a page loses, given those that it shares with its nearest page: the deletions that its marks let stand."""
+    kinds, doubts = marks.T
+    at = np.zeros(len(marks), bool)
+    at[shared] = True
+    if not (kinds == ARTICLE).any():
+        lost = (kinds == PLAIN) & at
+        return np.flatnonzero(lost).tolist() if ((kinds == PLAIN) & ~at).any() else []
+    lost = (doubts > 0) & ~np.isin(doubts, doubts[~at])
+    rest = (kinds == ARTICLE) & ~lost
+    return np.flatnonzero(lost).tolist() if 2 * (at & rest).sum() < rest.sum() else []
+
 
+def _marks(lines: list[tuple[str, int, int]]) -> np.ndarray:
+    """Kind and element in doubt of each line."""
+    return np.array([mark for _, *mark in lines], np.int32).reshape(-1, 2)
 
-def _keys(lines: list[tuple[str, int]]) -> np.ndarray:
+
+def _may_lose(marks: np.ndarray) -> bool:
+    """Whether ``deleted`` can name any line."""
+    return bool((marks[:, 1] > 0).any()) or not (marks[:, 0] == ARTICLE).any()
+
+
+def _keys(lines: list[tuple[str, int, int]]) -> np.ndarray:
     """A hash of each line's text."""
-    return np.array([xxhash.xxh64_intdigest(text) for text, _ in lines], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(text) for text, _, _ in lines], np.uint64).view(np.int64)
 
 
-def _digest(keys: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh64_intdigest(keys.tobytes(), 1)], np.uint64).view(np.int64)[0])
+def _digest(keys: np.ndarray, marks: np.ndarray | None = None) -> int:
+    """A hash of a page's lines, with their marks if given."""
+    return int(np.array([xxhash.xxh64_intdigest(keys.tobytes() + (b"" if marks is None else marks.tobytes()), 1)], np.uint64).view(np.int64)[0])
 
 
 def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line hashes of pages, no texts."""
+    """Line hashes and marks of pages, no texts."""
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            found = [lines_of(x.as_py()) for x in part["html"]]
+            found = [marked_lines(x.as_py()) for x in part["html"]]
             keys = [_keys(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [*(part[c] for c in ("host", "path", "at")), pa.array([_digest(k) for k in keys], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([not any(kind == ARTICLE for _, kind in f) for f in found])],
-                ["host", "path", "at", "digest", "keys", "open"],
+                [*(part[c] for c in ("host", "path", "at")), pa.array([_digest(k) for k in keys], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([_marks(f).tobytes() for f in found], pa.binary())],
+                ["host", "path", "at", "digest", "keys", "marks"],
             )
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each own page of a sorted partition that marks no article: the places of the lines that it shares with its nearest page."""
+    """For each own page of a sorted partition, aligned with its nearest page, and each set of marks on its lines: the places of those that it loses, if any."""
     before: dict | None = None
     row: dict | None = None
     out: list[dict] = []
-    schema = pa.schema([("host", pa.string()), ("digest", pa.int64()), ("shared", pa.list_(pa.int32()))])
+    schema = pa.schema([("host", pa.string()), ("digest", pa.int64()), ("lost", pa.list_(pa.int32()))])
 
     def found(row: dict, after: dict | None) -> None:
-        if not row["open"]:
-            return
         best, length = None, -1
         for other in (before, after):
             if other and other["host"] == row["host"]:
                 common = len(os.path.commonprefix([row["path"], other["path"]]))
                 if common > length:
                     best, length = other, common
-        if best:
-            out.append({"host": row["host"], "digest": row["digest"], "shared": common_subsequence(row["keys"], best["keys"])})
+        if not best:
+            return
+        shared, keys = common_subsequence(row["keys"], best["keys"]), np.array(row["keys"], np.int64)
+        for x in row["marks"]:
+            marks = np.frombuffer(x, np.int32).reshape(-1, 2)
+            if lost := deleted(marks, shared):
+                out.append({"host": row["host"], "digest": _digest(keys, marks), "lost": lost})
 
     for batch in batches:
         for r in batch.to_pylist():
@@ -283,39 +313,32 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of pages with their kinds; for marked articles their lines only, and no digest to look up."""
+    """Lines of pages, null where the marks say that they are no text; no digest to look up for pages that can lose none."""
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            found = [lines_of(x.as_py()) for x in part["html"]]
-            marked = [any(kind == ARTICLE for _, kind in f) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part[c] for c in ("page_id", "url", "host")),
-                    pa.array([None if m else _digest(_keys(f)) for f, m in zip(found, marked, strict=True)], pa.int64()),
-                    pa.array([main_text(f, None) if m else None for f, m in zip(found, marked, strict=True)], pa.string()),
-                    pa.array([[] if m else [t for t, _ in f] for f, m in zip(found, marked, strict=True)], pa.list_(pa.string())),
-                    pa.array([[] if m else [k for _, k in f] for f, m in zip(found, marked, strict=True)], pa.list_(pa.int32())),
-                ],
-                ["page_id", "url", "host", "digest", "article", "texts", "kinds"],
-            )
+            found = [marked_lines(x.as_py()) for x in part["html"]]
+            digests, texts = [], []
+            for f in found:
+                marks = _marks(f)
+                digests.append(_digest(_keys(f), marks) if _may_lose(marks) else None)
+                kept = ARTICLE if (marks[:, 0] == ARTICLE).any() else PLAIN
+                texts.append([text if kind == kept else None for text, kind, _ in f])
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in ("page_id", "url", "host")), pa.array(digests, pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["page_id", "url", "host", "digest", "texts"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each page."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("at"), "html")
-    outlines = rows.where("host <> ''").select("host", "path", "at", "html").mapInArrow(_outlined, "host string, path string, at long, digest long, keys array<long>, open boolean")
-    one = outlines.groupBy("host", "digest").agg(F.min(F.struct("path", "at")).alias("p"), F.first("keys").alias("keys"), F.first("open").alias("open"))
-    one = checkpointed(one.select("host", "p.path", "p.at", "digest", "keys", "open"))
+    outlines = rows.where("host <> ''").select("host", "path", "at", "html").mapInArrow(_outlined, "host string, path string, at long, digest long, keys array<long>, marks binary")
+    one = outlines.groupBy("host", "digest").agg(F.min(F.struct("path", "at")).alias("p"), F.first("keys").alias("keys"), F.collect_set("marks").alias("marks"))
+    one = checkpointed(one.select("host", "p.path", "p.at", "digest", "keys", "marks"))
     laid = ordered_with_edges(one, ["host", "path", "at"], ["digest"])
-    shared = checkpointed(laid.select("host", "path", "digest", "keys", "open", "role").mapInArrow(_shared, "host string, digest long, shared array<int>").select(F.col("host").alias("h"), F.col("digest").alias("d"), "shared"))
-    size = shared.agg(F.coalesce(F.sum(F.size("shared") * 4 + F.length("h") + 32), F.lit(0))).first()[0]
-    read = rows.select("page_id", "url", "host", "html").mapInArrow(_read, "page_id long, url string, host string, digest long, article string, texts array<string>, kinds array<int>")
-    at = F.when(F.col("digest").isNull(), F.concat(F.lit(" "), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("host"))  # marked pages find none: no task gets them all
-    joined = read.withColumn("host", at).join(F.broadcast(shared) if size <= BROADCAST_BYTES else shared, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("d")), "left")
-    places = F.filter(F.sequence(F.lit(0), F.size("texts") - 1), lambda k: F.get("kinds", k) == PLAIN)
-    plain = F.when(F.size("texts") > 0, places).otherwise(F.array().cast("array<int>"))
-    own = F.array_except(F.col("plain"), F.coalesce("shared", F.array().cast("array<int>")))
-    chosen = joined.withColumn("plain", plain).withColumn("own", own).withColumn("chosen", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("plain")))
-    return chosen.select("page_id", "url", F.coalesce("article", F.array_join(F.transform("chosen", lambda k: F.get("texts", k)), "\n")).alias("text"))
+    lost = checkpointed(laid.select("host", "path", "keys", "marks", "role").mapInArrow(_shared, "host string, digest long, lost array<int>").select(F.col("host").alias("h"), F.col("digest").alias("d"), "lost"))
+    size = lost.agg(F.coalesce(F.sum(F.size("lost") * 4 + F.length("h") + 32), F.lit(0))).first()[0]
+    read = rows.select("page_id", "url", "host", "html").mapInArrow(_read, "page_id long, url string, host string, digest long, texts array<string>")
+    at = F.when(F.col("digest").isNull(), F.concat(F.lit(" "), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("host"))  # pages that lose none find none: no task gets them all
+    joined = read.withColumn("host", at).join(F.broadcast(lost) if size <= BROADCAST_BYTES else lost, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("d")), "left")
+    kept = F.when(F.col("lost").isNull(), F.col("texts")).otherwise(F.transform("texts", lambda text, k: F.when(~F.array_contains("lost", k), text)))
+    return joined.select("page_id", "url", F.array_join(kept, "\n").alias("text"))

@@ -1,8 +1,11 @@
 import random
 from html.parser import HTMLParser
 
+import pyarrow as pa
+
 from graphloom.llm import html_extract, queries
-from graphloom.llm.html_extract import ARTICLE, FURNITURE, PLAIN, common_subsequence, lines_of
+from graphloom.llm.html_extract import ARTICLE, FURNITURE, PLAIN, common_subsequence, deleted, lines_of
+from graphloom.llm.neighbours import OWN
 
 
 def test_lines_and_kinds():
@@ -151,3 +154,37 @@ def test_query(spark, sf_dir):
     for p in pages:
         want = "\n".join(t for t, kind in lines_of(p.html) if kind == ARTICLE)
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want) and want
+
+
+def test_marked_pages_lose_what_their_marks_leave_in_doubt(spark, monkeypatch):
+    def page(k, *, notice="We use cookies", story=None):
+        return f"<nav>Menu</nav><article><h1>Head {story or k}</h1><p>story {story or k}</p><div class='notice'><p>{notice}</p><p>Agreed</p></div><blockquote>quoted by all</blockquote><p>end {story or k}</p></article>"
+
+    def text(k, *notice):
+        return "\n".join([f"Head {k}", f"story {k}", *notice, "quoted by all", f"end {k}"])
+
+    rows = [
+        *[(k, f"http://h.x/a/{k}", page(k)) for k in range(3)],
+        (3, "http://own.x/a/3", page(3)), (4, "http://own.x/a/4", page(4, notice="Part of this story")),  # not all lines of the element are shared
+        (5, "http://copy.x/a/5", page(5)), (6, "http://copy.x/a/6", page(5).replace("end 5", "end 6")),  # copies of one story, and so of its notice
+        (7, "http://alone.x/7", page(7)), (8, None, page(8)),
+        (9, "http://h.x/a/0?q", page(0).replace(" class='notice'", "")), (10, "http://h.x/a/0?r", page(0)),  # the lines of page 0, with and without the mark
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {0: text(0), 1: text(1), 2: text(2), 3: text(3, "We use cookies", "Agreed"), 4: text(4, "Part of this story", "Agreed"), 5: text(5, "We use cookies", "Agreed"), 7: text(7, "We use cookies", "Agreed"), 8: text(8, "We use cookies", "Agreed"), 9: text(0, "We use cookies", "Agreed"), 10: text(0)}
+    want[6] = want[5].replace("end 5", "end 6")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+
+
+def test_marked_pages_are_aligned(monkeypatch):
+    """Each page with a neighbour goes through the differencing: the marks are asked about what it deletes."""
+    html = [f"<nav>Menu</nav><article><p>all say so</p><p>story {k}</p></article><p>End</p>" for k in range(3)]
+    batch = pa.RecordBatch.from_pydict({"host": ["h.x"] * 3, "path": [f"/{k}" for k in range(3)], "at": [0, 1, 2], "html": html})
+    (outlines,) = html_extract._outlined(iter([batch]))
+    rows = [r | {"marks": [r["marks"]], "role": OWN} for r in outlines.to_pylist()]
+    asked = []
+    monkeypatch.setattr(html_extract, "deleted", lambda marks, shared: asked.append(shared) or deleted(marks, shared))
+    assert list(html_extract._shared(iter([pa.RecordBatch.from_pylist(rows)]))) == []  # the article's shared line is a quotation
+    assert asked == [[0, 1, 3]] * 3
