@@ -6,11 +6,13 @@ latent space of each block of RANK passages; an item's inner products with any t
 space only. Projection and product fold into one weight of each term for each passage, an index
 from terms to passages, by which every window of every document meets the passages that it shares
 terms with. Items whose cosine passes a low bound are candidates, as are items of whose own weight
-the window holds a share, whatever stands beside it. Every word has a positive weight, so that an
-item counts as well where a large part of all documents hold it. A candidate is confirmed by the
-longest common subsequence of words of the item and of the text around the window, for the whole
-item and for its answer, its last sentence. So reworded items, with words left out, put in or
-replaced, count as well as exact ones, and shared phrases do not.
+the window holds a share, whatever stands beside it. An item that is spread out, with other words put
+between its own, passes neither in any window: it is a candidate by the cosine in the latent space,
+where what the basis does not span of a window, as words put in, does not count. Every word has a
+positive weight, so that an item counts as well where a large part of all documents hold it. A
+candidate is confirmed by the longest common subsequence of words of the item and of the text around
+the window, for the whole item and for its answer, its last sentence. So reworded items, with words
+left out, put in or replaced, count as well as exact ones, and shared phrases do not.
 
 Items of more than LONGEST words are cut into passages of about a window's length, and an item is a
 candidate where any of its passages is, so that recall does not depend on an item's length either.
@@ -48,6 +50,9 @@ CANDIDATE = 0.3
 #: Share of a passage's squared TF-IDF length in a window from which it is one too: of a passage of LONGEST
 #: words at most that a text holds whole, some window has half at least.
 CONTAINED = 0.4
+#: Cosine in the latent space from which an item is one too, and the share of the passage's squared length that
+#: the window must have for it: one shared word is all that the space sees of many a window.
+LATENT, SPREAD = 0.5, 0.15
 #: Shares of the words of an item, and of its answer, that the text must have in their order.
 ITEM_SHARE, ANSWER_SHARE = 0.6, 0.5
 LEAST_WORDS = 8
@@ -68,6 +73,7 @@ class Space:
     passage that sum times the passage's latent vector: so each term has one weight for each passage,
     the product of its row and the passage's vector. Most are 0, and the others are an index from
     terms to passages: ``common`` holds the rows of terms of many passages, the rest are postings.
+    The latent vector itself is had back from the inner products with all passages by ``inverse``.
     """
 
     items: np.ndarray  # place in the index of each passage's item
@@ -77,6 +83,8 @@ class Space:
     starts: np.ndarray
     passage: np.ndarray
     weight: np.ndarray
+    size: np.ndarray  # of each passage's latent vector
+    inverse: np.ndarray  # from inner products with the passages to latent vectors
 
     @classmethod
     def of(cls, items: np.ndarray, length: np.ndarray, used: np.ndarray, basis: np.ndarray, latent: np.ndarray) -> Space:
@@ -90,7 +98,8 @@ class Space:
         row[used[order]] = np.arange(len(used))
         rest = table[order[n:]]
         at, passage = np.nonzero(rest)
-        return cls(items, length, row, table[order[:n]], np.searchsorted(at, np.arange(len(rest) + 1)), passage, rest[at, passage])
+        size, inverse = np.linalg.norm(latent, axis=1).astype(np.float32), np.linalg.pinv(latent).T.astype(np.float32)
+        return cls(items, length, row, table[order[:n]], np.searchsorted(at, np.arange(len(rest) + 1)), passage, rest[at, passage], size, inverse)
 
     def inner(self, terms: np.ndarray, block: np.ndarray, n_blocks: int) -> np.ndarray:
         """Inner products of each block's words with each passage."""
@@ -112,6 +121,13 @@ class Space:
                 sums[a : a + size] += counts.reshape(size, n).astype(np.float32) @ self.common
         return sums
 
+    def cosines(self, inner: np.ndarray, at: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """Cosines in the latent space of windows and passages, given the windows' inner products with all passages; ``at`` ascends."""
+        window = np.flatnonzero(np.diff(at, prepend=-1))
+        length = np.concatenate([np.zeros(0, np.float32), *(np.linalg.norm(inner[at[window[a : a + 4096]]] @ self.inverse, axis=1) for a in range(0, len(window), 4096))])
+        size = np.repeat(length, np.diff(np.append(window, len(at)))) * self.size[passage]
+        return inner[at, passage] / np.maximum(size, 1e-12)
+
 
 @dataclass
 class Index:
@@ -275,8 +291,8 @@ def common_words(places: dict[int, int], n: int, text: list[int], skip: int = 0)
     return n - skip - s.bit_count()
 
 
-def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, item, cosine of its best passage) of the windows of a chunk that pass a bound, the best first."""
+def candidates(words: Tokens, index: Index, latent: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, item, cosine of its best passage) of the windows of a chunk that pass a bound, the best first; ``latent``: or that of the latent space."""
     n_blocks = -(-words.counts // BLOCK)
     doc_first = np.cumsum(words.counts) - words.counts
     block_doc = np.repeat(np.arange(len(n_blocks)), n_blocks)
@@ -291,7 +307,12 @@ def candidates(words: Tokens, index: Index) -> tuple[np.ndarray, np.ndarray, np.
     parts = []
     for space in index.spaces:
         inner = _windows(space.inner(terms, block, len(first)), block_doc)
-        at, item = np.nonzero(inner >= np.minimum((CANDIDATE * norm)[:, None], CONTAINED * space.length))
+        at, item = np.nonzero(inner >= np.minimum((CANDIDATE * norm)[:, None], (SPREAD if latent else CONTAINED) * space.length))
+        if latent:
+            passed = inner[at, item] >= np.minimum(CANDIDATE * norm[at], CONTAINED * space.length[item])
+            rest = np.flatnonzero(~passed)
+            passed[rest] = space.cosines(inner, at[rest], item[rest]) >= LATENT
+            at, item = at[passed], item[passed]
         parts.append((first[at], space.items[item], inner[at, item] / norm[at]))
     at, item, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
     best = np.lexsort([-cosine, item, at])
@@ -329,7 +350,7 @@ def matches(docs: DataFrame, index: Index, keep: list[str | Column], at: tuple[s
             terms, seen_terms = _terms(words), np.zeros(TERMS, bool)
             best: dict[tuple[int, int], dict] = {}
             seen: set[tuple[int, int, int]] = set()
-            for first, item, cosine in zip(*(x.tolist() for x in candidates(words, index)), strict=True):
+            for first, item, cosine in zip(*(x.tolist() for x in candidates(words, index, latent=True)), strict=True):
                 doc = int(words.doc[first])
                 own, answer = index.words[item], index.answers[item]
                 old = best.get((doc, index.items[item]))

@@ -200,3 +200,41 @@ def test_recall_of_items_with_words_swapped(spark):
     got = {(r.doc_id, f.item_id) for r in decontam.matches(d, decontam.build(d, b), ["doc_id"]).collect() for f in r.found}
     assert len(got & {(k, k) for k in range(300)}) >= 0.9 * 300
     assert all(a == b for a, b in got)
+
+
+def test_items_spread_out_are_found_by_their_latent_cosine(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    items = [rng.sample(vocabulary, rng.randint(35, 50)) for _ in range(150)]
+    others = ["".join(rng.choice("qrstuvwxyz") for _ in range(rng.randint(5, 9))) for _ in range(40_000)]
+    docs = [(k, " ".join(x for w in item for x in [w, *rng.sample(others, 4)])) for k, item in enumerate(items)]
+    docs += [(k, " ".join(rng.sample(vocabulary, 60) + rng.sample(others, 140))) for k in range(150, 300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, f.item_id) for r in decontam.matches(d, decontam.build(d, b), ["doc_id"]).collect() for f in r.found}
+    assert len(got) >= 0.95 * 150 and all(a == b for a, b in got)
+
+
+def test_latent_candidates_against_projection(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(60)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = decontam.build(docs, items)
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(120).collect()]
+    data, offsets = utf8(pa.array([t.lower() for t in texts], pa.string()))
+    words = Tokens(data, offsets)
+    terms = decontam._terms(words)
+    rows = np.array([np.bincount(t, minlength=decontam.TERMS) * index.idf for t in index.terms])
+    lengths = np.linalg.norm(rows, axis=1)
+    rows /= lengths[:, None]
+    span = np.linalg.qr(rows.T)[0]
+    want, near, start = set(), set(), 0
+    for n in words.counts:
+        for a in range(start, start + n, decontam.BLOCK):
+            window = np.bincount(terms[a : min(a + decontam.BLOCK * decontam.WINDOW, start + n)], minlength=decontam.TERMS) * index.idf
+            inner, size = rows @ window, np.linalg.norm(window @ span)
+            share, cosine = inner / lengths, inner / max(size, 1e-12)
+            want |= {(a, k) for k in np.flatnonzero((share >= decontam.SPREAD) & (cosine >= decontam.LATENT))}
+            near |= {(a, k) for k in np.flatnonzero((abs(share - decontam.SPREAD) < 1e-3) | (abs(cosine - decontam.LATENT) < 1e-3))}
+        start += n
+    plain, got = ({(a, k) for a, k in zip(*(x.tolist() for x in decontam.candidates(words, index, latent=latent)[:2]), strict=True)} for latent in (False, True))
+    assert plain < got and (got - plain) ^ (want - plain) <= near
