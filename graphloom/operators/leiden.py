@@ -6,22 +6,28 @@ smaller graph, and moves go on there from the communities found so far. So a lev
 modularity than the one before, and a community is never cut off from itself: what is left apart at
 the end is split into its connected components, which only adds modularity.
 
-A round is an aggregate over the edges of its level and a table written; levels shrink by a factor, so that
-the first level's rounds are most of the cost. Ids of nodes are of any type that has an order.
+Up to ``LIMIT`` nodes a round is one read of packed edges, without a shuffle (see ``leiden_arrays``). Beyond it a round is
+an aggregate over the edges of its level and a table written. Levels shrink by a factor, so that the first level's
+rounds are most of the cost. Ids of nodes are of any type that has an order.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.sources.shared import written
 
+from . import leiden_arrays as arrays
 from .community import both_ways
 from .graph import components
+from .matching import cooccurrence
 
 #: Gains and modularities are compared after rounding, so that the order of a sum decides nothing.
 DIGITS = 9
+#: Nodes, 20 bytes each, that the driver and each worker hold; the rounds of larger graphs are joins.
+LIMIT = 1 << 23
 
 
 def _coin(name: str, *salt: int) -> Column:
@@ -95,12 +101,52 @@ def _parts(near: DataFrame, state: DataFrame, total: float, resolution: float, s
     return parts.select("node", "part")
 
 
+def _linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Packed edges of a, b, weight by the numbers of their nodes."""
+    ids = [nodes.select(F.col("node").alias(c), F.col("id").alias(i)) for c, i in (("a", "u"), ("b", "v"))]
+    linked = edges.join(ids[0], "a").join(ids[1], "b").select("u", "v", F.col("weight").cast("double").alias("w"))
+    return arrays.of_edges(written(linked.select(F.inline(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))))))
+
+
+def _by_arrays(near: DataFrame, nodes: DataFrame, n: int, resolution: float, rounds: int, levels: int, salt: int) -> DataFrame:
+    """node, community: the same as by tables, with nodes as numbers."""
+    linked = arrays.linked(near, n)
+    loops = arrays.loops_of(near, n)
+    k = arrays.degrees(near, n) + loops
+    total = float(k.sum()) or 1.0
+    place = np.arange(n)
+    state, quality = arrays.moved(near, np.arange(n, dtype=np.int32), k, float(loops.sum()), total, resolution, rounds, salt)
+    for level in range(1, levels):
+        part = arrays.parts(arrays.inside(near, state), k, total, resolution, salt + 1000 * level)
+        kept, group = np.unique(part, return_inverse=True)
+        if len(kept) == len(part):
+            break
+        group = group.astype(np.int32)
+        near = arrays.contracted(near, group)
+        k = np.bincount(group, weights=k)
+        loops = np.bincount(group, weights=loops) + arrays.loops_of(near, len(kept))
+        place = group[place]
+        state = np.unique(state[kept], return_inverse=True)[1].astype(np.int32)
+        state, found = arrays.moved(near, state, k, float(loops.sum()), total, resolution, rounds, salt + 1000 * level)
+        if found <= quality:
+            break
+        quality = found
+    whole = arrays.connected(arrays.inside(near, state), len(state))[place]
+    least = np.full(len(state), n, np.int32)
+    np.minimum.at(least, whole, np.arange(n, dtype=np.int32))
+    return arrays.named(nodes, np.where(linked, least[whole], np.int32(-1)))
+
+
 def leiden(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 8, salt: int = 0) -> DataFrame:
     """node, community (its least node) of undirected edges a, b, weight; equal ends are loops, repeated edges add up.
 
     ``salt`` picks other coins. Nodes are those of the edges; an empty table gives no rows.
     """
-    edges = written(edges.select("a", "b", "weight"))
+    edges = written(edges.select("a", "b", "weight").where("a is not null AND b is not null"))
+    places = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    nodes, n = arrays.numbered(places)
+    if n <= LIMIT:
+        return _by_arrays(_linked(edges, nodes), nodes, n, resolution, rounds, levels, salt)
     ends = both_ways(edges.where("a <> b")).groupBy("node", "other").agg(F.sum("weight").alias("weight"))
     near = written(ends)
     loops = edges.where("a = b").groupBy(F.col("a").alias("node")).agg((2 * F.sum(F.col("weight").cast("double"))).alias("loops"))
@@ -131,3 +177,14 @@ def leiden(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels:
     named = place.join(whole.select(F.col("node").alias("at"), "component"), "at", "left").select("node", F.coalesce("component", "at").alias("c"))
     least = named.groupBy("c").agg(F.min("node").alias("community"))
     return named.join(least, "c").select("node", "community")
+
+
+def of_sections(sections: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 8, salt: int = 0) -> DataFrame:
+    """node, community of the concepts c that are in sections s together, weighted by the overlap coefficient."""
+    sections = sections.where("s is not null AND c is not null")
+    nodes, n = arrays.numbered(sections.select(F.col("c").alias("node")).distinct())
+    if n > LIMIT:
+        return leiden(cooccurrence(sections, "s", "c"), resolution, rounds, levels, salt)
+    nodes = written(nodes)
+    near = arrays.of_sections(sections.join(nodes.withColumnRenamed("node", "c"), "c").select("s", F.col("id").alias("c")), n)
+    return _by_arrays(near, nodes, n, resolution, rounds, levels, salt)

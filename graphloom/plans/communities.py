@@ -68,8 +68,7 @@ def cluster_sweep(t: Tables) -> DataFrame:
 @query()
 def cluster_leiden(t: Tables) -> DataFrame:
     """Communities over levels of parts that are in orders together, weighted by the overlap coefficient."""
-    bought = t.lineitem.select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("c")).distinct()
-    return leiden.leiden(matching.cooccurrence(bought, "s", "c"))
+    return leiden.of_sections(t.lineitem.select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("c")))
 
 
 TEMPLATES = "tpl AS (SELECT DISTINCT p_type || '/' || p_size % 10 AS template, p_brand AS c FROM part)"

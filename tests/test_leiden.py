@@ -119,3 +119,14 @@ def test_edges_are_worked_out_once(spark):
     df = spark.createDataFrame([("1", "2", 1.0), ("3", "3", 2.0)], "a string, b string, weight double").mapInArrow(seen, "a string, b string, weight double")
     assert {r.node for r in leiden.leiden(df, rounds=1, levels=1).collect()} == {"1", "2", "3"}
     assert met.value == 2
+
+
+def test_rounds_read_packed_edges_and_shuffle_none(spark, monkeypatch):
+    """Sections of any type, with repeats, nulls and one alone; also in several packed rows; no round of joins."""
+    monkeypatch.setattr(leiden, "_moved", None)
+    monkeypatch.setattr(leiden.arrays, "ROW", 4)
+    rows = [("s1", "a"), ("s1", "b"), ("s1", "c"), ("s1", "a"), ("s2", "a"), ("s2", "b"), ("s3", "x"), ("s3", "y"), ("s4", "z"), (None, "q"), ("s5", None), ("s6", "c"), ("s6", "b")]
+    found = {r.node: r.community for r in leiden.of_sections(spark.createDataFrame(rows, "s string, c string")).collect()}
+    assert found == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+    near = leiden.arrays.of_sections(spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 2)], "s long, c int"), 3)
+    assert leiden.arrays.degrees(near, 3).tolist() == [2.0, 1.0, 1.0] and leiden.arrays.linked(near, 4).tolist() == [True, True, True, False]
